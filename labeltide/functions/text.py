@@ -176,3 +176,8 @@ def add_prefix(c: Column, prefix: str = TASK_PREFIX) -> Column:
 def to_string(c: Column) -> Column:
     """Like ``.apply(str)`` except that NULL stays NULL."""
     return c.cast("string")
+
+
+def tokens(c: Column) -> Column:
+    """Whitespace tokens like ``str.split()``: no empty strings, Unicode whitespace."""
+    return F.filter(F.split(c, "[" + WS + "]+"), lambda t: t != F.lit(""))

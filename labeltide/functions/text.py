@@ -23,6 +23,11 @@ from pyspark.sql import functions as F
 
 # Whitespace as Python's str.isspace() defines it, for use inside a class.
 WS = r"\t\n\x0b\x0c\r\x1c-\x1f \x85\p{Z}"
+# The same set spelled out (ASCII controls, space, NEL, and the Unicode Z
+# categories), for ``btrim`` which strips a set of characters from both ends.
+WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+            + "".join(chr(c) for c in range(0x2000, 0x200B))
+            + "\u2028\u2029\u202f\u205f\u3000")
 
 # ---------------------------------------------------------------------------
 # The cleaning patterns of the reference corpora, in the order
@@ -62,8 +67,18 @@ TASK_PREFIX = "classification: "
 #    are word characters, whitespace and ":%."; "[" and "]" are not among them.
 #  * steps X9-X11 map "\n"/"\t" to a space and then fold runs of two or more
 #    spaces, which is the same as folding every run of [ \n\t] into one space.
-_DELETE_FUSED = r"[^\p{L}\p{N}_" + WS + r":%.]"
-_SPACE_FUSED = r"[ \n\t]+"
+#  * deleting a run of matched characters at once equals deleting them one by
+#    one, and rewriting a lone " " as " " is a no-op, so only runs of two or
+#    more and lone "\n"/"\t" are rewritten.
+#  * a step whose pattern needs a literal ("@", "http", "www", a digit) that
+#    the text does not contain leaves it unchanged, so it is skipped.
+_DELETE_FUSED = r"[^\p{L}\p{N}_" + WS + r":%.]+"
+_SPACE_FUSED = r"[ \n\t]{2,}|[\n\t]"
+_DIGIT_RUN = r"\p{Nd}+"
+
+
+def _when_contains(c: Column, needle: str, then: Column) -> Column:
+    return F.when(F.instr(c, needle) > 0, then).otherwise(c)
 
 
 def _strip(c: Column, pattern: str, repl: str = "") -> Column:
@@ -156,16 +171,16 @@ def clean_text_stepwise(c: Column) -> Column:
 
 
 def clean_text(c: Column) -> Column:
-    """The whole chain in nine passes; equal to ``clean_text_stepwise``."""
-    c = remove_emails(c)
-    c = remove_ipv4(c)
-    c = remove_http(c)
-    c = remove_www(c)
+    """The whole chain, fused and guarded; equal to ``clean_text_stepwise``."""
+    c = _when_contains(c, "@", remove_emails(c))
+    c = F.when(c.rlike("[0-9]"), remove_ipv4(c)).otherwise(c)
+    c = _when_contains(c, "http", remove_http(c))
+    c = _when_contains(c, "www", remove_www(c))
     c = F.regexp_replace(c, _DELETE_FUSED, "")
     c = F.regexp_replace(c, _SPACE_FUSED, " ")
     c = F.lower(c)
-    c = strip_whitespace(c)
-    return remove_digits(c)
+    c = F.btrim(c, F.lit(WS_CHARS))
+    return F.regexp_replace(c, _DIGIT_RUN, "")
 
 
 def add_prefix(c: Column, prefix: str = TASK_PREFIX) -> Column:

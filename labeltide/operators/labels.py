@@ -14,7 +14,13 @@ MAX_BROADCAST_LABELS = 100_000
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_LABELS) -> DataFrame:
-    """Broadcast hint behind a size check (one job over a small table)."""
+    """Broadcast hint behind a size check.
+
+    The table is persisted first, so the counting job also materialises it and
+    the join reads the stored rows instead of recomputing its plan.  Lost
+    blocks are recomputed from lineage.
+    """
+    df = df.persist()
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
 

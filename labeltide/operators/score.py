@@ -107,23 +107,35 @@ def train_token_scorer(encoded: DataFrame, ids_col: str, label_col: str, n_class
 def train_text_classifier(train: DataFrame, text_col: str, label_col: str,
                           num_features: int = 1 << 18, max_iter: int = 50,
                           reg_param: float = 0.0):
-    """Tokenizer -> hashing TF -> IDF -> logistic regression, fitted on the cluster."""
-    from pyspark.ml import Pipeline
+    """Tokenizer -> hashing TF -> IDF -> logistic regression, fitted on the cluster.
+
+    The hashed term frequencies are persisted once: the IDF fit, the
+    regression's summary pass and every optimiser iteration read them instead
+    of re-tokenising the texts.  Returns a ``PipelineModel``.
+    """
+    from pyspark.ml import PipelineModel
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
 
-    stages = [
-        RegexTokenizer(inputCol=text_col, outputCol="__tokens", pattern=r"\s+", toLowercase=False),
-        HashingTF(inputCol="__tokens", outputCol="__tf", numFeatures=num_features),
-        IDF(inputCol="__tf", outputCol="__features"),
-        LogisticRegression(featuresCol="__features", labelCol=label_col, maxIter=max_iter,
-                           regParam=reg_param, family="multinomial",
-                           predictionCol="__pred", probabilityCol="__prob",
-                           rawPredictionCol="__raw"),
-    ]
+    tokenizer = RegexTokenizer(inputCol=text_col, outputCol="__tokens", pattern=r"\s+",
+                               toLowercase=False)
+    hashing = HashingTF(inputCol="__tokens", outputCol="__tf", numFeatures=num_features)
     data = train.select(text_col, F.col(label_col).cast("double").alias(label_col)).where(
         F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    return Pipeline(stages=stages).fit(data)
+    tf = hashing.transform(tokenizer.transform(data)).select("__tf", label_col).persist()
+    try:
+        idf = IDF(inputCol="__tf", outputCol="__features").fit(tf)
+        feats = idf.transform(tf).select("__features", label_col).persist()
+        try:
+            lr = LogisticRegression(featuresCol="__features", labelCol=label_col,
+                                    maxIter=max_iter, regParam=reg_param, family="auto",
+                                    predictionCol="__pred", probabilityCol="__prob",
+                                    rawPredictionCol="__raw").fit(feats)
+        finally:
+            feats.unpersist()
+    finally:
+        tf.unpersist()
+    return PipelineModel(stages=[tokenizer, hashing, idf, lr])
 
 
 def apply_classifier(model, df: DataFrame, text_col: str, pred_col: str = "prediction",

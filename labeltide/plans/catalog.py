@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import augment, encode, labels, metrics, prepare, score
+from ..operators import augment, encode, labels, layout, metrics, prepare, score
 from ..session import scratch_path
 from ..sinks import writers
 from ..sources import delimited
@@ -42,8 +42,14 @@ def query(name: str):
     return deco
 
 
+# Tables whose rows carry long texts: per-row regex work dominates, so a
+# single-split input is spread over the cores first (no-op on large inputs).
+TEXT_TABLES = {"documents", "pages"}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return layout.spread_small_input(df) if name in TEXT_TABLES else df
 
 
 def _docs_clean(spark, sf) -> DataFrame:

@@ -70,15 +70,14 @@ TASK_PREFIX = "classification: "
 #  * deleting a run of matched characters at once equals deleting them one by
 #    one, and rewriting a lone " " as " " is a no-op, so only runs of two or
 #    more and lone "\n"/"\t" are rewritten.
-#  * a step whose pattern needs a literal ("@", "http", "www", a digit) that
-#    the text does not contain leaves it unchanged, so it is skipped.
+#  * an email match always starts at the beginning of a run of address
+#    characters (leftmost match) and ends at the end of one (greedy domain), so
+#    trying starts only at run beginnings, without backtracking into the run,
+#    finds the same matches in linear time.
 _DELETE_FUSED = r"[^\p{L}\p{N}_" + WS + r":%.]+"
 _SPACE_FUSED = r"[ \n\t]{2,}|[\n\t]"
 _DIGIT_RUN = r"\p{Nd}+"
-
-
-def _when_contains(c: Column, needle: str, then: Column) -> Column:
-    return F.when(F.instr(c, needle) > 0, then).otherwise(c)
+_EMAIL_FAST = r"(?<![a-zA-Z0-9_.-])[a-zA-Z0-9_.-]++@[a-zA-Z0-9_.-]+"
 
 
 def _strip(c: Column, pattern: str, repl: str = "") -> Column:
@@ -171,11 +170,11 @@ def clean_text_stepwise(c: Column) -> Column:
 
 
 def clean_text(c: Column) -> Column:
-    """The whole chain, fused and guarded; equal to ``clean_text_stepwise``."""
-    c = _when_contains(c, "@", remove_emails(c))
-    c = F.when(c.rlike("[0-9]"), remove_ipv4(c)).otherwise(c)
-    c = _when_contains(c, "http", remove_http(c))
-    c = _when_contains(c, "www", remove_www(c))
+    """The whole chain in fused passes; equal to ``clean_text_stepwise``."""
+    c = F.regexp_replace(c, _EMAIL_FAST, "")
+    c = remove_ipv4(c)
+    c = remove_http(c)
+    c = remove_www(c)
     c = F.regexp_replace(c, _DELETE_FUSED, "")
     c = F.regexp_replace(c, _SPACE_FUSED, " ")
     c = F.lower(c)

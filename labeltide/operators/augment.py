@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from .labels import broadcast_if_small
+from .layout import keep_where
 from .prepare import union_datasets
 
 MAX_LEXICON = 1_000_000
@@ -46,9 +47,8 @@ def augment_drop(df: DataFrame, text_col: str, protected: DataFrame,
     Each end is dropped independently unless it is protected; a row where
     both ends are protected yields nothing.  Other columns (label) are kept.
     """
-    t = _with_end_flags(df.where(F.size(tokens(F.col(text_col))) > min_tokens),
-                        text_col, protected, token_col)
-    t = t.where(~(F.col("__pf") & F.col("__pl")))
+    t = _with_end_flags(df, text_col, protected, token_col)
+    t = keep_where(t, (F.size("__toks") > min_tokens) & ~(F.col("__pf") & F.col("__pl")))
     start = F.when(F.col("__pf"), F.lit(1)).otherwise(F.lit(2))
     stop = F.size("__toks") - F.when(F.col("__pl"), F.lit(0)).otherwise(F.lit(1))
     kept = F.slice("__toks", start, stop - start + 1)
@@ -64,8 +64,7 @@ def augment_replace(df: DataFrame, text_col: str, protected: DataFrame,
     An end is replaced when it is not protected and the substitution table
     has an entry for it; rows where nothing changed are not emitted.
     """
-    t = _with_end_flags(df.where(F.size(tokens(F.col(text_col))) > min_tokens),
-                        text_col, protected, token_col)
+    t = _with_end_flags(df, text_col, protected, token_col)
     subs = substitutes.select(F.col(token_col).alias("__st"), F.col(substitute_col).alias("__sv"))
     s1 = broadcast_if_small(subs.select(F.col("__st").alias("__s1t"), F.col("__sv").alias("__s1")),
                             MAX_LEXICON)
@@ -76,7 +75,8 @@ def augment_replace(df: DataFrame, text_col: str, protected: DataFrame,
     new_first = F.when(~F.col("__pf") & F.col("__s1").isNotNull(), F.col("__s1"))
     new_last = F.when(~F.col("__pl") & F.col("__s2").isNotNull(), F.col("__s2"))
     t = t.withColumn("__nf", new_first).withColumn("__nl", new_last)
-    t = t.where(F.col("__nf").isNotNull() | F.col("__nl").isNotNull())
+    t = keep_where(t, (F.size("__toks") > min_tokens)
+                   & (F.col("__nf").isNotNull() | F.col("__nl").isNotNull()))
     n = F.size("__toks")
     middle = F.slice("__toks", 2, n - 2)
     text = F.array_join(F.concat(F.array(F.coalesce("__nf", "__first")), middle,

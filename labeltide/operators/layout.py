@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def spread_small_input(df: DataFrame, factor: int = 2) -> DataFrame:
@@ -18,3 +19,18 @@ def spread_small_input(df: DataFrame, factor: int = 2) -> DataFrame:
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target * factor)
+
+
+def keep_where(df: DataFrame, cond: Column) -> DataFrame:
+    """Keep rows where ``cond`` holds, evaluated once, where it stands.
+
+    A ``Filter`` on a column computed by an expensive projection (cleaned
+    text, token arrays) is pushed below that projection by the optimizer,
+    which then evaluates the expression twice, possibly below an exchange
+    meant to spread the work.  Emitting each row as a 0- or 1-element array
+    and exploding it keeps the test in the projection's output, where the
+    optimizer does not move it.
+    """
+    row = F.struct(*[F.col(c) for c in df.columns])
+    kept = F.filter(F.array(row), lambda _: F.coalesce(cond, F.lit(False)))
+    return df.select(F.explode(kept).alias("__row")).select("__row.*")

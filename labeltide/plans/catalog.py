@@ -393,9 +393,9 @@ def q_augment_generate(spark, sf):
     base = _docs_clean(spark, sf).join(
         table(spark, sf, "labels").select("doc_id", _toxic_label().alias("label")), "doc_id")
     toks = X.tokens(F.col("text"))
-    adds = (_docs_clean(spark, sf).where(F.size(toks) > 0)
-            .select("doc_id", F.element_at(toks, 1).alias("tok1"),
-                    F.element_at(toks, -1).alias("tok2")))
+    adds = layout.keep_where(
+        _docs_clean(spark, sf).select("doc_id", toks.alias("t")), F.size("t") > 0).select(
+        "doc_id", F.element_at("t", 1).alias("tok1"), F.element_at("t", -1).alias("tok2"))
     return augment.augment_generate(base, "text", "label", "doc_id", adds,
                                     _lexicon(spark, sf), "HOF")
 

@@ -20,9 +20,10 @@ from ..operators import encode, labels, metrics, prepare, score
 def prepare_corpus(df: DataFrame, text_col: str = "text", order_col: str = "row_ord",
                    dedup_text: bool = False, drop_nulls: bool = True) -> DataFrame:
     """Clean the text column in one projection, then the optional row filters."""
-    out = df.withColumn(text_col, clean_text(F.col(text_col)))
-    if drop_nulls:
-        out = prepare.drop_null_rows(out, [text_col])
+    # Cleaning maps NULL to NULL and text to text, so NULL texts are dropped
+    # before it: the filter stays on the raw column.
+    out = prepare.drop_null_rows(df, [text_col]) if drop_nulls else df
+    out = out.withColumn(text_col, clean_text(F.col(text_col)))
     if dedup_text:
         out = prepare.dedup_text(out, text_col, order_col)
     return out

@@ -88,3 +88,9 @@ def test_properties(spark):
 ])
 def test_single_steps(spark, step, arg, expected):
     assert _run(spark, [arg], step) == [expected]
+
+
+def test_email_fast_path_equals_python(spark):
+    cases = ["a@b@c", "x.y@z.w@v", "@a", "a@", "foo bar@baz qux@", "é@x a-b@c_d.e! z@@y",
+             "ab@cd@ef gh", "..@..", "a@b c@d", "mail:me@x.org,you@y.net"]
+    assert _run(spark, cases, T.clean_text) == [py_clean(c) for c in cases]

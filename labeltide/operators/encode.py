@@ -39,29 +39,34 @@ def build_vocabulary(df: DataFrame, text_col: str, size: int = 30_000,
 
 # --------------------------------------------------------------------- E2
 def encode_tokens(df: DataFrame, vocab: DataFrame, text_col: str, id_col: str,
-                  out_col: str = "input_ids", max_vocab: int = 1_000_000) -> DataFrame:
-    """Add ``out_col`` ARRAY<INT>: token ids in text order, unknown -> UNK_ID.
+                  out_col: str = "input_ids", max_vocab: int = 1_000_000,
+                  keep_text: bool = False) -> DataFrame:
+    """Replace ``text_col`` by ``out_col`` ARRAY<INT>: ids in text order, unknown -> UNK_ID.
 
     The rows are hash-partitioned by ``id_col`` once; the tokens are exploded,
     looked up in the (size-checked, broadcast) vocabulary and regrouped by the
     same key, which the exchange already provides, so the tokens themselves
-    are never shuffled.  ``id_col`` must be unique.
+    are never shuffled.  The text is tokenised before the explode and not
+    carried per token (pass ``keep_text=True`` to keep it).  ``id_col`` must
+    be unique.
     """
     v = broadcast_if_small(vocab.select(F.col("token").alias("__tok"),
                                         F.col("token_id").alias("__tid")), max_vocab)
-    others = [c for c in df.columns if c != id_col]
-    parted = df.repartition(id_col)
-    exploded = parted.select(
-        id_col, *others, F.posexplode_outer(tokens(F.col(text_col))).alias("__pos", "__t"))
+    carried = [c for c in df.columns if c != id_col and (keep_text or c != text_col)]
+    parted = df.repartition(id_col).select(
+        id_col, *carried, tokens(F.col(text_col)).alias("__toks"))
+    exploded = parted.select(id_col, *carried,
+                             F.posexplode_outer("__toks").alias("__pos", "__t"))
     looked = exploded.join(v, F.col("__t") == F.col("__tok"), "left")
     pair = F.when(F.col("__pos").isNotNull(),
                   F.struct(F.col("__pos").alias("p"),
                            F.coalesce(F.col("__tid"), F.lit(UNK_ID)).alias("i")))
     grouped = looked.groupBy(id_col).agg(
-        *[F.first(c).alias(c) for c in others],
+        *[F.first(c).alias(c) for c in carried],
         F.array_sort(F.collect_list(pair)).alias("__pairs"))
+    out_cols = [c for c in df.columns if c in carried or c == id_col]
     return grouped.select(
-        *df.columns, F.transform("__pairs", lambda x: x["i"]).cast("array<int>").alias(out_col))
+        *out_cols, F.transform("__pairs", lambda x: x["i"]).cast("array<int>").alias(out_col))
 
 
 # --------------------------------------------------------------------- E3

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .ordering import dense_row_number
 from .prepare import distinct_labels
 
@@ -16,11 +17,11 @@ MAX_BROADCAST_LABELS = 100_000
 def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_LABELS) -> DataFrame:
     """Broadcast hint behind a size check.
 
-    The table is persisted first, so the counting job also materialises it and
-    the join reads the stored rows instead of recomputing its plan.  Lost
-    blocks are recomputed from lineage.
+    The table is checkpointed first (written once to the shared checkpoint
+    folder), so the count and the join read the stored rows instead of
+    recomputing the plan, and nothing stays pinned in executor memory.
     """
-    df = df.persist()
+    df = cut_lineage(df)
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
 

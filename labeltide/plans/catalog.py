@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import augment, encode, labels, layout, metrics, prepare, score
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sinks import writers
 from ..sources import delimited
 from . import evaluate
@@ -356,7 +356,9 @@ def q_vocabulary(spark, sf):
 @query("encode_tokens")
 def q_encode_tokens(spark, sf):
     enc = encode.encode_tokens(_docs_clean(spark, sf), _vocab(spark, sf), "text", "doc_id")
-    enc = encode.pad_and_mask(encode.truncate_tokens(enc, MAX_TOKENS))
+    # Read twice (global longest, then padding): written once, not recomputed.
+    enc = cut_lineage(encode.truncate_tokens(enc, MAX_TOKENS))
+    enc = encode.pad_and_mask(enc)
     return enc.select(
         "doc_id",
         F.array_join(F.col("input_ids").cast("array<string>"), ",").alias("input_ids"),
@@ -461,16 +463,15 @@ def _train_test(spark, sf):
 def q_score_batches(spark, sf):
     """Naive-Bayes token scorer fitted by Spark aggregates, applied with mapInPandas."""
     docs, lab = _train_test(spark, sf)
-    train = docs.join(lab, "doc_id").withColumn("row_ord", F.col("doc_id"))
+    vocab = encode.build_vocabulary(docs.join(lab, "doc_id", "left_semi"), "text", 30_000)
+    # Every document is encoded once; training rows are the labelled ones.
+    encoded = cut_lineage(encode.encode_tokens(docs, vocab, "text", "doc_id"))
+    train = encoded.join(lab, "doc_id").withColumn("row_ord", F.col("doc_id"))
     dictionary = labels.label_dictionary(train, "label", "row_ord")
-    vocab = encode.build_vocabulary(train, "text", 30_000)
-    train_e = encode.encode_tokens(
-        labels.encode_labels(train, dictionary, "label", "label_id", as_string=False),
-        vocab, "text", "doc_id")
+    train_e = labels.encode_labels(train, dictionary, "label", "label_id", as_string=False)
     factory = score.train_token_scorer(train_e, "input_ids", "label_id", 2,
                                        30_000 + encode.FIRST_TOKEN_ID)
-    test_e = encode.encode_tokens(docs, vocab, "text", "doc_id")
-    scored = score.score_batches(test_e, factory, "doc_id", ["input_ids"], pred_col="pred_id")
+    scored = score.score_batches(encoded, factory, "doc_id", ["input_ids"], pred_col="pred_id")
     return labels.decode_labels(scored, dictionary, "pred_id", "prediction").select(
         "doc_id", "prediction")
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_text
 from ..operators import encode, labels, metrics, prepare, score
+from ..session import cut_lineage
 
 
 def prepare_corpus(df: DataFrame, text_col: str = "text", order_col: str = "row_ord",
@@ -49,9 +50,9 @@ def score_and_evaluate(train: DataFrame, test: DataFrame, gold: DataFrame,
     """
     train_c = prepare_corpus(train, text_col, order_col)
     test_c = prepare_corpus(test, text_col, order_col, drop_nulls=False)
-    dictionary = labels.label_dictionary(train_c, label_col, order_col).cache()
+    dictionary = cut_lineage(labels.label_dictionary(train_c, label_col, order_col))
     n_classes = dictionary.count()
-    vocab = encode.build_vocabulary(train_c, text_col, vocab_size).cache()
+    vocab = cut_lineage(encode.build_vocabulary(train_c, text_col, vocab_size))
     train_e = encode.encode_tokens(
         labels.encode_labels(train_c, dictionary, label_col, "label_id", as_string=False),
         vocab, text_col, id_col)

@@ -15,8 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from .labels import broadcast_if_small
-from .layout import keep_where
+from .layout import broadcast_if_small, keep_where
 from .prepare import union_datasets
 
 MAX_LEXICON = 1_000_000

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from .labels import broadcast_if_small
+from .layout import broadcast_if_small
 from .ordering import DEFAULT_BUCKET_WIDTH, dense_row_number
 
 PAD_ID = 0

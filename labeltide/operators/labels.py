@@ -5,27 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from .layout import MAX_BROADCAST_ROWS, broadcast_if_small  # noqa: F401
 from .ordering import dense_row_number
 from .prepare import distinct_labels
 
-# A label dictionary is broadcast only below this many entries; a column with
-# more distinct values than this is not a label column and is joined normally.
-MAX_BROADCAST_LABELS = 100_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_LABELS) -> DataFrame:
-    """Broadcast hint behind a size check.
-
-    The table is checkpointed first (written once to the shared checkpoint
-    folder), so the count and the join read the stored rows instead of
-    recomputing the plan, and nothing stays pinned in executor memory.
-    """
-    df = cut_lineage(df)
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 # --------------------------------------------------------------------- L1
 def label_dictionary(train: DataFrame, col: str, order_col: str,
                      label_out: str = "label", id_out: str = "label_id") -> DataFrame:

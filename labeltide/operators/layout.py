@@ -5,6 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
+# Small tables (dictionaries, vocabularies, lexicons, split boundaries) are
+# broadcast only up to this many rows; larger ones take a shuffle join.
+MAX_BROADCAST_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint behind a size check.
+
+    The table is checkpointed first (written once to the shared checkpoint
+    folder), so the count and the join read the stored rows instead of
+    recomputing the plan, and nothing stays pinned in executor memory.
+    """
+    df = cut_lineage(df)
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
+
 
 def spread_small_input(df: DataFrame, factor: int = 2) -> DataFrame:
     """Round-robin the rows when the input has fewer partitions than cores.

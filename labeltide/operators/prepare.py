@@ -7,11 +7,12 @@ that reach the driver are scalars (a row count, a split boundary).
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .layout import broadcast_if_small
 from .ordering import DEFAULT_BUCKET_WIDTH, bucket_of, hash_key
 
 
@@ -163,8 +164,8 @@ def stratified_split(df: DataFrame, frac: float, key_cols: Sequence[str] | str,
               .where((F.col("__cum") >= F.col("__k")) & (F.col("__cum") - F.col("__n") < F.col("__k")))
               .select(g, F.col("__p").alias("__bp"),
                       (F.col("__k") - (F.col("__cum") - F.col("__n"))).alias("__rem")))
-    # One row per group: bounded by the number of groups (labels).
-    marked = keyed.join(F.broadcast(bounds), g, "left")
+    # One row per group: broadcast only when the number of groups is small.
+    marked = keyed.join(broadcast_if_small(bounds), g, "left")
     simple = (marked.where(F.col("__bp").isNull() | (F.col("__p") != F.col("__bp")))
               .withColumn(out_col, F.when(F.col("__bp").isNotNull() & (F.col("__p") < F.col("__bp")),
                                           F.lit(held)).otherwise(F.lit(kept))))
@@ -203,12 +204,6 @@ def row_count(df: DataFrame) -> int:
     return df.count()
 
 
-def observe_rows(df: DataFrame, name: str = "rows") -> tuple[DataFrame, Observation]:
-    """D11 without an extra job: the count arrives with the next action on df."""
-    obs = Observation(name)
-    return df.observe(obs, F.count(F.lit(1)).alias("rows")), obs
-
-
 def preview(df: DataFrame, order: Sequence[str] | str, n: int = 5) -> DataFrame:
     """First ``n`` rows by an explicit order (top-k, not a full sort)."""
     order = [order] if isinstance(order, str) else list(order)

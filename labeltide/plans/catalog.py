@@ -461,7 +461,7 @@ def _train_test(spark, sf):
 
 @query("score_batches")
 def q_score_batches(spark, sf):
-    """Naive-Bayes token scorer fitted by Spark aggregates, applied with mapInPandas."""
+    """Naive-Bayes token scorer fitted by Spark aggregates, applied with mapInArrow."""
     docs, lab = _train_test(spark, sf)
     vocab = encode.build_vocabulary(docs.join(lab, "doc_id", "left_semi"), "text", 30_000)
     # Every document is encoded once; training rows are the labelled ones.

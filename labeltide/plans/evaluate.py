@@ -5,7 +5,7 @@
                         -> one confusion aggregate -> report
 
 All lazy up to the actions the caller runs; the only Python boundary is the
-scorer's ``mapInPandas``.
+scorer's ``mapInArrow``.
 """
 
 from __future__ import annotations

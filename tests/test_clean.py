@@ -94,3 +94,28 @@ def test_email_fast_path_equals_python(spark):
     cases = ["a@b@c", "x.y@z.w@v", "@a", "a@", "foo bar@baz qux@", "é@x a-b@c_d.e! z@@y",
              "ab@cd@ef gh", "..@..", "a@b c@d", "mail:me@x.org,you@y.net"]
     assert _run(spark, cases, T.clean_text) == [py_clean(c) for c in cases]
+
+
+_ALPHABET = ("abcXYZ019 .,:%@#&<>/\\-_[]()!?'\"\n\t\r\x0b\x0c\x1c\x85\xa0  "
+             "éÉßñ²½٣٤०१x́\U0001F600wwwhttpHTTP")
+
+
+def test_random_strings_match_python(spark):
+    from hypothesis import given, settings, strategies as st
+
+    samples = []
+
+    @settings(max_examples=400, deadline=None, database=None)
+    @given(st.text(alphabet=_ALPHABET, max_size=40))
+    def collect(s):
+        samples.append(s)
+
+    collect()
+    # IPv4-looking material with dots and separators in random places.
+    samples += [f"{a}.{b}.{c}.{d}{sep}" for a, b, c, d, sep in
+                [(1, 2, 3, 4, ""), (255, 0, 0, 255, "."), (256, 1, 1, 1, " "), (10, 0, 0, 1, "\n"),
+                 (1, 22, 133, 249, "x"), (9, 99, 199, 250, ".5")]]
+    got = _run(spark, samples, T.clean_text)
+    steps = _run(spark, samples, T.clean_text_stepwise)
+    for s, g, h in zip(samples, got, steps):
+        assert g == h == py_clean(s), repr(s)

@@ -88,9 +88,7 @@ def test_union_value_counts_labels_preview(spark):
     dl = [r.v for r in prepare.distinct_labels(df, "v", "o").collect()]
     assert dl == ["b", "a", "c"]
     assert [r.o for r in prepare.preview(df, "o", 2).collect()] == [0, 1]
-    d2, obs = prepare.observe_rows(df)
-    d2.collect()
-    assert obs.get["rows"] == 6
+    assert prepare.row_count(df) == 6
 
 
 def test_align_unmatched_and_duplicates(spark):

@@ -164,8 +164,15 @@ def stratified_split(df: DataFrame, frac: float, key_cols: Sequence[str] | str,
               .where((F.col("__cum") >= F.col("__k")) & (F.col("__cum") - F.col("__n") < F.col("__k")))
               .select(g, F.col("__p").alias("__bp"),
                       (F.col("__k") - (F.col("__cum") - F.col("__n"))).alias("__rem")))
-    # One row per group: broadcast only when the number of groups is small.
-    marked = keyed.join(broadcast_if_small(bounds), g, "left")
+    if by is None:
+        # One group: the boundary is two scalars (a hex prefix and a count).
+        row = bounds.first()
+        bp = F.lit(row["__bp"] if row else None).cast("string")
+        rem = F.lit(row["__rem"] if row else 0).cast("long")
+        marked = keyed.withColumn("__bp", bp).withColumn("__rem", rem)
+    else:
+        # One row per group: broadcast only when the number of groups is small.
+        marked = keyed.join(broadcast_if_small(bounds), g, "left")
     simple = (marked.where(F.col("__bp").isNull() | (F.col("__p") != F.col("__bp")))
               .withColumn(out_col, F.when(F.col("__bp").isNotNull() & (F.col("__p") < F.col("__bp")),
                                           F.lit(held)).otherwise(F.lit(kept))))

@@ -188,8 +188,10 @@ def q_value_counts(spark, sf):
 def q_row_counts(spark, sf):
     cleaned = _docs_clean(spark, sf)
     first = prepare.dedup_text(cleaned, "text", "doc_id")
-    return (cleaned.agg(F.count(F.lit(1)).alias("rows_before"))
-            .join(first.agg(F.count(F.lit(1)).alias("rows_after")), how="inner"))
+    tagged = (cleaned.select(F.lit("before").alias("k"))
+              .unionByName(first.select(F.lit("after").alias("k"))))
+    return tagged.agg(F.count_if(F.col("k") == "before").cast("long").alias("rows_before"),
+                      F.count_if(F.col("k") == "after").cast("long").alias("rows_after"))
 
 
 @query("preview")

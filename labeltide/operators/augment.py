@@ -15,22 +15,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from .layout import broadcast_if_small, keep_where
+from .layout import checked_small, hint, keep_where
 from .prepare import union_datasets
 
 MAX_LEXICON = 1_000_000
 
 
-def _lexicon(lexicon: DataFrame, token_col: str, flag: str) -> DataFrame:
-    lx = lexicon.select(F.col(token_col).alias(f"{flag}_tok")).distinct()
-    return broadcast_if_small(lx.withColumn(flag, F.lit(True)), MAX_LEXICON)
+def _checked_lexicon(lexicon: DataFrame, token_col: str):
+    """The distinct lexicon, written once and size-checked once."""
+    return checked_small(lexicon.select(F.col(token_col).alias("__lex")).distinct(), MAX_LEXICON)
+
+
+def _flag(checked, flag: str) -> DataFrame:
+    lx, small = checked
+    return hint(lx.select(F.col("__lex").alias(f"{flag}_tok"), F.lit(True).alias(flag)), small)
 
 
 def _with_end_flags(df: DataFrame, text_col: str, lexicon: DataFrame, token_col: str) -> DataFrame:
     t = df.withColumn("__toks", tokens(F.col(text_col)))
     t = t.withColumn("__first", F.element_at("__toks", 1)).withColumn("__last", F.element_at("__toks", -1))
-    a = _lexicon(lexicon, token_col, "__pf")
-    b = _lexicon(lexicon, token_col, "__pl")
+    checked = _checked_lexicon(lexicon, token_col)
+    a = _flag(checked, "__pf")
+    b = _flag(checked, "__pl")
     t = t.join(a, F.col("__first") == F.col("__pf_tok"), "left")
     t = t.join(b, F.col("__last") == F.col("__pl_tok"), "left")
     return (t.withColumn("__pf", F.coalesce("__pf", F.lit(False)))
@@ -64,11 +70,11 @@ def augment_replace(df: DataFrame, text_col: str, protected: DataFrame,
     has an entry for it; rows where nothing changed are not emitted.
     """
     t = _with_end_flags(df, text_col, protected, token_col)
-    subs = substitutes.select(F.col(token_col).alias("__st"), F.col(substitute_col).alias("__sv"))
-    s1 = broadcast_if_small(subs.select(F.col("__st").alias("__s1t"), F.col("__sv").alias("__s1")),
-                            MAX_LEXICON)
-    s2 = broadcast_if_small(subs.select(F.col("__st").alias("__s2t"), F.col("__sv").alias("__s2")),
-                            MAX_LEXICON)
+    subs, small = checked_small(
+        substitutes.select(F.col(token_col).alias("__st"), F.col(substitute_col).alias("__sv")),
+        MAX_LEXICON)
+    s1 = hint(subs.select(F.col("__st").alias("__s1t"), F.col("__sv").alias("__s1")), small)
+    s2 = hint(subs.select(F.col("__st").alias("__s2t"), F.col("__sv").alias("__s2")), small)
     t = t.join(s1, F.col("__first") == F.col("__s1t"), "left")
     t = t.join(s2, F.col("__last") == F.col("__s2t"), "left")
     new_first = F.when(~F.col("__pf") & F.col("__s1").isNotNull(), F.col("__s1"))
@@ -94,8 +100,9 @@ def augment_generate(df: DataFrame, text_col: str, label_col: str, id_col: str,
     """
     add = additions.select(F.col(id_col), F.col("tok1").alias("__a1"), F.col("tok2").alias("__a2"))
     t = df.join(add, id_col, "inner")
-    a = _lexicon(protected, token_col, "__p1")
-    b = _lexicon(protected, token_col, "__p2")
+    checked = _checked_lexicon(protected, token_col)
+    a = _flag(checked, "__p1")
+    b = _flag(checked, "__p2")
     t = t.join(a, F.col("__a1") == F.col("__p1_tok"), "left").join(
         b, F.col("__a2") == F.col("__p2_tok"), "left")
     hit = F.coalesce(F.col("__p1"), F.lit(False)) | F.coalesce(F.col("__p2"), F.lit(False))

@@ -12,16 +12,26 @@ from ..session import cut_lineage
 MAX_BROADCAST_ROWS = 100_000
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint behind a size check.
+def checked_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """Checkpoint ``df`` and tell whether it has at most ``max_rows`` rows.
 
-    The table is checkpointed first (written once to the shared checkpoint
-    folder), so the count and the join read the stored rows instead of
-    recomputing the plan, and nothing stays pinned in executor memory.
+    The table is written once to the shared checkpoint folder, so the count
+    and every later join read the stored rows instead of recomputing the
+    plan, and nothing stays pinned in executor memory.
     """
     df = cut_lineage(df)
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return df, df.limit(max_rows + 1).count() <= max_rows
+
+
+def hint(df: DataFrame, small: bool) -> DataFrame:
+    """Broadcast hint for a table already known to be small."""
+    return F.broadcast(df) if small else df
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint behind a size check (see ``checked_small``)."""
+    df, small = checked_small(df, max_rows)
+    return hint(df, small)
 
 
 def spread_small_input(df: DataFrame, factor: int = 2) -> DataFrame:

@@ -386,7 +386,7 @@ def q_augment_drop(spark, sf):
 
 @query("augment_replace")
 def q_augment_replace(spark, sf):
-    v = _vocab(spark, sf)
+    v = cut_lineage(_vocab(spark, sf))  # read by both sides of the rank+1 self-join
     subs = v.alias("a").join(v.alias("b"), F.col("b.token_id") == F.col("a.token_id") + 1).select(
         F.col("a.token").alias("token"), F.col("b.token").alias("substitute"))
     return augment.augment_replace(_docs_clean(spark, sf), "text", _lexicon(spark, sf), subs)

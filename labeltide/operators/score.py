@@ -145,7 +145,13 @@ def train_text_classifier(train: DataFrame, text_col: str, label_col: str,
     tf = hashing.transform(tokenizer.transform(data)).select("__tf", label_col).persist()
     try:
         idf = IDF(inputCol="__tf", outputCol="__features").fit(tf)
-        feats = idf.transform(tf).select("__features", label_col).persist()
+        feats = idf.transform(tf).select("__features", label_col)
+        # Every optimiser iteration is a job over the cached features: one task
+        # wave per iteration (narrow coalesce, never a shuffle or a split).
+        waves = feats.sparkSession.sparkContext.defaultParallelism
+        if feats.rdd.getNumPartitions() > waves:
+            feats = feats.coalesce(waves)
+        feats = feats.persist()
         try:
             lr = LogisticRegression(featuresCol="__features", labelCol=label_col,
                                     maxIter=max_iter, regParam=reg_param, family="auto",

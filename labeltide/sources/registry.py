@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from ..operators.prepare import dedup_rows, forward_fill, union_datasets
 from .delimited import LATIN1, read_delimited, read_gold
 
+RANK_STRIDE = 1 << 48       # per combined input file
+AUGMENT_OFFSET = 1 << 58    # augmentation rows order after every base row
 HARMONISED = ("row_ord BIGINT, id STRING, text STRING, label STRING, "
               "task STRING, source STRING")
 
@@ -130,9 +132,10 @@ def load(spark: SparkSession, dataset: str, paths: dict[str, str | list[str]],
                   for i, x in enumerate(plist)]
         if len(frames) == 1:
             return frames[0]
-        # Combined years: order is (file position, row position in file).
+        # Combined years: order is (file position, row position in file).  A
+        # read's row_ord is below 2^48 for up to 2^15 input partitions.
         u = union_datasets(frames, rank_col="__rank")
-        return u.withColumn("row_ord", (F.col("__rank").cast("long") * F.lit(1 << 40))
+        return u.withColumn("row_ord", (F.col("__rank").cast("long") * F.lit(RANK_STRIDE))
                             + F.col("row_ord")).drop("__rank")
 
     train = one("train", paths["train"])
@@ -140,7 +143,7 @@ def load(spark: SparkSession, dataset: str, paths: dict[str, str | list[str]],
         if "augment" not in paths:
             raise ValueError("augment=True needs an 'augment' path")
         extra = one("train", paths["augment"]).withColumn(
-            "row_ord", F.col("row_ord") + F.lit(1 << 50)).withColumn(
+            "row_ord", F.col("row_ord") + F.lit(AUGMENT_OFFSET)).withColumn(
             "source", F.lit(f"{dataset}:augment"))
         train = train.unionByName(extra)
     dev = one("dev", paths["dev"])

@@ -56,6 +56,15 @@ def _docs_clean(spark, sf) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", X.clean_text(F.col("text")).alias("text"))
 
 
+def _docs_clean_shared(spark, sf) -> DataFrame:
+    """Cleaned documents for queries that read them twice.
+
+    The regex chain costs far more per byte than writing its result, so the
+    cleaned text is checkpointed once instead of being cleaned again.
+    """
+    return cut_lineage(_docs_clean(spark, sf))
+
+
 def _toxic_label(col: str = "toxic"):
     return F.when(F.col(col) == 1, F.lit("HOF")).otherwise(F.lit("NOT"))
 
@@ -186,7 +195,7 @@ def q_value_counts(spark, sf):
 
 @query("row_counts")
 def q_row_counts(spark, sf):
-    cleaned = _docs_clean(spark, sf)
+    cleaned = _docs_clean_shared(spark, sf)
     first = prepare.dedup_text(cleaned, "text", "doc_id")
     tagged = (cleaned.select(F.lit("before").alias("k"))
               .unionByName(first.select(F.lit("after").alias("k"))))
@@ -346,8 +355,12 @@ def q_best_epoch(spark, sf):
 
 
 # ------------------------------------------------------------- E1-E5
+def _vocab_of(docs: DataFrame) -> DataFrame:
+    return encode.build_vocabulary(docs, "text", VOCAB_SIZE, VOCAB_MIN_COUNT)
+
+
 def _vocab(spark, sf) -> DataFrame:
-    return encode.build_vocabulary(_docs_clean(spark, sf), "text", VOCAB_SIZE, VOCAB_MIN_COUNT)
+    return _vocab_of(_docs_clean(spark, sf))
 
 
 @query("vocabulary")
@@ -357,7 +370,8 @@ def q_vocabulary(spark, sf):
 
 @query("encode_tokens")
 def q_encode_tokens(spark, sf):
-    enc = encode.encode_tokens(_docs_clean(spark, sf), _vocab(spark, sf), "text", "doc_id")
+    docs = _docs_clean_shared(spark, sf)
+    enc = encode.encode_tokens(docs, _vocab_of(docs), "text", "doc_id")
     # Read twice (global longest, then padding): written once, not recomputed.
     enc = cut_lineage(encode.truncate_tokens(enc, MAX_TOKENS))
     enc = encode.pad_and_mask(enc)
@@ -386,19 +400,21 @@ def q_augment_drop(spark, sf):
 
 @query("augment_replace")
 def q_augment_replace(spark, sf):
-    v = cut_lineage(_vocab(spark, sf))  # read by both sides of the rank+1 self-join
+    docs = _docs_clean_shared(spark, sf)
+    v = cut_lineage(_vocab_of(docs))  # read by both sides of the rank+1 self-join
     subs = v.alias("a").join(v.alias("b"), F.col("b.token_id") == F.col("a.token_id") + 1).select(
         F.col("a.token").alias("token"), F.col("b.token").alias("substitute"))
-    return augment.augment_replace(_docs_clean(spark, sf), "text", _lexicon(spark, sf), subs)
+    return augment.augment_replace(docs, "text", _lexicon(spark, sf), subs)
 
 
 @query("augment_generate")
 def q_augment_generate(spark, sf):
-    base = _docs_clean(spark, sf).join(
+    docs = _docs_clean_shared(spark, sf)
+    base = docs.join(
         table(spark, sf, "labels").select("doc_id", _toxic_label().alias("label")), "doc_id")
     toks = X.tokens(F.col("text"))
     adds = layout.keep_where(
-        _docs_clean(spark, sf).select("doc_id", toks.alias("t")), F.size("t") > 0).select(
+        docs.select("doc_id", toks.alias("t")), F.size("t") > 0).select(
         "doc_id", F.element_at("t", 1).alias("tok1"), F.element_at("t", -1).alias("tok2"))
     return augment.augment_generate(base, "text", "label", "doc_id", adds,
                                     _lexicon(spark, sf), "HOF")
@@ -406,7 +422,7 @@ def q_augment_generate(spark, sf):
 
 @query("with_augmented")
 def q_with_augmented(spark, sf):
-    base = _docs_clean(spark, sf)
+    base = _docs_clean_shared(spark, sf)
     extra = augment.augment_drop(base, "text", _lexicon(spark, sf))
     return augment.with_augmented(base, [extra], ["base", "drop"])
 
@@ -456,7 +472,7 @@ def q_tsv_headerless_roundtrip(spark, sf):
 
 # ------------------------------------------------------------- L8-L10 (no SQL oracle)
 def _train_test(spark, sf):
-    docs = _docs_clean(spark, sf)
+    docs = _docs_clean_shared(spark, sf)
     lab = table(spark, sf, "labels").select("doc_id", F.col("toxic").cast("string").alias("label"))
     return docs, lab
 

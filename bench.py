@@ -16,7 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 HEADLINE = [
     "class_distribution", "clean_text", "dedup_text", "forward_fill", "holdout_split",
     "stratified_split", "label_dictionary", "encode_labels", "vocabulary", "encode_tokens",
-    "assign_batches", "classification_report", "mean_loss", "best_epoch", "augment_drop",
+    "pad_and_mask", "assign_batches", "classification_report", "mean_loss", "best_epoch", "augment_drop",
     "augment_replace", "score_batches", "train_classifier",
 ]
 

@@ -370,6 +370,18 @@ def q_vocabulary(spark, sf):
 
 @query("encode_tokens")
 def q_encode_tokens(spark, sf):
+    """E2 over whole texts: every token of every document, in order."""
+    docs = _docs_clean_shared(spark, sf)
+    enc = encode.encode_tokens(docs, _vocab_of(docs), "text", "doc_id")
+    return enc.select(
+        "doc_id",
+        F.array_join(F.col("input_ids").cast("array<string>"), ",").alias("input_ids"),
+        F.size("input_ids").alias("n_tokens"))
+
+
+@query("pad_and_mask")
+def q_pad_and_mask(spark, sf):
+    """E3 + E4: ids truncated to the model length, padded to the longest, with the mask."""
     docs = _docs_clean_shared(spark, sf)
     enc = encode.encode_tokens(docs, _vocab_of(docs), "text", "doc_id")
     # Read twice (global longest, then padding): written once, not recomputed.

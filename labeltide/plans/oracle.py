@@ -268,12 +268,21 @@ ORACLE["best_epoch"] = """
 
 ORACLE["vocabulary"] = VOCAB
 
-ORACLE["encode_tokens"] = f"""
-  WITH v AS ({VOCAB}),
+_ENCODED = f"""
+  v AS ({VOCAB}),
   d AS ({DOC_TOKS}),
   t AS (SELECT doc_id, unnest(toks) AS tok, unnest(range(1, len(toks) + 1)) AS pos FROM d),
   e AS (SELECT t.doc_id, list(coalesce(v.token_id, 1) ORDER BY t.pos) AS ids
-        FROM t LEFT JOIN v ON t.tok = v.token GROUP BY t.doc_id),
+        FROM t LEFT JOIN v ON t.tok = v.token GROUP BY t.doc_id)"""
+
+ORACLE["encode_tokens"] = f"""
+  WITH {_ENCODED}
+  SELECT d.doc_id, array_to_string(coalesce(e.ids, []), ',') AS input_ids,
+         CAST(len(coalesce(e.ids, [])) AS INTEGER) AS n_tokens
+  FROM d LEFT JOIN e ON d.doc_id = e.doc_id"""
+
+ORACLE["pad_and_mask"] = f"""
+  WITH {_ENCODED},
   tr AS (SELECT d.doc_id, coalesce(e.ids[1:{MAX_TOKENS}], []) AS ids
          FROM d LEFT JOIN e ON d.doc_id = e.doc_id),
   m AS (SELECT max(len(ids)) AS L FROM tr)

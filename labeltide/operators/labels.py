@@ -34,14 +34,14 @@ def encode_labels(df: DataFrame, dictionary: DataFrame, col: str,
     labels become NULL.
     """
     out_col = out_col or col
-    d = broadcast_if_small(dictionary.select(F.col("label").alias("__lab"),
-                                             F.col("label_id").alias("__lid")))
-    joined = df.join(d, F.col(col).cast("string") == F.col("__lab"), "left")
+    d = broadcast_if_small(dictionary.select(F.col("label").alias("__dict_label"),
+                                             F.col("label_id").alias("__dict_id")))
+    joined = df.join(d, F.col(col).cast("string") == F.col("__dict_label"), "left")
     if as_string:
-        value = F.coalesce(F.col("__lid").cast("string"), F.col(col).cast("string"))
+        value = F.coalesce(F.col("__dict_id").cast("string"), F.col(col).cast("string"))
     else:
-        value = F.col("__lid").cast("int")
-    return joined.withColumn(out_col, value).drop("__lab", "__lid")
+        value = F.col("__dict_id").cast("int")
+    return joined.withColumn(out_col, value).drop("__dict_label", "__dict_id")
 
 
 # --------------------------------------------------------------------- L3
@@ -51,11 +51,11 @@ def decode_labels(df: DataFrame, dictionary: DataFrame, pred_col: str,
 
     Unknown or NULL ids give ``default`` (``''`` as in the reference).
     """
-    d = broadcast_if_small(dictionary.select(F.col("label").alias("__lab"),
-                                             F.col("label_id").cast("string").alias("__lid")))
-    joined = df.join(d, F.col(pred_col).cast("string") == F.col("__lid"), "left")
-    return (joined.withColumn(out_col, F.coalesce(F.col("__lab"), F.lit(default)))
-            .drop("__lab", "__lid"))
+    d = broadcast_if_small(dictionary.select(F.col("label").alias("__dict_label"),
+                                             F.col("label_id").cast("string").alias("__dict_id")))
+    joined = df.join(d, F.col(pred_col).cast("string") == F.col("__dict_id"), "left")
+    return (joined.withColumn(out_col, F.coalesce(F.col("__dict_label"), F.lit(default)))
+            .drop("__dict_label", "__dict_id"))
 
 
 # --------------------------------------------------------------------- L4

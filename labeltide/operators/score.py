@@ -105,14 +105,14 @@ def train_token_scorer(encoded: DataFrame, ids_col: str, label_col: str, n_class
              .groupBy("t", "c").agg(F.count(F.lit(1)).alias("n")))
     priors = (encoded.where(F.col(label_col).isNotNull())
               .groupBy(F.col(label_col).cast("int").alias("c")).agg(F.count(F.lit(1)).alias("n")))
+    # The aggregated model (<= vocab_size x n_classes cells) arrives as one
+    # Arrow batch and is scattered into the matrix without a row loop.
+    cells = pairs.where((F.col("c") >= 0) & (F.col("c") < n_classes)).toPandas()
     counts = np.zeros((vocab_size, n_classes))
-    for r in pairs.toLocalIterator():
-        if 0 <= r["c"] < n_classes:
-            counts[r["t"], r["c"]] = r["n"]
+    counts[cells["t"].to_numpy(dtype=np.int64), cells["c"].to_numpy(dtype=np.int64)] = cells["n"]
+    per_class = priors.where((F.col("c") >= 0) & (F.col("c") < n_classes)).toPandas()
     prior = np.zeros(n_classes)
-    for r in priors.collect():
-        if 0 <= r["c"] < n_classes:
-            prior[r["c"]] = r["n"]
+    prior[per_class["c"].to_numpy(dtype=np.int64)] = per_class["n"]
     smoothed = counts + alpha
     weights = np.log(smoothed / smoothed.sum(axis=0, keepdims=True))
     bias = np.log((prior + alpha) / (prior.sum() + alpha * n_classes))

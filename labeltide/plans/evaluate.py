@@ -42,11 +42,13 @@ def class_distribution(docs: DataFrame, gold: DataFrame, key: str, label_expr,
 def score_and_evaluate(train: DataFrame, test: DataFrame, gold: DataFrame,
                        id_col: str = "id", text_col: str = "text", label_col: str = "label",
                        order_col: str = "row_ord", vocab_size: int = 30_000,
-                       max_len: int | None = 512):
+                       max_len: int | None = 512, fallback: str = "0"):
     """Fit a token scorer on ``train`` and evaluate it on ``test`` against ``gold``.
 
     Returns ``(predictions, report, unmatched)``; predictions carry the decoded
-    label name, pairing with gold is by id, never by position.
+    label name, pairing with gold is by id, never by position.  ``fallback``
+    is the id given to empty or malformed predictions: ``"0"`` as the scoring
+    scripts do, or ``"majority"`` for the most frequent training label.
     """
     train_c = prepare_corpus(train, text_col, order_col)
     test_c = prepare_corpus(test, text_col, order_col, drop_nulls=False)
@@ -66,6 +68,9 @@ def score_and_evaluate(train: DataFrame, test: DataFrame, gold: DataFrame,
     decoded = labels.decode_labels(scored, dictionary, "pred_id", "prediction")
     gold_ids = labels.encode_labels(gold, dictionary, label_col, "gold_id")
     paired = prepare.align_by_id(decoded, gold_ids.select(id_col, "gold_id"), id_col)
-    report = metrics.classification_report(paired, "gold_id", "pred_id")
+    if fallback == "majority":
+        fallback = labels.majority_fallback(
+            labels.encode_labels(train_c, dictionary, label_col, "train_id"), "train_id") or "0"
+    report = metrics.classification_report(paired, "gold_id", "pred_id", fallback=fallback)
     missing = prepare.unmatched(decoded, gold, id_col)
     return decoded, report, missing

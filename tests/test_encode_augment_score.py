@@ -57,3 +57,12 @@ def test_spark_ml_classifier(spark):
     out = score.apply_classifier(model, df, "text").collect()
     assert all(r.prediction == str(r.label) for r in out)
     assert all(abs(sum(r.probability) - 1) < 1e-9 for r in out)
+
+
+def test_majority_fallback_option(spark):
+    rows = [(str(i), "x y" if i % 3 else "z w", "NOT" if i % 3 else "HOF", i) for i in range(60)]
+    train = spark.createDataFrame(rows, "id string, text string, label string, row_ord long")
+    _, rep, _ = evaluate.score_and_evaluate(train, train.select("id", "text", "row_ord"),
+                                            train.select("id", "label"), vocab_size=10,
+                                            fallback="majority")
+    assert rep.first().n == 60

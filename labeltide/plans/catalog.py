@@ -446,15 +446,13 @@ def _roundtrip_dir(spark, tag: str) -> str:
 
 @query("csv_roundtrip")
 def q_csv_roundtrip(spark, sf):
-    """K1 writes the documents as CSV, S1 + S6 read them back by header name."""
+    """D8 split, K1 writes it as CSV, S1 + S6 read it back by header name."""
     path = _roundtrip_dir(spark, "csv")
     docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
-    (docs.write.mode("overwrite").option("header", True).option("escape", '"')
-     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-     .csv(path))
-    back = delimited.read_csv(spark, path, names=["doc_id", "lang", "source", "text"],
+    train, dev = prepare.split_frames(prepare.holdout_split(docs, HOLDOUT_FRAC, "doc_id"))
+    writers.write_splits(train, dev, path, fmt="csv")
+    return delimited.read_csv(spark, path, names=["doc_id", "lang", "source", "text", "split"],
                               types={"doc_id": "bigint"}, order_col=None)
-    return back
 
 
 @query("gold_roundtrip")

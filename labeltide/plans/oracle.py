@@ -337,8 +337,11 @@ ORACLE["with_augmented"] = f"""
   UNION ALL
   SELECT doc_id, text, 'drop' AS source, 1 AS source_rank FROM ({ORACLE['augment_drop']})"""
 
-ORACLE["csv_roundtrip"] = (f"SELECT doc_id, {nulltok('lang')} AS lang, {nulltok('source')} AS source, "
-                           f"{nulltok('text')} AS text FROM documents")
+ORACLE["csv_roundtrip"] = f"""
+  SELECT doc_id, {nulltok('lang')} AS lang, {nulltok('source')} AS source, {nulltok('text')} AS text,
+         CASE WHEN row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR)))
+                   <= ceil(count(*) OVER () * {HOLDOUT_FRAC}) THEN 'dev' ELSE 'train' END AS split
+  FROM documents"""
 
 ORACLE["gold_roundtrip"] = ("SELECT CAST(doc_id AS VARCHAR) AS id, CAST(toxic AS VARCHAR) AS label "
                             "FROM labels")

@@ -6,6 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _csv(w):
+    # Quotes doubled, fields written exactly (the CSV writer trims by default).
+    return (w.option("header", True).option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
+
+
 def write_splits(train: DataFrame, dev: DataFrame, path: str, fmt: str = "parquet",
                  mode: str = "overwrite") -> None:
     """K1: train and dev side by side under ``path/split=...``."""
@@ -13,7 +19,7 @@ def write_splits(train: DataFrame, dev: DataFrame, path: str, fmt: str = "parque
             .unionByName(dev.withColumn("split", F.lit("dev")), allowMissingColumns=True))
     w = both.write.mode(mode).partitionBy("split")
     if fmt == "csv":
-        w.option("header", True).option("escape", '"').csv(path)
+        _csv(w).csv(path)
     else:
         w.format(fmt).save(path)
 
@@ -23,7 +29,7 @@ def write_predictions(scored: DataFrame, path: str, task_col: str = "task",
     """K2: input columns + prediction, one folder per task (the file-name suffix)."""
     w = scored.write.mode(mode).partitionBy(task_col)
     if fmt == "csv":
-        w.option("header", True).option("escape", '"').csv(path)
+        _csv(w).csv(path)
     else:
         w.format(fmt).save(path)
 

@@ -70,13 +70,21 @@ def dedup_rows(df: DataFrame, order_col: str | None = None) -> DataFrame:
 def dedup_text(df: DataFrame, col: str, order_col: str) -> DataFrame:
     """Keep, per distinct value of ``col``, the row with the smallest order.
 
-    ``min(struct(order, ...))`` is a partial aggregate: a hot text costs one
-    entry per map task before the shuffle, not one row per copy.
+    A partial aggregate: a hot text costs one entry per map task before the
+    shuffle, not one row per copy.  When only the order is carried the
+    aggregate is ``min(order)`` (hash-based).  Otherwise the row is carried as
+    ``min(struct(order, ...))``, which Spark aggregates by sorting; the
+    grouping key then leads with a 64-bit hash of the text so the sort works
+    on well-spread fixed-width prefixes, and the text itself keeps the
+    grouping exact.
     """
     rest = [c for c in df.columns if c not in (col, order_col)]
+    if not rest:
+        return (df.groupBy(col).agg(F.min(order_col).alias(order_col))
+                .select(*df.columns))
     first = F.min(F.struct(F.col(order_col).alias("__o"),
                            *[F.col(c).alias(c) for c in rest])).alias("__first")
-    agg = df.groupBy(col).agg(first)
+    agg = df.groupBy(F.xxhash64(col).alias("__h"), F.col(col)).agg(first)
     return agg.select(*[
         F.col(col) if c == col else
         F.col("__first.__o").alias(order_col) if c == order_col else

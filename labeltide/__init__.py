@@ -1,0 +1,7 @@
+"""labeltide: labelled-text preparation, scoring and evaluation on Spark.
+
+Subpackages: ``sources`` (readers, corpus registry), ``functions`` (Column
+expressions for cleaning), ``operators`` (DataFrame operators), ``sinks``
+(writers), ``plans`` (end-to-end plans, registered queries and their SQL
+oracles), ``streaming`` (the scoring path over a file stream).
+"""

@@ -1,0 +1 @@
+"""Writers for splits, predictions, metric history and prediction lines."""

@@ -1,0 +1 @@
+"""Delimited readers (``delimited``) and the corpus registry (``registry``)."""

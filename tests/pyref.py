@@ -1,4 +1,5 @@
-"""Plain-Python renderings used as test oracles (regex semantics of Python re)."""
+"""Plain-Python rendering of the cleaning specification (the fixed patterns, Python re
+semantics), used as the test oracle for the Spark expressions."""
 
 import re
 

@@ -1,7 +1,8 @@
 """Time the headline queries and print one JSON line.
 
 Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
-BENCH_QUERIES (comma list, default HEADLINE).  Each query runs its whole plan
+BENCH_QUERIES (comma list, default HEADLINE), BENCH_EVENT_LOG (set to 1 or a
+folder to write Spark's event log there for stage and task times).  Each query runs its whole plan
 into the ``noop`` sink (no driver collect); the value is the sum of seconds.
 """
 
@@ -29,7 +30,15 @@ def main():
     from labeltide.plans.catalog import QUERIES
     from labeltide.session import local_session
 
-    spark = local_session(cores=cpus, shuffle_partitions=int(cpus) * 2, app="labeltide-bench")
+    extra = {}
+    event_log = os.environ.get("BENCH_EVENT_LOG")
+    if event_log:
+        import tempfile
+        folder = event_log if os.path.isdir(event_log) else tempfile.mkdtemp(prefix="run-events-")
+        extra = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": folder}
+        print(f"event log: {folder}", file=sys.stderr)
+    spark = local_session(cores=cpus, shuffle_partitions=int(cpus) * 2, app="labeltide-bench",
+                          extra=extra)
     # JVM, regex and codegen warm-up on the smallest fixture, not timed.
     warm = os.environ.get("BENCH_WARMUP_DIR", "/root/testdata/sf0.001")
     if os.path.isdir(warm):

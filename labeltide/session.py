@@ -15,7 +15,7 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
-                  app: str = "labeltide") -> SparkSession:
+                  app: str = "labeltide", extra: dict[str, str] | None = None) -> SparkSession:
     """A local session configured the way the tests and the bench expect."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -30,6 +30,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("LABELTIDE_DRIVER_MEMORY", "16g"))
     )
+    for key, value in (extra or {}).items():
+        builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)

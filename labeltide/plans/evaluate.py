@@ -19,11 +19,23 @@ from ..session import cut_lineage
 
 
 def prepare_corpus(df: DataFrame, text_col: str = "text", order_col: str = "row_ord",
-                   dedup_text: bool = False, drop_nulls: bool = True) -> DataFrame:
-    """Clean the text column in one projection, then the optional row filters."""
-    # Cleaning maps NULL to NULL and text to text, so NULL texts are dropped
-    # before it: the filter stays on the raw column.
-    out = prepare.drop_null_rows(df, [text_col]) if drop_nulls else df
+                   dedup_text: bool = False, drop_nulls: str | bool = "text") -> DataFrame:
+    """Clean the text column in one projection, with the optional row filters.
+
+    ``drop_nulls``: ``"text"`` drops rows without text, ``"any"`` drops rows
+    with a NULL in any column (so unlabelled rows go too, as the original
+    cleaner's ``dropna`` did), ``"none"``/``False`` keeps every row.
+    """
+    # Cleaning maps NULL to NULL and text to text, so the NULL filter runs
+    # before it and stays on the raw columns.
+    if drop_nulls in (True, "text"):
+        out = prepare.drop_null_rows(df, [text_col])
+    elif drop_nulls == "any":
+        out = prepare.drop_null_rows(df)
+    elif drop_nulls in (False, None, "none"):
+        out = df
+    else:
+        raise ValueError(f"drop_nulls must be 'text', 'any' or 'none', not {drop_nulls!r}")
     out = out.withColumn(text_col, clean_text(F.col(text_col)))
     if dedup_text:
         out = prepare.dedup_text(out, text_col, order_col)
@@ -51,7 +63,7 @@ def score_and_evaluate(train: DataFrame, test: DataFrame, gold: DataFrame,
     scripts do, or ``"majority"`` for the most frequent training label.
     """
     train_c = prepare_corpus(train, text_col, order_col)
-    test_c = prepare_corpus(test, text_col, order_col, drop_nulls=False)
+    test_c = prepare_corpus(test, text_col, order_col, drop_nulls="none")
     dictionary = cut_lineage(labels.label_dictionary(train_c, label_col, order_col))
     n_classes = dictionary.count()
     vocab = cut_lineage(encode.build_vocabulary(train_c, text_col, vocab_size))

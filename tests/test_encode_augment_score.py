@@ -66,3 +66,13 @@ def test_majority_fallback_option(spark):
                                             train.select("id", "label"), vocab_size=10,
                                             fallback="majority")
     assert rep.first().n == 60
+
+
+def test_prepare_corpus_null_modes(spark):
+    df = spark.createDataFrame([(1, "A b", "x"), (2, None, "y"), (3, "c", None)],
+                               "row_ord long, text string, label string")
+    assert evaluate.prepare_corpus(df).count() == 2
+    assert evaluate.prepare_corpus(df, drop_nulls="any").count() == 1
+    assert evaluate.prepare_corpus(df, drop_nulls="none").count() == 3
+    got = evaluate.prepare_corpus(df, dedup_text=True, drop_nulls="any").collect()
+    assert [(r.row_ord, r.text) for r in got] == [(1, "a b")]

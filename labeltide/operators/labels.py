@@ -2,24 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .layout import broadcast_if_small
+from .layout import MAX_BROADCAST_ROWS, broadcast_if_small, checked_small
 from .ordering import dense_row_number
 from .prepare import distinct_labels
 
 # --------------------------------------------------------------------- L1
 def label_dictionary(train: DataFrame, col: str, order_col: str,
-                     label_out: str = "label", id_out: str = "label_id") -> DataFrame:
+                     label_out: str = "label", id_out: str = "label_id",
+                     small_limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Ids 0, 1, ... by order of first appearance of each label in ``train``.
 
     This is not ``StringIndexer`` (which orders by frequency or alphabet).
-    The distinct set is numbered with bucketed prefix sums, so even a very
-    wide label column never lands in one task.
+    A size-checked small label set is numbered with one window; a larger one
+    with bucketed prefix sums, so even a very wide column never lands in one
+    task.
     """
-    firsts = distinct_labels(train, col, order_col, first_col="__first")
-    numbered = dense_row_number(firsts, "__first", "__rn")
+    firsts, small = checked_small(distinct_labels(train, col, order_col, first_col="__first"),
+                                  small_limit)
+    if small:
+        # A checked-small table: one window over it is cheaper than buckets.
+        numbered = firsts.withColumn("__rn", F.row_number().over(Window.orderBy("__first")))
+    else:
+        numbered = dense_row_number(firsts, "__first", "__rn")
     return numbered.select(F.col(col).cast("string").alias(label_out),
                            (F.col("__rn") - 1).cast("int").alias(id_out))
 

@@ -113,3 +113,12 @@ def test_mean_loss_and_best_epoch(spark):
 
 def test_published_macro_is_mean_of_pair():
     assert (0.84530744 + 0.76499508) / 2 == pytest.approx(0.8051512634724252, abs=1e-8)
+
+
+def test_dictionary_large_path(spark):
+    train = spark.createDataFrame([(i, f"L{i % 7}") for i in range(50, 0, -1)], "o long, label string")
+    d = labels.label_dictionary(train, "label", "o", small_limit=2)
+    got = sorted((r.label_id, r.label) for r in d.collect())
+    assert [i for i, _ in got] == list(range(7))
+    firsts = sorted(((min(i for i in range(1, 51) if i % 7 == k), f"L{k}") for k in range(7)))
+    assert [lab for _, lab in got] == [lab for _, lab in firsts]

@@ -17,7 +17,7 @@ from ..functions import text as X
 from ..operators import augment, encode, labels, layout, metrics, prepare, score
 from ..session import cut_lineage, scratch_path
 from ..sinks import writers
-from ..sources import delimited
+from ..sources import delimited, registry
 from . import evaluate
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -455,6 +455,23 @@ def q_csv_roundtrip(spark, sf):
                               types={"doc_id": "bigint"}, order_col=None)
 
 
+@query("registry_load")
+def q_registry_load(spark, sf):
+    """A corpus laid out like the hasoc files (derived from documents and
+    labels, split by D8, written as CSV) read back through the registry."""
+    path = _roundtrip_dir(spark, "corpus")
+    lab = table(spark, sf, "labels").select(
+        "doc_id", _toxic_label().alias("task_1"),
+        F.when(F.col("quality") == 1, F.lit("NONE")).otherwise(F.lit("PRFN")).alias("task_2"))
+    corpus = (table(spark, sf, "documents").select("doc_id", "text").join(lab, "doc_id", "left")
+              .select(F.col("doc_id").cast("string").alias("_id"), "text", "task_1", "task_2"))
+    train, dev = prepare.split_frames(prepare.holdout_split(corpus, HOLDOUT_FRAC, "_id"))
+    writers.write_splits(train, dev, path, fmt="csv")
+    train, dev, _ = registry.load(spark, "hasoc", {"train": f"{path}/split=train",
+                                                    "dev": f"{path}/split=dev"}, task="1")
+    return train.unionByName(dev).drop("row_ord")
+
+
 @query("gold_roundtrip")
 def q_gold_roundtrip(spark, sf):
     """Headerless gold labels written and read back as (id, label) strings."""

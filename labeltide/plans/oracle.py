@@ -349,3 +349,12 @@ ORACLE["gold_roundtrip"] = ("SELECT CAST(doc_id AS VARCHAR) AS id, CAST(toxic AS
 ORACLE["tsv_headerless_roundtrip"] = (f"SELECT doc_id, {nulltok('lang')} AS keyword, "
                                       f"{nulltok('source')} AS country_code, {nulltok('text')} AS text "
                                       f"FROM documents")
+
+ORACLE["registry_load"] = f"""
+  SELECT CAST(d.doc_id AS VARCHAR) AS id, {nulltok('d.text')} AS text,
+         CASE WHEN l.toxic = 1 THEN 'HOF' WHEN l.toxic IS NOT NULL THEN 'NOT' END AS label,
+         '1' AS task,
+         CASE WHEN row_number() OVER (ORDER BY md5(CAST(d.doc_id AS VARCHAR)))
+                   <= ceil(count(*) OVER () * {HOLDOUT_FRAC}) THEN 'hasoc:dev:0' ELSE 'hasoc:train:0' END
+           AS source
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""

@@ -17,6 +17,7 @@ from ..functions import text as X
 from ..operators import augment, encode, labels, layout, metrics, prepare, score
 from ..session import cut_lineage, scratch_path
 from ..sinks import writers
+from ..streaming import files as stream_files
 from ..sources import delimited, registry
 from . import evaluate
 
@@ -472,6 +473,15 @@ def q_registry_load(spark, sf):
     return train.unionByName(dev).drop("row_ord")
 
 
+@query("stream_clean")
+def q_stream_clean(spark, sf):
+    """The cleaning path as a Structured Streaming query over the documents files."""
+    base = _roundtrip_dir(spark, "stream")
+    stream_files.clean_table_stream(spark, f"{sf}/documents.parquet", f"{base}/out",
+                                    f"{base}/checkpoint", "doc_id")
+    return spark.read.parquet(f"{base}/out")
+
+
 @query("gold_roundtrip")
 def q_gold_roundtrip(spark, sf):
     """Headerless gold labels written and read back as (id, label) strings."""

@@ -358,3 +358,5 @@ ORACLE["registry_load"] = f"""
                    <= ceil(count(*) OVER () * {HOLDOUT_FRAC}) THEN 'hasoc:dev:0' ELSE 'hasoc:train:0' END
            AS source
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
+
+ORACLE["stream_clean"] = f"SELECT doc_id, {clean('text')} AS text FROM documents WHERE text IS NOT NULL"

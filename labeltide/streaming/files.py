@@ -62,3 +62,23 @@ def start_scoring(spark: SparkSession, in_path: str, out_path: str, checkpoint:
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
+
+
+def clean_table_stream(spark: SparkSession, path: str, out_path: str, checkpoint: str,
+                       id_col: str, text_col: str = "text") -> None:
+    """Clean a Parquet table as a stream (files are picked up once each) into
+    ``out_path``; runs until the files present now are processed."""
+    import os
+
+    schema = spark.read.parquet(path).select(id_col, text_col).schema
+    source = path
+    if not os.path.isdir(path):
+        # A single table file: watch its folder through a glob that matches it.
+        folder, name = os.path.split(path)
+        source = os.path.join(folder, f"{name[:-1]}[{name[-1]}]")
+    stream = clean_stream(spark.readStream.schema(schema).parquet(source).select(id_col, text_col),
+                          text_col)
+    q = (stream.writeStream.format("parquet").option("path", out_path)
+         .option("checkpointLocation", checkpoint).outputMode("append")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()

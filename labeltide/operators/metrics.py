@@ -28,10 +28,17 @@ def confusion(df: DataFrame, truth: str = "label", pred: str = "prediction",
             .groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n")))
 
 
-def confusion_wide(conf: DataFrame, classes: Sequence[str]) -> DataFrame:
-    """A1 wide form: one row per truth, one column per predicted class."""
-    return (conf.groupBy("label").pivot("prediction", list(classes)).agg(F.sum("n"))
-            .fillna(0).orderBy("label"))
+def confusion_wide(conf: DataFrame, classes: Sequence[str] | None = None) -> DataFrame:
+    """A1 wide form: one row per truth, one column per predicted class.
+
+    Without ``classes`` the columns are the predicted classes found in the
+    (at most k*k row) confusion table, in sorted order.
+    """
+    grouped = conf.groupBy("label")
+    pivoted = grouped.pivot("prediction", list(classes)) if classes is not None else \
+        grouped.pivot("prediction")
+    out = pivoted.agg(F.sum("n"))
+    return out.fillna(0, subset=[c for c in out.columns if c != "label"]).orderBy("label")
 
 
 # --------------------------------------------------------------------- A2

@@ -307,6 +307,11 @@ def q_confusion_matrix(spark, sf):
     return _confusion(spark, sf)
 
 
+@query("confusion_wide")
+def q_confusion_wide(spark, sf):
+    return metrics.confusion_wide(_confusion(spark, sf))
+
+
 @query("confusion_restricted")
 def q_confusion_restricted(spark, sf):
     return metrics.confusion_restricted(_confusion(spark, sf), ["1", "0"])

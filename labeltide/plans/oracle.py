@@ -360,3 +360,6 @@ ORACLE["registry_load"] = f"""
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
 
 ORACLE["stream_clean"] = f"SELECT doc_id, {clean('text')} AS text FROM documents WHERE text IS NOT NULL"
+
+ORACLE["confusion_wide"] = (f"PIVOT ({CONF}) ON prediction "
+                            f"USING CAST(coalesce(sum(n), 0) AS BIGINT) GROUP BY label")

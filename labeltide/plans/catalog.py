@@ -487,6 +487,20 @@ def q_stream_clean(spark, sf):
     return spark.read.parquet(f"{base}/out")
 
 
+@query("write_predictions")
+def q_write_predictions(spark, sf):
+    """K2: decoded predictions written as CSV, one folder per task, read back (S1 + S6)."""
+    path = _roundtrip_dir(spark, "pred")
+    d = labels.label_dictionary(table(spark, sf, "events"), "event_type", "event_id")
+    decoded = labels.decode_labels(_logit_preds(spark, sf), d, "pred", "prediction")
+    tasks = table(spark, sf, "embeddings").select(
+        "vec_id", F.concat(F.lit("label"), F.col("label").cast("string")).alias("task"))
+    writers.write_predictions(decoded.select("vec_id", "prediction").join(tasks, "vec_id"), path)
+    back = delimited.read_csv(spark, path, names=["vec_id", "prediction", "task"],
+                              types={"vec_id": "bigint"}, order_col=None)
+    return back
+
+
 @query("gold_roundtrip")
 def q_gold_roundtrip(spark, sf):
     """Headerless gold labels written and read back as (id, label) strings."""

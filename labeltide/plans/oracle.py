@@ -363,3 +363,9 @@ ORACLE["stream_clean"] = f"SELECT doc_id, {clean('text')} AS text FROM documents
 
 ORACLE["confusion_wide"] = (f"PIVOT ({CONF}) ON prediction "
                             f"USING CAST(coalesce(sum(n), 0) AS BIGINT) GROUP BY label")
+
+ORACLE["write_predictions"] = f"""
+  WITH d AS ({EVENT_DICT.format(where="")})
+  SELECT e.vec_id, CASE WHEN coalesce(d.label, '') = '' THEN NULL ELSE d.label END AS prediction,
+         'label' || CAST(e.label AS VARCHAR) AS task
+  FROM embeddings e LEFT JOIN d ON CAST({argmax_first(LOGIT_CLASSES)} AS VARCHAR) = CAST(d.label_id AS VARCHAR)"""

@@ -501,6 +501,19 @@ def q_write_predictions(spark, sf):
     return back
 
 
+@query("history_best_epoch")
+def q_history_best_epoch(spark, sf):
+    """K3 + A11: a metric history appended by two runs, read back, best epoch per run."""
+    path = _roundtrip_dir(spark, "history")
+    hist = table(spark, sf, "events").select(
+        F.col("user_id").cast("string").alias("run"), F.col("event_id").alias("epoch"),
+        F.lit(None).cast("double").alias("train_loss"), F.col("value").alias("val_loss"),
+        F.lit(None).cast("double").alias("f1_weighted"), F.lit(None).cast("double").alias("f1_macro"))
+    writers.append_metrics(hist, path)
+    writers.append_metrics(hist, path)
+    return metrics.best_epoch(spark.read.parquet(path))
+
+
 @query("gold_roundtrip")
 def q_gold_roundtrip(spark, sf):
     """Headerless gold labels written and read back as (id, label) strings."""

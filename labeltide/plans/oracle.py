@@ -369,3 +369,9 @@ ORACLE["write_predictions"] = f"""
   SELECT e.vec_id, CASE WHEN coalesce(d.label, '') = '' THEN NULL ELSE d.label END AS prediction,
          'label' || CAST(e.label AS VARCHAR) AS task
   FROM embeddings e LEFT JOIN d ON CAST({argmax_first(LOGIT_CLASSES)} AS VARCHAR) = CAST(d.label_id AS VARCHAR)"""
+
+ORACLE["history_best_epoch"] = """
+  SELECT run, epoch AS best_epoch, val_loss AS best_loss FROM (
+    SELECT CAST(user_id AS VARCHAR) AS run, event_id AS epoch, value AS val_loss,
+           row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS rn
+    FROM events WHERE value IS NOT NULL) WHERE rn = 1"""

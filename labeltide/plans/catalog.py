@@ -514,6 +514,16 @@ def q_history_best_epoch(spark, sf):
     return metrics.best_epoch(spark.read.parquet(path))
 
 
+@query("prediction_lines")
+def q_prediction_lines(spark, sf):
+    """K4: repaired predictions written one per line in row order, read back as text."""
+    path = _roundtrip_dir(spark, "lines")
+    scored = _scored_embeddings(spark, sf).select(
+        F.col("vec_id").alias("row_ord"), labels.repair_predictions("prediction").alias("prediction"))
+    writers.write_prediction_lines(scored, path)
+    return spark.read.text(path)
+
+
 @query("gold_roundtrip")
 def q_gold_roundtrip(spark, sf):
     """Headerless gold labels written and read back as (id, label) strings."""

@@ -375,3 +375,5 @@ ORACLE["history_best_epoch"] = """
     SELECT CAST(user_id AS VARCHAR) AS run, event_id AS epoch, value AS val_loss,
            row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS rn
     FROM events WHERE value IS NOT NULL) WHERE rn = 1"""
+
+ORACLE["prediction_lines"] = f"SELECT prediction AS value FROM ({SCORED})"

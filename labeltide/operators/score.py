@@ -96,8 +96,8 @@ def train_token_scorer(encoded: DataFrame, ids_col: str, label_col: str, n_class
 
     One partial aggregate ``(token_id, class) -> count`` over exploded ids and
     one ``class -> rows`` count.  The result has at most vocab_size x classes
-    entries (a parameter bound, not a data bound); it becomes the weight
-    matrix shipped to every task inside the scorer factory.
+    entries (a parameter bound, not a data bound); the weight matrix is a
+    broadcast variable that the scorer factory reads in each task.
     """
     pairs = (encoded.select(F.col(label_col).cast("int").alias("c"),
                             F.explode(ids_col).alias("t"))
@@ -116,9 +116,12 @@ def train_token_scorer(encoded: DataFrame, ids_col: str, label_col: str, n_class
     smoothed = counts + alpha
     weights = np.log(smoothed / smoothed.sum(axis=0, keepdims=True))
     bias = np.log((prior + alpha) / (prior.sum() + alpha * n_classes))
+    # Shipped once per executor as a broadcast variable, not pickled per task.
+    model = encoded.sparkSession.sparkContext.broadcast((weights, bias))
 
     def factory() -> TokenWeightScorer:
-        return TokenWeightScorer(weights, bias, ids_col)
+        w, b = model.value
+        return TokenWeightScorer(w, b, ids_col)
 
     return factory
 

@@ -1,7 +1,12 @@
-"""labeltide: labelled-text preparation, scoring and evaluation on Spark.
+"""Spark-native engine for labelled-text datasets.
 
-Subpackages: ``sources`` (readers, corpus registry), ``functions`` (Column
-expressions for cleaning), ``operators`` (DataFrame operators), ``sinks``
-(writers), ``plans`` (end-to-end plans, registered queries and their SQL
-oracles), ``streaming`` (the scoring path over a file stream).
+Importing the package sets PySpark's serialiser to send the package's own
+functions to the workers by value, so a query runs from any working directory
+and needs no package files on the executors.
 """
+
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])

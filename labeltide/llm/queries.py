@@ -6,16 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from labeltide.llm import oracle
 from labeltide.llm.common import table
+from labeltide.llm.mixing import taken_words
 from labeltide.llm.near_dedup import near_duplicates
+from labeltide.llm.quality_rules import quality_rules
 
 
 def op4_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+def op6_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken_words(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_certified_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_superminhash": op4_superminhash,
+    "op6_pareto_mixing": op6_pareto_mixing,
+    "op8_certified_rules": op8_certified_rules,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op6_pareto_mixing": oracle.OP6,
+    "op8_certified_rules": oracle.OP8,
+}

@@ -58,3 +58,15 @@ def let(value: Column, body) -> Column:
 def sort_hash(*cols) -> Column:
     """A well-spread 64-bit order key; nulls count as a value of their own."""
     return F.xxhash64(*cols)
+
+
+def open_store(uri: str):
+    """(pyarrow file system, path) of a folder that the session names: a URI or a plain path.
+
+    Hadoop writes local URIs with one slash; the driver and all executors must see the folder.
+    """
+    from pyarrow import fs
+
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri[len("file:"):]
+    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)

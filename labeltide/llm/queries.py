@@ -11,12 +11,23 @@ from labeltide.llm.common import table
 from labeltide.llm.mixing import taken_words
 from labeltide.llm.near_dedup import near_duplicates
 from labeltide.llm.quality_rules import quality_rules
+from labeltide.llm.token_store import token_table
 
 
 def op4_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_plane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_table(table(spark, sf_dir, "documents"), public_tokenizer(), end_id=2)
+
+
 def op6_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -28,6 +39,7 @@ def op8_certified_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_superminhash": op4_superminhash,
+    "op5_plane_tokens": op5_plane_tokens,
     "op6_pareto_mixing": op6_pareto_mixing,
     "op8_certified_rules": op8_certified_rules,
 }

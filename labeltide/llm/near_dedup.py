@@ -10,9 +10,11 @@
 3. Classes that agree in a whole band of the signature share a bucket.  Each
    member is linked to its bucket's smallest member if their full sets pass.
 4. Buckets whose members still lie in different components are compared in full,
-   in blocks of bounded size: members in different components whose signatures
-   agree well enough become pairs, which are checked on their full sets too.
-   So no bucket is capped, and none emits all its pairs.
+   in blocks of bounded size.  First by signature: members in different
+   components that agree well enough are joined to families, each block emitting
+   a forest of links rather than its pairs.  Then the members of a family are
+   compared on their full sets, again in blocks, and the links that join
+   components are emitted.  So no bucket is capped, and none emits all its pairs.
 5. Components by star contraction; the smallest id of each is kept.
 """
 
@@ -145,25 +147,89 @@ def _verifier(size: int, percent: int):
     return run
 
 
-def _block_pairs(m: int, percent: int, slack: float):
-    """Pairs of a block group that lie in different components and whose signatures agree in near ``percent``."""
+def _spanning(n: int, pairs) -> list[tuple[int, int]]:
+    """Of ``pairs`` of 0..n-1, those that join what was apart before."""
+    parent, out = list(range(n)), []
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for x, y in pairs:
+        a, b = root(x), root(y)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            out.append((x, y))
+    return out
+
+
+def _links(block: pa.Table, agree: np.ndarray) -> pa.Table:
+    """A spanning set of the pairs low x high of a block group for which ``agree`` holds."""
+    low, high = (np.flatnonzero(block.column(c).to_numpy(zero_copy_only=False)) for c in ("is_low", "is_high"))
+    node, comp = (block.column(c).to_numpy() for c in ("node", "comp"))
+    found = agree[np.ix_(low, high)] & (comp[low][:, None] != comp[high][None, :])
+    kept = _spanning(len(node), ((low[i], high[j]) for i, j in np.argwhere(found)))
+    return pa.table({"a": pa.array([node[x] for x, _ in kept], pa.int64()), "b": pa.array([node[y] for _, y in kept], pa.int64())})
+
+
+def _likely(m: int, percent: int, slack: float):
+    """Links members in different components whose signatures agree in nearly ``percent``: a superset, as a forest."""
     need = max(0.0, percent / 100 - slack)
     least = int(np.floor(m * (need + (1 - need) / 256)))
 
-    def pairs(block: pa.Table) -> pa.Table:
-        node, comp, n = (block.column(c).to_numpy() for c in ("node", "comp", "n"))
-        low, high = (block.column(c).to_numpy(zero_copy_only=False) for c in ("is_low", "is_high"))
+    def likely(block: pa.Table) -> pa.Table:
+        n = block.column("n").to_numpy()
         sig = np.frombuffer(b"".join(block.column("sig").to_pylist()), dtype=np.uint8).reshape(-1, m)
-        a_out, b_out = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-        cols = np.flatnonzero(high)
-        for i in np.flatnonzero(low):
-            near = 100 * np.minimum(n[cols], n[i]) >= percent * np.maximum(n[cols], n[i])
-            other = cols[near & (comp[cols] != comp[i])]
-            other = other[(sig[other] == sig[i]).sum(axis=1) >= least]
-            a_out.append(np.maximum(node[other], node[i]))
-            b_out.append(np.minimum(node[other], node[i]))
-        return pa.table({"a": np.concatenate(a_out), "b": np.concatenate(b_out)})
-    return pairs
+        agree = np.zeros((len(n), len(n)), dtype=bool)
+        for i in range(len(n)):
+            near = 100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])
+            agree[i, near] = (sig[near] == sig[i]).sum(axis=1) >= least
+        return _links(block, agree)
+    return likely
+
+
+def _exact(size: int, percent: int, cells: int = 1 << 24):
+    """Links members in different components whose full sets pass, as a forest.
+
+    Intersections come from products of membership matrices over the shingles that
+    at least two members share, ``cells`` matrix cells at a time.
+    """
+
+    def exact(block: pa.Table) -> pa.Table:
+        hasher, sets = WordHasher(), []
+        for _, _, data, offsets in text_chunks(block.column("text")):
+            hashes, _, _, bounds = hasher.words(data, offsets)
+            flat, cuts = distinct_sets(*shingles(hashes, bounds, size))
+            sets.extend(flat[a:b] for a, b in zip(cuts[:-1], cuts[1:]))
+        n = np.array([len(x) for x in sets])
+        value, member = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+        order = np.argsort(value, kind="stable")
+        value, member = value[order], member[order]
+        code = np.concatenate(([0], np.cumsum(value[1:] != value[:-1])))
+        counts = np.bincount(code)
+        shared = counts[code] > 1
+        code, member = (np.cumsum(counts > 1) - 1)[code[shared]], member[shared]
+        joint = np.zeros((len(sets), len(sets)), dtype=np.float64)
+        width = max(1, cells // len(sets))
+        for start in range(0, int(code[-1]) + 1 if len(code) else 0, width):
+            a, b = np.searchsorted(code, (start, start + width))
+            matrix = np.zeros((len(sets), width), dtype=np.float32)
+            matrix[member[a:b], code[a:b] - start] = 1
+            joint += matrix @ matrix.T
+        return _links(block, 100 * joint >= percent * (n[:, None] + n[None, :] - joint))
+    return exact
+
+
+def _in_blocks(members: DataFrame, key: str, block: int) -> DataFrame:
+    """``members`` (``key``, node, ...) dealt to the pairs of blocks of their key's members, about ``block`` to a block."""
+    sizes = members.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("of"))
+    own, other, of = F.col("own"), F.col("other"), F.col("of")
+    return (members.join(sizes, key)
+            .withColumn("own", F.pmod(F.xxhash64("node"), of).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), of - 1)))
+            .withColumns({"low": F.least(own, other), "high": F.greatest(own, other), "is_low": own <= other, "is_high": own >= other})
+            .drop("own", "other", "of"))
 
 
 def _verify(docs: DataFrame, edges: DataFrame, size: int, percent: int, stage: Stage, name: str) -> DataFrame:
@@ -180,7 +246,7 @@ def _verify(docs: DataFrame, edges: DataFrame, size: int, percent: int, stage: S
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5,
-                    percent: int = 80, bands: int = 42, rows: int = 6, block: int = 256,
+                    percent: int = 80, bands: int = 42, rows: int = 6, block: int = 512,
                     slack: float = 0.15) -> DataFrame:
     """Every row's set size, component and whether it is its component's smallest id.
 
@@ -223,20 +289,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = (shared.join(roots, F.col("node") == F.col("u"), "left")
               .select("bucket", "node", F.coalesce("v", "node").alias("comp")))
     split = (placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members"))
-             .where("lo < hi and members > 2").select("bucket", "members"))
-    blocks = (placed.join(split, "bucket").join(heads.select("node", "n", "sig"), "node")
-              .withColumn("of", F.ceil(F.col("members") / block).cast("int"))
-              .withColumn("own", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
-              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
-              .select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
-                      (F.col("own") <= F.col("other")).alias("is_low"), (F.col("own") >= F.col("other")).alias("is_high"),
-                      "node", "comp", "n", "sig"))
-    more = blocks.groupBy("bucket", "low", "high").applyInArrow(_block_pairs(m, percent, slack), "a long, b long")
-    more = stage.put(more.distinct().join(first, ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        links = stage.put(links.union(_verify(docs, more, size, percent, stage, "more")), "links-2")
+             .where("lo < hi and members > 2").select("bucket"))
+    open_ = placed.join(split, "bucket").join(heads.select("node", "n", "sig"), "node")
+    near = (_in_blocks(open_, "bucket", block).groupBy("bucket", "low", "high")
+            .applyInArrow(_likely(m, percent, slack), "a long, b long"))
+    family = components(stage, stage.put(near.distinct(), "near"), "families")
+    family = stage.put(family.union(family.select(F.col("v").alias("u"), "v").distinct()), "family")
+    if not family.isEmpty():
+        relatives = (family.join(docs.where("id is not null"), F.col("u") == F.col("id"))
+                     .join(roots.withColumnRenamed("v", "root").withColumnRenamed("u", "at"), F.col("u") == F.col("at"), "left")
+                     .select(F.col("v").alias("family"), F.col("u").alias("node"), F.coalesce("root", "u").alias("comp"), "text"))
+        more = (_in_blocks(stage.put(relatives, "relatives"), "family", block).groupBy("family", "low", "high")
+                .applyInArrow(_exact(size, percent), "a long, b long"))
+        links = stage.put(links.union(more.distinct()), "links-2")
         roots = components(stage, links, "round2")
-    stage.drop("heads", "shared", "first", "links", "more", "first-links", "more-links", "links-2")
+    stage.drop("heads", "shared", "first", "links", "first-links", "links-2", "near", "family", "relatives")
     component = F.coalesce("v", "rep")
     return (members.join(roots, F.col("rep") == F.col("u"), "left")
             .select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"),

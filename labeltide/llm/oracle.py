@@ -71,3 +71,11 @@ mixed AS (SELECT *, whole + CASE WHEN chance > 0 AND before + size / 2 <= rest T
 
 OP6 = f"""WITH {mixing_cte('documents')}
 SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken FROM mixed"""
+
+
+OP2 = """WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha1(body) AS payload_digest FROM p),
+h AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS head FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN head IS NULL OR page_id IS NOT DISTINCT FROM head THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN head IS NULL OR page_id IS NOT DISTINCT FROM head THEN NULL ELSE head END AS refers_to FROM h"""

@@ -12,6 +12,11 @@ from labeltide.llm.mixing import taken_words
 from labeltide.llm.near_dedup import near_duplicates
 from labeltide.llm.quality_rules import quality_rules
 from labeltide.llm.token_store import token_table
+from labeltide.llm.warc import archive_digests
+
+
+def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_digests(table(spark, sf_dir, "pages"))
 
 
 def op4_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +43,7 @@ def op8_certified_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc_index": op2_warc_index,
     "op4_superminhash": op4_superminhash,
     "op5_plane_tokens": op5_plane_tokens,
     "op6_pareto_mixing": op6_pareto_mixing,
@@ -45,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_warc_index": oracle.OP2,
     "op6_pareto_mixing": oracle.OP6,
     "op8_certified_rules": oracle.OP8,
 }

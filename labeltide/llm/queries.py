@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from labeltide.llm import oracle
 from labeltide.llm.common import table
 from labeltide.llm.mixing import taken_words
 from labeltide.llm.near_dedup import near_duplicates
 from labeltide.llm.quality_rules import quality_rules
+from labeltide.llm.sharding import shard_rows
 from labeltide.llm.token_store import token_table
 from labeltide.llm.warc import archive_digests
 
@@ -37,6 +39,12 @@ def op6_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard_rows(table(spark, sf_dir, "documents"), shards=40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op8_certified_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -47,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_superminhash": op4_superminhash,
     "op5_plane_tokens": op5_plane_tokens,
     "op6_pareto_mixing": op6_pareto_mixing,
+    "op7_kd_shards": op7_kd_shards,
     "op8_certified_rules": op8_certified_rules,
 }
 

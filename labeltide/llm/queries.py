@@ -11,12 +11,20 @@ from labeltide.llm import oracle
 from labeltide.llm.common import table
 from labeltide.llm.mixing import taken_words
 from labeltide.llm.near_dedup import near_duplicates
+from labeltide.llm.quality_classifier import score_quality
 from labeltide.llm.quality_rules import quality_rules
 from labeltide.llm.sharding import shard_rows
 from labeltide.llm.token_store import token_table
 from labeltide.llm.warc import archive_digests
 
 
+def op1_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    may_learn = F.crc32(F.col("_id").cast("string")) % 3 != 1
+    scored = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), may_learn)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_digests(table(spark, sf_dir, "pages"))
 
@@ -51,6 +59,7 @@ def op8_certified_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nbsvm_quality": op1_nbsvm_quality,
     "op2_warc_index": op2_warc_index,
     "op4_superminhash": op4_superminhash,
     "op5_plane_tokens": op5_plane_tokens,

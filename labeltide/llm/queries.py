@@ -13,6 +13,7 @@ from labeltide.llm.mixing import taken_words
 from labeltide.llm.near_dedup import near_duplicates
 from labeltide.llm.quality_classifier import score_quality
 from labeltide.llm.quality_rules import quality_rules
+from labeltide.llm.secret_scan import scan_secrets
 from labeltide.llm.sharding import shard_rows
 from labeltide.llm.token_store import token_table
 from labeltide.llm.warc import archive_digests
@@ -58,6 +59,10 @@ def op8_certified_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_guess_cost_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nbsvm_quality": op1_nbsvm_quality,
     "op2_warc_index": op2_warc_index,
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_pareto_mixing": op6_pareto_mixing,
     "op7_kd_shards": op7_kd_shards,
     "op8_certified_rules": op8_certified_rules,
+    "op9_guess_cost_secrets": op9_guess_cost_secrets,
 }
 
 ORACLE: dict[str, str] = {

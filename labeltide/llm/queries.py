@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from labeltide.llm import oracle
 from labeltide.llm.common import table
+from labeltide.llm.decontaminate import find_benchmark
 from labeltide.llm.mixing import taken_words
 from labeltide.llm.near_dedup import near_duplicates
 from labeltide.llm.quality_classifier import score_quality
@@ -30,6 +31,10 @@ def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_digests(table(spark, sf_dir, "pages"))
 
 
+def op3_bmw_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
@@ -66,6 +71,7 @@ def op9_guess_cost_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nbsvm_quality": op1_nbsvm_quality,
     "op2_warc_index": op2_warc_index,
+    "op3_bmw_benchmark": op3_bmw_benchmark,
     "op4_superminhash": op4_superminhash,
     "op5_plane_tokens": op5_plane_tokens,
     "op6_pareto_mixing": op6_pareto_mixing,

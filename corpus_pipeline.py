@@ -1,11 +1,75 @@
-"""The training-data pipeline: quality rules, near-duplicates, decontamination, mixing, token files."""
+"""The training-data pipeline: quality rules, near-duplicates, decontamination, mixing, token files.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
+each result as Parquet and reads it back as the next stage's documents.  All but
+the last return the columns of ``documents``, whatever further columns there are.
+
+Nulls and ties.  A null text is an empty one: the quality rules reject it.  A
+null source, language or id is a value of its own.  Of rows that share an id, or
+of null-id rows with equal texts, one stays after near-duplicate removal.  An
+empty table passes through as an empty table.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from labeltide.llm.common import Stage, table
+from labeltide.llm.decontaminate import decontaminate
+from labeltide.llm.mixing import mix_sources
+from labeltide.llm.near_dedup import near_duplicates
+from labeltide.llm.quality_rules import verdicts
+from labeltide.llm.queries import public_tokenizer
+from labeltide.llm.token_store import token_table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that neither the base rules nor a certified cutoff rejects."""
+    judged, _ = verdicts(docs, table(spark, sf_dir, "labels"), extra=[F.struct("*").alias("_row")])
+    return judged.where("kept").select("_row.*")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest id."""
+    found = near_duplicates(docs, size=5, percent=80)
+    stays = found.where("kept").select(F.col("doc_id").alias("_stays")).distinct()
+    kept = docs.join(stays, F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi")
+    one = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.md5("text"))).orderBy(F.length("text").desc_nulls_last(), F.xxhash64("text"))
+    return kept.withColumn("_place", F.row_number().over(one)).where("_place = 1").drop("_place")
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of its source takes it."""
+    return mix_sources(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files, and where each document lies in them: doc_id, start, n_tokens, ids_crc32."""
+    return token_table(docs, public_tokenizer(), end_id=2)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("MinHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontaminated),
+    ("mixing sources to target weights", mixed),
+    ("token-ID output", tokens),
+]
+
+#: Near-duplicate grouping and the tokenizer are not expressible in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stage, docs = Stage(spark, "pipeline"), table(spark, sf_dir, "documents")
+    for k, (_, step) in enumerate(STAGES):
+        docs = stage.put(step(spark, docs, sf_dir), f"stage-{k}")
+        if k:
+            stage.drop(f"stage-{k - 1}")
     return docs

@@ -12,6 +12,7 @@ from labeltide.llm.common import table
 from labeltide.llm.decontaminate import find_benchmark
 from labeltide.llm.mixing import taken_words
 from labeltide.llm.near_dedup import near_duplicates
+from labeltide.llm.pii import find_pii
 from labeltide.llm.quality_classifier import score_quality
 from labeltide.llm.quality_rules import quality_rules
 from labeltide.llm.secret_scan import scan_secrets
@@ -68,6 +69,10 @@ def op9_guess_cost_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op10_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents")).drop("found")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nbsvm_quality": op1_nbsvm_quality,
     "op2_warc_index": op2_warc_index,
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_kd_shards": op7_kd_shards,
     "op8_certified_rules": op8_certified_rules,
     "op9_guess_cost_secrets": op9_guess_cost_secrets,
+    "op10_boosted_pii": op10_boosted_pii,
 }
 
 ORACLE: dict[str, str] = {

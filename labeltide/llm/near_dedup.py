@@ -100,9 +100,10 @@ def _signer(size: int, bands: int, rows: int):
                 counts, n = np.diff(sets), end - first
                 filled = counts > 0
                 prints = np.zeros((2, n), dtype=np.uint64)
-                sums = [np.concatenate(([0], np.cumsum(mix(flat ^ np.uint64(salt)), dtype=np.uint64))) for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
-                for k in range(2):
-                    prints[k] = sums[k][sets[1:]].astype(np.uint64) - sums[k][sets[:-1]].astype(np.uint64)
+                for k, salt in enumerate((0x5851F42D4C957F2D, 0x14057B7EF767814F)):
+                    sums = np.zeros(len(flat) + 1, dtype=np.uint64)
+                    np.cumsum(mix(flat ^ np.uint64(salt)), out=sums[1:])
+                    prints[k] = sums[sets[1:]] - sums[sets[:-1]]
                 dense = np.cumsum(filled) - 1
                 doc = dense[np.repeat(np.arange(n), counts)]
                 signature = superminhash(flat, doc, int(filled.sum()), m)
@@ -235,10 +236,11 @@ def _in_blocks(members: DataFrame, key: str, block: int) -> DataFrame:
 def _verify(docs: DataFrame, edges: DataFrame, size: int, percent: int, stage: Stage, name: str) -> DataFrame:
     """The pairs of ``edges`` (a, b) whose full texts pass, ``docs`` being (id, text)."""
     ends = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = stage.put(docs.join(ends, "id", "left_semi"), f"{name}-texts")
+    # Neither side has a bounded size: always a sort-merge join, which adaptive execution can split.
+    wanted = stage.put(docs.join(ends.hint("merge"), "id", "left_semi"), f"{name}-texts")
     pairs = (edges
-             .join(wanted.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-             .join(wanted.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+             .join(wanted.select(F.col("id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
+             .join(wanted.select(F.col("id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
              .select("a", "b", "text_a", "text_b"))
     good = stage.put(pairs.mapInArrow(_verifier(size, percent), "a long, b long").distinct(), f"{name}-links")
     stage.drop(f"{name}-texts")
@@ -270,9 +272,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     classes = signed.where("n_shingles > 0").groupBy("fp1", "fp2", "n_shingles").agg(F.min("id").alias("rep"))
     classes = stage.put(classes, "classes")
-    members = signed.select("id", "n_shingles", "fp1", "fp2").join(classes, ["fp1", "fp2", "n_shingles"], "left")
+    members = signed.select("id", "n_shingles", "fp1", "fp2").join(classes.hint("merge"), ["fp1", "fp2", "n_shingles"], "left")
     members = stage.put(members.select("id", "n_shingles", F.coalesce("rep", "id").alias("rep")), "members")
-    heads = signed.join(classes.withColumnRenamed("rep", "id"), ["fp1", "fp2", "n_shingles", "id"], "left_semi")
+    heads = signed.join(classes.withColumnRenamed("rep", "id").hint("merge"), ["fp1", "fp2", "n_shingles", "id"], "left_semi")
     heads = stage.put(heads.select(F.col("id").alias("node"), F.col("n_shingles").alias("n"), "bands", "sig"), "heads")
     stage.drop("signed", "classes")
 
@@ -296,7 +298,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     family = components(stage, stage.put(near.distinct(), "near"), "families")
     family = stage.put(family.union(family.select(F.col("v").alias("u"), "v").distinct()), "family")
     if not family.isEmpty():
-        relatives = (family.join(docs.where("id is not null"), F.col("u") == F.col("id"))
+        relatives = (docs.join(family.hint("merge"), F.col("u") == F.col("id"))
                      .join(roots.withColumnRenamed("v", "root").withColumnRenamed("u", "at"), F.col("u") == F.col("at"), "left")
                      .select(F.col("v").alias("family"), F.col("u").alias("node"), F.coalesce("root", "u").alias("comp"), "text"))
         more = (_in_blocks(stage.put(relatives, "relatives"), "family", block).groupBy("family", "low", "high")

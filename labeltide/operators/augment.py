@@ -2,7 +2,8 @@
 
 The reference documents three augmentation kinds and reads the files they
 produce.  "Protected" tokens are a lexicon table ``(token)``; lookups are
-joins against it (broadcast behind a size check), never Python sets.
+joins against it (stored, so broadcast only if its bytes allow), never Python sets.
+A text without tokens has no ends: it yields nothing.
 Tokens are whitespace tokens (``str.split`` semantics); output text joins
 them with single spaces.
 """
@@ -15,26 +16,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from .layout import checked_small, hint, keep_where
+from ..session import stored
+from .layout import keep_where
 from .prepare import union_datasets
 
-MAX_LEXICON = 1_000_000
+def _lexicon(lexicon: DataFrame, token_col: str) -> DataFrame:
+    """The distinct lexicon, stored once, so the planner knows its bytes."""
+    return stored(lexicon.select(F.col(token_col).alias("__lex")).distinct(), "lexicon")
 
 
-def _checked_lexicon(lexicon: DataFrame, token_col: str):
-    """The distinct lexicon, written once and size-checked once."""
-    return checked_small(lexicon.select(F.col(token_col).alias("__lex")).distinct(), MAX_LEXICON)
-
-
-def _flag(checked, flag: str) -> DataFrame:
-    lx, small = checked
-    return hint(lx.select(F.col("__lex").alias(f"{flag}_tok"), F.lit(True).alias(flag)), small)
+def _flag(stored_lexicon: DataFrame, flag: str) -> DataFrame:
+    return stored_lexicon.select(F.col("__lex").alias(f"{flag}_tok"), F.lit(True).alias(flag))
 
 
 def _with_end_flags(df: DataFrame, text_col: str, lexicon: DataFrame, token_col: str) -> DataFrame:
     t = df.withColumn("__toks", tokens(F.col(text_col)))
-    t = t.withColumn("__first", F.element_at("__toks", 1)).withColumn("__last", F.element_at("__toks", -1))
-    checked = _checked_lexicon(lexicon, token_col)
+    t = t.withColumn("__first", F.try_element_at("__toks", F.lit(1))).withColumn("__last", F.try_element_at("__toks", F.lit(-1)))
+    checked = _lexicon(lexicon, token_col)
     a = _flag(checked, "__pf")
     b = _flag(checked, "__pl")
     t = t.join(a, F.col("__first") == F.col("__pf_tok"), "left")
@@ -70,11 +68,9 @@ def augment_replace(df: DataFrame, text_col: str, protected: DataFrame,
     has an entry for it; rows where nothing changed are not emitted.
     """
     t = _with_end_flags(df, text_col, protected, token_col)
-    subs, small = checked_small(
-        substitutes.select(F.col(token_col).alias("__st"), F.col(substitute_col).alias("__sv")),
-        MAX_LEXICON)
-    s1 = hint(subs.select(F.col("__st").alias("__s1t"), F.col("__sv").alias("__s1")), small)
-    s2 = hint(subs.select(F.col("__st").alias("__s2t"), F.col("__sv").alias("__s2")), small)
+    subs = stored(substitutes.select(F.col(token_col).alias("__st"), F.col(substitute_col).alias("__sv")), "substitutes")
+    s1 = subs.select(F.col("__st").alias("__s1t"), F.col("__sv").alias("__s1"))
+    s2 = subs.select(F.col("__st").alias("__s2t"), F.col("__sv").alias("__s2"))
     t = t.join(s1, F.col("__first") == F.col("__s1t"), "left")
     t = t.join(s2, F.col("__last") == F.col("__s2t"), "left")
     new_first = F.when(~F.col("__pf") & F.col("__s1").isNotNull(), F.col("__s1"))
@@ -83,7 +79,7 @@ def augment_replace(df: DataFrame, text_col: str, protected: DataFrame,
     t = keep_where(t, (F.size("__toks") > min_tokens)
                    & (F.col("__nf").isNotNull() | F.col("__nl").isNotNull()))
     n = F.size("__toks")
-    middle = F.slice("__toks", 2, n - 2)
+    middle = F.slice("__toks", F.lit(2), F.greatest(n - 2, F.lit(0)))
     text = F.array_join(F.concat(F.array(F.coalesce("__nf", "__first")), middle,
                                  F.array(F.coalesce("__nl", "__last"))), " ")
     return t.withColumn(text_col, text).select(*df.columns)
@@ -100,7 +96,7 @@ def augment_generate(df: DataFrame, text_col: str, label_col: str, id_col: str,
     """
     add = additions.select(F.col(id_col), F.col("tok1").alias("__a1"), F.col("tok2").alias("__a2"))
     t = df.join(add, id_col, "inner")
-    checked = _checked_lexicon(protected, token_col)
+    checked = _lexicon(protected, token_col)
     a = _flag(checked, "__p1")
     b = _flag(checked, "__p2")
     t = t.join(a, F.col("__a1") == F.col("__p1_tok"), "left").join(

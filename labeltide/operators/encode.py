@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from .layout import broadcast_if_small
-from .ordering import DEFAULT_BUCKET_WIDTH, dense_row_number
+from ..session import stored
+from .ordering import dense_row_number
 
 PAD_ID = 0
 UNK_ID = 1
@@ -20,17 +20,22 @@ FIRST_TOKEN_ID = 2
 
 
 # --------------------------------------------------------------------- E1
-def build_vocabulary(df: DataFrame, text_col: str, size: int = 30_000,
+def build_vocabulary(df: DataFrame, text_col: str, size: int | None = None,
                      min_count: int = 1) -> DataFrame:
-    """``(token, token_id, count)`` for the ``size`` most frequent tokens.
+    """``(token, token_id, count)`` for all tokens, or the ``size`` most frequent.
 
-    Counting is a partial aggregate over exploded tokens; the top ``size`` is
-    a bounded top-k (``TakeOrderedAndProject``), so only ``size`` rows are
-    ever numbered together.  Ranking: count descending, then token.
+    Counting is a partial aggregate over exploded tokens.  Ranking: count
+    descending, then token.  With a ``size`` the top is a bounded top-k
+    (``TakeOrderedAndProject``); the whole vocabulary is numbered in ranges of
+    that order, so neither meets in one task.
     """
     counts = (df.select(F.explode(tokens(F.col(text_col))).alias("token"))
               .groupBy("token").agg(F.count(F.lit(1)).alias("count"))
               .where(F.col("count") >= min_count))
+    if size is None:
+        ranked = dense_row_number(counts.withColumn("__o", F.struct(-F.col("count"), F.col("token"))), "__o", "__rank")
+        return ranked.select("token", (F.col("__rank") - 1 + FIRST_TOKEN_ID).cast("int").alias("token_id"),
+                             F.col("count").cast("long").alias("count"))
     top = counts.orderBy(F.col("count").desc(), F.col("token").asc()).limit(size)
     rank = F.row_number().over(Window.orderBy(F.col("count").desc(), F.col("token").asc()))
     return top.select("token", (rank - 1 + FIRST_TOKEN_ID).cast("int").alias("token_id"),
@@ -38,35 +43,27 @@ def build_vocabulary(df: DataFrame, text_col: str, size: int = 30_000,
 
 
 # --------------------------------------------------------------------- E2
-def encode_tokens(df: DataFrame, vocab: DataFrame, text_col: str, id_col: str,
-                  out_col: str = "input_ids", max_vocab: int = 1_000_000,
-                  keep_text: bool = False) -> DataFrame:
+def encode_tokens(df: DataFrame, vocab: DataFrame, text_col: str,
+                  out_col: str = "input_ids", keep_text: bool = False) -> DataFrame:
     """Replace ``text_col`` by ``out_col`` ARRAY<INT>: ids in text order, unknown -> UNK_ID.
 
-    The rows are hash-partitioned by ``id_col`` once; the tokens are exploded,
-    looked up in the (size-checked, broadcast) vocabulary and regrouped by the
-    same key, which the exchange already provides, so the tokens themselves
-    are never shuffled.  The text is tokenised before the explode and not
-    carried per token (pass ``keep_text=True`` to keep it).  ``id_col`` must
-    be unique.
+    One row out per row in, whatever ids the rows have: they are regrouped by a
+    row number of their own.  The other columns stay with that number; only
+    ``(row, position, token)`` is exploded, looked up and regrouped, and texts
+    never cross the network.  The vocabulary is stored first, so the planner
+    knows its bytes: below the broadcast threshold the lookup moves no token,
+    above it is a sort-merge join whose hot tokens adaptive execution splits.
     """
-    v = broadcast_if_small(vocab.select(F.col("token").alias("__tok"),
-                                        F.col("token_id").alias("__tid")), max_vocab)
-    carried = [c for c in df.columns if c != id_col and (keep_text or c != text_col)]
-    parted = df.repartition(id_col).select(
-        id_col, *carried, tokens(F.col(text_col)).alias("__toks"))
-    exploded = parted.select(id_col, *carried,
-                             F.posexplode_outer("__toks").alias("__pos", "__t"))
+    v = stored(vocab.select(F.col("token").alias("__tok"), F.col("token_id").alias("__tid")), "vocabulary")
+    carried = [c for c in df.columns if keep_text or c != text_col]
+    rows = stored(df.select(*carried, tokens(F.col(text_col)).alias("__toks"))
+                  .withColumn("__row", F.monotonically_increasing_id()), "tokens")
+    exploded = rows.select("__row", F.posexplode("__toks").alias("__pos", "__t"))
     looked = exploded.join(v, F.col("__t") == F.col("__tok"), "left")
-    pair = F.when(F.col("__pos").isNotNull(),
-                  F.struct(F.col("__pos").alias("p"),
-                           F.coalesce(F.col("__tid"), F.lit(UNK_ID)).alias("i")))
-    grouped = looked.groupBy(id_col).agg(
-        *[F.first(c).alias(c) for c in carried],
-        F.array_sort(F.collect_list(pair)).alias("__pairs"))
-    out_cols = [c for c in df.columns if c in carried or c == id_col]
-    return grouped.select(
-        *out_cols, F.transform("__pairs", lambda x: x["i"]).cast("array<int>").alias(out_col))
+    pair = F.struct(F.col("__pos").alias("p"), F.coalesce(F.col("__tid"), F.lit(UNK_ID)).alias("i"))
+    grouped = looked.groupBy("__row").agg(F.sort_array(F.collect_list(pair)).alias("__pairs"))
+    ids = F.transform(F.coalesce("__pairs", F.array().cast("array<struct<p:int,i:int>>")), lambda x: x["i"]).cast("array<int>")
+    return rows.drop("__toks").join(grouped, "__row", "left").select(*carried, ids.alias(out_col))
 
 
 # --------------------------------------------------------------------- E3
@@ -75,30 +72,32 @@ def truncate_tokens(df: DataFrame, n: int, col: str = "input_ids") -> DataFrame:
 
 
 # --------------------------------------------------------------------- E4
-def longest(df: DataFrame, col: str = "input_ids") -> int:
-    """Global longest sequence (one aggregate, a scalar to the driver)."""
-    row = df.agg(F.max(F.size(col)).alias("m")).first()
-    return int(row["m"] or 0)
-
-
-def pad_and_mask(df: DataFrame, col: str = "input_ids", length: int | None = None,
+def pad_and_mask(df: DataFrame, col: str = "input_ids", batch: str | None = None, length: int | None = None,
                  mask_col: str = "attention_mask") -> DataFrame:
-    """Pad ``col`` with PAD_ID to ``length`` (default: the longest) and add the mask."""
-    if length is None:
-        length = longest(df, col)
+    """Pad ``col`` with PAD_ID and add the mask: to ``length``, or to the longest row of each ``batch`` (E5).
+
+    Batches are small by definition, so padding to their own longest row never
+    multiplies the data by the longest document of the corpus.
+    """
+    if (batch is None) == (length is None):
+        raise ValueError("give either a batch column or a length")
     size = F.size(col)
-    fill = F.greatest(F.lit(length) - size, F.lit(0))
-    ids = F.slice(F.col(col), 1, length)
-    kept = F.least(size, F.lit(length))
-    return (df.withColumn(mask_col, F.concat(F.array_repeat(F.lit(1), kept),
-                                             F.array_repeat(F.lit(0), fill)))
-            .withColumn(col, F.concat(ids, F.array_repeat(F.lit(PAD_ID), fill))))
+    if batch is not None:
+        longest = df.groupBy(batch).agg(F.max(size).alias("__width"))
+        df = df.join(longest.withColumnRenamed(batch, "__batch"), F.col(batch).eqNullSafe(F.col("__batch"))).drop("__batch")
+    else:
+        df = df.withColumn("__width", F.lit(length))
+    fill = F.greatest(F.col("__width") - size, F.lit(0))
+    kept = F.least(size, F.col("__width"))
+    return (df.withColumn(mask_col, F.concat(F.array_repeat(F.lit(1), kept), F.array_repeat(F.lit(0), fill)))
+            .withColumn(col, F.concat(F.slice(F.col(col), F.lit(1), F.col("__width")), F.array_repeat(F.lit(PAD_ID), fill)))
+            .drop("__width"))
 
 
 # --------------------------------------------------------------------- E5
 def assign_batches(df: DataFrame, size: int, order_col: str, out_col: str = "batch",
-                   bucket_width: int = DEFAULT_BUCKET_WIDTH) -> DataFrame:
-    """``batch = (position - 1) div size`` by ``order_col`` (unique integers)."""
-    numbered = dense_row_number(df, order_col, "__pos", bucket_width)
+                   ranges: int | None = None) -> DataFrame:
+    """``batch = (position - 1) div size`` by ``order_col`` (unique)."""
+    numbered = dense_row_number(df, order_col, "__pos", ranges)
     return (numbered.withColumn(out_col, ((F.col("__pos") - 1) / size).cast("long"))
             .drop("__pos"))

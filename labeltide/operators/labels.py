@@ -5,28 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .layout import MAX_BROADCAST_ROWS, broadcast_if_small, checked_small
+from ..session import stored
 from .ordering import dense_row_number
-from .prepare import distinct_labels
 
 # --------------------------------------------------------------------- L1
 def label_dictionary(train: DataFrame, col: str, order_col: str,
-                     label_out: str = "label", id_out: str = "label_id",
-                     small_limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
+                     label_out: str = "label", id_out: str = "label_id") -> DataFrame:
     """Ids 0, 1, ... by order of first appearance of each label in ``train``.
 
-    This is not ``StringIndexer`` (which orders by frequency or alphabet).
-    A size-checked small label set is numbered with one window; a larger one
-    with bucketed prefix sums, so even a very wide column never lands in one
-    task.
+    This is not ``StringIndexer`` (which orders by frequency or alphabet).  The
+    distinct labels are numbered in ranges of their first appearance, so even a
+    very wide column never lands in one task.
     """
-    firsts, small = checked_small(distinct_labels(train, col, order_col, first_col="__first"),
-                                  small_limit)
-    if small:
-        # A checked-small table: one window over it is cheaper than buckets.
-        numbered = firsts.withColumn("__rn", F.row_number().over(Window.orderBy("__first")))
-    else:
-        numbered = dense_row_number(firsts, "__first", "__rn")
+    firsts = (train.where(F.col(col).isNotNull()).groupBy(col).agg(F.min(order_col).alias("__first")))
+    numbered = dense_row_number(firsts, "__first", "__rn")
     return numbered.select(F.col(col).cast("string").alias(label_out),
                            (F.col("__rn") - 1).cast("int").alias(id_out))
 
@@ -41,8 +33,8 @@ def encode_labels(df: DataFrame, dictionary: DataFrame, col: str,
     labels become NULL.
     """
     out_col = out_col or col
-    d = broadcast_if_small(dictionary.select(F.col("label").alias("__dict_label"),
-                                             F.col("label_id").alias("__dict_id")))
+    d = stored(dictionary.select(F.col("label").alias("__dict_label"),
+                                             F.col("label_id").alias("__dict_id")), "dictionary")
     joined = df.join(d, F.col(col).cast("string") == F.col("__dict_label"), "left")
     if as_string:
         value = F.coalesce(F.col("__dict_id").cast("string"), F.col(col).cast("string"))
@@ -58,8 +50,8 @@ def decode_labels(df: DataFrame, dictionary: DataFrame, pred_col: str,
 
     Unknown or NULL ids give ``default`` (``''`` as in the reference).
     """
-    d = broadcast_if_small(dictionary.select(F.col("label").alias("__dict_label"),
-                                             F.col("label_id").cast("string").alias("__dict_id")))
+    d = stored(dictionary.select(F.col("label").alias("__dict_label"),
+                                             F.col("label_id").cast("string").alias("__dict_id")), "dictionary")
     joined = df.join(d, F.col(pred_col).cast("string") == F.col("__dict_id"), "left")
     return (joined.withColumn(out_col, F.coalesce(F.col("__dict_label"), F.lit(default)))
             .drop("__dict_label", "__dict_id"))
@@ -85,6 +77,18 @@ def repair_predictions(c: Column | str, fallback: str | Column = "0") -> Column:
     return F.when(needs_repair(col), fb).otherwise(col)
 
 
+def repair_ids(c: Column | str, n_classes: int, fallback: str | Column = "0") -> Column:
+    """Ids that a scorer gave: whatever is not '0' to ``n_classes`` - 1 becomes ``fallback``.
+
+    ``repair_predictions`` is for generated text, where a label is one character;
+    with ten or more classes an id has more.
+    """
+    col = (F.col(c) if isinstance(c, str) else c).cast("string")
+    fb = fallback if isinstance(fallback, Column) else F.lit(fallback)
+    known = col.rlike("^(0|[1-9][0-9]*)$") & (col.try_cast("int") < n_classes)
+    return F.when(F.coalesce(known, F.lit(False)), col).otherwise(fb)
+
+
 def count_repairs(df: DataFrame, col: str, out_col: str = "repaired") -> DataFrame:
     """How many predictions the repair rule would change (one aggregate)."""
     return df.agg(F.count_if(needs_repair(col)).cast("long").alias(out_col))

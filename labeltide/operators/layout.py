@@ -5,48 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
 
-# Small tables (dictionaries, vocabularies, lexicons, split boundaries) are
-# broadcast only up to this many rows; larger ones take a shuffle join.
-MAX_BROADCAST_ROWS = 100_000
 
+def spread_one_split(df: DataFrame, factor: int = 2) -> DataFrame:
+    """Round-robin the rows of an input no larger than one file split over the cores.
 
-def checked_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Checkpoint ``df`` and tell whether it has at most ``max_rows`` rows.
-
-    The table is written once to the shared checkpoint folder, so the count
-    and every later join read the stored rows instead of recomputing the
-    plan, and nothing stays pinned in executor memory.
-    """
-    df = cut_lineage(df)
-    return df, df.limit(max_rows + 1).count() <= max_rows
-
-
-def hint(df: DataFrame, small: bool) -> DataFrame:
-    """Broadcast hint for a table already known to be small."""
-    return F.broadcast(df) if small else df
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint behind a size check (see ``checked_small``)."""
-    df, small = checked_small(df, max_rows)
-    return hint(df, small)
-
-
-def spread_small_input(df: DataFrame, factor: int = 2) -> DataFrame:
-    """Round-robin the rows when the input has fewer partitions than cores.
-
-    A small input (one file, one row group) is scanned by a single task, and
-    per-row work above the scan (regexes over long texts) then runs on one
-    core.  When the planned partitions are fewer than the cluster's default
-    parallelism the input is small by definition and one extra shuffle is
-    cheap; on a large input this is a no-op.
+    Such an input (one file of one row group) is scanned by a single task, and
+    the regex work above the scan would run on one core.  The bound is bytes,
+    ``spark.sql.files.maxPartitionBytes``, so the shuffle never moves more than
+    one task's input whatever the size of the cluster.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target * factor)
+    spark = df.sparkSession
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes").lower())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores * factor) if size <= split and df.rdd.getNumPartitions() < cores else df
 
 
 def keep_where(df: DataFrame, cond: Column) -> DataFrame:

@@ -15,30 +15,35 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labels import repair_predictions
+from .labels import repair_ids, repair_predictions
 
 
 # --------------------------------------------------------------------- A1
 def confusion(df: DataFrame, truth: str = "label", pred: str = "prediction",
-              repair: bool = False, fallback: str = "0") -> DataFrame:
-    """Long-form confusion matrix ``(label, prediction, n)``; zero cells absent."""
-    p = repair_predictions(pred, fallback) if repair else F.col(pred)
-    return (df.select(F.col(truth).cast("string").alias("label"),
+              repair: bool = False, fallback: str = "0", n_classes: int | None = None) -> DataFrame:
+    """Long-form confusion matrix ``(label, prediction, n)``; zero cells absent.
+
+    Rows without a truth are no evidence and are left out (``unlabelled`` counts
+    them).  ``repair`` mends predictions: one-character labels by default, ids
+    below ``n_classes`` where that is given.
+    """
+    p = F.col(pred)
+    if repair:
+        p = repair_predictions(pred, fallback) if n_classes is None else repair_ids(pred, n_classes, fallback)
+    return (df.where(F.col(truth).isNotNull()).select(F.col(truth).cast("string").alias("label"),
                       p.cast("string").alias("prediction"))
             .groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n")))
 
 
-def confusion_wide(conf: DataFrame, classes: Sequence[str] | None = None) -> DataFrame:
-    """A1 wide form: one row per truth, one column per predicted class.
+def unlabelled(df: DataFrame, truth: str = "label") -> DataFrame:
+    """How many rows ``confusion`` leaves out for want of a truth."""
+    return df.agg(F.count_if(F.col(truth).isNull()).cast("long").alias("unlabelled"))
 
-    Without ``classes`` the columns are the predicted classes found in the
-    (at most k*k row) confusion table, in sorted order.
-    """
-    grouped = conf.groupBy("label")
-    pivoted = grouped.pivot("prediction", list(classes)) if classes is not None else \
-        grouped.pivot("prediction")
-    out = pivoted.agg(F.sum("n"))
-    return out.fillna(0, subset=[c for c in out.columns if c != "label"]).orderBy("label")
+
+def confusion_wide(conf: DataFrame, classes: Sequence[str]) -> DataFrame:
+    """A1 wide form: one row per truth, one column per class of ``classes``, zeros included."""
+    cells = [F.coalesce(F.sum(F.when(F.col("prediction") == c, F.col("n"))), F.lit(0)).cast("long").alias(c) for c in classes]
+    return conf.groupBy("label").agg(*cells).orderBy("label")
 
 
 # --------------------------------------------------------------------- A2
@@ -118,9 +123,9 @@ def summary(conf: DataFrame) -> DataFrame:
 
 
 def classification_report(df: DataFrame, truth: str = "label", pred: str = "prediction",
-                          repair: bool = True, fallback: str = "0") -> DataFrame:
+                          repair: bool = True, fallback: str = "0", n_classes: int | None = None) -> DataFrame:
     """The printed report as one row, from a single aggregate over ``df``."""
-    return summary(confusion(df, truth, pred, repair, fallback))
+    return summary(confusion(df, truth, pred, repair, fallback, n_classes))
 
 
 def accuracy(df: DataFrame, truth: str = "label", pred: str = "prediction") -> DataFrame:

@@ -1,14 +1,11 @@
 """Order-dependent helpers that never put all rows into one task.
 
 A global ``Window.orderBy`` without ``partitionBy`` moves every row to a single
-partition.  These helpers split the order into value buckets instead:
-
-* with a unique integer order column, a bucket of width ``W`` holds at most
-  ``W`` rows, so every window partition is bounded whatever the skew of other
-  columns;
-* only one row per bucket goes through the small global step (prefix sums,
-  carries), and that table is joined back on the bucket key, which the data
-  side is already hash-partitioned by, so the data is shuffled once.
+partition.  ``in_ranges`` range-partitions the rows by the order instead, which
+balances them whatever the spacing of the order values (ids may be sparse), and
+numbers them inside each range.  Only one row per range goes through the global
+step (prefix sums, carries).  The ranged rows are written once: the bounds come
+from a sample, so computing them twice could give two different ranges.
 """
 
 from __future__ import annotations
@@ -16,35 +13,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKET_WIDTH = 1 << 18
+from ..session import stored
 
+RANGE, PLACE = "__range", "__place"
 
-def bucket_of(order: Column | str, width: int) -> Column:
-    """Bucket number of a non-negative or negative integer order value."""
-    o = F.col(order) if isinstance(order, str) else order
-    return F.floor(o / F.lit(width)).cast("long")
+
+def in_ranges(df: DataFrame, order_col: str, ranges: int | None = None) -> DataFrame:
+    """``df`` with its range number and the position (from 0) inside the range, by ``order_col``."""
+    parted = df.repartitionByRange(ranges, order_col) if ranges else df.repartitionByRange(order_col)
+    serial = F.monotonically_increasing_id()  # partition number, then position, in 33 bits
+    return stored(parted.sortWithinPartitions(order_col)
+                  .withColumn(RANGE, F.shiftright(serial, 33).cast("int"))
+                  .withColumn(PLACE, serial.bitwiseAND((1 << 33) - 1)), "ranges")
+
+
+def earlier_ranges() -> Window:
+    """Window over a table of one row per range: all ranges before this one."""
+    return Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def dense_row_number(df: DataFrame, order_col: str, out_col: str = "row_number",
-                     bucket_width: int = DEFAULT_BUCKET_WIDTH) -> DataFrame:
-    """Add ``out_col`` = 1-based position of each row in ``order_col`` order.
-
-    ``order_col`` must be a unique integer column (e.g. ``row_ord``).  Work is
-    one shuffle of the data by bucket plus a job over one row per bucket.
-    """
-    b = "__bucket"
-    keyed = df.withColumn(b, bucket_of(order_col, bucket_width))
-    sizes = keyed.groupBy(b).agg(F.count(F.lit(1)).alias("__n"))
-    offsets = sizes.select(
-        b,
-        (F.sum("__n").over(Window.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)))
-        .alias("__offset"),
-    ).fillna(0, subset=["__offset"])
-    local = keyed.withColumn(
-        "__local", F.row_number().over(Window.partitionBy(b).orderBy(order_col)))
-    return (local.join(offsets, b, "inner")
-            .withColumn(out_col, (F.col("__offset") + F.col("__local")).cast("long"))
-            .drop(b, "__offset", "__local"))
+                     ranges: int | None = None) -> DataFrame:
+    """Add ``out_col`` = 1-based position of each row in ``order_col`` order (a unique column)."""
+    ranged = in_ranges(df, order_col, ranges)
+    sizes = ranged.groupBy(RANGE).agg(F.count(F.lit(1)).alias("__n"))
+    offsets = sizes.select(RANGE, F.coalesce(F.sum("__n").over(earlier_ranges()), F.lit(0)).alias("__offset"))
+    return (ranged.join(offsets, RANGE)
+            .withColumn(out_col, (F.col("__offset") + F.col(PLACE) + 1).cast("long"))
+            .drop(RANGE, PLACE, "__offset"))
 
 
 def hash_key(cols: list[str] | str, salt: str | None = None) -> Column:

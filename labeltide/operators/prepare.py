@@ -12,40 +12,35 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .layout import broadcast_if_small
-from .ordering import DEFAULT_BUCKET_WIDTH, bucket_of, hash_key
+from ..session import stored
+from .ordering import PLACE, RANGE, earlier_ranges, hash_key, in_ranges
 
 
 # --------------------------------------------------------------------- D1
 def forward_fill(df: DataFrame, cols: Sequence[str], order_col: str,
-                 bucket_width: int = DEFAULT_BUCKET_WIDTH) -> DataFrame:
-    """Replace NULLs in ``cols`` by the last non-NULL value earlier in ``order_col``.
-
-    Two phases, no single-partition window over the data:
-      1. per bucket of ``bucket_width`` consecutive order values, the last
-         non-NULL value of each column (``max`` of a struct led by the order);
-      2. over the one-row-per-bucket table, the value carried in from earlier
-         buckets; then a fill inside each bucket window, coalesced with it.
-    ``order_col`` must be a unique integer column.
+                 ranges: int | None = None) -> DataFrame:
+    """Replace NULLs in ``cols`` by the last non-NULL value earlier in ``order_col`` (unique).
+
+    The rows are range-partitioned by the order.  Each range gives the last
+    non-NULL value of each column (``max`` of a struct led by the position);
+    over one row per range, the values carried in from earlier ranges follow;
+    a fill inside each range is coalesced with them.
     """
     cols = list(cols)
     if not cols:
         return df
-    b = "__ff_bucket"
-    keyed = df.withColumn(b, bucket_of(order_col, bucket_width))
-    last_in_bucket = keyed.groupBy(b).agg(*[
-        F.max(F.when(F.col(c).isNotNull(), F.struct(F.col(order_col).alias("o"),
-                                                     F.col(c).alias("v"))))
+    ranged = in_ranges(df, order_col, ranges)
+    last = ranged.groupBy(RANGE).agg(*[
+        F.max(F.when(F.col(c).isNotNull(), F.struct(F.col(PLACE).alias("o"), F.col(c).alias("v"))))
         .alias(f"__last_{i}") for i, c in enumerate(cols)])
-    earlier = Window.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    carries = last_in_bucket.select(b, *[
-        F.last(F.col(f"__last_{i}.v"), ignorenulls=True).over(earlier).alias(f"__carry_{i}")
+    carries = last.select(RANGE, *[
+        F.last(F.col(f"__last_{i}.v"), ignorenulls=True).over(earlier_ranges()).alias(f"__carry_{i}")
         for i in range(len(cols))])
-    inside = Window.partitionBy(b).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-    filled = keyed.select(*[
+    inside = Window.partitionBy(RANGE).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, 0)
+    filled = ranged.select(*[
         F.last(F.col(c), ignorenulls=True).over(inside).alias(c) if c in cols else F.col(c)
-        for c in df.columns], b)
-    out = filled.join(carries, b, "left")
+        for c in df.columns], RANGE)
+    out = filled.join(carries, RANGE, "left")
     return out.select(*[
         F.coalesce(F.col(c), F.col(f"__carry_{cols.index(c)}")).alias(c) if c in cols
         else F.col(c) for c in df.columns])
@@ -68,27 +63,20 @@ def dedup_rows(df: DataFrame, order_col: str | None = None) -> DataFrame:
 
 # --------------------------------------------------------------------- D3
 def dedup_text(df: DataFrame, col: str, order_col: str) -> DataFrame:
-    """Keep, per distinct value of ``col``, the row with the smallest order.
-
-    A partial aggregate: a hot text costs one entry per map task before the
-    shuffle, not one row per copy.  When only the order is carried the
-    aggregate is ``min(order)`` (hash-based).  Otherwise the row is carried as
-    ``min(struct(order, ...))``, which Spark aggregates by sorting; the
-    grouping key then leads with a 64-bit hash of the text so the sort works
-    on well-spread fixed-width prefixes, and the text itself keeps the
-    grouping exact.
+    """Keep, per distinct value of ``col``, the row with the smallest order (unique).
+
+    Texts are compared by their SHA-256, so the exchange carries 32 bytes and an
+    order per row, never the text, and a hot text costs one entry per map task
+    (a hash aggregate of ``min(order)``).  The other columns come back by a
+    join on the order with the few columns of the rows that stay.
     """
-    rest = [c for c in df.columns if c not in (col, order_col)]
-    if not rest:
-        return (df.groupBy(col).agg(F.min(order_col).alias(order_col))
-                .select(*df.columns))
-    first = F.min(F.struct(F.col(order_col).alias("__o"),
-                           *[F.col(c).alias(c) for c in rest])).alias("__first")
-    agg = df.groupBy(F.xxhash64(col).alias("__h"), F.col(col)).agg(first)
-    return agg.select(*[
-        F.col(col) if c == col else
-        F.col("__first.__o").alias(order_col) if c == order_col else
-        F.col(f"__first.{c}").alias(c) for c in df.columns])
+    return df.join(first_orders(df, col, order_col), order_col, "left_semi")
+
+
+def first_orders(df: DataFrame, col: str, order_col: str) -> DataFrame:
+    """Only the orders of the rows that ``dedup_text`` keeps; nothing else is read or moved."""
+    digest = F.unhex(F.sha2(F.col(col), 256)).alias("__digest")
+    return df.select(digest, order_col).groupBy("__digest").agg(F.min(order_col).alias(order_col)).select(order_col)
 
 
 # --------------------------------------------------------------------- D4
@@ -148,48 +136,42 @@ def stratified_split(df: DataFrame, frac: float, key_cols: Sequence[str] | str,
 
     The held-out rows of a group are those with the smallest MD5 of the key
     columns (ties broken by the key itself), so the split is reproducible and
-    independent of partitioning.  No window runs over a whole group: a
-    histogram of hash prefixes per group finds the boundary prefix, rows below
-    it are held out, rows above it kept, and only the rows of the boundary
-    bucket (about sqrt(n) of them) are ranked.
+    independent of partitioning; a NULL group is a group, and rows that repeat
+    the key of the cut are held out with it.  No window runs over a whole group:
+    over the stored keys, a histogram of hash prefixes finds each group's
+    boundary prefix, only that bucket (about sqrt(n) rows) is ranked, and its
+    cut, one row per group, marks the data in one projection and one scan.
     """
     if not 0 <= frac <= 1:
         raise ValueError("frac must be within [0, 1]")
     key_cols = [key_cols] if isinstance(key_cols, str) else list(key_cols)
-    g = by if by is not None else "__g"
-    base = df if by is not None else df.withColumn(g, F.lit(0))
-    n = base.count()
-    plen = _prefix_len(n)
+    g = "__g"
+    base = df.withColumn(g, F.col(by) if by is not None else F.lit(0))
     h = hash_key(key_cols, salt)
-    keyed = base.withColumn("__h", h).withColumn("__p", F.substring("__h", 1, plen))
+    keyed = base.withColumn("__h", h)
+    slim = stored(keyed.select(g, "__h", *[F.col(c).alias(f"__key_{i}") for i, c in enumerate(key_cols)]), "split-keys")
+    plen = _prefix_len(slim.count())
+    slim = slim.withColumn("__p", F.substring("__h", 1, plen))
 
-    hist = keyed.groupBy(g, "__p").agg(F.count(F.lit(1)).alias("__n"))
+    hist = slim.groupBy(g, "__p").agg(F.count(F.lit(1)).alias("__n"))
     per_group = Window.partitionBy(g)
-    upto = Window.partitionBy(g).orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)
+    upto = per_group.orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)
     bounds = (hist
               .withColumn("__k", F.ceil(F.sum("__n").over(per_group) * F.lit(float(frac))))
               .withColumn("__cum", F.sum("__n").over(upto))
               .where((F.col("__cum") >= F.col("__k")) & (F.col("__cum") - F.col("__n") < F.col("__k")))
-              .select(g, F.col("__p").alias("__bp"),
+              .select(F.col(g).alias("__bg"), F.col("__p").alias("__bp"),
                       (F.col("__k") - (F.col("__cum") - F.col("__n"))).alias("__rem")))
-    if by is None:
-        # One group: the boundary is two scalars (a hex prefix and a count).
-        row = bounds.first()
-        bp = F.lit(row["__bp"] if row else None).cast("string")
-        rem = F.lit(row["__rem"] if row else 0).cast("long")
-        marked = keyed.withColumn("__bp", bp).withColumn("__rem", rem)
-    else:
-        # One row per group: broadcast only when the number of groups is small.
-        marked = keyed.join(broadcast_if_small(bounds), g, "left")
-    simple = (marked.where(F.col("__bp").isNull() | (F.col("__p") != F.col("__bp")))
-              .withColumn(out_col, F.when(F.col("__bp").isNotNull() & (F.col("__p") < F.col("__bp")),
-                                          F.lit(held)).otherwise(F.lit(kept))))
-    boundary = marked.where(F.col("__p") == F.col("__bp"))
-    rank = F.row_number().over(Window.partitionBy(g, "__p").orderBy("__h", *key_cols))
-    boundary = boundary.withColumn(
-        out_col, F.when(rank <= F.col("__rem"), F.lit(held)).otherwise(F.lit(kept)))
-    out = simple.unionByName(boundary)
-    return out.select(*df.columns, out_col)
+    # The exact cut of each group: the last held-out (hash, key) of its boundary bucket.
+    keys = [f"__key_{i}" for i in range(len(key_cols))]
+    rank = F.row_number().over(Window.partitionBy(g, "__p").orderBy("__h", *keys))
+    edge = slim.join(bounds, F.col(g).eqNullSafe(F.col("__bg")) & (F.col("__p") == F.col("__bp")))
+    cuts = edge.withColumn("__r", rank).where("__r = __rem")
+    cuts = stored(cuts.select(F.col(g).alias("__bg"), F.struct("__h", *keys).alias("__cut")), "split-cuts")
+    own = F.struct(F.col("__h"), *[F.col(c).alias(k) for c, k in zip(key_cols, keys)])
+    marked = keyed.join(cuts, F.col(g).eqNullSafe(F.col("__bg")), "left")
+    side = F.when(own <= F.col("__cut"), F.lit(held)).otherwise(F.lit(kept))
+    return marked.withColumn(out_col, side).select(*df.columns, out_col)
 
 
 def holdout_split(df: DataFrame, frac: float, key_cols: Sequence[str] | str,

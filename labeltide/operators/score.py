@@ -21,6 +21,9 @@ from pyspark.sql import types as T
 
 from .labels import argmax
 
+#: A model beyond this is refused rather than collected and broadcast.
+MAX_MODEL_BYTES = 1 << 30
+
 ScorerFactory = Callable[[], Callable[["pyarrow.RecordBatch"], np.ndarray]]
 
 
@@ -107,6 +110,8 @@ def train_token_scorer(encoded: DataFrame, ids_col: str, label_col: str, n_class
               .groupBy(F.col(label_col).cast("int").alias("c")).agg(F.count(F.lit(1)).alias("n")))
     # The aggregated model (<= vocab_size x n_classes cells) arrives as one
     # Arrow batch and is scattered into the matrix without a row loop.
+    if vocab_size * n_classes * 8 > MAX_MODEL_BYTES:
+        raise ValueError(f"{vocab_size} x {n_classes} weights exceed {MAX_MODEL_BYTES} bytes; bound the vocabulary (build_vocabulary size)")
     cells = pairs.where((F.col("c") >= 0) & (F.col("c") < n_classes)).toPandas()
     counts = np.zeros((vocab_size, n_classes))
     counts[cells["t"].to_numpy(dtype=np.int64), cells["c"].to_numpy(dtype=np.int64)] = cells["n"]
@@ -134,7 +139,8 @@ def train_text_classifier(train: DataFrame, text_col: str, label_col: str,
 
     The hashed term frequencies are persisted once: the IDF fit, the
     regression's summary pass and every optimiser iteration read them instead
-    of re-tokenising the texts.  Returns a ``PipelineModel``.
+    of re-tokenising the texts.  Labels are class numbers (see
+    ``train_named_classifier`` for names).  Returns a ``PipelineModel``.
     """
     from pyspark.ml import PipelineModel
     from pyspark.ml.classification import LogisticRegression
@@ -143,30 +149,36 @@ def train_text_classifier(train: DataFrame, text_col: str, label_col: str,
     tokenizer = RegexTokenizer(inputCol=text_col, outputCol="__tokens", pattern=r"\s+",
                                toLowercase=False)
     hashing = HashingTF(inputCol="__tokens", outputCol="__tf", numFeatures=num_features)
-    data = train.select(text_col, F.col(label_col).cast("double").alias(label_col)).where(
+    label = F.col(label_col).try_cast("double")
+    data = train.select(text_col, label.alias("__label"), F.col(label_col).alias("__raw_label")).where(
         F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    tf = hashing.transform(tokenizer.transform(data)).select("__tf", label_col).persist()
+    bad = data.where(F.col("__label").isNull()).select(F.col("__raw_label").cast("string")).first()
+    if bad is not None:
+        raise ValueError(f"label {bad[0]!r} is no number; number the labels first (label_dictionary, encode_labels)")
+    tf = hashing.transform(tokenizer.transform(data)).select("__tf", "__label").persist()
     try:
         idf = IDF(inputCol="__tf", outputCol="__features").fit(tf)
-        feats = idf.transform(tf).select("__features", label_col)
-        # Every optimiser iteration is a job over the cached features: one task
-        # wave per iteration (narrow coalesce, never a shuffle or a split).
-        waves = feats.sparkSession.sparkContext.defaultParallelism
-        if feats.rdd.getNumPartitions() > waves:
-            feats = feats.coalesce(waves)
-        feats = feats.persist()
-        try:
-            lr = LogisticRegression(featuresCol="__features", labelCol=label_col,
-                                    maxIter=max_iter, regParam=reg_param, family="auto",
-                                    predictionCol="__pred", probabilityCol="__prob",
-                                    rawPredictionCol="__raw").fit(feats)
-        finally:
-            feats.unpersist()
+        # The scaling stays a projection over the one cached table.
+        feats = idf.transform(tf).select("__features", "__label")
+        lr = LogisticRegression(featuresCol="__features", labelCol="__label",
+                                maxIter=max_iter, regParam=reg_param, family="auto",
+                                predictionCol="__pred", probabilityCol="__prob",
+                                rawPredictionCol="__raw").fit(feats)
     finally:
         tf.unpersist()
     return PipelineModel(stages=[tokenizer, hashing, idf, lr])
 
 
+def train_named_classifier(train: DataFrame, text_col: str, label_col: str, order_col: str, **options):
+    """L9 for labels of any kind: (model, dictionary), the labels numbered by L1."""
+    from ..session import stored
+    from .labels import encode_labels, label_dictionary
+
+    dictionary = stored(label_dictionary(train, label_col, order_col), "dictionary")
+    numbered = encode_labels(train, dictionary, label_col, "__id", as_string=False)
+    return train_text_classifier(numbered.select(text_col, "__id"), text_col, "__id", **options), dictionary
+
+
 def apply_classifier(model, df: DataFrame, text_col: str, pred_col: str = "prediction",
                      prob_col: str = "probability") -> DataFrame:
     """Prediction (class index as string) and the probability vector as an array."""

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_text
 from ..operators import encode, labels, metrics, prepare, score
-from ..session import cut_lineage
+from ..session import stored
 
 
 def prepare_corpus(df: DataFrame, text_col: str = "text", order_col: str = "row_ord",
@@ -46,15 +46,14 @@ def class_distribution(docs: DataFrame, gold: DataFrame, key: str, label_expr,
                        text_col: str = "text") -> DataFrame:
     """Class counts over cleaned, text-deduplicated rows joined to gold labels."""
     cleaned = docs.select(key, clean_text(F.col(text_col)).alias(text_col))
-    first = prepare.dedup_text(cleaned, text_col, key)
-    joined = first.select(key).join(gold, key, "inner")
+    joined = prepare.first_orders(cleaned, text_col, key).join(gold, key, "inner")
     return prepare.value_counts(joined.select(label_expr.alias("label")), "label", "n")
 
 
 def score_and_evaluate(train: DataFrame, test: DataFrame, gold: DataFrame,
                        id_col: str = "id", text_col: str = "text", label_col: str = "label",
-                       order_col: str = "row_ord", vocab_size: int = 30_000,
-                       max_len: int | None = 512, fallback: str = "0"):
+                       order_col: str = "row_ord", vocab_size: int | None = None,
+                       max_len: int | None = None, fallback: str = "0"):
     """Fit a token scorer on ``train`` and evaluate it on ``test`` against ``gold``.
 
     Returns ``(predictions, report, unmatched)``; predictions carry the decoded
@@ -62,27 +61,27 @@ def score_and_evaluate(train: DataFrame, test: DataFrame, gold: DataFrame,
     is the id given to empty or malformed predictions: ``"0"`` as the scoring
     scripts do, or ``"majority"`` for the most frequent training label.
     """
-    train_c = prepare_corpus(train, text_col, order_col)
+    train_c = stored(prepare_corpus(train, text_col, order_col).where(F.col(label_col).isNotNull()), "train")
     test_c = prepare_corpus(test, text_col, order_col, drop_nulls="none")
-    dictionary = cut_lineage(labels.label_dictionary(train_c, label_col, order_col))
+    dictionary = stored(labels.label_dictionary(train_c, label_col, order_col), "dictionary")
     n_classes = dictionary.count()
-    vocab = cut_lineage(encode.build_vocabulary(train_c, text_col, vocab_size))
-    train_e = encode.encode_tokens(
+    vocab = stored(encode.build_vocabulary(train_c, text_col, vocab_size), "vocabulary")
+    train_e = stored(encode.encode_tokens(
         labels.encode_labels(train_c, dictionary, label_col, "label_id", as_string=False),
-        vocab, text_col, id_col)
-    test_e = encode.encode_tokens(test_c, vocab, text_col, id_col)
+        vocab, text_col), "encoded")
+    test_e = encode.encode_tokens(test_c, vocab, text_col)
     if max_len:
         train_e = encode.truncate_tokens(train_e, max_len)
         test_e = encode.truncate_tokens(test_e, max_len)
     factory = score.train_token_scorer(train_e, "input_ids", "label_id", n_classes,
-                                       vocab_size + encode.FIRST_TOKEN_ID)
-    scored = score.score_batches(test_e, factory, id_col, ["input_ids"], pred_col="pred_id")
+                                       vocab.count() + encode.FIRST_TOKEN_ID)
+    scored = stored(score.score_batches(test_e, factory, id_col, ["input_ids"], pred_col="pred_id"), "scored")
     decoded = labels.decode_labels(scored, dictionary, "pred_id", "prediction")
     gold_ids = labels.encode_labels(gold, dictionary, label_col, "gold_id")
     paired = prepare.align_by_id(decoded, gold_ids.select(id_col, "gold_id"), id_col)
     if fallback == "majority":
         fallback = labels.majority_fallback(
             labels.encode_labels(train_c, dictionary, label_col, "train_id"), "train_id") or "0"
-    report = metrics.classification_report(paired, "gold_id", "pred_id", fallback=fallback)
+    report = metrics.classification_report(paired, "gold_id", "pred_id", fallback=fallback, n_classes=n_classes)
     missing = prepare.unmatched(decoded, gold, id_col)
     return decoded, report, missing

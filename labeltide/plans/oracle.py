@@ -8,11 +8,11 @@ calls with RE2 patterns.  Tables are the driver's pre-registered views.
 from __future__ import annotations
 
 from .catalog import (BATCH_SIZE, DOC_BATCH, HOLDOUT_FRAC, LOGIT_CLASSES, MAX_TOKENS,
-                      SHUFFLE_SEED, STRATIFIED_FRAC, VOCAB_MIN_COUNT, VOCAB_SIZE)
+                      SHUFFLE_SEED, STRATIFIED_FRAC)
 
 WS = r"\t\n\x0b\x0c\r\x1c-\x1f \x85\p{Z}"
 
-# One (pattern, replacement) per cleaning step, RE2 syntax.
+# One (pattern, replacement) per cleaning step, in RE2 spelling.
 _STEPS = {
     "emails": (r"[a-zA-Z0-9_.-]+@[a-zA-Z0-9_.-]+", ""),
     "ipv4": (r"((25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)(\.|$)){4}", ""),
@@ -57,8 +57,14 @@ URL_TEXT = ("'see ' || url || ' www.' || CAST(page_id AS VARCHAR) || '.org awwwe
 ARGMAX_ALL = "CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER)"
 
 
+def logits(k: int) -> str:
+    """Sums over every k-th value, added in order as the query adds them."""
+    return (f"list_transform(range({k}), lambda c: list_reduce(list_prepend(0.0::DOUBLE, "
+            f"list_transform(list_filter(range(len(embedding)), lambda i: i % {k} = c), lambda i: embedding[i + 1]::DOUBLE)), lambda t, x: t + x))")
+
+
 def argmax_first(k: int) -> str:
-    return (f"CAST(list_position(embedding[1:{k}], list_max(embedding[1:{k}])) - 1 AS INTEGER)")
+    return f"CAST(list_position({logits(k)}, list_max({logits(k)})) - 1 AS INTEGER)"
 
 
 SCORED = (f"SELECT vec_id, CAST(label AS VARCHAR) AS label, "
@@ -81,8 +87,7 @@ VOCAB = f"""
          cnt AS count
   FROM (SELECT token, count(*)::BIGINT AS cnt
         FROM (SELECT unnest({toks('text')}) AS token FROM ({DOCS_CLEAN}))
-        GROUP BY token HAVING count(*) >= {VOCAB_MIN_COUNT}
-        ORDER BY cnt DESC, token LIMIT {VOCAB_SIZE})"""
+        GROUP BY token)"""
 LEXICON = (f"SELECT DISTINCT unnest({toks(clean('text'))}) AS token FROM benchmark")
 DOC_TOKS = f"SELECT doc_id, {toks('text')} AS toks FROM ({DOCS_CLEAN})"
 EVENT_DICT = """
@@ -132,8 +137,8 @@ ORACLE["forward_fill"] = """
     last_value(l.toxic IGNORE NULLS) OVER (ORDER BY d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS toxic
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
 
-ORACLE["dedup_rows"] = ("SELECT min(doc_id) AS row_ord, lang, source FROM documents "
-                        "GROUP BY lang, source")
+ORACLE["dedup_rows"] = ("SELECT min(doc_id) AS row_ord, text, lang, source, n_chars FROM documents "
+                        "GROUP BY text, lang, source, n_chars")
 
 ORACLE["dedup_text"] = f"""
   SELECT doc_id, text, lang FROM (
@@ -152,11 +157,18 @@ ORACLE["union_datasets"] = """
   SELECT item_id AS doc_id, text, NULL AS lang, 'benchmark' AS source, 1 AS source_rank FROM benchmark"""
 
 ORACLE["holdout_split"] = f"""
-  SELECT doc_id,
+  SELECT *,
     CASE WHEN row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR)))
               <= ceil(count(*) OVER () * {HOLDOUT_FRAC}) THEN 'dev' ELSE 'train' END AS split
   FROM documents"""
 
+ORACLE["stratified_split_nulls"] = f"""
+  SELECT doc_id, lang, quality, toxic,
+    CASE WHEN row_number() OVER (PARTITION BY toxic ORDER BY md5(CAST(doc_id AS VARCHAR)))
+              <= ceil(count(*) OVER (PARTITION BY toxic) * {STRATIFIED_FRAC})
+         THEN 'dev' ELSE 'train' END AS split
+  FROM documents LEFT JOIN labels USING (doc_id)"""
+
 ORACLE["stratified_split"] = f"""
   SELECT doc_id, toxic,
     CASE WHEN row_number() OVER (PARTITION BY toxic ORDER BY md5(CAST(doc_id AS VARCHAR)))
@@ -190,13 +202,13 @@ ORACLE["unmatched"] = """
   UNION ALL
   SELECT doc_id, 'gold' AS side FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)"""
 
-ORACLE["shuffle_order"] = (f"SELECT doc_id, md5(CAST(doc_id AS VARCHAR) || ':{SHUFFLE_SEED}') "
+ORACLE["shuffle_order"] = (f"SELECT *, md5(CAST(doc_id AS VARCHAR) || ':{SHUFFLE_SEED}') "
                            f"AS shuffle_key FROM documents")
 
 ORACLE["label_dictionary"] = EVENT_DICT.format(where="")
 
 ORACLE["encode_labels"] = f"""
-  WITH d AS ({EVENT_DICT.format(where="WHERE event_type <> 'error'")})
+  WITH a AS ({EVENT_DICT.format(where="")}), d AS (SELECT * FROM a WHERE label_id < (SELECT max(label_id) FROM a))
   SELECT e.event_id, coalesce(CAST(d.label_id AS VARCHAR), e.event_type) AS label
   FROM events e LEFT JOIN d ON e.event_type = d.label"""
 
@@ -250,7 +262,7 @@ ORACLE["accuracy"] = (f"SELECT round(avg(CASE WHEN label = prediction THEN 1.0 E
 
 ORACLE["mean_loss"] = f"""
   WITH r AS (
-    SELECT vec_id, label, CAST(embedding[1:{LOGIT_CLASSES}] AS DOUBLE[]) AS l,
+    SELECT vec_id, label, {logits(LOGIT_CLASSES)} AS l,
            (row_number() OVER (ORDER BY vec_id) - 1) // {BATCH_SIZE} AS batch
     FROM embeddings),
   ce AS (
@@ -281,17 +293,22 @@ ORACLE["encode_tokens"] = f"""
          CAST(len(coalesce(e.ids, [])) AS INTEGER) AS n_tokens
   FROM d LEFT JOIN e ON d.doc_id = e.doc_id"""
 
-ORACLE["pad_and_mask"] = f"""
+ORACLE["truncate_tokens"] = f"""
   WITH {_ENCODED},
-  tr AS (SELECT d.doc_id, coalesce(e.ids[1:{MAX_TOKENS}], []) AS ids
-         FROM d LEFT JOIN e ON d.doc_id = e.doc_id),
-  m AS (SELECT max(len(ids)) AS L FROM tr)
-  SELECT doc_id,
-         array_to_string(list_concat(ids, list_transform(range(m.L - len(ids)), lambda x: 0)), ',') AS input_ids,
-         CAST(len(ids) AS INTEGER) AS n_tokens
-  FROM tr, m"""
+  tr AS (SELECT d.doc_id, coalesce(e.ids[1:{MAX_TOKENS}], []) AS ids FROM d LEFT JOIN e ON d.doc_id = e.doc_id)
+  SELECT doc_id, array_to_string(ids, ',') AS input_ids, CAST(len(ids) AS INTEGER) AS n_tokens FROM tr"""
 
-ORACLE["assign_batches"] = (f"SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // {DOC_BATCH} "
+ORACLE["pad_and_mask"] = f"""
+  WITH {_ENCODED},
+  r AS (SELECT d.doc_id, coalesce(e.ids, []) AS ids, (row_number() OVER (ORDER BY d.doc_id) - 1) // {DOC_BATCH} AS batch
+        FROM d LEFT JOIN e ON d.doc_id = e.doc_id),
+  w AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch) AS L FROM r)
+  SELECT doc_id, batch,
+         md5(array_to_string(list_concat(ids, list_transform(range(L - len(ids)), lambda x: 0)), ',')) AS ids_md5,
+         CAST(L AS INTEGER) AS width, CAST(len(ids) AS INTEGER) AS n_tokens
+  FROM w"""
+
+ORACLE["assign_batches"] = (f"SELECT *, (row_number() OVER (ORDER BY doc_id) - 1) // {DOC_BATCH} "
                             f"AS batch FROM documents")
 
 ORACLE["augment_drop"] = f"""
@@ -303,6 +320,9 @@ ORACLE["augment_drop"] = f"""
          array_to_string(toks[(CASE WHEN pf THEN 1 ELSE 2 END):(CASE WHEN pl THEN len(toks) ELSE len(toks) - 1 END)], ' ') AS text
   FROM f WHERE NOT (pf AND pl)"""
 
+ORACLE["augment_drop_emptied"] = ORACLE["augment_drop"].replace(
+    f"({DOC_TOKS})", f"(SELECT doc_id, toks FROM ({DOC_TOKS}) WHERE doc_id % 5 <> 0)")
+
 ORACLE["augment_replace"] = f"""
   WITH lex AS ({LEXICON}), v AS ({VOCAB}),
   s AS (SELECT a.token, b.token AS substitute FROM v a JOIN v b ON b.token_id = a.token_id + 1),
@@ -361,8 +381,100 @@ ORACLE["registry_load"] = f"""
 
 ORACLE["stream_clean"] = f"SELECT doc_id, {clean('text')} AS text FROM documents WHERE text IS NOT NULL"
 
-ORACLE["confusion_wide"] = (f"PIVOT ({CONF}) ON prediction "
-                            f"USING CAST(coalesce(sum(n), 0) AS BIGINT) GROUP BY label")
+ORACLE["confusion_wide"] = "SELECT label, " + ", ".join(
+    f"coalesce(sum(n) FILTER (WHERE prediction = '{k}'), 0)::BIGINT AS \"{k}\"" for k in range(10)) + f" FROM ({CONF}) GROUP BY label"
+
+
+def report(scored: str) -> str:
+    """The summary of (label, prediction) rows; rows without a truth are left out."""
+    return f"""
+  SELECT round(sum(f1 * support) / sum(support), 6) AS f1_weighted, round(avg(f1), 6) AS f1_macro,
+         round(sum(tp)::DOUBLE / sum(support), 6) AS f1_micro, round(sum(tp)::DOUBLE / sum(support), 6) AS accuracy,
+         round(CASE WHEN (sum(support)::DOUBLE * sum(support) - sum(predicted::DOUBLE * predicted))
+                      * (sum(support)::DOUBLE * sum(support) - sum(support::DOUBLE * support)) > 0 THEN
+               (sum(tp)::DOUBLE * sum(support) - sum(predicted::DOUBLE * support))
+               / sqrt((sum(support)::DOUBLE * sum(support) - sum(predicted::DOUBLE * predicted))
+                      * (sum(support)::DOUBLE * sum(support) - sum(support::DOUBLE * support))) ELSE 0.0 END, 6) AS mcc,
+         sum(support)::BIGINT AS n, count(*)::BIGINT AS n_classes
+  FROM (SELECT class, sum(s) AS support, sum(p) AS predicted, sum(t) AS tp,
+               CASE WHEN sum(s) + sum(p) > 0 THEN 2.0 * sum(t) / (sum(s) + sum(p)) ELSE 0.0 END AS f1
+        FROM (SELECT label AS class, 1 AS s, 0 AS p, CAST(label = prediction AS INTEGER) AS t FROM ({scored}) WHERE label IS NOT NULL
+              UNION ALL SELECT prediction, 0, 1, 0 FROM ({scored}) WHERE label IS NOT NULL) GROUP BY class)"""
+
+
+ORACLE["classification_report_unlabelled"] = f"""
+  SELECT r.*, (SELECT count(*) FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.toxic IS NULL)::BIGINT AS unlabelled
+  FROM ({report("SELECT CAST(l.toxic AS VARCHAR) AS label, CAST(d.doc_id % 2 AS VARCHAR) AS prediction FROM documents d LEFT JOIN labels l USING (doc_id)")}) r"""
+
+ORACLE["classification_report_twelve"] = report(
+    "SELECT CAST(user_id % 12 AS VARCHAR) AS label, CASE WHEN event_id % 7 = 0 THEN '0' WHEN event_id % 5 = 0 THEN '3' "
+    "ELSE CAST(user_id % 12 AS VARCHAR) END AS prediction FROM events")
+
+
+def naive_bayes(train: str, test: str) -> str:
+    """CTEs up to ``margins`` (id, margin, pred): two-class multinomial naive Bayes, add-one smoothed, over
+    ``train`` (id, label, toks, ord) applied to ``test`` (id, toks).  Id 0 pads, id 1 is unknown; both are smoothed cells."""
+    return f"""
+  tr AS ({train}), te AS ({test}),
+  dict AS (SELECT label, row_number() OVER (ORDER BY min(ord)) - 1 AS c FROM tr GROUP BY label),
+  tt AS (SELECT c, unnest(toks) AS tok FROM tr JOIN dict USING (label)),
+  voc AS (SELECT tok, count(*) FILTER (WHERE c = 0) AS n0, count(*) FILTER (WHERE c = 1) AS n1 FROM tt GROUP BY tok),
+  tot AS (SELECT sum(n0) + count(*) + 2 AS t0, sum(n1) + count(*) + 2 AS t1 FROM voc),
+  pri AS (SELECT ln((count(*) FILTER (WHERE c = 1) + 1.0) / (count(*) + 2)) - ln((count(*) FILTER (WHERE c = 0) + 1.0) / (count(*) + 2)) AS p
+          FROM tr JOIN dict USING (label)),
+  w AS (SELECT tok, ln((n1 + 1.0) / t1) - ln((n0 + 1.0) / t0) AS w FROM voc, tot),
+  pos AS (SELECT id, unnest(toks) AS tok FROM te),
+  sums AS (SELECT id, sum(coalesce(w.w, ln(1.0 / t1) - ln(1.0 / t0))) AS s FROM pos LEFT JOIN w USING (tok), tot GROUP BY id),
+  margins AS (SELECT te.id, coalesce(s, 0) + p AS margin, CASE WHEN coalesce(s, 0) + p > 0 THEN 1 ELSE 0 END AS pred
+              FROM te LEFT JOIN sums USING (id), pri)"""
+
+
+_NB_DOCS = f"SELECT doc_id AS id, toks FROM ({DOC_TOKS})"
+ORACLE["score_batches"] = f"""
+  WITH {naive_bayes(f"SELECT d.id, {TOXIC} AS label, d.toks, d.id AS ord FROM ({_NB_DOCS}) d JOIN labels l ON d.id = l.doc_id", _NB_DOCS)}
+  SELECT id AS doc_id, dict.label AS prediction, round(margin, 4) AS margin FROM margins JOIN dict ON dict.c = margins.pred"""
+
+_NB_TRAIN = f"SELECT d.id, {TOXIC} AS label, d.toks, d.id AS ord FROM ({_NB_DOCS}) d JOIN labels l ON d.id = l.doc_id WHERE d.id % 3 <> 0"
+_NB_TEST = f"SELECT d.id, d.toks FROM ({_NB_DOCS}) d JOIN labels l ON d.id = l.doc_id WHERE d.id % 3 = 0"
+ORACLE["score_evaluate_report"] = f"""
+  WITH {naive_bayes(_NB_TRAIN, _NB_TEST)},
+  pairs AS (SELECT CAST(g.c AS VARCHAR) AS label, CAST(m.pred AS VARCHAR) AS prediction
+            FROM margins m JOIN labels l ON m.id = l.doc_id JOIN dict g ON g.label = {TOXIC})
+  SELECT r.*, CAST(0 AS BIGINT) AS unmatched FROM ({report("SELECT * FROM pairs")}) r"""
+ORACLE["score_evaluate_majority"] = ORACLE["score_evaluate_report"]
+
+ORACLE["classifier_invariants"] = """
+  SELECT count(*)::BIGINT AS rows_out, count(DISTINCT doc_id)::BIGINT AS ids, 0::BIGINT AS bad_sums, 0::BIGINT AS bad_argmax,
+         0::BIGINT AS unnamed FROM documents"""
+
+_HASOC = f"""SELECT CAST(d.doc_id AS VARCHAR) AS id, {nulltok('d.text')} AS text,
+  CASE WHEN l.toxic = 1 THEN 'HOF' WHEN l.toxic IS NOT NULL THEN 'NOT' END AS label, '1' AS task, d.doc_id
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
+
+ORACLE["registry_combined"] = f"""
+  SELECT id, text, label, task, CASE WHEN doc_id % 3 <> 2 THEN 'hasoc:train:0' ELSE 'hasoc:train:1' END AS source FROM ({_HASOC})"""
+
+ORACLE["registry_augmented"] = f"""
+  SELECT id, text, label, task, 'hasoc:train:0' AS source FROM ({_HASOC}) WHERE doc_id % 4 <> 3
+  UNION ALL SELECT id, 'again ' || text, label, task, 'hasoc:augment' FROM ({_HASOC}) WHERE doc_id % 4 = 1"""
+
+ORACLE["encode_augmented"] = f"""
+  WITH r AS (SELECT id, source, {toks(clean('text'))} AS toks, row_number() OVER () AS rn FROM ({ORACLE["registry_augmented"]})),
+  t AS (SELECT rn, unnest(toks) AS tok, unnest(range(1, len(toks) + 1)) AS pos FROM r),
+  v AS (SELECT tok, row_number() OVER (ORDER BY count(*) DESC, tok) + 1 AS tid FROM t GROUP BY tok),
+  e AS (SELECT rn, list(tid ORDER BY pos) AS ids FROM t JOIN v USING (tok) GROUP BY rn)
+  SELECT id, source, md5(array_to_string(coalesce(ids, []), ',')) AS ids_md5, CAST(len(coalesce(ids, [])) AS INTEGER) AS n_tokens
+  FROM r LEFT JOIN e USING (rn)"""
+
+ORACLE["registry_held_out"] = f"""
+  WITH c AS (SELECT count(*) AS n, ceil(count(*) * {HOLDOUT_FRAC})::BIGINT AS dev FROM documents)
+  SELECT 'dev' AS side, dev AS n, dev AS ids, dev AS expected_dev, n::BIGINT AS all_ids FROM c
+  UNION ALL SELECT 'train', n - dev, n - dev, dev, n FROM c"""
+
+_LATIN1 = r"regexp_replace(text, '[^\x{00}-\x{FF}]', '?', 'g')"
+ORACLE["tsv_utf8_roundtrip"] = f"SELECT doc_id, {nulltok('lang')} AS lang, {nulltok('text')} AS text FROM documents"
+ORACLE["tsv_latin1_roundtrip"] = (f"SELECT doc_id, {nulltok('lang')} AS lang, "
+                                  f"{nulltok('t')} AS text FROM (SELECT *, {_LATIN1} AS t FROM documents)")
 
 ORACLE["write_predictions"] = f"""
   WITH d AS ({EVENT_DICT.format(where="")})
@@ -376,4 +488,4 @@ ORACLE["history_best_epoch"] = """
            row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS rn
     FROM events WHERE value IS NOT NULL) WHERE rn = 1"""
 
-ORACLE["prediction_lines"] = f"SELECT prediction AS value FROM ({SCORED})"
+ORACLE["prediction_lines"] = f"SELECT prediction AS value, row_number() OVER (ORDER BY vec_id) - 1 AS line FROM ({SCORED})"

@@ -3,15 +3,15 @@
 Columns are read as strings by header name (no schema inference: tweet ids
 stay strings and no extra pass over the data), then cast where a spec asks.
 ``multiLine`` keeps quoted newlines inside a field; it also makes each file a
-single split, so large corpora should be converted to Parquet once
-(``to_parquet``) and read from there.
+single split.  Corpora without such fields are read with ``multiline=False``;
+others are best converted to Parquet once (``to_parquet``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,47 +35,82 @@ def normalise_nulls(df: DataFrame, cols: Sequence[str] | None = None,
                            for c in cols}) if cols else df
 
 
-def _reader(spark: SparkSession, sep: str, encoding: str, header: bool):
+def _reader(spark: SparkSession, sep: str, encoding: str, header: bool, multiline: bool):
     return (spark.read.option("header", header).option("sep", sep)
-            .option("encoding", encoding).option("multiLine", True)
+            .option("encoding", encoding).option("multiLine", multiline)
             .option("quote", '"').option("escape", '"')
             .option("mode", "PERMISSIVE").option("inferSchema", False))
 
 
+def _numbered(df: DataFrame, order_col: str) -> DataFrame:
+    """Add the row's position over all files, in the order of file name and place in the file.
+
+    Files are packed into tasks by size, so the running number of a task is only
+    an order inside one file split.  Each split's count and first number (one row
+    per split) give its offset; the rows join that small table.
+    """
+    at = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"),
+                   F.monotonically_increasing_id().alias("__serial"))
+    splits = at.groupBy("__file", "__block").agg(F.count(F.lit(1)).alias("__n"), F.min("__serial").alias("__first"))
+    before = Window.orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("__file", "__block", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    return (at.join(splits, ["__file", "__block"])
+            .withColumn(order_col, (F.col("__offset") + F.col("__serial") - F.col("__first")).cast("long"))
+            .select(*df.columns, order_col))
+
+
 def read_delimited(spark: SparkSession, path: str | Sequence[str], sep: str = ",",
                    encoding: str = "UTF-8", header: bool = True,
                    names: Sequence[str] | None = None,
                    types: dict[str, str] | None = None,
                    order_col: str | None = "row_ord",
-                   null_tokens: Sequence[str] | None = NULL_TOKENS) -> DataFrame:
+                   null_tokens: Sequence[str] | None = NULL_TOKENS,
+                   multiline: bool = True) -> DataFrame:
     """Read CSV/TSV into string columns, normalise NULL tokens, cast.
 
     ``header=False`` requires ``names`` (assigned by position, S4/S5).  With a
-    header, ``names`` selects columns by name.  ``order_col`` records the row
-    position within the file (files are single splits under multiLine).
+    header, each of several paths is read by its own header, the paths are
+    united by column name, and ``names`` selects columns.  ``order_col`` is the
+    row's position over all paths, files and lines.  ``multiline=False`` lets
+    large files be split, where fields hold no line ends.  A value that cannot
+    be cast to its type becomes NULL; ``count_cast_losses`` counts them.
     """
     paths = [path] if isinstance(path, str) else list(path)
     if header:
-        df = _reader(spark, sep, encoding, True).csv(paths)
-        if names:
-            missing = [n for n in names if n not in df.columns]
-            if missing:
-                raise ValueError(f"columns {missing} not in header of {paths}")
-            df = df.select(*names)
+        out, offset = None, 0
+        for p in paths:
+            df = _reader(spark, sep, encoding, True, multiline).csv(p)
+            if names:
+                missing = [n for n in names if n not in df.columns]
+                if missing:
+                    raise ValueError(f"columns {missing} not in header of {p}")
+            if order_col:
+                rows = df.count() if len(paths) > 1 else 0
+                df = _numbered(df, order_col).withColumn(order_col, F.col(order_col) + F.lit(offset))
+                offset += rows
+            if names:
+                df = df.select(*names, *([order_col] if order_col else []))
+            out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+        df = out
     else:
         if not names:
             raise ValueError("a headerless file needs column names")
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        df = _reader(spark, sep, encoding, False).schema(schema).csv(paths)
-    if order_col:
-        df = df.withColumn(order_col, F.monotonically_increasing_id())
+        df = _reader(spark, sep, encoding, False, multiline).schema(schema).csv(paths)
+        if order_col:
+            df = _numbered(df, order_col)
     if null_tokens is not None:
         df = normalise_nulls(df, tokens=null_tokens)
     if types:
-        df = df.withColumns({c: F.col(c).cast(t) for c, t in types.items() if c in df.columns})
+        df = df.withColumns({c: F.col(c).try_cast(t) for c, t in types.items() if c in df.columns})
     return df
 
 
+def count_cast_losses(df: DataFrame, types: dict[str, str]) -> DataFrame:
+    """One row: per column of ``types``, how many non-NULL strings of ``df`` are no such value."""
+    return df.agg(*[F.count_if(F.col(c).isNotNull() & F.col(c).try_cast(t).isNull()).cast("long").alias(c) for c, t in types.items()])
+
+
 def read_csv(spark: SparkSession, path, **kw) -> DataFrame:
     """Comma-separated with header."""
     return read_delimited(spark, path, sep=",", **kw)

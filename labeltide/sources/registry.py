@@ -13,14 +13,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.prepare import dedup_rows, forward_fill, union_datasets
+from ..operators.prepare import dedup_rows, forward_fill, holdout_split, split_frames, union_datasets
 from .delimited import LATIN1, read_delimited, read_gold
 
-RANK_STRIDE = 1 << 48       # per combined input file
-AUGMENT_OFFSET = 1 << 58    # augmentation rows order after every base row
 HARMONISED = ("row_ord BIGINT, id STRING, text STRING, label STRING, "
               "task STRING, source STRING")
 
@@ -73,7 +71,7 @@ def spec_for(dataset: str) -> DatasetSpec:
         raise ValueError(f"unknown dataset {dataset!r}; known: {sorted(REGISTRY)}") from None
 
 
-def harmonise(df: DataFrame, spec: DatasetSpec, task: str, source: str,
+def harmonise(df: DataFrame, spec: DatasetSpec, task: str, source: str | Column,
               text_col: str | None = None, id_col: str | None = None) -> DataFrame:
     """Select and rename one corpus frame into the harmonised schema."""
     text_col = text_col or spec.text_col
@@ -87,7 +85,7 @@ def harmonise(df: DataFrame, spec: DatasetSpec, task: str, source: str,
         (F.col(label_col).cast("string") if label_col and label_col in df.columns
          else F.lit(None).cast("string")).alias("label"),
         F.lit(task).alias("task"),
-        F.lit(source).alias("source"),
+        (F.lit(source) if isinstance(source, str) else source).alias("source"),
     )
 
 
@@ -101,53 +99,78 @@ def _read_split(spark: SparkSession, spec: DatasetSpec, path: str, kind: str) ->
         df = read_delimited(spark, path, sep=spec.sep, encoding=spec.encoding)
     if spec.forward_fill:
         df = forward_fill(df, [c for c in df.columns if c != "row_ord"], "row_ord")
-    # Full-row duplicates go, first occurrence kept (the readers' only dedup).
-    return dedup_rows(df, "row_ord")
+    return df
+
+
+def _combined(spark: SparkSession, spec: DatasetSpec, kind: str, parts: list[tuple[str, str]]) -> DataFrame:
+    """The raw rows of ``parts`` (path, source) in one order, full-row duplicates dropped after the union.
+
+    The first occurrence stays, in the order of parts and rows; ``row_ord``
+    numbers all parts through, so it is a unique key of the result.
+    """
+    frames, offset = [], 0
+    for k, (path, _) in enumerate(parts):
+        df = _read_split(spark, spec, path, kind)
+        frames.append(df.withColumn("row_ord", F.col("row_ord") + F.lit(offset)).withColumn("__part", F.lit(k)))
+        if k + 1 < len(parts):
+            offset += df.count()
+    united = union_datasets(frames, rank_col=None)
+    rank = F.col("__part").cast("long")
+    tagged = united.withColumn("row_ord", F.struct(rank.alias("part"), F.col("row_ord").alias("row"))).drop("__part")
+    first = dedup_rows(tagged, "row_ord")
+    names = F.array(*[F.lit(source) for _, source in parts])
+    return (first.withColumn("source", F.get(names, F.col("row_ord.part").cast("int")))
+            .withColumn("row_ord", F.col("row_ord.row")))
 
 
 def load(spark: SparkSession, dataset: str, paths: dict[str, str | list[str]],
-         task: str | None = None, augment: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+         task: str | None = None, augment: bool = False, dev_frac: float | None = None
+         ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Read a registered corpus into harmonised (train, dev, test).
 
     ``paths`` keys: ``train``, ``dev``, optional ``test``, optional ``augment``
-    (extra training rows, unioned when ``augment=True``).  A list of paths
-    for ``train``/``dev`` is a combined dataset: the files are unioned with
-    their position kept in ``source``.
+    (extra training rows, read after the others when ``augment=True``).  Lists of
+    paths are combined datasets; duplicates are dropped over all files of a
+    split, the position of the file is kept in ``source``.  With ``dev_frac``
+    there is no ``dev`` path: that share of the training rows (before any
+    augmentation) is held out.  ``row_ord`` is unique in each split and so is
+    ``id`` where the corpus has no id column of its own.
     """
     spec = spec_for(dataset)
     task = task or next(iter(spec.label_cols))
     if task not in spec.label_cols:
         raise ValueError(f"dataset {dataset!r} has no task {task!r}")
-    for key in ("train", "dev"):
+    for key in ("train", "dev") if dev_frac is None else ("train",):
         if key not in paths:
             raise ValueError(f"missing path for {key}")
-    if paths["train"] == paths["dev"]:
+    if dev_frac is not None and "dev" in paths:
+        raise ValueError("give either a dev path or dev_frac")
+    if dev_frac is None and paths["train"] == paths["dev"]:
         raise ValueError("train and dev paths must differ")
+    if augment and "augment" not in paths:
+        raise ValueError("augment=True needs an 'augment' path")
 
-    def one(kind: str, p) -> DataFrame:
-        plist = [p] if isinstance(p, str) else list(p)
-        frames = [harmonise(_read_split(spark, spec, x, kind), spec, task,
-                            f"{dataset}:{kind}:{i}",
-                            id_col=spec.test_id_col if kind == "test" else None)
-                  for i, x in enumerate(plist)]
-        if len(frames) == 1:
-            return frames[0]
-        # Combined years: order is (file position, row position in file).  A
-        # read's row_ord is below 2^48 for up to 2^15 input partitions.
-        u = union_datasets(frames, rank_col="__rank")
-        return u.withColumn("row_ord", (F.col("__rank").cast("long") * F.lit(RANK_STRIDE))
-                            + F.col("row_ord")).drop("__rank")
-
-    train = one("train", paths["train"])
-    if augment:
-        if "augment" not in paths:
-            raise ValueError("augment=True needs an 'augment' path")
-        extra = one("train", paths["augment"]).withColumn(
-            "row_ord", F.col("row_ord") + F.lit(AUGMENT_OFFSET)).withColumn(
-            "source", F.lit(f"{dataset}:augment"))
-        train = train.unionByName(extra)
-    dev = one("dev", paths["dev"])
-    test = (one("test", paths["test"]) if paths.get("test")
+    def listed(key: str) -> list[str]:
+        return [paths[key]] if isinstance(paths[key], str) else list(paths[key])
+
+    def one(kind: str, parts: list[tuple[str, str]]) -> DataFrame:
+        rows = _combined(spark, spec, kind, parts)
+        return harmonise(rows, spec, task, F.col("source"), id_col=spec.test_id_col if kind == "test" else None)
+
+    def parts_of(kind: str) -> list[tuple[str, str]]:
+        return [(p, f"{dataset}:{kind}:{i}") for i, p in enumerate(listed(kind))]
+
+    base = parts_of("train")
+    extra = [(p, f"{dataset}:augment") for p in listed("augment")] if augment else []
+    train = one("train", base + extra)
+    if dev_frac is None:
+        dev = one("dev", parts_of("dev"))
+    else:
+        own = F.col("source") != f"{dataset}:augment"
+        kept, dev = split_frames(holdout_split(train.where(own), dev_frac, "row_ord"))
+        train = kept.unionByName(train.where(~own)) if extra else kept
+        dev = dev.withColumn("source", F.lit(f"{dataset}:dev:0"))
+    test = (one("test", parts_of("test")) if paths.get("test")
             else spark.createDataFrame([], HARMONISED))
     return train, dev, test
 

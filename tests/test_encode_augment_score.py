@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from labeltide.operators import augment, encode, labels, score
@@ -10,14 +11,50 @@ def test_vocab_encode_pad(spark):
                                "id long, text string")
     v = encode.build_vocabulary(df, "text", size=2)
     assert [(r.token, r.token_id, r["count"]) for r in v.orderBy("token_id").collect()] == [("a", 2, 4), ("b", 3, 2)]
-    e = encode.encode_tokens(df, v, "text", "id")
+    e = encode.encode_tokens(df, v, "text")
     got = {r.id: r.input_ids for r in e.collect()}
     assert got == {1: [2, 3, 2, 1], 2: [3, 2], 3: [], 4: [], 5: [1, 2]}
-    p = encode.pad_and_mask(encode.truncate_tokens(e, 3)).collect()
+    p = encode.pad_and_mask(encode.truncate_tokens(e, 3), length=3).collect()
     m = {r.id: (r.input_ids, r.attention_mask) for r in p}
     assert m[1] == ([2, 3, 2], [1, 1, 1]) and m[2] == ([3, 2, 0], [1, 1, 0]) and m[3] == ([0, 0, 0], [0, 0, 0])
 
 
+def test_encode_keeps_rows_that_share_an_id(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "c"), (None, "a"), (1, "a b")], "id long, text string")
+    e = encode.encode_tokens(df, encode.build_vocabulary(df, "text"), "text")
+    assert sorted((r.id or 0, r.input_ids) for r in e.collect()) == [(0, [2]), (1, [2, 3]), (1, [2, 3]), (1, [4])]
+
+
+def test_pad_to_the_longest_of_each_batch(spark):
+    df = spark.createDataFrame([(0, [5, 6, 7]), (0, [5]), (1, [8]), (1, []), (None, [9, 9])], "batch long, input_ids array<int>")
+    got = sorted((-1 if r.batch is None else r.batch, r.input_ids, r.attention_mask) for r in encode.pad_and_mask(df, batch="batch").collect())
+    assert got == [(-1, [9, 9], [1, 1]), (0, [5, 0, 0], [1, 0, 0]), (0, [5, 6, 7], [1, 1, 1]), (1, [0], [0]), (1, [8], [1])]
+
+
+def test_augment_empty_texts_yield_nothing(spark):
+    df = spark.createDataFrame([(1, ""), (2, "  "), (3, None), (4, "a b c d e f")], "id long, text string")
+    lex = spark.createDataFrame([("b",)], "token string")
+    assert [r.id for r in augment.augment_drop(df, "text", lex).collect()] == [4]
+    subs = spark.createDataFrame([("a", "x")], "token string, substitute string")
+    assert [r.text for r in augment.augment_replace(df, "text", lex, subs).collect()] == ["x b c d e f"]
+
+
+def test_classifier_refuses_names_and_takes_numbered_ones(spark):
+    rows = [(i, "good fine" if i % 2 else "bad awful", "NOT" if i % 2 else "HOF") for i in range(40)]
+    df = spark.createDataFrame(rows, "o long, text string, label string")
+    with pytest.raises(ValueError, match="is no number"):
+        score.train_text_classifier(df, "text", "label")
+    model, dictionary = score.train_named_classifier(df, "text", "label", "o", num_features=64, max_iter=5)
+    out = labels.decode_labels(score.apply_classifier(model, df, "text"), dictionary, "prediction", "name")
+    assert all(r["name"] == r["label"] for r in out.collect())
+
+
+def test_oversized_model_is_refused(spark):
+    enc = spark.createDataFrame([([2], 0)], "ids array<int>, c int")
+    with pytest.raises(ValueError, match="bound the vocabulary"):
+        score.train_token_scorer(enc, "ids", "c", 1000, 10_000_000)
+
+
 def test_augment_drop_replace_generate(spark):
     lex = spark.createDataFrame([("hate",)], "token string")
     df = spark.createDataFrame([(1, "a b c d e f", "NOT"), (2, "hate b c d e f", "HOF"),

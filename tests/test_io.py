@@ -101,3 +101,57 @@ def test_sinks(spark, tmp):
     tr = df.select("row_ord", "prediction")
     writers.write_splits(tr, tr, os.path.join(tmp, "splits"))
     assert spark.read.parquet(os.path.join(tmp, "splits")).where("split = 'dev'").count() == 3
+
+
+def test_row_order_follows_file_names_not_split_sizes(spark, tmp):
+    base = os.path.join(tmp, "many")
+    os.makedirs(base, exist_ok=True)
+    for k, n in enumerate((2, 400, 50)):  # the largest is read first by Spark's packing
+        _write(os.path.join(base, f"part-{k}.csv"), ("text\n" + "".join(f"f{k}r{i}\n" for i in range(n))).encode())
+    for multiline in (True, False):
+        rows = sorted((r.row_ord, r.text) for r in delimited.read_csv(spark, base, multiline=multiline).collect())
+        assert rows == list(enumerate([f"f{k}r{i}" for k, n in enumerate((2, 400, 50)) for i in range(n)]))
+
+
+def test_paths_are_united_by_column_name(spark, tmp):
+    a = _write(os.path.join(tmp, "ab.csv"), b"a,b\n1,2\n")
+    b = _write(os.path.join(tmp, "ba.csv"), b"b,a\n4,3\n6,5\n")
+    rows = delimited.read_csv(spark, [b, a]).orderBy("row_ord").collect()
+    assert [(r.a, r.b, r.row_ord) for r in rows] == [("3", "4", 0), ("5", "6", 1), ("1", "2", 2)]
+
+
+def test_bad_numbers_become_null_and_are_counted(spark, tmp):
+    p = _write(os.path.join(tmp, "bad.csv"), b"n\n1\nx\n\n3\n")
+    assert [r.n for r in delimited.read_csv(spark, p, types={"n": "int"}).orderBy("row_ord").collect() if r.n] == [1, 3]
+    assert delimited.count_cast_losses(delimited.read_csv(spark, p), {"n": "int"}).first().n == 1
+
+
+def test_combined_files_are_deduplicated_over_all_of_them(spark, tmp):
+    a = _write(os.path.join(tmp, "t1.csv"), b"Text,Sub-task A\none,NAG\ntwo,CAG\n")
+    b = _write(os.path.join(tmp, "t2.csv"), b"Text,Sub-task A\ntwo,CAG\nthree,OAG\n")
+    c = _write(os.path.join(tmp, "t3.csv"), b"Text,Sub-task A\none,NAG\nfour,OAG\n")
+    d = _write(os.path.join(tmp, "t4.csv"), b"Text,Sub-task A\nfive,NAG\n")
+    train, _, _ = registry.load(spark, "trol", {"train": [a, b], "dev": d, "augment": c}, augment=True)
+    rows = train.orderBy("row_ord").collect()
+    assert [(r.text, r.source) for r in rows] == [("one", "trol:train:0"), ("two", "trol:train:0"), ("three", "trol:train:1"), ("four", "trol:augment")]
+    assert len({r.id for r in rows}) == 4  # no id column: the row number over all files
+    from labeltide.operators import encode
+    assert encode.encode_tokens(train, encode.build_vocabulary(train, "text"), "text").count() == 4
+
+
+def test_remaining_layouts(spark, tmp):
+    hos = _write(os.path.join(tmp, "hos.csv"), b"tweet,hate_speech\nx,1\n")
+    dev = _write(os.path.join(tmp, "hos_d.csv"), b"tweet,hate_speech\ny,0\n")
+    assert [(r.text, r.label) for r in registry.load(spark, "hos", {"train": hos, "dev": dev})[0].collect()] == [("x", "1")]
+    lines = "".join(f"{i},t{i},{'OFF' if i % 2 else 'NOT'},,\n" for i in range(20))
+    olid = _write(os.path.join(tmp, "olid.csv"), f"id,tweet,subtask_a,subtask_b,subtask_c\n{lines}".encode())
+    test = _write(os.path.join(tmp, "olid_t.tsv"), b"id\ttweet\n77\thello\n")
+    train, dev, t = registry.load(spark, "olid", {"train": olid, "test": test}, task="a", dev_frac=0.25)
+    assert (train.count(), dev.count()) == (15, 5) and [(r.id, r.text) for r in t.collect()] == [("77", "hello")]
+    assert {r.id for r in train.collect()} | {r.id for r in dev.collect()} == {str(i) for i in range(20)}
+    pcl = _write(os.path.join(tmp, "pcl.csv"), b"text,label\na,0\nb,1\nc,0\nd,1\n")
+    ptest = _write(os.path.join(tmp, "pcl_t.tsv"), b"1\t@@7\tkw\tus\tsome text\n")
+    train, dev, t = registry.load(spark, "pcl", {"train": pcl, "test": ptest}, dev_frac=0.5)
+    assert (train.count(), dev.count()) == (2, 2) and [(r.id, r.text) for r in t.collect()] == [("@@7", "some text")]
+    with pytest.raises(ValueError):
+        registry.load(spark, "pcl", {"train": pcl, "dev": pcl}, dev_frac=0.5)

@@ -100,7 +100,7 @@ def test_mean_loss_and_best_epoch(spark):
     y = rng.integers(0, 4, size=70)
     df = spark.createDataFrame([(i, logits[i].tolist(), int(y[i])) for i in range(70)],
                                "o long, l array<double>, y int")
-    b = encode.assign_batches(df, 32, "o", bucket_width=8)
+    b = encode.assign_batches(df, 32, "o", ranges=8)
     got = metrics.mean_loss(b, "l", "y", "batch").first()
     ce = np.log(np.exp(logits).sum(1)) - logits[np.arange(70), y]
     want = np.mean([ce[i:i + 32].mean() for i in range(0, 70, 32)])
@@ -117,8 +117,24 @@ def test_published_macro_is_mean_of_pair():
 
 def test_dictionary_large_path(spark):
     train = spark.createDataFrame([(i, f"L{i % 7}") for i in range(50, 0, -1)], "o long, label string")
-    d = labels.label_dictionary(train, "label", "o", small_limit=2)
+    d = labels.label_dictionary(train, "label", "o")
     got = sorted((r.label_id, r.label) for r in d.collect())
     assert [i for i, _ in got] == list(range(7))
     firsts = sorted(((min(i for i in range(1, 51) if i % 7 == k), f"L{k}") for k in range(7)))
     assert [lab for _, lab in got] == [lab for _, lab in firsts]
+
+
+def test_unlabelled_rows_are_left_out(spark):
+    df = spark.createDataFrame([("a", "a"), ("b", "b"), (None, "a"), (None, None)], "label string, prediction string")
+    r = metrics.classification_report(df, repair=False).first()
+    assert r.f1_macro == 1.0 and r.accuracy == 1.0 and r.n == 2 and r.n_classes == 2
+    assert metrics.unlabelled(df).first().unlabelled == 2
+
+
+def test_report_of_twelve_classes(spark):
+    rows = [(str(k), str(k)) for k in range(12)] * 3
+    df = spark.createDataFrame(rows, "label string, prediction string")
+    r = metrics.classification_report(df, n_classes=12).first()
+    assert r.f1_macro == 1.0 and r.accuracy == 1.0
+    bad = spark.createDataFrame([("0", p) for p in ("12", "x", "", None, "01", "-1", "99999999999")], "label string, prediction string")
+    assert {x.prediction for x in metrics.confusion(bad, repair=True, n_classes=12).collect()} == {"0"}

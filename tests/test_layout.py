@@ -1,5 +1,7 @@
+import pytest
 from pyspark.sql import functions as F
 
+from labeltide import session
 from labeltide.operators import layout
 from labeltide.functions import text as X
 
@@ -20,20 +22,47 @@ def test_keep_where_evaluates_expression_once(spark):
     assert "Filter" not in plan
 
 
-def test_spread_small_input(spark):
-    one = spark.range(100).coalesce(1)
-    spread = layout.spread_small_input(one)
+def test_one_split_is_spread_and_larger_inputs_are_not(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(100).coalesce(1).write.parquet(path)
+    one = spark.read.parquet(path)
+    spread = layout.spread_one_split(one)
     assert spread.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert sorted(r.id for r in spread.collect()) == list(range(100))
     many = spark.range(0, 100, numPartitions=spark.sparkContext.defaultParallelism * 2)
-    assert layout.spread_small_input(many) is many
+    assert layout.spread_one_split(many) is many
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "100b")
+        assert layout.spread_one_split(one) is one
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
-def test_broadcast_if_small_bound(spark):
-    small = spark.range(5)
-    big = spark.range(50)
-    b1 = layout.broadcast_if_small(small, max_rows=10)
-    b2 = layout.broadcast_if_small(big, max_rows=10)
-    j1 = spark.range(100).join(b1, "id")._jdf.queryExecution().executedPlan().toString()
-    assert "Broadcast" in j1
-    assert spark.range(100).join(b2, "id").count() == 50
+def test_stored_tables_have_a_size_and_can_be_cleared(spark):
+    import os
+
+    small = session.stored(spark.range(5))
+    plan = spark.range(100).join(small, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" in plan
+    path = session._SCRATCH[-1].removeprefix("file:")
+    assert os.path.exists(path)
+    session.clear_scratch(spark)
+    assert not os.path.exists(path)
+
+
+def test_scratch_folder_must_be_named_on_a_cluster():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+        getConf = staticmethod(Conf)
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError, match="share"):
+        session.ensure_checkpoint_dir(Session())

@@ -18,7 +18,7 @@ def test_forward_fill_matches_pandas_across_buckets(spark):
     df = spark.createDataFrame([(i, v, t) for i, v, t in zip(range(n), vals, txt)],
                                "ord long, v int, t string")
     for width in (7, 64, 1 << 20):
-        got = (prepare.forward_fill(df, ["v", "t"], "ord", bucket_width=width)
+        got = (prepare.forward_fill(df, ["v", "t"], "ord", ranges=width)
                .orderBy("ord").toPandas())
         assert got["ord"].tolist() == list(range(n))
         for c in ("v", "t"):
@@ -33,7 +33,7 @@ def test_dense_row_number_sparse_ids(spark):
     # monotonically_increasing_id style gaps between partitions
     ids = [p * (1 << 33) + i for p in range(4) for i in range(50)]
     df = spark.createDataFrame([(x,) for x in ids], "o long")
-    got = ordering.dense_row_number(df, "o", "rn", bucket_width=16).orderBy("o").collect()
+    got = ordering.dense_row_number(df, "o", "rn", ranges=16).orderBy("o").collect()
     assert [r.rn for r in got] == list(range(1, len(ids) + 1))
 
 
@@ -110,3 +110,26 @@ def test_defaults_update_shuffle(spark):
     s1 = [r.id for r in prepare.shuffle(df, "id", 3).collect()]
     s2 = [r.id for r in prepare.shuffle(df, "id", 3).collect()]
     assert s1 == s2 and sorted(s1) == [1, 2, 3]
+
+
+def test_sparse_ids_give_one_global_row_per_range(spark):
+    df = spark.range(5000).select((F.col("id") * (1 << 22)).alias("o"), F.when(F.col("id") % 7 == 0, F.col("id")).alias("v"))
+    ranged = ordering.in_ranges(df, "o", 8)
+    assert ranged.select(ordering.RANGE).distinct().count() <= 8
+    got = ordering.dense_row_number(df, "o", "rn", ranges=8).collect()
+    assert all(r.rn == r.o // (1 << 22) + 1 for r in got)
+    filled = prepare.forward_fill(df, ["v"], "o", ranges=8).collect()
+    assert all(r.v == r.o // (1 << 22) // 7 * 7 for r in filled)
+
+
+def test_null_stratum_is_a_group(spark):
+    df = spark.createDataFrame([(i, None if i < 50 else "x") for i in range(80)], "id long, g string")
+    got = {(r.g, r.split): r["count"] for r in prepare.stratified_split(df, 0.2, "id", by="g").groupBy("g", "split").count().collect()}
+    assert got == {(None, "dev"): 10, (None, "train"): 40, ("x", "dev"): 6, ("x", "train"): 24}
+
+
+def test_text_never_crosses_the_network_in_dedup(spark):
+    df = spark.range(100).select("id", F.concat(F.lit("t"), F.col("id") % 10).alias("text"))
+    plan = prepare.first_orders(df, "text", "id")._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    assert sorted(r.id for r in prepare.dedup_text(df, "text", "id").collect()) == list(range(10))

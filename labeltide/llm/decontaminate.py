@@ -15,8 +15,12 @@ block-max sum plus what the weaker terms may add reaches the threshold, then its
 parts are bounded in the same way, and only the rest is scored in full.  All
 passages of a chunk of text go through each step together.
 
-A retrieved item counts as found if enough of its question's and of its answer's
-word shingles lie in the passages that retrieved it.
+A retrieved item counts as found if enough of its question and of its answer lies
+in the passages that retrieved it and an item's length around them.  What lies
+there of a side is the larger of two shares: of its word shingles, in any order,
+and of its words in one alignment, which an edit costs one word and not three
+shingles.  Without an answer column the two sides are only a guess, so an item
+also counts if ``WHOLE`` of all its words lie there in one alignment.
 
 The index is built in slices of bounded size, and documents pass through one
 slice after the other, so neither the driver nor a broadcast grows with the
@@ -39,6 +43,7 @@ from labeltide.llm.wordhash import WordHasher, shingles, text_chunks
 K1, B = 1.2, 0.75
 PART_WORDS, BLOCK = 64, 8
 SLICE_ITEMS, SLICE_BYTES = 5000, 8 << 20
+WHOLE = 0.75
 
 
 def _hashed(hasher: WordHasher, texts: list[str]) -> list[np.ndarray]:
@@ -61,17 +66,27 @@ def _grams(words: np.ndarray, size: int) -> np.ndarray:
     return np.unique(shingles(words, np.array([0, len(words)]), size)[0])
 
 
+def _aligned(side: np.ndarray, text: np.ndarray) -> float:
+    """1 less the fewest word edits that turn ``side`` into some stretch of ``text``, as a share of its words."""
+    place = np.arange(len(text) + 1)
+    cost = np.zeros(len(text) + 1, dtype=np.int64)
+    for k, word in enumerate(side):
+        here = np.append(k + 1, np.minimum(cost[:-1] + (text != word), cost[1:] + 1))
+        cost = np.minimum.accumulate(here - place) + place
+    return 1 - int(cost.min()) / len(side)
+
+
 class ItemIndex:
-    """BM25 index of one slice of the items; see the module text."""
+    """BM25 index of one slice of the items; see the module text.  ``split``: the items' sides come from :func:`split_answer`."""
 
     def __init__(self, items: list[tuple], frequency: dict[int, int], n_parts: int, average: float,
-                 threshold: float, part_words: int, block: int):
+                 threshold: float, part_words: int, block: int, split: bool = False):
         hasher = WordHasher()
-        self.threshold, self.part_words, self.block = threshold, part_words, block
+        self.threshold, self.part_words, self.block, self.split = threshold, part_words, block, split
         self.items, self.owner, parts, self.checks = [i for i, _, _ in items], [], [], []
         for k, (question, answer) in enumerate(zip(_hashed(hasher, [q for _, q, _ in items]), _hashed(hasher, [a for _, _, a in items]))):
             words = np.concatenate((question, answer))
-            self.checks.append([(_grams(w, size), size) for w in (question, answer) if len(w) for size in [min(3, len(w))]])
+            self.checks.append([(w, _grams(w, size), size) for w in (question, answer) if len(w) for size in [min(3, len(w))]])
             for start in range(0, len(words), part_words):
                 parts.append(words[start:start + part_words])
                 self.owner.append(k)
@@ -155,12 +170,22 @@ class ItemIndex:
             hits.setdefault((doc, int(self.owner[part])), []).append((score, start, end))
         out: dict[int, list[tuple]] = {}
         for (doc, item), found in sorted(hits.items()):
-            spans = sorted({(a, b) for _, a, b in found})
+            spans, sides = sorted({(a, b) for _, a, b in found}), self.checks[item]
+            around, runs = sum(len(side) for side, _, _ in sides), []
+            for a, b in spans:
+                a, b = max(a - around, int(bounds[doc])), min(b + around, int(bounds[doc + 1]))
+                if runs and a <= runs[-1][1]:
+                    runs[-1][1] = b
+                else:
+                    runs.append([a, b])
+            texts = [words[a:b] for a, b in runs]
             overlap = [1.0, 1.0]
-            for k, (grams, size) in enumerate(self.checks[item]):
-                seen = np.unique(np.concatenate([_grams(words[a:b], size) for a, b in spans]))
+            for k, (side, grams, size) in enumerate(sides):
+                seen = np.unique(np.concatenate([_grams(text, size) for text in texts]))
                 overlap[k] = float(np.isin(grams, seen).mean())
-            if min(overlap) >= least:
+                if overlap[k] < 1:
+                    overlap[k] = max(overlap[k], *[_aligned(side, text) for text in texts])
+            if min(overlap) >= least or self.split and max(_aligned(np.concatenate([w for w, _, _ in sides]), text) for text in texts) >= WHOLE:
                 out.setdefault(doc, []).append((self.items[item], len(spans), max(s for s, _, _ in found), *overlap))
         return out
 
@@ -246,7 +271,7 @@ def item_indexes(benchmark: DataFrame, item_col: str = "item_id", question_col:
         here = own.select(whole.alias("text")).mapInArrow(_part_terms(part_words), "term long").distinct()
         df = {r["term"]: r["df"] for r in frequency.join(here, "term", "left_semi").collect()}
         texts = [(r["item"], r["question"], r["answer"]) if answer_col else (r["item"], *split_answer(r["question"])) for r in rows]
-        yield ItemIndex(texts, df, int(size["parts"]), size["words"] / size["parts"], threshold, part_words, block)
+        yield ItemIndex(texts, df, int(size["parts"]), size["words"] / size["parts"], threshold, part_words, block, split=answer_col is None)
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",

@@ -42,6 +42,25 @@ def test_planted_items_are_found_and_others_left(spark):
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, _ in docs if i not in {a for a, _ in want})
 
 
+def test_edited_items_are_found(spark):
+    """One changed word anywhere, or one in ten, hides no item, however short its last sentence; a question alone is no leak of a known answer."""
+    rnd = random.Random(6)
+    bench = [(k, " ".join(f"q{k}w{j}" for j in range(n)) + ". " + " ".join(f"a{k}w{j}" for j in range(m)) + ".") for k, (n, m) in enumerate([(12, 5), (1, 22), (30, 9), (70, 6), (20, 0)])]
+    docs = []
+    for k, text in bench:
+        w = text.split(" ")
+        edits = [[j] for j in range(len(w))] + [rnd.sample(range(len(w)), len(w) // 10) for _ in range(10)]
+        docs += [(k, sentence(rnd, 70) + " " + " ".join("edit" if j in e else x for j, x in enumerate(w)) + " " + sentence(rnd, 40)) for e in edits]
+    df = spark.createDataFrame([(n, *x) for n, x in enumerate(docs)], "doc_id long, planted long, text string").repartition(3)
+    got = {(r["doc_id"], r["item_id"]) for r in d.find_benchmark(df, items(spark, bench)).collect()}
+    assert got == {(n, k) for n, (k, _) in enumerate(docs)}
+    assert d.decontaminate(df, items(spark, bench)).count() == 0
+    known = spark.createDataFrame([(1, "one two three four five six seven eight nine ten", "red green blue dark")], "item_id long, text string, answer string")
+    texts = [(1, "x one two three four five six seven eight nine ten y"), (2, "x one two three four five six seven eight nine ten red grey blue dark y")]
+    got = d.find_benchmark(spark.createDataFrame(texts, "doc_id long, text string"), known, answer_col="answer")
+    assert [(r["doc_id"], r["question_overlap"], r["answer_overlap"]) for r in got.collect()] == [(2, 1.0, 0.75)]
+
+
 def test_search_equals_scoring_all_parts():
     """Block-max WAND loses nothing: every passage against every part, in full."""
     rnd = np.random.default_rng(2)

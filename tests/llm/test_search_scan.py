@@ -178,6 +178,24 @@ def test_base_personal_data_of_random_texts(spark):
     assert added and all(re.fullmatch(r"((email|ip|card|phone):\d+:\d+,)*((number|address|dotted|account):\d+:\d+,?)+", s) for s in added)
 
 
+def test_personal_data_outside_the_base_formats(spark):
+    """Named proposals are added even where nothing can be trained; trees add those of the same format without a cue."""
+    few = ["IBAN: DE89 3704 0044 0532 0130 00 ok", "write to anna [at] host please", "Tel. (030) 5551234 now", "order 5551234 now", "server 300.1.2.3", "tell 5551234"]
+    df = spark.createDataFrame(list(enumerate(few)), "doc_id long, text string")
+    got = {r["doc_id"]: [few[r["doc_id"]][x["s"]:x["e"]] for x in r["found"]] for r in find_pii(df).collect()}
+    assert got == {0: ["DE89 3704 0044 0532 0130 00"], 1: ["anna [at] host"], 2: ["030) 5551234"], 3: [], 4: [], 5: []}
+    rnd = random.Random(7)
+    number = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+    rows = []
+    for i in range(2400):
+        cue = rnd.random() < (0.2, 0.6, 0)[i % 3]
+        value = (f"user{number(3)}@mail.example.com", f"DE{number(20)}", number(9))[i % 3]
+        rows.append((i, f"{sentence(rnd, 6)} {('mail: ', 'iban ', '')[i % 3] if cue else 'then '}{value} {sentence(rnd, 4)}"))
+    out = find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == 2400 and all(("account:" in r["spans"]) == (r["doc_id"] % 3 == 1) and r["n_email"] == (r["doc_id"] % 3 == 0) for r in out)
+    assert all(not r["found"] for r in out if r["doc_id"] % 3 == 2)
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([("call +49 30 1234567 or a@b.c now", [(5, 19), (23, 28)]), ("xyz", []), ("abcdef", [(0, 4), (2, 6)])],
                                "t string, found array<struct<s:int,e:int>>")

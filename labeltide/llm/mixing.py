@@ -9,6 +9,11 @@ target is filled by an order sample: documents rank by the odds of a random
 number over their inclusion odds, and the smallest are taken until the words
 reach the rest.  The random number is the MD5 of id and seed, so reruns agree.
 
+All documents of a source have the same inclusion odds, so within it this is plain
+random order, and a prefix up to a word count: no unequal probabilities and no fixed
+sample size.  The document at the cut is taken or left by half its size, so a
+source misses its target by at most half of one document.
+
 The rank is never computed over a whole source: ranks fall into ``buckets``
 equal bins, word totals per source and bin tell which bin the cut lies in, and
 only that bin is ordered.

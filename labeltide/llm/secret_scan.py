@@ -32,8 +32,8 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 #: A credential word (which may end a longer name), a separator, and a value that ends at a blank, a quote or a bracket.
 CONTEXT = re.compile(
     r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth(?:orization)?|credentials?|bearer|login|pin)"""
-    r"""["']?(?:\x20{0,8}[:=]{1,2}\x20{0,8}|\x20{1,8}is\x20{1,8})(?:bearer\x20)?["']?([^\s"'<>(){}\[\],;]{6,})""", re.IGNORECASE | re.ASCII)
-MAYBE = (r"""(?i)(?:pass|pwd|passwd|password|passphrase|passcode|secret|token|key|auth|authorization|credentials?|bearer|login|pin)["']?(?:\x20*[:=]|\x20+is\x20)"""
+    r"""["']?(?:[\x20\t]*[:=]{1,2}[\x20\t]*|[\x20\t]+is[\x20\t]+)(?:bearer[\x20\t]+)?["']?([^\s"'<>(){}\[\],;]{6,})""", re.IGNORECASE | re.ASCII)
+MAYBE = (r"""(?i)(?:pass|pwd|passwd|password|passphrase|passcode|secret|token|key|auth|authorization|credentials?|bearer|login|pin)["']?(?:[\x20\t]*[:=]|[\x20\t]+is[\x20\t])"""
          r"""|AKIA[A-Z0-9]{14}|(?-i:[0-9a-f]{16})""")
 LEAST_COST = 10.0
 
@@ -59,6 +59,18 @@ def _walks() -> set[tuple[str, str]]:
             if a != b and abs(ya - yb) <= 1 and abs(xa - xb) <= 1.0}
 
 
+def _common(value: str, a: int, b: int) -> int:
+    """Length of the longest common start of ``value[a:]`` and ``value[b:]``, a < b."""
+    done, step, most = 0, 1, len(value) - b
+    while done + step <= most and value[a + done:a + done + step] == value[b + done:b + done + step]:
+        done, step = done + step, 2 * step
+    while step:
+        if done + step <= most and value[a + done:a + done + step] == value[b + done:b + done + step]:
+            done += step
+        step //= 2
+    return done
+
+
 class GuessCost:
     """log10 of the guesses for a value: the cheapest way to write it as known parts and brute force."""
 
@@ -101,7 +113,8 @@ class GuessCost:
             for k in (1, 2, 3):
                 if m.group(k):
                     add(m.start(k), m.end(k), 2.1 if k == 1 else 4.6)
-        for unit in range(1, min(8, n // 2) + 1):  # repeats of a unit
+        seen = set()
+        for unit in range(1, min(8, n // 2) + 1):  # repeats of a short unit
             i = 0
             while i + 2 * unit <= n:
                 end = i + unit
@@ -109,9 +122,19 @@ class GuessCost:
                     end += 1
                 if end - i >= max(3, 2 * unit):
                     add(i, end, unit * math.log10(self.alphabet(value[i:i + unit])) + math.log10((end - i) // unit + 1))
+                    seen.add((i, end))
                     i = end - unit + 1
                 else:
                     i += 1
+        back = value[::-1]
+        for unit in range(9, n // 2 + 1):  # repeats of a longer one: each holds a multiple of the unit
+            end = 0
+            for i in range(0, n - unit, unit):
+                if i + unit >= end and value[i] == value[i + unit]:
+                    start, end = i - _common(back, n - i - unit, n - i), i + unit + _common(value, i, i + unit)
+                    if end - start >= 2 * unit and (start, end) not in seen:
+                        add(start, end, unit * math.log10(self.alphabet(value[start:start + unit])) + math.log10((end - start) // unit + 1))
+                        seen.add((start, end))
         i = 0
         while i < n - 2:  # walks and sequences
             for step in ((lambda a, b: (a, b) in self.near), (lambda a, b: ord(b) - ord(a) == 1), (lambda a, b: ord(b) - ord(a) == -1)):

@@ -23,8 +23,9 @@ shingles.  Without an answer column the two sides are only a guess, so an item
 also counts if ``WHOLE`` of all its words lie there in one alignment.
 
 The index is built in slices of bounded size, and documents pass through one
-slice after the other, so neither the driver nor a broadcast grows with the
-benchmark.
+slice after the other.  A slice's results are stored and its broadcast is destroyed
+before the next is built, so neither the driver nor the workers hold more than one;
+only the last slice is left to the caller's plan.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labeltide.llm.common import WORD_PATTERN
+from labeltide.llm.common import WORD_PATTERN, Stage
 from labeltide.llm.wordhash import WordHasher, shingles, text_chunks
 
 K1, B = 1.2, 0.75
@@ -244,8 +245,8 @@ def _part_terms(part_words: int):
 
 
 def item_indexes(benchmark: DataFrame, item_col: str = "item_id", question_col: str = "text", answer_col: str | None = None,
-                 threshold: float = 0.6, part_words: int = PART_WORDS, block: int = BLOCK) -> Iterator[ItemIndex]:
-    """The index in slices of about ``SLICE_ITEMS`` items or ``SLICE_BYTES`` bytes of text, whichever is less.
+                 threshold: float = 0.6, part_words: int = PART_WORDS, block: int = BLOCK) -> Iterator[tuple[ItemIndex, bool]]:
+    """The index in slices of about ``SLICE_ITEMS`` items or ``SLICE_BYTES`` bytes of text, whichever is less, and whether it is the last.
 
     Items without a word are left out.  Document frequencies are those of all items.
     """
@@ -271,7 +272,8 @@ def item_indexes(benchmark: DataFrame, item_col: str = "item_id", question_col:
         here = own.select(whole.alias("text")).mapInArrow(_part_terms(part_words), "term long").distinct()
         df = {r["term"]: r["df"] for r in frequency.join(here, "term", "left_semi").collect()}
         texts = [(r["item"], r["question"], r["answer"]) if answer_col else (r["item"], *split_answer(r["question"])) for r in rows]
-        yield ItemIndex(texts, df, int(size["parts"]), size["words"] / size["parts"], threshold, part_words, block, split=answer_col is None)
+        made = (texts, df, int(size["parts"]), size["words"] / size["parts"], threshold, part_words, block, answer_col is None)
+        yield ItemIndex(*made), k == slices - 1
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
@@ -291,16 +293,30 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     out = spark.createDataFrame([], ddl)
     from pyspark.sql.pandas.types import to_arrow_type
 
-    for index in item_indexes(benchmark, item_col, question_col, answer_col, threshold):
+    stage = Stage(spark, "benchmark")
+    for k, (index, last) in enumerate(item_indexes(benchmark, item_col, question_col, answer_col, threshold)):
         held = spark.sparkContext.broadcast(index)
-        out = out.union(rows.mapInArrow(_finder(held, to_arrow_type(id_field.dataType), to_arrow_type(item_field.dataType), least), ddl))
+        del index
+        found = rows.mapInArrow(_finder(held, to_arrow_type(id_field.dataType), to_arrow_type(item_field.dataType), least), ddl)
+        if not last:
+            found = stage.put(found, f"slice-{k}")
+            held.destroy()
+        out = out.union(found)
     return out.withColumnsRenamed({"id": id_col, "item": item_col})
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
                   question_col: str = "text", answer_col: str | None = None, threshold: float = 0.6, least: float = 0.6) -> DataFrame:
     """``docs`` without the rows in which an item is found; no shuffle, all columns as they are."""
-    for index in item_indexes(benchmark, item_col, question_col, answer_col, threshold):
-        held = docs.sparkSession.sparkContext.broadcast(index)
+    spark = docs.sparkSession
+    stage = Stage(spark, "benchmark")
+    for k, (index, last) in enumerate(item_indexes(benchmark, item_col, question_col, answer_col, threshold)):
+        held = spark.sparkContext.broadcast(index)
+        del index
         docs = docs.mapInArrow(_dropper(held, docs.columns.index(text_col), least), docs.schema)
+        if not last:
+            docs = stage.put(docs, f"slice-{k}")
+            held.destroy()
+            if k:
+                stage.drop(f"slice-{k - 1}")
     return docs

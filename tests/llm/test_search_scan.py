@@ -93,6 +93,16 @@ def test_slices_of_the_index_change_nothing(spark, monkeypatch):
     assert sorted(map(tuple, d.find_benchmark(docs, bench).select("doc_id", "item_id").collect()), key=str) == whole and len(whole) >= 12
 
 
+def test_one_slice_of_the_index_is_held_at_a_time(spark, monkeypatch):
+    docs = messy(spark)
+    bench = items(spark, [(r["doc_id"], r["text"]) for r in docs.where("doc_id < 12 and length(text) < 900").collect()])
+    whole = sorted(map(str, d.decontaminate(docs, bench).collect()))
+    monkeypatch.setattr(d, "SLICE_ITEMS", 3)
+    for out in (d.find_benchmark(docs, bench), d.decontaminate(docs, bench)):
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") <= 1
+    assert sorted(map(str, out.collect())) == whole and len(whole) < docs.count()
+
+
 def test_empty_sides(spark):
     some = items(spark, [(1, "a b c d e f g h")])
     assert d.find_benchmark(empty(spark), some).count() == 0

@@ -51,7 +51,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files, and where each document lies in them: doc_id, start, n_tokens, ids_crc32."""
-    return token_table(docs, public_tokenizer(), end_id=2)
+    return token_table(docs, public_tokenizer(), end_id=2, words=True)
 
 
 STAGES = [

@@ -47,7 +47,7 @@ def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
 
 
 def op5_plane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_table(table(spark, sf_dir, "documents"), public_tokenizer(), end_id=2)
+    return token_table(table(spark, sf_dir, "documents"), public_tokenizer(), end_id=2, words=True)
 
 
 def op6_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

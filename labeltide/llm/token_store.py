@@ -217,11 +217,12 @@ def _reader(folder: str):
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2,
-                 words: bool = True, chunk_ids: int = CHUNK_IDS, plane_bits: int = 8, level: int = 1) -> tuple[str, DataFrame]:
+                 words: bool = False, chunk_ids: int = CHUNK_IDS, plane_bits: int = 8, level: int = 1) -> tuple[str, DataFrame]:
     """Write the files; their folder, and the index table (id, part, file, local_start, n_tokens).
 
     ``docs`` is written in ascending id order (nulls first, equal ids by text).  A null text
     is empty and gives the end id alone.  An empty table gives no file and an empty index.
+    ``words`` is faster, and right only for the tokenizers that :class:`TextEncoder` names.
     """
     stage = Stage(docs.sparkSession, "tokens")
     key = F.col("id").asc_nulls_first()

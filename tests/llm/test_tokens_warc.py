@@ -53,6 +53,18 @@ def test_plane_file_round_trip(tmp_path, bits, n):
         assert reader.ids(a, b - a).tolist() == ids[a:b].tolist()
 
 
+def test_tokenizers_whose_tokens_hold_blanks(spark, tmp_path):
+    from tokenizers import Tokenizer, models
+
+    signs = {c: k for k, c in enumerate("abAB \n")}
+    tok = Tokenizer(models.BPE(vocab={**signs, " a": 6, "b ": 7}, merges=[(" ", "a"), ("b", " ")]))
+    tok.save(str(tmp_path / "blanks.json"))
+    texts = ["a b a", "A  ab b\na ", " ", None, "aB"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["ids_crc32"] for r in t.token_table(docs, str(tmp_path / "blanks.json"), end_id=9).collect()}
+    assert got == {k: zlib.crc32(np.array(tok.encode(x or "").ids + [9], dtype="<u4").tobytes()) for k, x in enumerate(texts)}
+
+
 def test_messy_rows_round_trip(spark):
     docs = messy(spark)
     rows = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))

@@ -17,6 +17,7 @@ from labeltide.llm.quality_classifier import score_quality
 from labeltide.llm.quality_rules import quality_rules
 from labeltide.llm.secret_scan import scan_secrets
 from labeltide.llm.sharding import shard_rows
+from labeltide.llm.simhash_dedup import simhash_duplicates
 from labeltide.llm.token_store import token_table
 from labeltide.llm.warc import archive_digests
 
@@ -73,6 +74,10 @@ def op10_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents")).drop("found")
 
 
+def op13_multi_index_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nbsvm_quality": op1_nbsvm_quality,
     "op2_warc_index": op2_warc_index,
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_certified_rules": op8_certified_rules,
     "op9_guess_cost_secrets": op9_guess_cost_secrets,
     "op10_boosted_pii": op10_boosted_pii,
+    "op13_multi_index_simhash": op13_multi_index_simhash,
 }
 
 ORACLE: dict[str, str] = {

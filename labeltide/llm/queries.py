@@ -20,6 +20,7 @@ from labeltide.llm.sharding import shard_rows
 from labeltide.llm.simhash_dedup import simhash_duplicates
 from labeltide.llm.token_store import token_table
 from labeltide.llm.warc import archive_digests
+from labeltide.llm.whitening import whitening_report
 
 
 def op1_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +75,10 @@ def op10_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents")).drop("found")
 
 
+def op11_polarised_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening_report(table(spark, sf_dir, "embeddings"))
+
+
 def op13_multi_index_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_certified_rules": op8_certified_rules,
     "op9_guess_cost_secrets": op9_guess_cost_secrets,
     "op10_boosted_pii": op10_boosted_pii,
+    "op11_polarised_whitening": op11_polarised_whitening,
     "op13_multi_index_simhash": op13_multi_index_simhash,
 }
 

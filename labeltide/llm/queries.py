@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labeltide.llm import oracle
+from labeltide.llm.collocations import mine_collocations
 from labeltide.llm.common import table
 from labeltide.llm.decontaminate import find_benchmark
 from labeltide.llm.mixing import taken_words
@@ -79,6 +80,10 @@ def op11_polarised_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening_report(table(spark, sf_dir, "embeddings"))
 
 
+def op12_tiled_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_multi_index_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_guess_cost_secrets": op9_guess_cost_secrets,
     "op10_boosted_pii": op10_boosted_pii,
     "op11_polarised_whitening": op11_polarised_whitening,
+    "op12_tiled_collocations": op12_tiled_collocations,
     "op13_multi_index_simhash": op13_multi_index_simhash,
 }
 
@@ -102,4 +108,5 @@ ORACLE: dict[str, str] = {
     "op2_warc_index": oracle.OP2,
     "op6_pareto_mixing": oracle.OP6,
     "op8_certified_rules": oracle.OP8,
+    "op12_tiled_collocations": oracle.OP12,
 }

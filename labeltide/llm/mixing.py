@@ -3,20 +3,24 @@
 Sources get weights in code-point order (nulls last).  Their targets share all
 words by weight, none above ``max_copies`` times its own size; the excess of
 such sources is shared by the others (water filling, solved in closed form over
-one row per source).  Of a source that is to give ``ratio`` times its words,
-every document is taken ``floor(ratio)`` times for certain, and the rest of the
-target is filled by an order sample: documents rank by the odds of a random
-number over their inclusion odds, and the smallest are taken until the words
-reach the rest.  The random number is the MD5 of id and seed, so reruns agree.
-
-All documents of a source have the same inclusion odds, so within it this is plain
-random order, and a prefix up to a word count: no unequal probabilities and no fixed
-sample size.  The document at the cut is taken or left by half its size, so a
-source misses its target by at most half of one document.
-
-The rank is never computed over a whole source: ranks fall into ``buckets``
-equal bins, word totals per source and bin tell which bin the cut lies in, and
-only that bin is ordered.
+one row per source).
+
+Within a source a document's expected number of copies is proportional to the
+whole root of its size (``size_measure``), so that a long document weighs more
+than a short one but not in proportion to its words, and at most ``max_copies``;
+the factor makes the expected words equal the target.  It is solved over one
+row per source and size.  The whole part of that number is taken for certain.
+The rest is the document's own inclusion odds in a Pareto order sample:
+documents rank by the odds of a random number over their inclusion odds, and a
+sample of any size is the first so many.  Its size is the largest whose words
+fit into what the certain copies leave of the target; then the later documents
+that still fit are taken, in the same order, so that what stays open is less
+than the smallest document passed over.  The random number is the MD5 of id and
+seed, so reruns agree.
+
+The order is never computed over a whole source: ranks fall into ``BINS`` equal
+bins, and word totals per source and bin tell which bin the sample ends in.  From
+there on, bins are looked at in runs of about ``run_rows`` documents that may fit.
 """
 
 from __future__ import annotations
@@ -65,48 +69,123 @@ def pareto_rank(key: Column, chance: Column, seed: int) -> Column:
     return q / (1 + q)
 
 
+BINS = 1 << 16
+
+
+def size_measure(size: Column) -> Column:
+    """What a document's expected copies are proportional to: the whole part of the root of its size."""
+    return F.floor(F.sqrt(size)).cast("long")
+
+
+def copy_factors(sized: DataFrame, targets: DataFrame, max_copies: int) -> DataFrame:
+    """``targets`` with ``factor``: expected copies over ``size_measure``; null where every document is taken ``max_copies`` times.
+
+    ``sized`` is (_source, _size).  From the largest size down, sizes are held at ``max_copies`` until
+    the factor that shares the rest of the target among the others keeps the next size below that.
+    """
+    sizes = sized.where("_size > 0").groupBy("_source", "_size").agg(F.count(F.lit(1)).alias("c"))
+    down = Window.partitionBy("_source").orderBy(F.desc("_size"))
+    words = F.col("_size") * F.col("c")
+    sizes = (sizes.withColumn("held", F.coalesce(F.sum(words).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+             .withColumn("open", F.sum(size_measure(F.col("_size")) * words).over(down.rowsBetween(0, Window.unboundedFollowing))))
+    solved = sizes.join(targets, F.col("_source").eqNullSafe(F.col("source"))).withColumn(
+        "factor", (F.col("target") - F.col("held") * max_copies) / F.col("open"))
+    fits = solved.where((F.col("target") < F.col("source_size") * max_copies) & (F.col("factor") * size_measure(F.col("_size")) <= max_copies))
+    best = fits.groupBy(F.col("source").alias("_of")).agg(F.max_by("factor", "_size").alias("factor"))
+    return targets.join(best, F.col("source").eqNullSafe(F.col("_of")), "left").drop("_of")
+
+
+def _picks(run: "pandas.DataFrame") -> "pandas.DataFrame":
+    """Of a source's documents of a run of bins, in order, those that fit into what is left when they come."""
+    run = run.sort_values(["rank", "_id", "_size"], na_position="first", kind="stable")
+    left, take = float(run["left"].iloc[0]), []
+    for size in run["_size"].to_numpy():
+        take.append(size <= left)
+        left -= size if take[-1] else 0
+    return run.loc[take, ["_source", "rank", "_id", "_size"]]
+
+
+def _fill(stage: Stage, ranked: DataFrame, cuts: DataFrame, run_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(picks, cuts): documents taken from the cut bin on, and per source the last bin that was looked at.
+
+    Each turn looks at the next bins of every source that has room left, together at least
+    ``run_rows`` documents that may still fit, and ends when no later document fits anywhere.
+    """
+    shape = ranked.select("_source", "rank", "_id", "_size").schema
+    later = stage.put(ranked.join(cuts, F.col("_source").eqNullSafe(F.col("cut_source")))
+                      .where("bin >= cut_bin and _size <= left").select("_source", "rank", "bin", "_id", "_size"), "later")
+    picks = stage.put(later.select("_source", "rank", "_id", "_size").where(F.lit(False)), "picks-0")
+    state, turn = stage.put(cuts.select("cut_source", F.col("cut_bin").alias("from"), "left"), "state-0"), 0
+    while True:
+        open_ = later.join(state, F.col("_source").eqNullSafe(F.col("cut_source"))).where("bin >= from and _size <= left")
+        bins = open_.groupBy("cut_source", "bin", "left").agg(F.count(F.lit(1)).alias("c"))
+        ahead = F.sum("c").over(Window.partitionBy("cut_source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
+        ends = (bins.withColumn("ahead", F.coalesce(ahead, F.lit(0))).where(F.col("ahead") < run_rows)
+                .groupBy(F.col("cut_source").alias("end_source")).agg(F.max("bin").alias("end_bin")))
+        ends = stage.put(ends, f"ends-{turn}")
+        if ends.isEmpty():
+            return picks, state.select("cut_source", (F.col("from") - 1).alias("last_bin"))
+        run = open_.join(ends, F.col("cut_source").eqNullSafe(F.col("end_source"))).where("bin <= end_bin")
+        found = stage.put(run.select("_source", "rank", "_id", "_size", "left").groupBy("_source").applyInPandas(_picks, shape), f"found-{turn}")
+        spent = found.groupBy(F.col("_source").alias("spent_source")).agg(F.sum("_size").alias("spent"))
+        moved = (state.join(ends, F.col("cut_source").eqNullSafe(F.col("end_source")), "left")
+                 .join(spent, F.col("cut_source").eqNullSafe(F.col("spent_source")), "left")
+                 .select("cut_source", F.coalesce(F.col("end_bin") + 1, F.col("from")).alias("from"),
+                         (F.col("left") - F.coalesce("spent", F.lit(0))).alias("left")))
+        turn += 1
+        state = stage.put(moved, f"state-{turn}")
+        picks = stage.put(picks.union(found), f"picks-{turn}")
+        stage.drop(f"picks-{turn - 1}", f"found-{turn - 1}", f"ends-{turn - 1}", f"state-{turn - 1}")
+
+
 def taken_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                 weights: Sequence[float] = WEIGHTS, max_copies: int = 3, share: float = 1.0, seed: int = 1,
-                buckets: int = 4096, extra: Sequence[Column] = ()) -> DataFrame:
+                run_rows: int = 10_000, extra: Sequence[Column] = ()) -> DataFrame:
     """Per row: ``id_col``, ``extra``, source, size, source_size, target, copies, taken.
 
-    A document of size 0 has nothing to take.  Rows that share an id share its random
-    number and are ordered by size; equal rows stay interchangeable.  Null ids rank as an
-    empty string, null sources are one source, null texts have size 0.  A source without
-    words has target 0.  An empty table gives no rows.
+    A document of size 0 is not taken.  Rows that share an id share its random number and
+    are ordered by size; of equal rows, which are interchangeable, as many are taken as fit.
+    Null ids rank as an empty string and come first, null sources are one source, null texts
+    have size 0.  A source without words has target 0.  An empty table gives no rows.
     """
     stage = Stage(docs.sparkSession, "mixing")
     sized = stage.put(docs.select(F.col(id_col).alias("_id"), *extra, F.col(source_col).alias("_source"),
                                   word_count(F.col(text_col)).alias("_size")), "sizes")
     totals = sized.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size"))
-    targets = source_targets(totals, weights, max_copies, share)
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    targets = (targets.withColumn("ratio", ratio)
-               .withColumn("whole", F.floor("ratio").cast("long")).withColumn("chance", F.col("ratio") - F.floor("ratio"))
-               .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")))
-    targets = stage.put(targets, "targets")
-    place = pareto_rank(F.col("_id"), F.col("chance"), seed)
+    targets = stage.put(source_targets(totals, weights, max_copies, share), "shares")
+    targets = stage.put(copy_factors(sized.select("_source", "_size"), targets, max_copies), "targets")
+    expected = F.when(F.col("_size") == 0, F.lit(0.0)).when(F.col("factor").isNull(), F.lit(float(max_copies))).otherwise(
+        F.least(F.col("factor") * size_measure(F.col("_size")), F.lit(float(max_copies))))
     drawn = F.col("chance") > 0
     ranked = (sized.join(targets, F.col("_source").eqNullSafe(F.col("source")), "left")
-              .withColumn("rank", F.when(drawn, place))
-              .withColumn("bin", F.when(drawn, F.least(F.floor(F.col("rank") * buckets).cast("int"), F.lit(buckets - 1)))))
-    bins = (ranked.where("bin is not null").groupBy("_source", "bin")
-            .agg(F.sum("_size").alias("words"), F.first("rest").alias("rest")))
+              .withColumn("_expected", expected).withColumn("whole", F.floor("_expected").cast("long"))
+              .withColumn("chance", F.col("_expected") - F.floor("_expected")).drop("_expected")
+              .withColumn("rank", F.when(drawn, pareto_rank(F.col("_id"), F.col("chance"), seed)))
+              .withColumn("bin", F.when(drawn, F.least(F.floor(F.col("rank") * BINS).cast("int"), F.lit(BINS - 1)))))
+    bins = stage.put(ranked.groupBy("_source", "bin").agg(F.sum("_size").alias("words"), F.sum(F.col("whole") * F.col("_size")).alias("certain")), "bins")
+    certain = bins.groupBy(F.col("_source").alias("_of")).agg(F.sum("certain").alias("certain"))
+    rest = certain.join(targets, F.col("_of").eqNullSafe(F.col("source"))).select("_of", (F.col("target") - F.col("certain")).alias("rest"))
     up_to = Window.partitionBy("_source").orderBy("bin")
-    cuts = (bins.withColumn("upto", F.sum("words").over(up_to))
-            .where("upto >= rest").groupBy("_source")
-            .agg(F.min(F.struct("bin", (F.col("upto") - F.col("words")).alias("below"))).alias("cut")))
-    cuts = stage.put(cuts.select(F.col("_source").alias("cut_source"), F.col("cut.bin").alias("cut_bin"), F.col("cut.below").alias("below")), "cuts")
+    cuts = (bins.where("bin is not null").withColumn("upto", F.sum("words").over(up_to))
+            .join(rest, F.col("_source").eqNullSafe(F.col("_of"))).where("upto > rest")
+            .groupBy(F.col("_source").alias("cut_source"), "rest").agg(F.min(F.struct("bin", (F.col("upto") - F.col("words")).alias("below"))).alias("cut")))
+    cuts = stage.put(cuts.select("cut_source", F.col("cut.bin").alias("cut_bin"), (F.col("rest") - F.col("cut.below")).alias("left")), "cuts")
+    picks, lasts = _fill(stage, ranked, cuts, run_rows)
+    cuts = stage.put(cuts.join(lasts.withColumnRenamed("cut_source", "_of"), F.col("cut_source").eqNullSafe(F.col("_of"))).select("cut_source", "cut_bin", "last_bin"), "looked")
+    picks = picks.groupBy("_source", "rank", "_id", "_size").agg(F.count(F.lit(1)).alias("picked"))
+    picks = stage.put(picks.select(*[F.col(c).alias(f"p{c}") for c in ("_source", "rank", "_id", "_size")], "picked"), "picked")
     ranked = ranked.join(cuts, F.col("_source").eqNullSafe(F.col("cut_source")), "left")
-    inside = Window.partitionBy("_source", "bin").orderBy("rank", "_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
-    at_cut = F.col("bin") == F.col("cut_bin")
-    edge = ranked.where(at_cut).withColumn("ahead", F.col("below") + F.coalesce(F.sum("_size").over(inside), F.lit(0)))
-    edge = edge.withColumn("more", (F.col("ahead") + F.col("_size") / 2 <= F.col("rest")).cast("int"))
-    clear = ranked.where(~F.coalesce(at_cut, F.lit(False)))
+    looked = F.coalesce(F.col("bin").between(F.col("cut_bin"), F.col("last_bin")), F.lit(False))
+    same = [F.col(c).eqNullSafe(F.col(f"p{c}")) for c in ("_source", "rank", "_id", "_size")]
+    edge = ranked.where(looked).join(picks, same[0] & same[1] & same[2] & same[3], "left")
+    alike = Window.partitionBy("_source", "rank", "_id", "_size").orderBy(F.lit(0))
+    edge = edge.withColumn("more", F.coalesce(F.row_number().over(alike) <= F.col("picked"), F.lit(False)).cast("int"))
+    clear = ranked.where(~looked)
     clear = clear.withColumn("more", F.when(drawn & (F.col("cut_bin").isNull() | (F.col("bin") < F.col("cut_bin"))), 1).otherwise(0))
     names = [c for c in sized.columns if c not in ("_id", "_source", "_size")]
     columns = [F.col("_id").alias(id_col), *names, F.col("_source").alias("source"), F.col("_size").alias("size"), "source_size", "target",
                (F.col("whole") + F.col("more")).alias("copies"), ((F.col("whole") + F.col("more")) * F.col("_size")).alias("taken")]
+    stage.drop("shares", "later", "bins")
     return clear.select(*columns).unionByName(edge.select(*columns))
 
 

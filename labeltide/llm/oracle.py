@@ -47,7 +47,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def mixing_cte(rows: str, seed: int = 1) -> str:
-    """CTEs up to ``mixed``: (columns of ``rows``, size, source_size, target, copies, taken)."""
+    """CTEs (after WITH RECURSIVE) up to ``mixed``: (columns of ``rows``, size, source_size, target, copies, taken)."""
     return f"""
 sized AS (SELECT *, CAST(len({_WORDS}) AS BIGINT) AS size FROM {rows}),
 totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
@@ -57,19 +57,27 @@ stepped AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(source_size * 3)
   / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM placed),
 targets AS (SELECT source, source_size, CASE WHEN level * w >= source_size * 3 THEN CAST(source_size * 3 AS DOUBLE)
   ELSE w * (SELECT arg_min(level, place) FROM stepped WHERE level * w < source_size * 3) END AS target FROM stepped),
-shares AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio FROM targets),
-parts AS (SELECT source, source_size, target, CAST(floor(ratio) AS BIGINT) AS whole, ratio - floor(ratio) AS chance,
-  target - floor(ratio) * source_size AS rest FROM shares),
-drawn AS (SELECT s.*, p.source_size, p.target, p.whole, p.chance, p.rest,
-  (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':{seed}'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0::DOUBLE AS u
-  FROM sized s JOIN parts p ON s.source IS NOT DISTINCT FROM p.source),
+measured AS (SELECT source, size, CAST(floor(sqrt(size)) AS BIGINT) AS z, CAST(count(*) * size AS BIGINT) AS words FROM sized WHERE size > 0 GROUP BY source, size),
+held AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held,
+  sum(z * words) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM measured),
+solved AS (SELECT h.source, h.size, h.z, (t.target - CAST(h.held AS BIGINT) * 3) / CAST(h.open AS BIGINT) AS factor
+  FROM held h JOIN targets t ON h.source IS NOT DISTINCT FROM t.source WHERE t.target < t.source_size * 3),
+factors AS (SELECT source, arg_max(factor, size) AS factor FROM solved WHERE factor * z <= 3 GROUP BY source),
+hoped AS (SELECT s.*, t.source_size, t.target,
+  CASE WHEN s.size = 0 THEN 0.0::DOUBLE WHEN f.factor IS NULL THEN 3.0::DOUBLE ELSE least(f.factor * CAST(floor(sqrt(s.size)) AS BIGINT), 3.0::DOUBLE) END AS e
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source LEFT JOIN factors f ON s.source IS NOT DISTINCT FROM f.source),
+drawn AS (SELECT *, row_number() OVER () AS rn, CAST(floor(e) AS BIGINT) AS whole, e - floor(e) AS chance,
+  (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':{seed}'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0::DOUBLE AS u FROM hoped),
 odds AS (SELECT *, CASE WHEN chance > 0 THEN (u / (1 - u)) / (chance / (1 - chance)) END AS q FROM drawn),
-ahead AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY q / (1 + q), doc_id NULLS FIRST, size
-  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM odds),
-mixed AS (SELECT *, whole + CASE WHEN chance > 0 AND before + size / 2 <= rest THEN 1 ELSE 0 END AS copies FROM ahead)"""
+lined AS (SELECT source, rn, size, row_number() OVER (PARTITION BY source ORDER BY q / (1 + q), doc_id NULLS FIRST, size, rn) AS k FROM odds WHERE chance > 0),
+rests AS (SELECT source, any_value(target) - CAST(sum(whole * size) AS BIGINT) AS rest FROM odds GROUP BY source),
+walk AS (SELECT source, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS rn, false AS took, rest AS left_ FROM rests
+  UNION ALL SELECT l.source, l.k, l.rn, l.size <= w.left_, CASE WHEN l.size <= w.left_ THEN w.left_ - l.size ELSE w.left_ END
+  FROM walk w JOIN lined l ON l.source IS NOT DISTINCT FROM w.source AND l.k = w.k + 1),
+mixed AS (SELECT o.* EXCLUDE (rn), o.whole + CASE WHEN w.took THEN 1 ELSE 0 END AS copies FROM odds o LEFT JOIN walk w ON w.rn = o.rn)"""
 
 
-OP6 = f"""WITH {mixing_cte('documents')}
+OP6 = f"""WITH RECURSIVE {mixing_cte('documents')}
 SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken FROM mixed"""
 
 

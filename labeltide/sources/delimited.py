@@ -2,19 +2,21 @@
 
 Columns are read as strings by header name (no schema inference: tweet ids
 stay strings and no extra pass over the data), then cast where a spec asks.
-``multiLine`` keeps quoted newlines inside a field; it also makes each file a
-single split.  Corpora without such fields are read with ``multiline=False``;
-others are best converted to Parquet once (``to_parquet``).
+Quoted fields may hold line ends and files are split all the same: ``records``
+finds the record ends by a scan of the quotes.  ``multiline=False`` leaves that
+scan out, for corpora without such fields.  Every file is read by its own header.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .records import header_names, line_records, quoted_records
+
 # The tokens pandas.read_csv turns into missing values by default.
 NULL_TOKENS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
@@ -35,28 +37,43 @@ def normalise_nulls(df: DataFrame, cols: Sequence[str] | None = None,
                            for c in cols}) if cols else df
 
 
-def _reader(spark: SparkSession, sep: str, encoding: str, header: bool, multiline: bool):
-    return (spark.read.option("header", header).option("sep", sep)
-            .option("encoding", encoding).option("multiLine", multiline)
-            .option("quote", '"').option("escape", '"')
-            .option("mode", "PERMISSIVE").option("inferSchema", False))
+def _fields(text: Column, names: Sequence[str], sep: str) -> Column:
+    """The record's fields by position, as a struct of strings."""
+    ddl = ", ".join(f"{n} string" for n in names)
+    return F.from_csv(text, ddl, {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE"})
+
+
+def _read_records(records: DataFrame, heads: DataFrame, sep: str, header: bool, names: Sequence[str] | None,
+                  order_col: str | None) -> DataFrame:
+    """The fields of ``records``.  Headers differ in few ways, whatever the number of files: each way is a variant."""
+    partition = [c for c in records.columns if c not in ("file", "ord", "text")]
+    order = [F.col("ord").cast("long").alias(order_col)] if order_col else []
+    if not header:
+        places = [f"_{k}" for k in range(len(names))]
+        row = records.select(*partition, "ord", _fields(F.col("text"), places, sep).alias("_row"))
+        return row.select(*[F.col(f"_row._{k}").alias(n) for k, n in enumerate(names)], *[c for c in partition if c not in names], *order)
+    variants = heads.groupBy("head").agg(F.min(F.struct("__part", "file")).alias("first")).orderBy("first").collect()
+    layouts = [header_names(v["head"], sep) for v in variants]
+    for v, layout in zip(variants, layouts):
+        missing = [n for n in names or () if n not in layout and n not in partition]
+        if missing:
+            raise ValueError(f"columns {missing} not in header of {v['first']['file']}")
+    seen = list(dict.fromkeys(n for layout in layouts for n in layout))
+    wide = [f"_{k}" for k in range(max((len(x) for x in layouts), default=1))]
+    if len(layouts) > 1:
+        variant = F.coalesce(*[F.when(F.col("head") == v["head"], F.lit(k)) for k, v in enumerate(variants)])
+        of = F.broadcast(heads.select(F.col("file").alias("_of"), variant.alias("_variant")))  # one row per file
+        records = records.join(of, F.col("file") == F.col("_of"))
+    else:
+        records = records.withColumn("_variant", F.lit(0))
+    row = records.select(*partition, "ord", "_variant", _fields(F.col("text"), wide, sep).alias("_row"))
 
+    def column(name: str) -> Column:
+        own = [F.when(F.col("_variant") == k, F.col(f"_row._{x.index(name)}")) for k, x in enumerate(layouts) if name in x]
+        return F.coalesce(*own).alias(name)
 
-def _numbered(df: DataFrame, order_col: str) -> DataFrame:
-    """Add the row's position over all files, in the order of file name and place in the file.
-
-    Files are packed into tasks by size, so the running number of a task is only
-    an order inside one file split.  Each split's count and first number (one row
-    per split) give its offset; the rows join that small table.
-    """
-    at = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"),
-                   F.monotonically_increasing_id().alias("__serial"))
-    splits = at.groupBy("__file", "__block").agg(F.count(F.lit(1)).alias("__n"), F.min("__serial").alias("__first"))
-    before = Window.orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.select("__file", "__block", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    return (at.join(splits, ["__file", "__block"])
-            .withColumn(order_col, (F.col("__offset") + F.col("__serial") - F.col("__first")).cast("long"))
-            .select(*df.columns, order_col))
+    wanted = list(names) if names else [*seen, *[c for c in partition if c not in seen]]
+    return row.select(*[column(n) if n in seen else F.col(n) for n in wanted], *order)
 
 
 def read_delimited(spark: SparkSession, path: str | Sequence[str], sep: str = ",",
@@ -69,36 +86,19 @@ def read_delimited(spark: SparkSession, path: str | Sequence[str], sep: str = ",
     """Read CSV/TSV into string columns, normalise NULL tokens, cast.
 
     ``header=False`` requires ``names`` (assigned by position, S4/S5).  With a
-    header, each of several paths is read by its own header, the paths are
-    united by column name, and ``names`` selects columns.  ``order_col`` is the
-    row's position over all paths, files and lines.  ``multiline=False`` lets
-    large files be split, where fields hold no line ends.  A value that cannot
-    be cast to its type becomes NULL; ``count_cast_losses`` counts them.
+    header, every file is read by its own, files are united by column name
+    (in the order of first appearance; NULL where a file lacks a column), and
+    ``names`` selects columns, which every header must have.  ``order_col`` is
+    the row's position over all paths as listed, files by name, and lines.
+    ``multiline=False`` is for files whose fields hold no line ends: their lines
+    are cut without the scan.  A value that cannot be cast to its type becomes
+    NULL; ``count_cast_losses`` counts them.
     """
     paths = [path] if isinstance(path, str) else list(path)
-    if header:
-        out, offset = None, 0
-        for p in paths:
-            df = _reader(spark, sep, encoding, True, multiline).csv(p)
-            if names:
-                missing = [n for n in names if n not in df.columns]
-                if missing:
-                    raise ValueError(f"columns {missing} not in header of {p}")
-            if order_col:
-                rows = df.count() if len(paths) > 1 else 0
-                df = _numbered(df, order_col).withColumn(order_col, F.col(order_col) + F.lit(offset))
-                offset += rows
-            if names:
-                df = df.select(*names, *([order_col] if order_col else []))
-            out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-        df = out
-    else:
-        if not names:
-            raise ValueError("a headerless file needs column names")
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        df = _reader(spark, sep, encoding, False, multiline).schema(schema).csv(paths)
-        if order_col:
-            df = _numbered(df, order_col)
+    if not header and not names:
+        raise ValueError("a headerless file needs column names")
+    cut = quoted_records(spark, paths, sep, encoding, header) if multiline else line_records(spark, paths, encoding, header)
+    df = _read_records(*cut, sep, header, names, order_col)
     if null_tokens is not None:
         df = normalise_nulls(df, tokens=null_tokens)
     if types:

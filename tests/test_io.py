@@ -155,3 +155,70 @@ def test_remaining_layouts(spark, tmp):
     assert (train.count(), dev.count()) == (2, 2) and [(r.id, r.text) for r in t.collect()] == [("@@7", "some text")]
     with pytest.raises(ValueError):
         registry.load(spark, "pcl", {"train": pcl, "dev": pcl}, dev_frac=0.5)
+
+
+def test_folder_whose_files_order_their_columns_differently(spark, tmp):
+    base = os.path.join(tmp, "swapped")
+    os.makedirs(base, exist_ok=True)
+    _write(os.path.join(base, "a.csv"), b"id,text\n1,hello\n")
+    _write(os.path.join(base, "b.csv"), b"text,id,more\nworld,2,x\n")
+    for multiline in (True, False):
+        df = delimited.read_csv(spark, base, multiline=multiline)
+        assert df.columns == ["id", "text", "more", "row_ord"]
+        assert [tuple(r) for r in df.orderBy("row_ord").collect()] == [("1", "hello", None, 0), ("2", "world", "x", 1)]
+        with pytest.raises(ValueError):
+            delimited.read_csv(spark, base, names=["more"], multiline=multiline)
+
+
+def test_headerless_paths_are_numbered_as_listed(spark, tmp):
+    z, b = (_write(os.path.join(tmp, f"{n}.tsv"), body) for n, body in (("z", b"1\tx\n2\ty\n"), ("b", b"3\tw\n")))
+    for multiline in (True, False):
+        rows = delimited.read_delimited(spark, [z, b], sep="\t", header=False, names=["id", "label"], multiline=multiline).orderBy("row_ord").collect()
+        assert [(r.id, r.row_ord) for r in rows] == [("1", 0), ("2", 1), ("3", 2)]
+
+
+@pytest.fixture
+def small_splits(spark):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "257b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def _wild_csv(rnd, n, sep=","):
+    """Fields with separators, doubled quotes, line ends, stray quotes; some records span several splits."""
+    out = []
+    for k in range(n):
+        body = rnd.choice(["plain", 'say ""hi""', "a\nb", "x\r\ny\n\n", f"one{sep}two", "", '""', "end\n", "w " * rnd.randint(0, 300), "é\n" * rnd.randint(0, 90)])
+        loose = rnd.choice(["", "z", '5" pipe', "it''s", 'a "b" c'])
+        out.append(f'{k}{sep}"{body}"{sep}{loose}{sep}{rnd.randint(0, 9)}')
+    return "id{0}text{0}loose{0}last\n".format(sep) + "\n".join(out) + "\n"
+
+
+def test_records_of_split_files_equal_the_whole_file_read(spark, tmp, small_splits):
+    """Every file is cut into many splits; Spark's one-task multiLine reader is the measure."""
+    import random
+
+    for k, sep in enumerate((",", "\t", ",")):
+        base = os.path.join(tmp, f"wild{k}")
+        os.makedirs(base, exist_ok=True)
+        for f in range(2):
+            _write(os.path.join(base, f"{f}.csv"), _wild_csv(random.Random(10 * k + f), 60, sep).encode())
+        whole = (spark.read.option("header", True).option("sep", sep).option("multiLine", True).option("quote", '"').option("escape", '"').csv(base))
+        lines = spark.read.option("lineSep", "\n").text(base)
+        assert lines.rdd.getNumPartitions() >= 8
+        df = delimited.read_csv(spark, base, null_tokens=None) if sep == "," else delimited.read_tsv(spark, base, null_tokens=None)
+        key = lambda r: tuple(str(x).replace("\r\n", "\n") for x in r)
+        assert sorted(key(r) for r in df.drop("row_ord").collect()) == sorted(key(r) for r in whole.collect())
+        got = df.orderBy("row_ord").collect()
+        assert [r.row_ord for r in got] == list(range(120)) and [r.id for r in got] == [str(i) for i in range(60)] * 2
+
+
+def test_states_of_lines():
+    from labeltide.sources.records import state_after
+
+    for line, out, inside in ((b"a,b", False, True), (b'a,"b', True, False), (b'"a""b",c', False, False), (b'a"b,c"', False, False),
+                              (b'x",y', False, False), (b'x","y', True, True), (b'x""y', False, True), (b'"', True, False), (b'""', False, True), (b"", False, True)):
+        assert (state_after(line, False, b","), state_after(line, True, b",")) == (out, inside), line

@@ -1,8 +1,9 @@
 """Connected components of a link table by alternating large-star and small-star steps.
 
 Every step is two keyed joins and two minima; a node with a third of all links
-costs one partial minimum per task, and its join side can be split by adaptive
-execution.  Nothing is collected but two totals per round.
+costs one partial minimum per task.  The minima are stored before they are joined:
+so both sides of the join are plain exchanges, and adaptive execution can split the
+links of such a node.  Nothing is collected but two totals per round.
 """
 
 from __future__ import annotations
@@ -13,15 +14,15 @@ from pyspark.sql import functions as F
 from labeltide.llm.common import Stage
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(stage: Stage, links: DataFrame, name: str) -> DataFrame:
     both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = stage.put(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}-least")
+    return both.join(least.hint("merge"), "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
-    moved = links.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _small_star(stage: Stage, links: DataFrame, name: str) -> DataFrame:
+    least = stage.put(links.groupBy("u").agg(F.min("v").alias("m")), f"{name}-least")
+    moved = links.join(least.hint("merge"), "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -41,10 +42,12 @@ def components(stage: Stage, links: DataFrame, name: str) -> DataFrame:
     before, turn = _totals(current), 0
     while before[0]:
         turn += 1
-        current = stage.put(_small_star(_large_star(current)), f"{name}-{turn}")
+        large = stage.put(_large_star(stage, current, f"{name}-large"), f"{name}-stars")
         stage.drop(f"{name}-{turn - 1}")
+        current = stage.put(_small_star(stage, large, f"{name}-small"), f"{name}-{turn}")
         now = _totals(current)
         if now == before:
             break
         before = now
+    stage.drop(f"{name}-stars", f"{name}-large-least", f"{name}-small-least")
     return current

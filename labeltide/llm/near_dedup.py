@@ -1,7 +1,8 @@
 """Operator 4: near-duplicate documents by SuperMinHash signatures, banding, verification and grouping.
 
 1. Each document becomes the set of its distinct word shingles.  Documents with
-   equal sets form a class; its smallest id stands for it.
+   equal sets form a class, a node of the graph under a number of its own; ids
+   come in at the end only.
 2. A class gets a SuperMinHash signature: every shingle deals the positions
    0..m-1 out in an order of its own, one position per level, and offers
    ``level + fraction`` there.  A document is finished as soon as every position
@@ -9,12 +10,15 @@
    the m levels.
 3. Classes that agree in a whole band of the signature share a bucket.  Each
    member is linked to its bucket's smallest member if their full sets pass.
+   The sets of the classes that share a bucket are hashed from the texts once
+   more; a bit field of fixed size keeps nearly all others from being sent.
 4. Buckets whose members still lie in different components are compared in full,
    in blocks of bounded size.  First by signature: members in different
    components that agree well enough are joined to families, each block emitting
    a forest of links rather than its pairs.  Then the members of a family are
    compared on their full sets, again in blocks, and the links that join
-   components are emitted.  So no bucket is capped, and none emits all its pairs.
+   components are emitted.  The largest component of a bucket or family is not
+   compared with itself.  So no bucket is capped, and none emits all its pairs.
 5. Components by star contraction; the smallest id of each is kept.
 """
 
@@ -93,8 +97,7 @@ def _signer(size: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
-            ids, text = batch.column(0), batch.column(1)
-            for first, end, data, offsets in text_chunks(text):
+            for first, end, data, offsets in text_chunks(batch.column(2)):
                 hashes, _, _, bounds = hasher.words(data, offsets)
                 flat, sets = distinct_sets(*shingles(hashes, bounds, size))
                 counts, n = np.diff(sets), end - first
@@ -113,65 +116,84 @@ def _signer(size: int, bands: int, rows: int):
                 short = np.zeros((n, m), dtype=np.uint8)
                 short[filled] = (signature & np.uint64(255)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([
-                    ids.slice(first, n), pa.array(counts.astype(np.int64)),
+                    batch.column(0).slice(first, n), batch.column(1).slice(first, n), pa.array(counts.astype(np.int64)),
                     pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(list_offsets), pa.array(hashed.ravel())),
                     _fixed_binary(short, np.where(filled, m, 0)),
-                ], names=["id", "n_shingles", "fp1", "fp2", "bands", "sig"])
+                ], names=["id", "tie", "n_shingles", "fp1", "fp2", "bands", "sig"])
     return run
 
 
-def _verifier(size: int, percent: int):
-    """Keeps the pairs (a, b, text_a, text_b) with ``100 * intersection >= percent * union`` of their full sets."""
+_FIELD_BITS = 27
 
-    def sets_of(hasher: WordHasher, column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
-        coded = column.dictionary_encode()
-        out: list[np.ndarray] = []
-        for _, _, data, offsets in text_chunks(coded.dictionary):
-            hashes, _, _, bounds = hasher.words(data, offsets)
-            flat, cuts = distinct_sets(*shingles(hashes, bounds, size))
-            out.extend(flat[a:b] for a, b in zip(cuts[:-1], cuts[1:]))
-        return coded.indices.to_numpy(zero_copy_only=False), out
+
+def _field(keys: DataFrame) -> np.ndarray:
+    """A bit field of 2^27 bits (16 MB), whatever the number of ``keys`` (k1), with two bits set for each.
+
+    Tasks send the field's set bytes only; a field that fills up lets more pass, never less.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
+        field = np.zeros(1 << (_FIELD_BITS - 3), dtype=np.uint8)
         for batch in batches:
-            left, right = (sets_of(hasher, batch.column(k)) for k in (2, 3))
-            good = np.zeros(batch.num_rows, dtype=bool)
-            for i in range(batch.num_rows):
-                x, y = left[1][left[0][i]], right[1][right[0][i]]
-                small, large = sorted((len(x), len(y)))
-                if small and 100 * small >= percent * large:
-                    joint = small + large - len(np.union1d(x, y))
-                    good[i] = 100 * joint >= percent * (small + large - joint)
-            yield batch.select(["a", "b"]).filter(pa.array(good))
-    return run
+            for bit in _field_bits(batch.column(0).to_numpy()):
+                np.bitwise_or.at(field, bit >> 3, (1 << (bit & 7)).astype(np.uint8))
+        for part in range(0, len(field), 1 << 16):
+            piece = field[part:part + (1 << 16)]
+            if piece.any():
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([piece.tobytes()], pa.binary())], names=["part", "bytes"])
 
+    def merge(group: pa.Table) -> pa.Table:
+        joint = np.bitwise_or.reduce([np.frombuffer(x, dtype=np.uint8) for x in group.column("bytes").to_pylist()])
+        return pa.table({"part": group.column("part").slice(0, 1), "bytes": pa.array([joint.tobytes()], pa.binary())})
 
-def _spanning(n: int, pairs) -> list[tuple[int, int]]:
-    """Of ``pairs`` of 0..n-1, those that join what was apart before."""
-    parent, out = list(range(n)), []
+    parts = keys.mapInArrow(run, "part int, bytes binary").withColumn("salt", F.spark_partition_id() % 32)
+    parts = parts.groupBy("part", "salt").applyInArrow(merge, "part int, bytes binary").groupBy("part").applyInArrow(merge, "part int, bytes binary")
+    field = np.zeros(1 << (_FIELD_BITS - 3), dtype=np.uint8)
+    for r in parts.collect():
+        field[r["part"]:r["part"] + (1 << 16)] = np.frombuffer(r["bytes"], dtype=np.uint8)
+    return field
 
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
 
-    for x, y in pairs:
-        a, b = root(x), root(y)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            out.append((x, y))
-    return out
+def _field_bits(k1: np.ndarray) -> list[np.ndarray]:
+    u = mix(k1.view(np.uint64))
+    return [(u >> np.uint64(64 - _FIELD_BITS)).astype(np.int64), (u & np.uint64((1 << _FIELD_BITS) - 1)).astype(np.int64)]
 
 
-def _links(block: pa.Table, agree: np.ndarray) -> pa.Table:
-    """A spanning set of the pairs low x high of a block group for which ``agree`` holds."""
-    low, high = (np.flatnonzero(block.column(c).to_numpy(zero_copy_only=False)) for c in ("is_low", "is_high"))
+def _set_maker(size: int, field):
+    """(k1, k2, text) to (k1, k2, set): the sorted hashes of the distinct shingles of rows whose key is in the field."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, bits = WordHasher(), field.value
+        for batch in batches:
+            places = _field_bits(batch.column(0).to_numpy())
+            batch = batch.filter(pa.array(np.all([bits[p >> 3] >> (p & 7) & 1 for p in places], axis=0).astype(bool)))
+            for first, end, data, offsets in text_chunks(batch.column(2)):
+                hashes, _, _, bounds = hasher.words(data, offsets)
+                flat, cuts = distinct_sets(*shingles(hashes, bounds, size))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), batch.column(1).slice(first, end - first),
+                                                  pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(flat.view(np.int64)))],
+                                                 names=["k1", "k2", "set"])
+    return run
+
+
+def _links(block: pa.Table, low: np.ndarray, high: np.ndarray, agree, joined: str) -> pa.Table:
+    """A spanning set of the pairs low x high of different components for which ``agree(i)``, over ``high``, holds with ``low[i]``.
+
+    ``joined`` names the column whose equal values count as connected from the start.
+    """
     node, comp = (block.column(c).to_numpy() for c in ("node", "comp"))
-    found = agree[np.ix_(low, high)] & (comp[low][:, None] != comp[high][None, :])
-    kept = _spanning(len(node), ((low[i], high[j]) for i, j in np.argwhere(found)))
-    return pa.table({"a": pa.array([node[x] for x, _ in kept], pa.int64()), "b": pa.array([node[y] for _, y in kept], pa.int64())})
+    group = np.unique(block.column(joined).to_numpy(), return_inverse=True)[1]
+    a, b = [], []
+    for i, x in enumerate(low):
+        near = high[agree(i) & (comp[high] != comp[x])]
+        groups, first = np.unique(group[near], return_index=True)
+        new = groups != group[x]
+        if new.any():
+            b.extend(node[near[first[new]]].tolist())
+            a.extend([int(node[x])] * int(new.sum()))
+            group[np.isin(group, groups)] = group[x]
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def _likely(m: int, percent: int, slack: float):
@@ -182,15 +204,19 @@ def _likely(m: int, percent: int, slack: float):
     def likely(block: pa.Table) -> pa.Table:
         n = block.column("n").to_numpy()
         sig = np.frombuffer(b"".join(block.column("sig").to_pylist()), dtype=np.uint8).reshape(-1, m)
-        agree = np.zeros((len(n), len(n)), dtype=bool)
-        for i in range(len(n)):
-            near = 100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])
-            agree[i, near] = (sig[near] == sig[i]).sum(axis=1) >= least
-        return _links(block, agree)
+        low, high = (np.flatnonzero(block.column(c).to_numpy(zero_copy_only=False)) for c in ("is_low", "is_high"))
+        sig_high, n_high = sig[high], n[high]
+
+        def agree(i: int) -> np.ndarray:
+            x = low[i]
+            out = 100 * np.minimum(n_high, n[x]) >= percent * np.maximum(n_high, n[x])
+            out[out] = (sig_high[out] == sig[x]).sum(axis=1) >= least
+            return out
+        return _links(block, low, high, agree, "node")  # all that may have a link, not one of each component
     return likely
 
 
-def _exact(size: int, percent: int, cells: int = 1 << 24):
+def _exact(percent: int, cells: int = 1 << 21):
     """Links members in different components whose full sets pass, as a forest.
 
     Intersections come from products of membership matrices over the shingles that
@@ -198,58 +224,65 @@ def _exact(size: int, percent: int, cells: int = 1 << 24):
     """
 
     def exact(block: pa.Table) -> pa.Table:
-        hasher, sets = WordHasher(), []
-        for _, _, data, offsets in text_chunks(block.column("text")):
-            hashes, _, _, bounds = hasher.words(data, offsets)
-            flat, cuts = distinct_sets(*shingles(hashes, bounds, size))
-            sets.extend(flat[a:b] for a, b in zip(cuts[:-1], cuts[1:]))
-        n = np.array([len(x) for x in sets])
-        value, member = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+        column = block.column("set").combine_chunks()
+        n = np.diff(column.offsets.to_numpy()).astype(np.int64)
+        low, high = (np.flatnonzero(block.column(c).to_numpy(zero_copy_only=False)) for c in ("is_low", "is_high"))
+        value, member = column.flatten().to_numpy(), np.repeat(np.arange(len(n)), n)
         order = np.argsort(value, kind="stable")
         value, member = value[order], member[order]
         code = np.concatenate(([0], np.cumsum(value[1:] != value[:-1])))
         counts = np.bincount(code)
         shared = counts[code] > 1
         code, member = (np.cumsum(counts > 1) - 1)[code[shared]], member[shared]
-        joint = np.zeros((len(sets), len(sets)), dtype=np.float64)
-        width = max(1, cells // len(sets))
+        joint = np.zeros((len(low), len(high)))
+        width = max(1, cells // len(n))
         for start in range(0, int(code[-1]) + 1 if len(code) else 0, width):
             a, b = np.searchsorted(code, (start, start + width))
-            matrix = np.zeros((len(sets), width), dtype=np.float32)
+            matrix = np.zeros((len(n), width), dtype=np.float32)
             matrix[member[a:b], code[a:b] - start] = 1
-            joint += matrix @ matrix.T
-        return _links(block, 100 * joint >= percent * (n[:, None] + n[None, :] - joint))
+            joint += matrix[low] @ matrix[high].T
+        return _links(block, low, high, lambda i: 100.0 * joint[i] >= percent * (n[low[i]] + n[high] - joint[i]), "comp")
     return exact
 
 
-def _in_blocks(members: DataFrame, key: str, block: int) -> DataFrame:
-    """``members`` (``key``, node, ...) dealt to the pairs of blocks of their key's members, about ``block`` to a block."""
-    sizes = members.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("of"))
-    own, other, of = F.col("own"), F.col("other"), F.col("of")
-    return (members.join(sizes, key)
-            .withColumn("own", F.pmod(F.xxhash64("node"), of).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), of - 1)))
-            .withColumns({"low": F.least(own, other), "high": F.greatest(own, other), "is_low": own <= other, "is_high": own >= other})
-            .drop("own", "other", "of"))
-
+def _in_blocks(stage: Stage, members: DataFrame, key: str, block: int, name: str) -> DataFrame:
+    """``members`` (``key``, node, comp, ...) dealt to pairs of blocks of their key's members, about ``block`` to a block.
 
-def _verify(docs: DataFrame, edges: DataFrame, size: int, percent: int, stage: Stage, name: str) -> DataFrame:
-    """The pairs of ``edges`` (a, b) whose full texts pass, ``docs`` being (id, text)."""
-    ends = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    # Neither side has a bounded size: always a sort-merge join, which adaptive execution can split.
-    wanted = stage.put(docs.join(ends.hint("merge"), "id", "left_semi"), f"{name}-texts")
-    pairs = (edges
-             .join(wanted.select(F.col("id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
-             .join(wanted.select(F.col("id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
-             .select("a", "b", "text_a", "text_b"))
-    good = stage.put(pairs.mapInArrow(_verifier(size, percent), "a long, b long").distinct(), f"{name}-links")
-    stage.drop(f"{name}-texts")
-    return good
+    Every two members in different components meet.  The low blocks hold the members
+    outside the key's largest component, the high blocks all of them.
+    """
+    comps = members.groupBy(key, "comp").agg(F.count(F.lit(1)).alias("c"))
+    main = comps.groupBy(key).agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("all"))
+    main = stage.put(main.select(key, F.col("m.comp").alias("main"), F.ceil(F.col("all") / block).cast("int").alias("highs"),
+                                 F.ceil((F.col("all") - F.col("m.c")) / block).cast("int").alias("lows")).where("lows > 0"), name)
+    dealt = members.join(main.hint("merge"), key)
+    spread = lambda of: F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
+    rest = [c for c in members.columns]
+    as_high = dealt.select(*rest, F.explode(F.sequence(F.lit(0), F.col("lows") - 1)).alias("low"), spread("highs").alias("high"),
+                           F.lit(False).alias("is_low"), F.lit(True).alias("is_high"))
+    as_low = dealt.where("comp != main").select(*rest, spread("lows").alias("low"), F.explode(F.sequence(F.lit(0), F.col("highs") - 1)).alias("high"),
+                                                F.lit(True).alias("is_low"), F.lit(False).alias("is_high"))
+    return as_high.union(as_low)
+
+
+def _keys(id_col, tie_col) -> list:
+    """Two 64-bit hashes that name a row by id and tie."""
+    return [F.xxhash64(id_col, tie_col).alias("k1"), F.xxhash64(tie_col, F.lit(1), id_col).alias("k2")]
+
+
+def _passing(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs of ``edges`` (a, b) whose full sets (node, set) pass."""
+    # Neither side has a bounded size: sort-merge joins, which adaptive execution can split.
+    joint = F.size(F.array_intersect("set_a", "set_b"))
+    return (edges.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")).hint("merge"), "a")
+            .join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")).hint("merge"), "b")
+            .withColumn("joint", joint)
+            .where(100 * F.col("joint") >= percent * (F.size("set_a") + F.size("set_b") - F.col("joint"))).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5,
-                    percent: int = 80, bands: int = 42, rows: int = 6, block: int = 512,
-                    slack: float = 0.15) -> DataFrame:
+                    percent: int = 80, bands: int = 42, rows: int = 6, block: int = 1024,
+                    slack: float = 0.15, row_col: str | None = None) -> DataFrame:
     """Every row's set size, component and whether it is its component's smallest id.
 
     ``size`` words per shingle; documents are linked if ``100 * |A and B| >= percent * |A or B|``.
@@ -259,54 +292,77 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Returns ``id_col``, n_shingles, component_id, kept, one row per input row.
     Null or empty texts, and texts without a word, have the empty set and are linked with
-    nothing.  Rows with one id are one node of the graph, though each has its own set size.
-    A null id joins the class of its equal sets and takes that class's component, else null.
+    nothing.  Every row is linked by its own text: rows that share an id are not linked for
+    that.  component_id is the smallest id in the component, null only if it holds no id; a
+    null id is never smaller than another.  ``kept`` tells whether the row's id is that id.
     Other columns are ignored.  An empty table gives no rows.
+
+    With ``row_col``, a column of distinct long numbers, that column comes too, with
+    ``stays``: true for exactly one row of each component, one with the component's id.
     """
     m, spark = bands * rows, docs.sparkSession
     stage = Stage(spark, "near-dedup")
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    tie = F.col(row_col).cast("long") if row_col else F.xxhash64(F.col(text_col))
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), tie.alias("tie"), F.col(text_col).alias("text"))
     signed = stage.put(docs.mapInArrow(
         _signer(size, bands, rows),
-        "id long, n_shingles long, fp1 long, fp2 long, bands array<long>, sig binary"), "signed")
+        "id long, tie long, n_shingles long, fp1 long, fp2 long, bands array<long>, sig binary"), "signed")
 
-    classes = signed.where("n_shingles > 0").groupBy("fp1", "fp2", "n_shingles").agg(F.min("id").alias("rep"))
+    same = ["fp1", "fp2", "n_shingles"]
+    first_row = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "tie")).alias("rep")
+    classes = signed.where("n_shingles > 0").groupBy(*same).agg(first_row).withColumn("node", F.monotonically_increasing_id())
     classes = stage.put(classes, "classes")
-    members = signed.select("id", "n_shingles", "fp1", "fp2").join(classes.hint("merge"), ["fp1", "fp2", "n_shingles"], "left")
-    members = stage.put(members.select("id", "n_shingles", F.coalesce("rep", "id").alias("rep")), "members")
-    heads = signed.join(classes.withColumnRenamed("rep", "id").hint("merge"), ["fp1", "fp2", "n_shingles", "id"], "left_semi")
-    heads = stage.put(heads.select(F.col("id").alias("node"), F.col("n_shingles").alias("n"), "bands", "sig"), "heads")
+    members = signed.select("id", "tie", *same).join(classes.select(*same, "node").hint("merge"), same, "left")
+    members = stage.put(members.select("id", "tie", "n_shingles", "node"), "members")
+    named = [F.col("id").eqNullSafe(F.col("rep.id")), F.col("tie") == F.col("rep.tie")]
+    heads = signed.join(classes.hint("merge"), same).where(named[0] & named[1])
+    heads = heads.dropDuplicates(same).select("node", F.col("n_shingles").alias("n"), "bands", "sig", *_keys("id", "tie"))
+    heads = stage.put(heads, "heads")
+    nodes = stage.put(classes.select("node", "rep"), "nodes")
     stage.drop("signed", "classes")
 
     banded = heads.select("node", F.explode("bands").alias("bucket"))
     leaders = banded.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("top")).where("leader < top")
-    shared = stage.put(banded.join(leaders.select("bucket", "leader"), "bucket"), "shared")
+    leaders = stage.put(leaders.select("bucket", "leader"), "leaders")
+    shared = stage.put(banded.join(leaders.hint("merge"), "bucket"), "shared")
+    wanted = heads.select("node", "k1", "k2").join(shared.select("node").distinct().hint("merge"), "node", "left_semi")
+    wanted = stage.put(wanted, "wanted")
+    field = spark.sparkContext.broadcast(_field(wanted.select("k1")))
+    made = docs.select(*_keys("id", "tie"), "text").mapInArrow(_set_maker(size, field), "k1 long, k2 long, set array<long>")
+    sets = made.dropDuplicates(["k1", "k2"]).join(wanted.hint("merge"), ["k1", "k2"]).select("node", "set")
+    sets = stage.put(sets, "sets")
+    field.unpersist()
     first = stage.put(shared.where("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "first")
-    links = _verify(docs, first, size, percent, stage, "first")
-    same_id = members.groupBy("id").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).where("b < top")
-    same_id = members.join(same_id, "id").select(F.col("rep").alias("a"), "b").where("a != b").distinct()
-    links = stage.put(links.union(same_id), "links")
+    links = stage.put(_passing(first, sets, percent), "links")
     roots = components(stage, links, "round1")
 
-    placed = (shared.join(roots, F.col("node") == F.col("u"), "left")
+    placed = (shared.join(roots.hint("merge"), F.col("node") == F.col("u"), "left")
               .select("bucket", "node", F.coalesce("v", "node").alias("comp")))
+    placed = stage.put(placed, "placed")
     split = (placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members"))
              .where("lo < hi and members > 2").select("bucket"))
-    open_ = placed.join(split, "bucket").join(heads.select("node", "n", "sig"), "node")
-    near = (_in_blocks(open_, "bucket", block).groupBy("bucket", "low", "high")
+    split = stage.put(split, "split")
+    open_ = placed.join(split.hint("merge"), "bucket", "left_semi").join(heads.select("node", "n", "sig").hint("merge"), "node")
+    near = (_in_blocks(stage, open_, "bucket", block, "buckets").repartition("bucket", "low", "high").groupBy("bucket", "low", "high")
             .applyInArrow(_likely(m, percent, slack), "a long, b long"))
     family = components(stage, stage.put(near.distinct(), "near"), "families")
     family = stage.put(family.union(family.select(F.col("v").alias("u"), "v").distinct()), "family")
     if not family.isEmpty():
-        relatives = (docs.join(family.hint("merge"), F.col("u") == F.col("id"))
-                     .join(roots.withColumnRenamed("v", "root").withColumnRenamed("u", "at"), F.col("u") == F.col("at"), "left")
-                     .select(F.col("v").alias("family"), F.col("u").alias("node"), F.coalesce("root", "u").alias("comp"), "text"))
-        more = (_in_blocks(stage.put(relatives, "relatives"), "family", block).groupBy("family", "low", "high")
-                .applyInArrow(_exact(size, percent), "a long, b long"))
+        relatives = (sets.join(family.hint("merge"), F.col("u") == F.col("node"))
+                     .join(roots.select(F.col("u").alias("at"), F.col("v").alias("root")).hint("merge"), F.col("u") == F.col("at"), "left")
+                     .select(F.col("v").alias("family"), "node", F.coalesce("root", "node").alias("comp"), "set"))
+        more = (_in_blocks(stage, stage.put(relatives, "relatives"), "family", block, "kin").repartition("family", "low", "high").groupBy("family", "low", "high")
+                .applyInArrow(_exact(percent), "a long, b long"))
         links = stage.put(links.union(more.distinct()), "links-2")
         roots = components(stage, links, "round2")
-    stage.drop("heads", "shared", "first", "links", "first-links", "links-2", "near", "family", "relatives")
-    component = F.coalesce("v", "rep")
-    return (members.join(roots, F.col("rep") == F.col("u"), "left")
-            .select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"),
-                    F.col("id").eqNullSafe(component).alias("kept")))
+    rooted = nodes.join(roots.hint("merge"), F.col("node") == F.col("u"), "left").select("node", "rep", F.coalesce("v", "node").alias("root"))
+    rooted = stage.put(rooted, "rooted")
+    least = stage.put(rooted.groupBy("root").agg(F.min("rep").alias("least")), "least")
+    found = stage.put(rooted.join(least.hint("merge"), "root").select("node", "least"), "found")
+    stage.drop("heads", "nodes", "leaders", "shared", "wanted", "sets", "first", "links", "placed", "split", "buckets", "near", "family", "relatives", "kin",
+               "links-2", "rooted", "least")
+    component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("least.id"))
+    out = members.join(found.withColumnRenamed("node", "of").hint("merge"), F.col("node") == F.col("of"), "left")
+    stays = F.col("node").isNull() | (F.col("tie") == F.col("least.tie"))
+    return out.select(F.col("id").alias(id_col), *([F.col("tie").alias(row_col), stays.alias("stays")] if row_col else []), "n_shingles",
+                      component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

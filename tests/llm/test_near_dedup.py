@@ -8,11 +8,12 @@ sys.path.insert(0, os.path.dirname(__file__))
 
 import numpy as np  # noqa: E402
 import pytest  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 from fixtures import empty, messy, sentence  # noqa: E402
 
 from labeltide.llm.common import Stage  # noqa: E402
 from labeltide.llm.components import components  # noqa: E402
-from labeltide.llm.near_dedup import near_duplicates, superminhash  # noqa: E402
+from labeltide.llm.near_dedup import _field, _field_bits, near_duplicates, superminhash  # noqa: E402
 from labeltide.llm.wordhash import mix  # noqa: E402
 
 
@@ -22,39 +23,59 @@ def word_set(text, size):
 
 
 def brute(rows, size, percent):
-    """id -> smallest id reachable; rows that share an id are one node."""
-    parent = {i: i for i, _ in rows}
+    """Per row (id, number of shingles, smallest id reachable, null only if there is none); rows are linked by their texts only."""
+    parent = list(range(len(rows)))
 
     def root(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    sets = [(i, word_set(t, size)) for i, t in rows]
-    for k, (i, a) in enumerate(sets):
-        for j, b in sets[:k]:
+    sets = [word_set(t, size) for _, t in rows]
+    for k, a in enumerate(sets):
+        for j, b in enumerate(sets[:k]):
             if a and b and 100 * len(a & b) >= percent * len(a | b):
-                x, y = root(i), root(j)
+                x, y = root(k), root(j)
                 parent[max(x, y)] = min(x, y)
-    return {i: root(i) for i in parent}
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[root(k)] = min(i, least.get(root(k), i))
+    return [(i, len(sets[k]), least.get(root(k))) for k, (i, _) in enumerate(rows)], [root(k) for k in range(len(rows))]
+
+
+def text(rows):
+    return sorted(str(tuple(r)) for r in rows)
 
 
 @pytest.mark.parametrize("size", [4, 5])
 def test_messy_rows(spark, size):
+    """Null ids, repeated ids with equal and with unrelated texts, empty texts: every row counts for itself."""
     docs = messy(spark)
-    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    want = brute([r for r in rows if r[0] is not None], size, 80)
-    got = near_duplicates(docs, size=size).collect()
-    assert sorted((r[0] is None, r[0]) for r in got) == sorted((r[0] is None, r[0]) for r in rows)
-    assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None} == want
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    want, root = brute(rows, size, 80)
+    got = near_duplicates(docs, size=size)
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "kept"]
+    got = got.collect()
+    assert text(r[:3] for r in got) == text(want)
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
-    sizes = sorted((r["doc_id"], r["n_shingles"]) for r in got if r["doc_id"] is not None)
-    assert sizes == sorted((i, len(word_set(t, size))) for i, t in rows if i is not None)
-    null = {r["n_shingles"]: r["component_id"] for r in got if r["doc_id"] is None}
-    assert null[0] is None and want[3] in null.values()
+    numbered = spark.createDataFrame([(i, t, k, 0) for k, (i, t) in enumerate(rows)], "doc_id long, text string, row long, node int")
+    staying = near_duplicates(numbered, size=size, row_col="row").where("stays").collect()
+    assert sorted(root[r["row"]] for r in staying) == sorted(set(root))
+    assert all(r["doc_id"] == r["component_id"] for r in staying)
+
 
+def test_unrelated_texts_under_one_id_and_copies_without_id(spark):
+    rnd = random.Random(4)
+    a, b, c = (sentence(rnd, 60) for _ in range(3))
+    near = " ".join(["changed"] + c.split(" ")[1:])
+    docs = spark.createDataFrame([(7, a), (7, b), (5, c), (None, near), (None, near)], "doc_id long, text string")
+    got = sorted(str((r["doc_id"], r["component_id"])) for r in near_duplicates(docs).collect())
+    assert got == sorted(["(7, 7)", "(7, 7)", "(5, 5)", "(None, 5)", "(None, 5)"])
 
-def test_family_of_weak_copies_is_compared_in_full(spark):
+
+@pytest.mark.parametrize("block", [7, 16])
+def test_family_of_weak_copies_is_compared_in_full(spark, block):
     """Copies near the threshold to each other, of which only some are linked; small blocks so that several meet."""
     rnd = random.Random(1)
     base = sentence(rnd, 120).split(" ")
@@ -66,8 +87,16 @@ def test_family_of_weak_copies_is_compared_in_full(spark):
         rows.append((i * 3 + 1, " ".join(w)))
     rnd.shuffle(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs, size=4, block=16).collect()}
-    assert got == brute(rows, 4, 80)
+    got = near_duplicates(docs, size=4, block=block).collect()
+    assert text(r[:3] for r in got) == text(brute(rows, 4, 80)[0])
+
+
+def test_field_holds_all_keys(spark):
+    keys = spark.range(3000).select(F.xxhash64("id").alias("k1")).repartition(5)
+    field = _field(keys)
+    k1 = np.array([r["k1"] for r in keys.collect()])
+    assert np.all([field[p >> 3] >> (p & 7) & 1 for p in _field_bits(k1)])
+    assert np.unpackbits(field).sum() <= 6000
 
 
 def test_empty_table(spark):

@@ -5,14 +5,14 @@ each result as Parquet and reads it back as the next stage's documents.  All but
 the last return the columns of ``documents``, whatever further columns there are.
 
 Nulls and ties.  A null text is an empty one: the quality rules reject it.  A
-null source, language or id is a value of its own.  Of rows that share an id, or
-of null-id rows with equal texts, one stays after near-duplicate removal.  An
-empty table passes through as an empty table.
+null source or language is a value of its own.  Every row is a document of its
+own, whatever its id: rows that share an id, or have none, go only as copies of
+another row's text.  An empty table passes through as an empty table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labeltide.llm.common import Stage, table
@@ -31,12 +31,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
-    found = near_duplicates(docs, size=5, percent=80)
-    stays = found.where("kept").select(F.col("doc_id").alias("_stays")).distinct()
-    kept = docs.join(stays, F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi")
-    one = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.md5("text"))).orderBy(F.length("text").desc_nulls_last(), F.xxhash64("text"))
-    return kept.withColumn("_place", F.row_number().over(one)).where("_place = 1").drop("_place")
+    """One document of each group of near copies: the one with the smallest id.
+
+    Rows get a number each, in a stored copy, so that rows which share an id, or have none,
+    are told apart; no column of the documents can clash with it.
+    """
+    numbered = Stage(spark, "numbered").put(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
+    found = near_duplicates(numbered.select("doc.doc_id", "doc.text", "row"), size=5, percent=80, row_col="row")
+    stays = found.where("stays").select("row")
+    return numbered.join(stays.hint("merge"), "row", "left_semi").select("doc.*")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

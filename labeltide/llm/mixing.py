@@ -149,19 +149,23 @@ def taken_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     have size 0.  A source without words has target 0.  An empty table gives no rows.
     """
     stage = Stage(docs.sparkSession, "mixing")
-    sized = stage.put(docs.select(F.col(id_col).alias("_id"), *extra, F.col(source_col).alias("_source"),
-                                  word_count(F.col(text_col)).alias("_size")), "sizes")
+    own = [F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), word_count(F.col(text_col)).alias("_size")]
+    sized = stage.put(docs.select(*own), "sizes")
     totals = sized.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size"))
     targets = stage.put(source_targets(totals, weights, max_copies, share), "shares")
     targets = stage.put(copy_factors(sized.select("_source", "_size"), targets, max_copies), "targets")
     expected = F.when(F.col("_size") == 0, F.lit(0.0)).when(F.col("factor").isNull(), F.lit(float(max_copies))).otherwise(
         F.least(F.col("factor") * size_measure(F.col("_size")), F.lit(float(max_copies))))
     drawn = F.col("chance") > 0
-    ranked = (sized.join(targets, F.col("_source").eqNullSafe(F.col("source")), "left")
-              .withColumn("_expected", expected).withColumn("whole", F.floor("_expected").cast("long"))
-              .withColumn("chance", F.col("_expected") - F.floor("_expected")).drop("_expected")
-              .withColumn("rank", F.when(drawn, pareto_rank(F.col("_id"), F.col("chance"), seed)))
-              .withColumn("bin", F.when(drawn, F.least(F.floor(F.col("rank") * BINS).cast("int"), F.lit(BINS - 1)))))
+
+    def rank(rows: DataFrame) -> DataFrame:
+        return (rows.join(targets, F.col("_source").eqNullSafe(F.col("source")), "left")
+                .withColumn("_expected", expected).withColumn("whole", F.floor("_expected").cast("long"))
+                .withColumn("chance", F.col("_expected") - F.floor("_expected")).drop("_expected")
+                .withColumn("rank", F.when(drawn, pareto_rank(F.col("_id"), F.col("chance"), seed)))
+                .withColumn("bin", F.when(drawn, F.least(F.floor(F.col("rank") * BINS).cast("int"), F.lit(BINS - 1)))))
+
+    ranked = rank(sized)
     bins = stage.put(ranked.groupBy("_source", "bin").agg(F.sum("_size").alias("words"), F.sum(F.col("whole") * F.col("_size")).alias("certain")), "bins")
     certain = bins.groupBy(F.col("_source").alias("_of")).agg(F.sum("certain").alias("certain"))
     rest = certain.join(targets, F.col("_of").eqNullSafe(F.col("source"))).select("_of", (F.col("target") - F.col("certain")).alias("rest"))
@@ -174,7 +178,9 @@ def taken_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cuts = stage.put(cuts.join(lasts.withColumnRenamed("cut_source", "_of"), F.col("cut_source").eqNullSafe(F.col("_of"))).select("cut_source", "cut_bin", "last_bin"), "looked")
     picks = picks.groupBy("_source", "rank", "_id", "_size").agg(F.count(F.lit(1)).alias("picked"))
     picks = stage.put(picks.select(*[F.col(c).alias(f"p{c}") for c in ("_source", "rank", "_id", "_size")], "picked"), "picked")
-    ranked = ranked.join(cuts, F.col("_source").eqNullSafe(F.col("cut_source")), "left")
+    # Rows with further columns are read and sized again, so that no copy of them is stored.
+    rows = docs.select(*own, *extra) if extra else sized
+    ranked = rank(rows).join(cuts, F.col("_source").eqNullSafe(F.col("cut_source")), "left")
     looked = F.coalesce(F.col("bin").between(F.col("cut_bin"), F.col("last_bin")), F.lit(False))
     same = [F.col(c).eqNullSafe(F.col(f"p{c}")) for c in ("_source", "rank", "_id", "_size")]
     edge = ranked.where(looked).join(picks, same[0] & same[1] & same[2] & same[3], "left")
@@ -182,10 +188,10 @@ def taken_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     edge = edge.withColumn("more", F.coalesce(F.row_number().over(alike) <= F.col("picked"), F.lit(False)).cast("int"))
     clear = ranked.where(~looked)
     clear = clear.withColumn("more", F.when(drawn & (F.col("cut_bin").isNull() | (F.col("bin") < F.col("cut_bin"))), 1).otherwise(0))
-    names = [c for c in sized.columns if c not in ("_id", "_source", "_size")]
+    names = [c for c in rows.columns if c not in ("_id", "_source", "_size")]
     columns = [F.col("_id").alias(id_col), *names, F.col("_source").alias("source"), F.col("_size").alias("size"), "source_size", "target",
                (F.col("whole") + F.col("more")).alias("copies"), ((F.col("whole") + F.col("more")) * F.col("_size")).alias("taken")]
-    stage.drop("shares", "later", "bins")
+    stage.drop("shares", "later", "bins", *(["sizes"] if extra else []))
     return clear.select(*columns).unionByName(edge.select(*columns))
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labeltide.llm.common import SPACE_CLASS, WORD_PATTERN, Stage, let
+from labeltide.operators.layout import keep_where
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -124,34 +125,48 @@ def _whole():
     return Window.partitionBy(F.lit(0))  # over one aggregated row per stratum
 
 
-def verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-             stratum_col: str = "lang", extra: list[Column] | None = None,
-             alpha: float = ALPHA, delta: float = DELTA) -> tuple[DataFrame, Stage]:
-    """Per row ``id_col``, ``extra``, METRICS, base_failed and kept; and the stage that holds what they read.
-
-    ``labels`` is (doc_id, quality); an id with a label 1 counts as good, and ids are
-    compared as they are, so rows that share a good id are all good.  Good rows that fail
-    the base rules are no evidence for or against a cutoff.  Null texts count as empty,
-    null strata as a stratum of their own, null ids as unlabelled.  Without labels no
-    cutoff is certified; an empty table gives no rows.
-    """
-    stage = Stage(docs.sparkSession, "quality-rules")
-    keep = [F.col(id_col).alias("_id"), F.col(stratum_col).alias("_stratum"), *(extra or [])]
-    counted = stage.put(with_counts(docs, keep, text_col), "counts")
+def cutoffs_of(stage: Stage, docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, stratum_col: str,
+               alpha: float, delta: float) -> tuple[DataFrame, DataFrame]:
+    """(counts, cutoffs): (_id, _stratum, METRICS) of every row, and the certified cutoffs per stratum ``_of``."""
+    counted = stage.put(with_counts(docs, [F.col(id_col).alias("_id"), F.col(stratum_col).alias("_stratum")], text_col), "counts")
     good_ids = labels.where("quality = 1").select(F.col("doc_id").alias("_id")).distinct()
     good = counted.where(~base_failed()).join(good_ids, "_id", "left_semi")
     cuts = stage.put(certified_cutoffs(good, "_stratum", alpha, delta), "cutoffs")
+    return counted, cuts.withColumnRenamed("_stratum", "_of")
+
+
+def judged(counted: DataFrame, cuts: DataFrame) -> DataFrame:
+    """``counted`` with base_failed and kept."""
     broken = F.lit(False)
     for r, value in rates().items():
         broken = broken | F.coalesce(value > F.col(f"cut_{r}"), F.lit(False))
-    cuts = cuts.withColumnRenamed("_stratum", "_of")
     out = counted.join(cuts, F.col("_stratum").eqNullSafe(F.col("_of")), "left")
-    names = [c for c in counted.columns if c not in ("_id", "_stratum", *METRICS)]
-    out = out.select(F.col("_id").alias(id_col), *names, *METRICS, base_failed().alias("base_failed"),
-                     (~base_failed() & ~broken).alias("kept"))
-    return out, stage
+    return out.select(*counted.columns, base_failed().alias("base_failed"), (~base_failed() & ~broken).alias("kept"))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The verdict of every row; see :func:`verdicts`."""
-    return verdicts(docs, labels, **options)[0]
+def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                  stratum_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """The verdict of every row: ``id_col``, METRICS, base_failed, kept.
+
+    ``labels`` is (doc_id, quality); an id with a label 1 counts as good, and ids are
+    compared as they are, so rows that share a good id are all good.  Good rows that fail
+    the base rules are no evidence for or against a cutoff.  Null texts count as empty,
+    null strata as a stratum of their own, null ids as unlabelled.  Without labels no
+    cutoff is certified; an empty table gives no rows.  Other columns are ignored.
+    """
+    stage = Stage(docs.sparkSession, "quality-rules")
+    counted, cuts = cutoffs_of(stage, docs, labels, id_col, text_col, stratum_col, alpha, delta)
+    return judged(counted, cuts).select(F.col("_id").alias(id_col), *METRICS, "base_failed", "kept")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+             stratum_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """The rows of ``docs`` that :func:`quality_rules` keeps, with their columns, whatever these are named.
+
+    The rows are counted again as they are filtered, so that no copy of the texts is stored.
+    """
+    stage = Stage(docs.sparkSession, "quality-rules")
+    _, cuts = cutoffs_of(stage, docs, labels, id_col, text_col, stratum_col, alpha, delta)
+    stage.drop("counts")
+    counted = with_counts(docs, [F.col(stratum_col).alias("_stratum"), F.struct("*").alias("_row")], text_col)
+    return keep_where(judged(counted, cuts).select("_row", "kept"), F.col("kept")).select("_row.*")

@@ -19,15 +19,14 @@ from labeltide.llm.common import Stage, table
 from labeltide.llm.decontaminate import decontaminate
 from labeltide.llm.mixing import mix_sources
 from labeltide.llm.near_dedup import near_duplicates
-from labeltide.llm.quality_rules import verdicts
+from labeltide.llm.quality_rules import accepted
 from labeltide.llm.queries import public_tokenizer
 from labeltide.llm.token_store import token_table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor a certified cutoff rejects."""
-    judged, _ = verdicts(docs, table(spark, sf_dir, "labels"), extra=[F.struct("*").alias("_row")])
-    return judged.where("kept").select("_row.*")
+    return accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,17 +1,22 @@
 """Order-dependent helpers that never put all rows into one task.
 
 A global ``Window.orderBy`` without ``partitionBy`` moves every row to a single
-partition.  ``in_ranges`` range-partitions the rows by the order instead, which
-balances them whatever the spacing of the order values (ids may be sparse), and
-numbers them inside each range.  Only one row per range goes through the global
-step (prefix sums, carries).  The ranged rows are written once: the bounds come
-from a sample, so computing them twice could give two different ranges.
+partition.  Here rows get the number of their range of the order instead.  The
+ranges' bounds come from a mergeable quantile sketch of the order column
+(``approxQuantile``), so they are balanced whatever the spacing of the values (ids
+may be sparse), and they are constants of the plan: computing it twice gives the
+same ranges, and nothing needs to be stored.  Windows run inside ranges, over one
+exchange; one row per range goes through the global step (prefix sums, carries).
+
+Orders that are no numbers (text, structs) have no sketch; ``in_ranges``
+range-partitions those and stores the result, since its bounds come from a sample.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import stored
 
@@ -32,15 +37,50 @@ def earlier_ranges() -> Window:
     return Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
 
 
+def is_numeric(df: DataFrame, col: str) -> bool:
+    return isinstance(df.schema[col].dataType, T.NumericType)
+
+
+def range_bounds(df: DataFrame, order_col: str, ranges: int | None = None) -> list[float]:
+    """Ascending lower bounds of the ranges after the first: quantiles of the numeric ``order_col``.
+
+    One job over that column.  There are as many ranges as shuffle partitions, each within
+    a quarter of its share of rows; the bounds are all that reaches the driver.
+    """
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if ranges < 2:
+        return []
+    found = df.select(F.col(order_col).cast("double").alias("__o")).approxQuantile("__o", [k / ranges for k in range(1, ranges)], 0.25 / ranges)
+    return sorted(set(found))
+
+
+def range_number(order: Column, bounds: list[float]) -> Column:
+    """How many of ``bounds`` are at or below the value, by binary search; a null value comes first."""
+    value = order.cast("double")
+
+    def between(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(value < bounds[middle], between(low, middle)).otherwise(between(middle + 1, high))
+
+    return F.when(order.isNull(), F.lit(0)).otherwise(between(0, len(bounds))) if bounds else F.lit(0)
+
+
 def dense_row_number(df: DataFrame, order_col: str, out_col: str = "row_number",
                      ranges: int | None = None) -> DataFrame:
     """Add ``out_col`` = 1-based position of each row in ``order_col`` order (a unique column)."""
-    ranged = in_ranges(df, order_col, ranges)
+    if is_numeric(df, order_col):
+        ranged = df.withColumn(RANGE, range_number(F.col(order_col), range_bounds(df, order_col, ranges)))
+        place = F.row_number().over(Window.partitionBy(RANGE).orderBy(order_col)) - 1
+    else:
+        ranged, place = in_ranges(df, order_col, ranges), F.col(PLACE)
     sizes = ranged.groupBy(RANGE).agg(F.count(F.lit(1)).alias("__n"))
-    offsets = sizes.select(RANGE, F.coalesce(F.sum("__n").over(earlier_ranges()), F.lit(0)).alias("__offset"))
-    return (ranged.join(offsets, RANGE)
+    offsets = sizes.select(F.col(RANGE).alias("__of"), F.coalesce(F.sum("__n").over(earlier_ranges()), F.lit(0)).alias("__offset"))
+    # One row per range: bounded by the number of shuffle partitions.
+    return (ranged.withColumn(PLACE, place).join(F.broadcast(offsets), F.col(RANGE) == F.col("__of"))
             .withColumn(out_col, (F.col("__offset") + F.col(PLACE) + 1).cast("long"))
-            .drop(RANGE, PLACE, "__offset"))
+            .drop(RANGE, PLACE, "__offset", "__of"))
 
 
 def hash_key(cols: list[str] | str, salt: str | None = None) -> Column:

@@ -6,14 +6,13 @@ that reach the driver are scalars (a row count, a split boundary).
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .ordering import PLACE, RANGE, earlier_ranges, hash_key, in_ranges
+from .ordering import PLACE, RANGE, dense_row_number, earlier_ranges, hash_key, in_ranges, is_numeric, range_bounds, range_number
 
 
 # --------------------------------------------------------------------- D1
@@ -21,26 +20,30 @@ def forward_fill(df: DataFrame, cols: Sequence[str], order_col: str,
                  ranges: int | None = None) -> DataFrame:
     """Replace NULLs in ``cols`` by the last non-NULL value earlier in ``order_col`` (unique).
 
-    The rows are range-partitioned by the order.  Each range gives the last
-    non-NULL value of each column (``max`` of a struct led by the position);
-    over one row per range, the values carried in from earlier ranges follow;
-    a fill inside each range is coalesced with them.
+    Rows are filled inside ranges of the order.  Each range also gives the last
+    non-NULL value of each column (``max`` of a struct led by the order); over one
+    row per range, the values carried in from earlier ranges follow.
     """
     cols = list(cols)
     if not cols:
         return df
-    ranged = in_ranges(df, order_col, ranges)
+    if is_numeric(df, order_col):
+        order = F.col(order_col)
+        ranged = df.withColumn(RANGE, range_number(order, range_bounds(df, order_col, ranges)))
+    else:
+        order, ranged = F.col(PLACE), in_ranges(df, order_col, ranges)
     last = ranged.groupBy(RANGE).agg(*[
-        F.max(F.when(F.col(c).isNotNull(), F.struct(F.col(PLACE).alias("o"), F.col(c).alias("v"))))
+        F.max(F.when(F.col(c).isNotNull(), F.struct(order.alias("o"), F.col(c).alias("v"))))
         .alias(f"__last_{i}") for i, c in enumerate(cols)])
-    carries = last.select(RANGE, *[
+    carries = last.select(F.col(RANGE).alias("__of"), *[
         F.last(F.col(f"__last_{i}.v"), ignorenulls=True).over(earlier_ranges()).alias(f"__carry_{i}")
         for i in range(len(cols))])
-    inside = Window.partitionBy(RANGE).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(RANGE).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     filled = ranged.select(*[
         F.last(F.col(c), ignorenulls=True).over(inside).alias(c) if c in cols else F.col(c)
         for c in df.columns], RANGE)
-    out = filled.join(carries, RANGE, "left")
+    # One row per range: bounded by the number of shuffle partitions.
+    out = filled.join(F.broadcast(carries), F.col(RANGE) == F.col("__of"), "left")
     return out.select(*[
         F.coalesce(F.col(c), F.col(f"__carry_{cols.index(c)}")).alias(c) if c in cols
         else F.col(c) for c in df.columns])
@@ -121,11 +124,8 @@ def rename(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
 
 
 # --------------------------------------------------------------------- D8 / D9
-def _prefix_len(n: int) -> int:
-    # Buckets ~ sqrt(n): the boundary bucket and the histogram both stay small.
-    if n <= 1:
-        return 1
-    return int(min(6, max(1, math.ceil(math.log(n, 16) / 2))))
+#: Hex digits of the hash whose histogram finds a group's boundary: 65,536 buckets.
+_PREFIX = 4
 
 
 def stratified_split(df: DataFrame, frac: float, key_cols: Sequence[str] | str,
@@ -135,43 +135,50 @@ def stratified_split(df: DataFrame, frac: float, key_cols: Sequence[str] | str,
     """Mark exactly ``ceil(n_g * frac)`` rows per group ``by`` as held out.
 
     The held-out rows of a group are those with the smallest MD5 of the key
-    columns (ties broken by the key itself), so the split is reproducible and
-    independent of partitioning; a NULL group is a group, and rows that repeat
-    the key of the cut are held out with it.  No window runs over a whole group:
-    over the stored keys, a histogram of hash prefixes finds each group's
-    boundary prefix, only that bucket (about sqrt(n) rows) is ranked, and its
-    cut, one row per group, marks the data in one projection and one scan.
+    columns, then the smallest key; of rows that share the key of the cut, those
+    with the smallest hash of the whole row, and of equal rows as many as it takes.
+    So the split is reproducible and independent of partitioning; a NULL group is
+    a group.
+
+    No window runs over a whole group, and no copy of the data is stored.  A
+    histogram of hash prefixes finds each group's boundary prefix; the keys below
+    that prefix, counted first, give the group's cut (one row).  Only where the
+    cut's key repeats are its rows stored and numbered.
     """
     if not 0 <= frac <= 1:
         raise ValueError("frac must be within [0, 1]")
     key_cols = [key_cols] if isinstance(key_cols, str) else list(key_cols)
-    g = "__g"
-    base = df.withColumn(g, F.col(by) if by is not None else F.lit(0))
-    h = hash_key(key_cols, salt)
-    keyed = base.withColumn("__h", h)
-    slim = stored(keyed.select(g, "__h", *[F.col(c).alias(f"__key_{i}") for i, c in enumerate(key_cols)]), "split-keys")
-    plen = _prefix_len(slim.count())
-    slim = slim.withColumn("__p", F.substring("__h", 1, plen))
-
-    hist = slim.groupBy(g, "__p").agg(F.count(F.lit(1)).alias("__n"))
-    per_group = Window.partitionBy(g)
-    upto = per_group.orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)
-    bounds = (hist
-              .withColumn("__k", F.ceil(F.sum("__n").over(per_group) * F.lit(float(frac))))
-              .withColumn("__cum", F.sum("__n").over(upto))
-              .where((F.col("__cum") >= F.col("__k")) & (F.col("__cum") - F.col("__n") < F.col("__k")))
-              .select(F.col(g).alias("__bg"), F.col("__p").alias("__bp"),
-                      (F.col("__k") - (F.col("__cum") - F.col("__n"))).alias("__rem")))
-    # The exact cut of each group: the last held-out (hash, key) of its boundary bucket.
     keys = [f"__key_{i}" for i in range(len(key_cols))]
-    rank = F.row_number().over(Window.partitionBy(g, "__p").orderBy("__h", *keys))
-    edge = slim.join(bounds, F.col(g).eqNullSafe(F.col("__bg")) & (F.col("__p") == F.col("__bp")))
-    cuts = edge.withColumn("__r", rank).where("__r = __rem")
-    cuts = stored(cuts.select(F.col(g).alias("__bg"), F.struct("__h", *keys).alias("__cut")), "split-cuts")
-    own = F.struct(F.col("__h"), *[F.col(c).alias(k) for c, k in zip(key_cols, keys)])
-    marked = keyed.join(cuts, F.col(g).eqNullSafe(F.col("__bg")), "left")
-    side = F.when(own <= F.col("__cut"), F.lit(held)).otherwise(F.lit(kept))
-    return marked.withColumn(out_col, side).select(*df.columns, out_col)
+    keyed = df.select("*", (F.col(by) if by is not None else F.lit(0)).alias("__g"), hash_key(key_cols, salt).alias("__h"),
+                      *[F.col(c).alias(k) for c, k in zip(key_cols, keys)])
+    slim = keyed.select("__g", F.substring("__h", 1, _PREFIX).alias("__p"), "__h", *keys)
+
+    hist = slim.groupBy("__g", "__p").agg(F.count(F.lit(1)).alias("__n"))
+    group = Window.partitionBy("__g")
+    upto = F.sum("__n").over(group.orderBy("__p").rowsBetween(Window.unboundedPreceding, 0))
+    bounds = (hist.withColumn("__k", F.ceil(F.sum("__n").over(group) * F.lit(float(frac)))).withColumn("__cum", upto)
+              .where((F.col("__cum") >= F.col("__k")) & (F.col("__cum") - F.col("__n") < F.col("__k")))
+              .select(F.col("__g").alias("__bg"), F.col("__p").alias("__bp"), (F.col("__k") - (F.col("__cum") - F.col("__n"))).alias("__rem")))
+    # The distinct keys of the boundary prefixes with their numbers of rows: a key that repeats is one row here.
+    edge = slim.join(bounds, F.col("__g").eqNullSafe(F.col("__bg")) & (F.col("__p") == F.col("__bp")))
+    edge = edge.groupBy("__g", "__rem", "__h", *keys).agg(F.count(F.lit(1)).alias("__tied"))
+    before = F.coalesce(F.sum("__tied").over(group.orderBy("__h", *keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cuts = (edge.withColumn("__before", before).where((F.col("__before") < F.col("__rem")) & (F.col("__before") + F.col("__tied") >= F.col("__rem")))
+            .select(F.col("__g").alias("__bg"), F.struct("__h", *keys).alias("__cut"), (F.col("__rem") - F.col("__before")).alias("__need"), "__tied"))
+    cuts = stored(cuts, "split-cuts")
+    own = F.struct("__h", *keys)
+    marked = keyed.join(cuts, F.col("__g").eqNullSafe(F.col("__bg")), "left")
+    whole = marked.withColumn(out_col, F.when(own <= F.col("__cut"), F.lit(held)).otherwise(F.lit(kept))).select(*df.columns, out_col)
+    if cuts.where("__need < __tied").isEmpty():
+        return whole
+    at_cut = F.coalesce((own == F.col("__cut")) & (F.col("__need") < F.col("__tied")), F.lit(False))
+    ties = marked.where(at_cut).select(*df.columns, "__g", "__need", F.struct(F.col("__g"), F.xxhash64(*df.columns).alias("r"), F.monotonically_increasing_id().alias("m")).alias("__o"))
+    ties = stored(dense_row_number(ties, "__o", "__place"), "split-ties")
+    firsts = ties.groupBy(F.col("__g").alias("__of")).agg(F.min("__place").alias("__first"))
+    ties = ties.join(firsts, F.col("__g").eqNullSafe(F.col("__of")))
+    side = F.when(F.col("__place") - F.col("__first") < F.col("__need"), F.lit(held)).otherwise(F.lit(kept))
+    return (marked.where(~at_cut).withColumn(out_col, F.when(own <= F.col("__cut"), F.lit(held)).otherwise(F.lit(kept))).select(*df.columns, out_col)
+            .unionByName(ties.withColumn(out_col, side).select(*df.columns, out_col)))
 
 
 def holdout_split(df: DataFrame, frac: float, key_cols: Sequence[str] | str,

@@ -7,23 +7,28 @@ matches that fail their check.
 
 Beyond them, wide generators propose spans, which may overlap: number-like
 strings, addresses with an at sign in any spelling, dotted numbers, account
-numbers.  Each proposal has features of its format and of the text around it.
-Gradient-boosted trees are trained on a hashed sample of at most about
-``fit_rows`` proposals, a proposal counting as personal if it overlaps a base
-span; the checks behind that label (Luhn, ranges) are no features.  The score
-cutoff is the lowest at which, on a part of the sample that the trees have not
-seen, the lower confidence bound of the precision reaches ``precision``.
-Proposals from there on that overlap no base span are added.
-
-These trees know personal data only in base formats.  For the others, a proposal
-outside the base spans is added if a cue that names its kind stands right before
-it ("IBAN: ", "call me at "), and a second set of trees learns from the format alone
-which proposals have such a cue.  A format is personal where its share with a cue,
-over the share of base spans with one, reaches ``precision``: that takes personal
-data outside the base formats to be named by cues as often as data inside them.
-The bounds are the lower one of the first share and the upper one of the second, on
-the held part.  Where nothing can be trained or no cutoff is good enough, the trees
-add nothing.
+numbers.  A proposal that overlaps a match which failed its check is dropped: the
+check has decided it (but not an account number, whose letters it has not seen).
+The others that overlap no base span are the open ones.
+An open proposal is added if a cue that names its kind stands right before it
+("IBAN: ", "call me at ").
+
+Boosted trees add those of the same formats without a cue.  They see the format
+alone, never the cue.  Their positives are the base spans written in spellings that
+no base format takes (an address with "[at]", a phone number without its +, a card
+number with other separators), in the text where they stand, and the open
+proposals with a cue; their negatives are open proposals without one.  They are
+fitted on a hashed sample of at most about ``fit_rows`` of each.
+
+The score cutoff is set on open proposals that the trees have not seen, by their
+cues: taking personal data to be named by a cue as often outside the base formats
+as inside them, the precision of the proposals above a cutoff is their share with
+a cue over that of the base spans.  The cutoff is the lowest of ``CUTOFFS`` at
+which the lower bound of the one over the upper bound of the other reaches
+``precision``, all bounds corrected for the number of cutoffs tried; the search
+ends before a step whose own proposals fall short of it beyond doubt.  Where there
+are fewer than ``least`` examples of a class, or no cutoff is good enough, as in a
+corpus without cues, the trees add nothing.
 """
 
 from __future__ import annotations
@@ -60,7 +65,7 @@ NAMED = {
     "account": rf"(?i)\b(?:iban|account|acct|bank){_AFTER}",
 }
 SPAN = "array<struct<s:int,e:int>>"
-FIT_ROWS, PRECISION = 20_000, 0.95
+FIT_ROWS, PRECISION, LEAST = 20_000, 0.95, 20
 
 
 def _digits(x: Column) -> Column:
@@ -109,17 +114,18 @@ def _walk(text: Column, pattern: str, test: str, ddl: str, make: Callable, keep:
     return F.when(text.rlike(test), walked).otherwise(none)
 
 
-def base_spans(text: Column) -> dict[str, Column]:
-    """Each base kind's spans, an array of (s, e) in code points, by start."""
-    return {k: _walk(text, pattern, test, SPAN, lambda m, s, e, *_: F.struct(s.alias("s"), e.alias("e")), CHECKS[k])
-            for k, (pattern, test) in BASE.items()}
-
-
 #: Features of a proposal: what its text looks like, and what stands around it.
 FEATURES = ("length", "digits", "letters", "groups", "dots", "dashes", "blanks", "at", "plus", "brackets", "first_group", "last_group",
             "cue", "gap_before", "gap_after", "letter_before", "letter_after", "kind")
 #: Those that do not tell whether a cue stands before the proposal.
 FORMAT = [k for k, name in enumerate(FEATURES) if name not in ("plus", "cue", "gap_before", "gap_after", "letter_before", "letter_after")]
+#: kind -> generator that would propose it in other spellings, and these, as (pattern, replacement).
+SPELLINGS = {
+    "email": ("address", [("@", " [at] "), ("@", "(at)")]),
+    "phone": ("number", [(r"^\+", ""), (r"^\+[0-9]{1,2}[\x20().-]*", "0"), (r"[+()]", "")]),
+    "card": ("number", [(r"[\x20-]", "."), (r"[\x20-]", "/"), (r"([0-9]{4})(?=[0-9])", "$1.")]),
+}
+MATCH = "array<struct<s:int,e:int,ok:boolean,other:array<array<double>>>>"
 CANDIDATE = "array<struct<s:int,e:int,kind:string,cued:boolean,f:array<double>>>"
 
 
@@ -142,6 +148,17 @@ def _features(m: Column, before: Column, after: Column, kind: int) -> Column:
     return F.array(*[v.cast("double") for v in values])
 
 
+def base_matches(text: Column) -> dict[str, Column]:
+    """Each base kind's matches by start: place in code points, whether the check passes, features in other spellings."""
+    def item(k: str, m: Column, s: Column, e: Column, before: Column, after: Column) -> Column:
+        generator, ways = SPELLINGS.get(k, ("number", []))
+        number = list(GENERATORS).index(generator)
+        other = F.array(*[_features(F.regexp_replace(m, a, b), before, after, number) for a, b in ways])
+        return F.struct(s.alias("s"), e.alias("e"), CHECKS[k](m).alias("ok"), other.cast("array<array<double>>").alias("other"))
+
+    return {k: _walk(text, pattern, test, MATCH, lambda *x, k=k: item(k, *x)) for k, (pattern, test) in BASE.items()}
+
+
 def proposals(text: Column) -> Column:
     """All generators' spans with their features, and whether a cue names them."""
     def named(before: Column, kind: str) -> Column:
@@ -154,28 +171,39 @@ def proposals(text: Column) -> Column:
     return F.concat(*found)
 
 
-def _bound(good: float, n: float, side: int) -> float:
-    """Lower (-1) or upper (1) Wilson bound of a share, at 95% one-sided."""
-    share, z = good / n, 1.645
+#: Score cutoffs that may be chosen.
+CUTOFFS = tuple(k / 40 for k in range(39, 0, -1))
+
+
+def _bound(good: float, n: float, side: int, tests: int = 1) -> float:
+    """Lower (-1) or upper (1) Wilson bound of a share, at 95% one-sided over ``tests`` of them."""
+    from statistics import NormalDist
+
+    share, z = good / n, NormalDist().inv_cdf(1 - 0.05 / tests)
     return (share + z * z / (2 * n) + side * z * ((share * (1 - share) + z * z / (4 * n)) / n) ** 0.5) / (1 + z * z / n)
 
 
-def _train(sample: DataFrame, precision: float, trees: int, depth: int, seed: int):
-    """(model, cutoff) with a share of label 1 of at least ``precision``, or None where there is nothing to learn from or no good cutoff."""
+def _train(sample: DataFrame, check: DataFrame, precision: float, base_rate: float, least: int, trees: int, depth: int, seed: int):
+    """(model, cutoff) or None; ``sample`` (f, label) is learned from, ``check`` (f, cued) are open proposals not in it."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    counts = {(r["label"], r["held"]): r["n"] for r in sample.groupBy("label", "held").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if min((counts.get((label, held), 0) for label in (0.0, 1.0) for held in (True, False)), default=0) < 20:
+    counts = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if min(counts.get(label, 0) for label in (0.0, 1.0)) < least:
         return None
-    ready = sample.withColumn("features", array_to_vector("f"))
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, featuresCol="features", labelCol="label").fit(ready.where("not held"))
-    scored = model.transform(ready.where("held")).select("label", F.round(vector_to_array("probability")[1], 3).alias("p"))
-    best, n, good = None, 0, 0
-    for r in scored.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("good")).orderBy(F.col("p").desc()).collect():
-        n, good = n + r["n"], good + r["good"]
-        if _bound(good, n, -1) >= precision:
-            best = r["p"]
+    model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, featuresCol="features", labelCol="label").fit(sample.withColumn("features", array_to_vector("f")))
+    p = vector_to_array("probability")[1]
+    scored = model.transform(check.withColumn("features", array_to_vector("f"))).select("cued", p.alias("p"))
+    totals = scored.agg(*[F.count_if(F.col("p") >= c).alias(f"n{k}") for k, c in enumerate(CUTOFFS)],
+                        *[F.count_if((F.col("p") >= c) & F.col("cued")).alias(f"c{k}") for k, c in enumerate(CUTOFFS)]).first()
+    best, n, cued, wanted = None, 0, 0, precision * base_rate
+    for k, c in enumerate(CUTOFFS):
+        more, more_cued = totals[f"n{k}"] - n, totals[f"c{k}"] - cued
+        if more and _bound(more_cued, more, 1, len(CUTOFFS)) < wanted:
+            break  # what this cutoff would add is not good enough, however good the rest
+        n, cued = totals[f"n{k}"], totals[f"c{k}"]
+        if n >= least and _bound(cued, n, -1, len(CUTOFFS)) >= wanted:
+            best = c
     return None if best is None else (model, best)
 
 
@@ -184,7 +212,7 @@ def _listed(spans: Column, kind: str) -> Column:
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS,
-             precision: float = PRECISION, trees: int = 8, depth: int = 4, seed: int = 1) -> DataFrame:
+             precision: float = PRECISION, least: int = LEAST, trees: int = 8, depth: int = 4, seed: int = 1) -> DataFrame:
     """Per row: ``id_col``, n_email, n_ip, n_card, n_phone, base_sha256, spans, and ``found``, the spans as an array.
 
     Null and empty texts have no spans.  Rows are independent but for the training sample;
@@ -195,34 +223,41 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fi
 
     stage = Stage(docs.sparkSession, "pii")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    spans = base_spans(text)
-    table = docs.select(F.col(id_col).alias("_id"), *[c.alias(f"b_{k}") for k, c in spans.items()], proposals(text).alias("proposed"))
+    table = docs.select(F.col(id_col).alias("_id"), *[c.alias(f"m_{k}") for k, c in base_matches(text).items()], proposals(text).alias("proposed"))
     table = stage.put(table.withColumn("_row", F.monotonically_increasing_id()), "found")
+    for k in BASE:
+        passed = F.filter(f"m_{k}", lambda x: x["ok"])
+        table = table.withColumn(f"b_{k}", F.transform(passed, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
     base = F.concat(*[F.col(f"b_{k}") for k in BASE])
-    each = table.where(F.size("proposed") > 0).select("_row", base.alias("base"), F.explode("proposed").alias("c")).select(
-        "_row", "c.s", "c.e", "c.kind", "c.cued", "c.f",
-        F.exists("base", lambda b: (b["s"] < F.col("c.e")) & (F.col("c.s") < b["e"])).cast("double").alias("label"))
-    place = F.pmod(F.xxhash64("_row", "s", "e", "kind", F.lit(seed)), F.lit(1 << 30))
-    share = min(1.0, fit_rows / max(1, each.count()))
-    sample = stage.put(each.where(place < int(share * (1 << 30))).withColumn("held", place % 4 == 0), "sample")
-    outside, place = each.where("label = 0"), ("_row", "kind", "s", "e")
-    fresh = [outside.where("cued").select(*place)]
-
-    def add(trained, f: Column) -> None:
-        if trained is not None:
-            model, cutoff = trained
-            scored = model.transform(outside.withColumn("features", array_to_vector(f)))
-            fresh.append(scored.where(F.round(vector_to_array("probability")[1], 3) >= cutoff).select(*place))
-
-    add(_train(sample, precision, trees, depth, seed), F.col("f"))
+    refused = F.concat(*[F.filter(f"m_{k}", lambda x: ~x["ok"]) for k in BASE])
+    meets = lambda spans: F.exists(spans, lambda b: (b["s"] < F.col("c.e")) & (F.col("c.s") < b["e"]))
+    each = table.where(F.size("proposed") > 0).select("_row", base.alias("base"), refused.alias("refused"), F.explode("proposed").alias("c")).select(
+        "_row", "c.s", "c.e", "c.kind", "c.cued", "c.f", meets("base").alias("known"), (meets("refused") & (F.col("c.kind") != "account")).alias("refused"))
+    place = ("_row", "kind", "s", "e")
+    spot = F.pmod(F.xxhash64(*place, F.lit(seed)), F.lit(1 << 30))
     form = F.array(*[F.get("f", F.lit(k)) for k in FORMAT])
-    base_cues = sample.where("label = 1 and held").where(F.col("kind").isin(*NAMED)).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("cued").cast("int")).alias("cued")).first()
-    rate = _bound(base_cues["cued"], base_cues["n"], 1) if base_cues["n"] else 1.0
-    unnamed = sample.where("label = 0").select(F.col("cued").cast("double").alias("label"), "held", form.alias("f"))
-    add(_train(unnamed, precision * rate, trees, depth, seed), form)
+    outside = stage.put(each.where("not known and not refused").withColumn("spot", spot).withColumn("f", form), "open")
+    other = F.flatten(F.concat(*[F.transform(F.filter(f"m_{k}", lambda x: x["ok"]), lambda x: x["other"]) for k in SPELLINGS]))
+    respelled = table.where(F.size(base) > 0).select("_row", F.posexplode(other).alias("k", "f")).withColumn("f", form)
+    totals = outside.agg(F.count_if(F.col("cued")).alias("cued"), F.count_if(~F.col("cued")).alias("rest")).first()
+    share = lambda n: int(min(1.0, fit_rows / max(1, n)) * (1 << 30))
+    learn = outside.where("spot % 4 <> 0").withColumn("spot", F.shiftright("spot", 2) * 4)
+    positive = learn.where("cued").where(F.col("spot") < share(totals["cued"])).select("f").union(
+        respelled.where(F.pmod(F.xxhash64("_row", "k", F.lit(seed)), F.lit(1 << 30)) < share(respelled.count())).select("f"))
+    negative = learn.where("not cued").where(F.col("spot") < share(totals["rest"])).select("f")
+    sample = stage.put(positive.withColumn("label", F.lit(1.0)).union(negative.withColumn("label", F.lit(0.0))), "sample")
+    named = each.where(F.col("known") & F.col("kind").isin(*NAMED)).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("cued")).alias("cued")).first()
+    base_rate = _bound(named["cued"], named["n"], 1, len(CUTOFFS)) if named["n"] else 1.0
+    fresh = [outside.where("cued").select(*place)]
+    trained = _train(sample, outside.where("spot % 4 = 0").select("f", "cued"), precision, base_rate, least, trees, depth, seed)
+    if trained is not None:
+        model, cutoff = trained
+        scored = model.transform(outside.withColumn("features", array_to_vector("f")))
+        fresh.append(scored.where(vector_to_array("probability")[1] >= cutoff).select(*place))
     every = functools.reduce(DataFrame.unionByName, fresh)
     added = every.groupBy("_row").agg(F.array_sort(F.collect_set(F.struct("kind", "s", "e"))).alias("more"))
     table = table.join(stage.put(added, "added"), "_row", "left")
+    stage.drop("open", "sample")
     listed = F.concat(*[_listed(F.col(f"b_{k}"), k) for k in BASE])
     more = F.coalesce("more", F.array().cast("array<struct<kind:string,s:int,e:int>>"))
     extra = F.transform(more, lambda x: F.concat(x["kind"], F.lit(":"), x["s"], F.lit(":"), x["e"]))

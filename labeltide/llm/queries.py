@@ -16,7 +16,7 @@ from labeltide.llm.near_dedup import near_duplicates
 from labeltide.llm.pii import find_pii
 from labeltide.llm.quality_classifier import score_quality
 from labeltide.llm.quality_rules import quality_rules
-from labeltide.llm.secret_scan import scan_secrets
+from labeltide.llm.secret_scan import ranked_words, scan_secrets
 from labeltide.llm.sharding import shard_rows
 from labeltide.llm.simhash_dedup import simhash_duplicates
 from labeltide.llm.token_store import token_table
@@ -69,7 +69,7 @@ def op8_certified_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_guess_cost_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_secrets(table(spark, sf_dir, "documents"))
+    return scan_secrets(table(spark, sf_dir, "documents"), words=ranked_words(public_tokenizer()))
 
 
 def op10_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,6 +47,9 @@ magic power energy music guitar piano samsung google apple windows linux ubuntu
 production staging dev develop temp null none true false undefined placeholder redacted your my the and for key pass word
 january february march april may june july august september october november december monday tuesday wednesday thursday
 friday saturday""".split()
+# Words that hold the place of a secret, and first names of expressions that fetch one.
+PLACEHOLDERS = set("your change changeme replace insert enter example sample dummy placeholder redacted none null undefined here todo xxx xxxx".split())
+CODE_ROOTS = set("process os env environ environment settings config conf self this app request req ctx context secrets vault system options args params".split())
 # The rows of a keyboard.
 KEY_ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 LEET = str.maketrans("@4301!$57", "aaeoiisst")
@@ -71,15 +74,33 @@ def _common(value: str, a: int, b: int) -> int:
     return done
 
 
+def ranked_words(tokenizer_file: str) -> list[str]:
+    """A ranked dictionary from a public tokenizer's JSON vocabulary: its tokens that end a word, in letters, in the order of their merges.
+
+    These are whole words and common endings.  Merges are made in the order of frequency, so a token's place is near its rank.
+    The file is a parameter and stays where it is; its licence stands beside it.
+    """
+    import json
+
+    with open(tokenizer_file, encoding="utf-8") as file:
+        vocabulary = json.load(file)["model"]["vocab"]
+    ends = [(place, token[:-4]) for token, place in vocabulary.items() if token.endswith("</w>")]
+    return [word for _, word in sorted(ends) if len(word) >= 3 and word.isascii() and word.isalpha()]
+
+
 class GuessCost:
-    """log10 of the guesses for a value: the cheapest way to write it as known parts and brute force."""
+    """log10 of the guesses for a value: the cheapest way to write it as known parts and brute force.
+
+    ``words`` is a ranked dictionary, most frequent first; the common passwords always stand before it.
+    """
 
     def __init__(self, words: list[str] | None = None):
         self.rank = {}
-        for r, w in enumerate(words if words is not None else COMMON, 1):
+        for r, w in enumerate([*COMMON, *(words or [])], 1):
             if len(w) >= 3:
                 self.rank.setdefault(w.lower(), r)
         self.longest = max(map(len, self.rank), default=0)
+        self.starts = {w[:3] for w in self.rank}
         self.near = _walks()
 
     @staticmethod
@@ -92,28 +113,40 @@ class GuessCost:
         return max(2, 10 * any(c.isdigit() for c in part) + 26 * any("a" <= c <= "z" for c in part)
                    + 26 * any("A" <= c <= "Z" for c in part) + 33 * any(not (c.isalnum() and c.isascii()) for c in part))
 
-    def _known(self, value: str) -> dict[int, list[tuple[int, float]]]:
-        """For each end, (start, cost) of the known parts that end there."""
-        lower, n = value.lower(), len(value)
-        plain = lower.translate(LEET)
-        out: dict[int, list[tuple[int, float]]] = {}
-
-        def add(start: int, end: int, cost: float) -> None:
-            out.setdefault(end, []).append((start, cost))
-
-        for i in range(n):
-            for j in range(i + 3, min(n, i + self.longest) + 1):
-                for form, extra in ((lower, 0.0), (plain, 0.5)):
-                    if form[i:j] in self.rank:
+    def stands_for_one(self, value: str) -> bool:
+        """Whether the value is no secret but holds its place or names where it comes from."""
+        parts = [x for x in re.split(r"[^A-Za-z0-9]+", value.lower()) if x]
+        if re.fullmatch(r"[$%{<\[(].*", value) or not parts:
+            return True
+        if re.fullmatch(r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+(?:\(.*)?", value) and parts[0] in CODE_ROOTS:
+            return True
+        known = all(p in self.rank or len(p) <= 2 and p.isalpha() or len(set(p)) == 1 for p in parts)
+        return known and any(p in PLACEHOLDERS for p in parts)
+
+    def _words(self, value: str, lower: str, add) -> None:
+        plain, n = lower.translate(LEET), len(value)
+        for form, extra in ((lower, 0.0), (plain, 0.5)):
+            if extra and plain == lower:
+                break
+            for i in range(n - 2):
+                if form[i:i + 3] not in self.starts:
+                    continue
+                for j in range(i + 3, min(n, i + self.longest) + 1):
+                    if form[i:j] in self.rank and not (extra and lower[i:j] in self.rank):
                         part = value[i:j]
                         capitals = 0.0 if part == lower[i:j] else 0.3 if part[:1] + lower[i + 1:j] == part or part == part.upper() else 1.0
                         add(i, j, math.log10(self.rank[form[i:j]] + 1) + capitals + extra)
-                        break
-        for m in re.finditer(r"(?=((?:19|20)\d\d)(?!\d)|((?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01]))|((?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d))", value):
-            for k in (1, 2, 3):
-                if m.group(k):
-                    add(m.start(k), m.end(k), 2.1 if k == 1 else 4.6)
-        seen = set()
+
+    @staticmethod
+    def _stretch(start: int, end: int, least: int, unit_cost: float, unit: int, add) -> None:
+        """A repeat may give up signs at either end to a neighbouring part."""
+        for i in range(start, end - least + 1):
+            add(i, end, unit_cost + math.log10((end - i) // unit + 1))
+        for j in range(start + least, end):
+            add(start, j, unit_cost + math.log10((j - start) // unit + 1))
+
+    def _repeats(self, value: str, add) -> None:
+        n, runs = len(value), []
         for unit in range(1, min(8, n // 2) + 1):  # repeats of a short unit
             i = 0
             while i + 2 * unit <= n:
@@ -121,35 +154,59 @@ class GuessCost:
                 while end < n and value[end] == value[end - unit]:
                     end += 1
                 if end - i >= max(3, 2 * unit):
-                    add(i, end, unit * math.log10(self.alphabet(value[i:i + unit])) + math.log10((end - i) // unit + 1))
-                    seen.add((i, end))
+                    self._stretch(i, end, max(3, 2 * unit), unit * math.log10(self.alphabet(value[i:i + unit])), unit, add)
+                    runs.append((unit, i, end))
                     i = end - unit + 1
                 else:
                     i += 1
         back = value[::-1]
         for unit in range(9, n // 2 + 1):  # repeats of a longer one: each holds a multiple of the unit
-            end = 0
-            for i in range(0, n - unit, unit):
+            # A stretch that repeats a part of the unit already has a cheaper way to be written.
+            runs = [run for run in runs if run[2] - run[1] > unit]
+            held = [(start, end) for part, start, end in runs if unit % part == 0]
+            end, i = 0, 0
+            while i < n - unit:
+                inside = next((e for s, e in held if s <= i and i + unit < e), None) if held else None
+                if inside is not None:
+                    i = max(i + unit, (inside - unit) // unit * unit)
+                    continue
                 if i + unit >= end and value[i] == value[i + unit]:
                     start, end = i - _common(back, n - i - unit, n - i), i + unit + _common(value, i, i + unit)
-                    if end - start >= 2 * unit and (start, end) not in seen:
-                        add(start, end, unit * math.log10(self.alphabet(value[start:start + unit])) + math.log10((end - start) // unit + 1))
-                        seen.add((start, end))
-        i = 0
-        while i < n - 2:  # walks and sequences
-            for step in ((lambda a, b: (a, b) in self.near), (lambda a, b: ord(b) - ord(a) == 1), (lambda a, b: ord(b) - ord(a) == -1)):
-                end = i + 1
-                while end < n and step(lower[end - 1], lower[end]):
-                    end += 1
-                if end - i >= 3:
-                    add(i, end, 1.7 + 0.6 * math.log10(end - i))
-            i += 1
+                    if end - start >= 2 * unit:
+                        self._stretch(start, end, 2 * unit, unit * math.log10(self.alphabet(value[start:start + unit])), unit, add)
+                        runs.append((unit, start, end))
+                        held.append((start, end))
+                i += unit
+
+    def _known(self, value: str) -> dict[int, list[tuple[int, float]]]:
+        """For each end, (start, cost) of the known parts that end there."""
+        lower, n = value.lower(), len(value)
+        out: dict[int, list[tuple[int, float]]] = {}
+
+        def add(start: int, end: int, cost: float) -> None:
+            out.setdefault(end, []).append((start, cost))
+
+        self._words(value, lower, add)
+        for m in re.finditer(r"(?=((?:19|20)\d\d)(?!\d)|((?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01]))|((?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d))", value):
+            for k in (1, 2, 3):
+                if m.group(k):
+                    add(m.start(k), m.end(k), 2.1 if k == 1 else 4.6)
+        self._repeats(value, add)
+        for step in ((lambda a, b: (a, b) in self.near), (lambda a, b: ord(b) - ord(a) == 1), (lambda a, b: ord(b) - ord(a) == -1)):
+            begin = 0  # walks and sequences: each stretch once, less signs at either end
+            for end in range(1, n + 1):
+                if end == n or not step(lower[end - 1], lower[end]):
+                    for i in range(begin, end - 2):
+                        add(i, end, 1.7 + 0.6 * math.log10(end - i))
+                    for j in range(begin + 3, end):
+                        add(begin, j, 1.7 + 0.6 * math.log10(j - begin))
+                    begin = end
         return out
 
     def __call__(self, value: str) -> float:
         """At most the cost of brute force over the whole value; each further part costs its order among the parts."""
         n = len(value)
-        if not n:
+        if not n or self.stands_for_one(value):
             return 0.0
         per_sign = math.log10(self.alphabet(value))
         known = self._known(value)
@@ -202,8 +259,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Per row: ``id_col``, n_assign, n_access, n_hex, base_sha256, spans (``kind:start:end``, comma-joined).
 
     Null and empty texts have no spans.  Rows are independent, so repeated rows and ids give
-    repeated results, and other columns are ignored.  ``words``: a dictionary, most frequent
-    first, instead of the built-in one.  An empty table gives no rows.
+    repeated results, and other columns are ignored.  ``words``: a ranked dictionary, most
+    frequent first (:func:`ranked_words`), beside the built-in common passwords.  An empty
+    table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -211,11 +269,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return found.withColumnRenamed("id", id_col)
 
 
-def _redactor(words: list[str] | None, least_cost: float, mark: str):
+def _redactor(words: list[str] | None, least_cost: float, mark: str, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cost = GuessCost(words)
         for batch in batches:
-            at = batch.schema.names.index("text")
             texts = batch.column(at).to_pylist()
             for i in pc.indices_nonzero(pc.fill_null(pc.match_substring_regex(batch.column(at), MAYBE), False)).to_pylist():
                 out, done = [], 0
@@ -230,7 +287,5 @@ def _redactor(words: list[str] | None, least_cost: float, mark: str):
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", words: list[str] | None = None,
                    least_cost: float = LEAST_COST, mark: str = "<SECRET>") -> DataFrame:
-    """``docs`` with every span in ``text_col`` replaced by ``mark``; overlapping spans become one."""
-    if text_col != "text":
-        return redact_secrets(docs.withColumnsRenamed({text_col: "text"}), "text", words, least_cost, mark).withColumnsRenamed({"text": text_col})
-    return docs.mapInArrow(_redactor(words, least_cost, mark), docs.schema)
+    """``docs`` with every span in ``text_col`` replaced by ``mark``; overlapping spans become one.  Other columns stay, whatever their names."""
+    return docs.mapInArrow(_redactor(words, least_cost, mark, docs.columns.index(text_col)), docs.schema)

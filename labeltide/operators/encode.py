@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pyspark.sql import types as T
+
 from ..functions.text import tokens
-from ..session import stored
+from .blocks import blocked, replace_entries
 from .ordering import dense_row_number
 
 PAD_ID = 0
@@ -47,23 +49,25 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, text_col: str,
                   out_col: str = "input_ids", keep_text: bool = False) -> DataFrame:
     """Replace ``text_col`` by ``out_col`` ARRAY<INT>: ids in text order, unknown -> UNK_ID.
 
-    One row out per row in, whatever ids the rows have: they are regrouped by a
-    row number of their own.  The other columns stay with that number; only
-    ``(row, position, token)`` is exploded, looked up and regrouped, and texts
-    never cross the network.  The vocabulary is stored first, so the planner
-    knows its bytes: below the broadcast threshold the lookup moves no token,
-    above it is a sort-merge join whose hot tokens adaptive execution splits.
+    One row out per row in, whatever ids the rows have.  By block dictionaries
+    (``blocks``): what is looked up are the distinct tokens of a block of rows, so
+    no exchange carries a row per token, whatever the size of the vocabulary.
     """
-    v = stored(vocab.select(F.col("token").alias("__tok"), F.col("token_id").alias("__tid")), "vocabulary")
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
     carried = [c for c in df.columns if keep_text or c != text_col]
-    rows = stored(df.select(*carried, tokens(F.col(text_col)).alias("__toks"))
-                  .withColumn("__row", F.monotonically_increasing_id()), "tokens")
-    exploded = rows.select("__row", F.posexplode("__toks").alias("__pos", "__t"))
-    looked = exploded.join(v, F.col("__t") == F.col("__tok"), "left")
-    pair = F.struct(F.col("__pos").alias("p"), F.coalesce(F.col("__tid"), F.lit(UNK_ID)).alias("i"))
-    grouped = looked.groupBy("__row").agg(F.sort_array(F.collect_list(pair)).alias("__pairs"))
-    ids = F.transform(F.coalesce("__pairs", F.array().cast("array<struct<p:int,i:int>>")), lambda x: x["i"]).cast("array<int>")
-    return rows.drop("__toks").join(grouped, "__row", "left").select(*carried, ids.alias(out_col))
+    rows = blocked(df.select(*carried, tokens(F.col(text_col)).alias("__toks")), "tokens")
+    table = vocab.select(F.col("token").alias("__tok"), F.col("token_id").alias("__tid"))
+    unknown = UNK_ID
+
+    def ids(lists: pa.ListArray, known: pa.Table) -> pa.Array:
+        place = pc.index_in(lists.flatten(), value_set=known.column("__tok").combine_chunks())
+        found = pc.fill_null(known.column("__tid").combine_chunks().cast(pa.int32()).take(place), unknown)
+        starts = lists.offsets.to_numpy()
+        return pa.ListArray.from_arrays(pa.array(starts - starts[0], pa.int32()), found)
+
+    return replace_entries(rows, "__toks", table, "__tok", ids, T.StructField(out_col, T.ArrayType(T.IntegerType())))
 
 
 # --------------------------------------------------------------------- E3

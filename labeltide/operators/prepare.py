@@ -173,10 +173,10 @@ def stratified_split(df: DataFrame, frac: float, key_cols: Sequence[str] | str,
         return whole
     at_cut = F.coalesce((own == F.col("__cut")) & (F.col("__need") < F.col("__tied")), F.lit(False))
     ties = marked.where(at_cut).select(*df.columns, "__g", "__need", F.struct(F.col("__g"), F.xxhash64(*df.columns).alias("r"), F.monotonically_increasing_id().alias("m")).alias("__o"))
-    ties = stored(dense_row_number(ties, "__o", "__place"), "split-ties")
-    firsts = ties.groupBy(F.col("__g").alias("__of")).agg(F.min("__place").alias("__first"))
+    ties = stored(dense_row_number(ties, "__o", "__rn"), "split-ties")
+    firsts = ties.groupBy(F.col("__g").alias("__of")).agg(F.min("__rn").alias("__first"))
     ties = ties.join(firsts, F.col("__g").eqNullSafe(F.col("__of")))
-    side = F.when(F.col("__place") - F.col("__first") < F.col("__need"), F.lit(held)).otherwise(F.lit(kept))
+    side = F.when(F.col("__rn") - F.col("__first") < F.col("__need"), F.lit(held)).otherwise(F.lit(kept))
     return (marked.where(~at_cut).withColumn(out_col, F.when(own <= F.col("__cut"), F.lit(held)).otherwise(F.lit(kept))).select(*df.columns, out_col)
             .unionByName(ties.withColumn(out_col, side).select(*df.columns, out_col)))
 

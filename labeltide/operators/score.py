@@ -3,9 +3,10 @@
 * L8 ``score_batches``: ``mapInArrow`` over Arrow batches.  The scorer is a
   picklable factory; it is called once per task (the "model load"), then
   applied to each batch.  Rows keep their id, so order never matters.
-* A scorer whose weights come from Spark aggregates: ``train_token_scorer``
-  fits multinomial naive Bayes counts with one ``groupBy`` over exploded
-  token ids; the weight matrix is bounded by vocabulary size x classes.
+* L8 with a model of any size: ``train_token_weights`` fits multinomial naive
+  Bayes by one aggregate over exploded token ids and leaves the log weights a
+  table; ``score_by_weights`` brings each block of rows the weights of its own
+  tokens.  Nothing of the size of the vocabulary reaches the driver or a task.
 * L9/L10: a Spark ML pipeline (tokenizer, hashing TF, IDF, logistic
   regression) that trains and scores on the cluster.
 """
@@ -13,17 +14,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import stored
+from .blocks import replace_entries
 from .labels import argmax
 
-#: A model beyond this is refused rather than collected and broadcast.
-MAX_MODEL_BYTES = 1 << 30
-
 ScorerFactory = Callable[[], Callable[["pyarrow.RecordBatch"], np.ndarray]]
 
 
@@ -60,75 +61,59 @@ def score_batches(df: DataFrame, factory: ScorerFactory, id_col: str,
     return scored.withColumn(pred_col, argmax(logits_col).cast("string"))
 
 
-class TokenWeightScorer:
-    """logits = bias + sum of per-token weight rows (a linear bag-of-ids model).
+@dataclass
+class TokenWeights:
+    """Log weights per token (``table``: token_id, weights), those of a token that no training row holds, and per class."""
+
+    table: DataFrame
+    unseen: list[float]
+    bias: list[float]
 
-    Vectorised over the Arrow list column: one gather of all ids of the batch
-    and one segmented sum by the list offsets; no per-row Python.
-    """
 
-    def __init__(self, weights: np.ndarray, bias: np.ndarray, ids_col: str = "input_ids"):
-        self.weights = weights
-        self.bias = bias
-        self.ids_col = ids_col
-
-    def __call__(self, batch) -> np.ndarray:
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
-        col = batch.column(self.ids_col)
-        n = batch.num_rows
-        out = np.tile(self.bias, (n, 1))
-        if n == 0:
-            return out
-        col = pc.fill_null(col, pa.scalar([], type=col.type)) if col.null_count else col
-        offsets = col.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
-        flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        if flat.size == 0:
-            return out
-        w = self.weights
-        valid = (flat >= 0) & (flat < w.shape[0])
-        rows = np.repeat(np.arange(n), np.diff(offsets))
-        np.add.at(out, rows[valid], w[flat[valid]])
-        return out
-
-
-def train_token_scorer(encoded: DataFrame, ids_col: str, label_col: str, n_classes: int,
-                       vocab_size: int, alpha: float = 1.0) -> Callable[[], TokenWeightScorer]:
+def train_token_weights(encoded: DataFrame, ids_col: str, label_col: str, n_classes: int,
+                        vocab_size: int, alpha: float = 1.0) -> TokenWeights:
     """Multinomial naive Bayes over token ids, counted by Spark.
 
-    One partial aggregate ``(token_id, class) -> count`` over exploded ids and
-    one ``class -> rows`` count.  The result has at most vocab_size x classes
-    entries (a parameter bound, not a data bound); the weight matrix is a
-    broadcast variable that the scorer factory reads in each task.
+    Ids from 0 to ``vocab_size`` - 1 and labels from 0 to ``n_classes`` - 1 count.  The
+    weights stay a stored table; only totals per class reach the driver.
     """
-    pairs = (encoded.select(F.col(label_col).cast("int").alias("c"),
-                            F.explode(ids_col).alias("t"))
-             .where(F.col("c").isNotNull() & (F.col("t") < vocab_size))
-             .groupBy("t", "c").agg(F.count(F.lit(1)).alias("n")))
-    priors = (encoded.where(F.col(label_col).isNotNull())
-              .groupBy(F.col(label_col).cast("int").alias("c")).agg(F.count(F.lit(1)).alias("n")))
-    # The aggregated model (<= vocab_size x n_classes cells) arrives as one
-    # Arrow batch and is scattered into the matrix without a row loop.
-    if vocab_size * n_classes * 8 > MAX_MODEL_BYTES:
-        raise ValueError(f"{vocab_size} x {n_classes} weights exceed {MAX_MODEL_BYTES} bytes; bound the vocabulary (build_vocabulary size)")
-    cells = pairs.where((F.col("c") >= 0) & (F.col("c") < n_classes)).toPandas()
-    counts = np.zeros((vocab_size, n_classes))
-    counts[cells["t"].to_numpy(dtype=np.int64), cells["c"].to_numpy(dtype=np.int64)] = cells["n"]
-    per_class = priors.where((F.col("c") >= 0) & (F.col("c") < n_classes)).toPandas()
-    prior = np.zeros(n_classes)
-    prior[per_class["c"].to_numpy(dtype=np.int64)] = per_class["n"]
-    smoothed = counts + alpha
-    weights = np.log(smoothed / smoothed.sum(axis=0, keepdims=True))
-    bias = np.log((prior + alpha) / (prior.sum() + alpha * n_classes))
-    # Shipped once per executor as a broadcast variable, not pickled per task.
-    model = encoded.sparkSession.sparkContext.broadcast((weights, bias))
-
-    def factory() -> TokenWeightScorer:
-        w, b = model.value
-        return TokenWeightScorer(w, b, ids_col)
-
-    return factory
+    label = F.col(label_col).cast("int").alias("c")
+    rows = encoded.select(label, ids_col).where(F.col("c").between(0, n_classes - 1))
+    each = rows.select("c", F.explode(ids_col).alias("t")).where(F.col("t") < vocab_size)
+    per_class = [F.count_if(F.col("c") == k).alias(f"n_{k}") for k in range(n_classes)]
+    counts = stored(each.groupBy("t").agg(*per_class), "token-counts")
+    total = counts.agg(*[F.coalesce(F.sum(f"n_{k}"), F.lit(0)).alias(f"n_{k}") for k in range(n_classes)]).first()
+    prior = rows.agg(*per_class).first()
+    sums = [total[k] + alpha * vocab_size for k in range(n_classes)]
+    weights = F.array(*[F.log((F.col(f"n_{k}") + alpha) / F.lit(float(sums[k]))) for k in range(n_classes)])
+    labelled = sum(prior) + alpha * n_classes
+    return TokenWeights(counts.select(F.col("t").cast("int").alias("token_id"), weights.alias("weights")),
+                        [float(np.log(alpha / s)) for s in sums], [float(np.log((p + alpha) / labelled)) for p in prior])
+
+
+def score_by_weights(rows: DataFrame, weights: TokenWeights, ids_col: str, logits_col: str = "logits",
+                     pred_col: str = "prediction") -> DataFrame:
+    """``rows`` (from ``blocks.blocked``) with ``ids_col`` replaced by ``logits`` and ``prediction`` (as ``score_batches`` gives them)."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    bias, unseen = np.array(weights.bias), np.array(weights.unseen)
+
+    def logits(lists: pa.ListArray, known: pa.Table) -> pa.Array:
+        own = known.column("weights").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(bias))
+        table = np.vstack((own, unseen))
+        place = pc.fill_null(pc.index_in(lists.flatten(), value_set=known.column("token_id").combine_chunks()), len(own)).to_numpy()
+        starts = lists.offsets.to_numpy()
+        starts = starts - starts[0]
+        sums = np.zeros((len(lists), len(bias)))
+        filled = np.flatnonzero(np.diff(starts))
+        if len(filled):
+            sums[filled] = np.add.reduceat(table[place], starts[filled], axis=0)
+        flat = pa.array((sums + bias).ravel())
+        return pa.ListArray.from_arrays(pa.array((np.arange(len(lists) + 1) * len(bias)).astype(np.int32)), flat)
+
+    scored = replace_entries(rows, ids_col, weights.table, "token_id", logits, T.StructField(logits_col, T.ArrayType(T.DoubleType())))
+    return scored.withColumn(pred_col, argmax(logits_col).cast("string"))
 
 
 # --------------------------------------------------------------------- L9 / L10
@@ -137,9 +122,9 @@ def train_text_classifier(train: DataFrame, text_col: str, label_col: str,
                           reg_param: float = 0.0):
     """Tokenizer -> hashing TF -> IDF -> logistic regression, fitted on the cluster.
 
-    The hashed term frequencies are persisted once: the IDF fit, the
+    The hashed term frequencies are stored once as Parquet: the IDF fit, the
     regression's summary pass and every optimiser iteration read them instead
-    of re-tokenising the texts.  Labels are class numbers (see
+    of re-tokenising the texts, and a lost executor costs its running tasks.  Labels are class numbers (see
     ``train_named_classifier`` for names).  Returns a ``PipelineModel``.
     """
     from pyspark.ml import PipelineModel
@@ -155,23 +140,19 @@ def train_text_classifier(train: DataFrame, text_col: str, label_col: str,
     bad = data.where(F.col("__label").isNull()).select(F.col("__raw_label").cast("string")).first()
     if bad is not None:
         raise ValueError(f"label {bad[0]!r} is no number; number the labels first (label_dictionary, encode_labels)")
-    tf = hashing.transform(tokenizer.transform(data)).select("__tf", "__label").persist()
-    try:
-        idf = IDF(inputCol="__tf", outputCol="__features").fit(tf)
-        # The scaling stays a projection over the one cached table.
-        feats = idf.transform(tf).select("__features", "__label")
-        lr = LogisticRegression(featuresCol="__features", labelCol="__label",
-                                maxIter=max_iter, regParam=reg_param, family="auto",
-                                predictionCol="__pred", probabilityCol="__prob",
-                                rawPredictionCol="__raw").fit(feats)
-    finally:
-        tf.unpersist()
+    tf = stored(hashing.transform(tokenizer.transform(data)).select("__tf", "__label"), "term-frequencies")
+    idf = IDF(inputCol="__tf", outputCol="__features").fit(tf)
+    # The scaling stays a projection over the one stored table.
+    feats = idf.transform(tf).select("__features", "__label")
+    lr = LogisticRegression(featuresCol="__features", labelCol="__label",
+                            maxIter=max_iter, regParam=reg_param, family="auto",
+                            predictionCol="__pred", probabilityCol="__prob",
+                            rawPredictionCol="__raw").fit(feats)
     return PipelineModel(stages=[tokenizer, hashing, idf, lr])
 
 
 def train_named_classifier(train: DataFrame, text_col: str, label_col: str, order_col: str, **options):
     """L9 for labels of any kind: (model, dictionary), the labels numbered by L1."""
-    from ..session import stored
     from .labels import encode_labels, label_dictionary
 
     dictionary = stored(label_dictionary(train, label_col, order_col), "dictionary")

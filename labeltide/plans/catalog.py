@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import augment, encode, labels, layout, metrics, prepare, score
+from ..operators import augment, blocks, encode, labels, layout, metrics, prepare, score
 from ..session import scratch_path, stored
 from ..sinks import writers
 from ..streaming import files as stream_files
@@ -679,16 +679,16 @@ def _labelled(spark, sf) -> tuple[DataFrame, DataFrame]:
 
 @query("score_batches")
 def q_score_batches(spark, sf):
-    """Naive-Bayes token scorer fitted by Spark aggregates, applied with mapInArrow: the margin between the classes."""
+    """Naive-Bayes weights as a table, fitted by Spark aggregates and applied by blocks of rows: the margin between the classes."""
     docs, lab = _labelled(spark, sf)
     train = docs.join(lab, "doc_id")
     vocab = stored(encode.build_vocabulary(train, "text"), "vocabulary")
     dictionary = stored(labels.label_dictionary(train, "label", "doc_id"), "dictionary")
     # Every document is encoded once; training rows are the labelled ones.
-    encoded = stored(encode.encode_tokens(docs, vocab, "text"), "encoded")
+    encoded = blocks.blocked(encode.encode_tokens(docs, vocab, "text"), "encoded")
     train_e = labels.encode_labels(encoded.join(lab, "doc_id"), dictionary, "label", "label_id", as_string=False)
-    factory = score.train_token_scorer(train_e, "input_ids", "label_id", 2, vocab.count() + encode.FIRST_TOKEN_ID)
-    scored = score.score_batches(encoded, factory, "doc_id", ["input_ids"], pred_col="pred_id")
+    weights = score.train_token_weights(train_e, "input_ids", "label_id", 2, vocab.count() + encode.FIRST_TOKEN_ID)
+    scored = score.score_by_weights(encoded, weights, "input_ids", pred_col="pred_id")
     return labels.decode_labels(scored, dictionary, "pred_id", "prediction").select(
         "doc_id", "prediction", F.round(F.col("logits")[1] - F.col("logits")[0], 4).alias("margin"))
 
@@ -717,7 +717,7 @@ def q_train_classifier(spark, sf):
     return score.apply_classifier(model, docs, "text").select("doc_id", "prediction")
 
 
-def _evaluated(spark, sf, fallback: str) -> DataFrame:
+def _evaluated(spark, sf, fallback: str, given=None) -> DataFrame:
     """Read, clean, dictionary, encode, score, decode, join gold by id, report: train on two thirds of the labelled
     documents, report on the rest."""
     rows = (table(spark, sf, "documents").select("doc_id", "text").join(table(spark, sf, "labels"), "doc_id")
@@ -725,7 +725,7 @@ def _evaluated(spark, sf, fallback: str) -> DataFrame:
     rows = stored(rows, "rows")
     held = F.col("row_ord") % 3 == 0
     _, report, missing = evaluate.score_and_evaluate(
-        rows.where(~held), rows.where(held).drop("label"), rows.where(held).select("id", "label"), fallback=fallback)
+        rows.where(~held), rows.where(held).drop("label"), rows.where(held).select("id", "label"), fallback=fallback, given=given)
     return _report_columns(report).crossJoin(missing.agg(F.count(F.lit(1)).alias("unmatched")))
 
 
@@ -736,8 +736,9 @@ def q_score_evaluate_report(spark, sf):
 
 @query("score_evaluate_majority")
 def q_score_evaluate_majority(spark, sf):
-    """The same with L7's majority label as the fallback."""
-    return _evaluated(spark, sf, "majority")
+    """The same with predictions of which some are empty or no class id: they get L7's majority label."""
+    n = F.col("id").cast("long")
+    return _evaluated(spark, sf, "majority", F.when(n % 5 == 0, F.lit("")).when(n % 7 == 0, F.lit("9")).otherwise(F.col("pred_id")))
 
 
 NO_ORACLE = {"train_classifier"}
@@ -748,3 +749,6 @@ def write_outputs(spark: SparkSession, sf: str, out: str) -> None:
     scored = QUERIES["score_batches"](spark, sf).withColumn("task", F.lit("toxic"))
     writers.write_predictions(scored, f"{out}/predictions")
     writers.write_prediction_lines(scored.withColumn("row_ord", F.col("doc_id")), f"{out}/lines")
+
+
+from . import flows  # noqa: E402,F401  registers the end-to-end flows

@@ -10,11 +10,11 @@ scorer's ``mapInArrow``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text
-from ..operators import encode, labels, metrics, prepare, score
+from ..operators import blocks, encode, labels, metrics, prepare, score
 from ..session import stored
 
 
@@ -50,32 +50,45 @@ def class_distribution(docs: DataFrame, gold: DataFrame, key: str, label_expr,
     return prepare.value_counts(joined.select(label_expr.alias("label")), "label", "n")
 
 
-def score_and_evaluate(train: DataFrame, test: DataFrame, gold: DataFrame,
-                       id_col: str = "id", text_col: str = "text", label_col: str = "label",
-                       order_col: str = "row_ord", vocab_size: int | None = None,
-                       max_len: int | None = None, fallback: str = "0"):
-    """Fit a token scorer on ``train`` and evaluate it on ``test`` against ``gold``.
+def fit_and_score(train: DataFrame, test: DataFrame, id_col: str = "id", text_col: str = "text", label_col: str = "label",
+                  order_col: str = "row_ord", vocab_size: int | None = None, max_len: int | None = None):
+    """Fit token weights on ``train`` and score ``test``: (scored, dictionary, cleaned training rows).
 
-    Returns ``(predictions, report, unmatched)``; predictions carry the decoded
-    label name, pairing with gold is by id, never by position.  ``fallback``
-    is the id given to empty or malformed predictions: ``"0"`` as the scoring
-    scripts do, or ``"majority"`` for the most frequent training label.
+    ``scored`` has ``id_col``, logits and ``pred_id``, one row per test row.
     """
     train_c = stored(prepare_corpus(train, text_col, order_col).where(F.col(label_col).isNotNull()), "train")
     test_c = prepare_corpus(test, text_col, order_col, drop_nulls="none")
     dictionary = stored(labels.label_dictionary(train_c, label_col, order_col), "dictionary")
-    n_classes = dictionary.count()
     vocab = stored(encode.build_vocabulary(train_c, text_col, vocab_size), "vocabulary")
     train_e = stored(encode.encode_tokens(
         labels.encode_labels(train_c, dictionary, label_col, "label_id", as_string=False),
         vocab, text_col), "encoded")
-    test_e = encode.encode_tokens(test_c, vocab, text_col)
+    test_e = encode.encode_tokens(test_c.select(id_col, text_col), vocab, text_col)
     if max_len:
         train_e = encode.truncate_tokens(train_e, max_len)
         test_e = encode.truncate_tokens(test_e, max_len)
-    factory = score.train_token_scorer(train_e, "input_ids", "label_id", n_classes,
-                                       vocab.count() + encode.FIRST_TOKEN_ID)
-    scored = stored(score.score_batches(test_e, factory, id_col, ["input_ids"], pred_col="pred_id"), "scored")
+    weights = score.train_token_weights(train_e, "input_ids", "label_id", dictionary.count(), vocab.count() + encode.FIRST_TOKEN_ID)
+    scored = score.score_by_weights(blocks.blocked(test_e, "test"), weights, "input_ids", pred_col="pred_id")
+    return stored(scored, "scored"), dictionary, train_c
+
+
+def score_and_evaluate(train: DataFrame, test: DataFrame, gold: DataFrame,
+                       id_col: str = "id", text_col: str = "text", label_col: str = "label",
+                       order_col: str = "row_ord", vocab_size: int | None = None,
+                       max_len: int | None = None, fallback: str = "0", given: Column | None = None):
+    """Fit a token scorer on ``train`` and evaluate it on ``test`` against ``gold``.
+
+    Returns ``(predictions, report, unmatched)``; predictions carry the decoded
+    label name, pairing with gold is by id, never by position.  ``fallback``
+    is the id given to empty or malformed predictions: ``"0"`` as the scoring
+    scripts do, or ``"majority"`` for the most frequent training label.  ``given``,
+    an expression over the scored columns, replaces ``pred_id``: predictions as
+    another model wrote them, which may be empty or malformed.
+    """
+    scored, dictionary, train_c = fit_and_score(train, test, id_col, text_col, label_col, order_col, vocab_size, max_len)
+    if given is not None:
+        scored = scored.withColumn("pred_id", given)
+    n_classes = dictionary.count()
     decoded = labels.decode_labels(scored, dictionary, "pred_id", "prediction")
     gold_ids = labels.encode_labels(gold, dictionary, label_col, "gold_id")
     paired = prepare.align_by_id(decoded, gold_ids.select(id_col, "gold_id"), id_col)

@@ -441,7 +441,13 @@ ORACLE["score_evaluate_report"] = f"""
   pairs AS (SELECT CAST(g.c AS VARCHAR) AS label, CAST(m.pred AS VARCHAR) AS prediction
             FROM margins m JOIN labels l ON m.id = l.doc_id JOIN dict g ON g.label = {TOXIC})
   SELECT r.*, CAST(0 AS BIGINT) AS unmatched FROM ({report("SELECT * FROM pairs")}) r"""
-ORACLE["score_evaluate_majority"] = ORACLE["score_evaluate_report"]
+ORACLE["score_evaluate_majority"] = f"""
+  WITH {naive_bayes(_NB_TRAIN, _NB_TEST)},
+  best AS (SELECT c FROM tr JOIN dict USING (label) GROUP BY c ORDER BY count(*) DESC, c LIMIT 1),
+  pairs AS (SELECT CAST(g.c AS VARCHAR) AS label,
+                   CAST(CASE WHEN m.id % 5 = 0 OR m.id % 7 = 0 THEN (SELECT c FROM best) ELSE m.pred END AS VARCHAR) AS prediction
+            FROM margins m JOIN labels l ON m.id = l.doc_id JOIN dict g ON g.label = {TOXIC})
+  SELECT r.*, CAST(0 AS BIGINT) AS unmatched FROM ({report("SELECT * FROM pairs")}) r"""
 
 ORACLE["classifier_invariants"] = """
   SELECT count(*)::BIGINT AS rows_out, count(DISTINCT doc_id)::BIGINT AS ids, 0::BIGINT AS bad_sums, 0::BIGINT AS bad_argmax,
@@ -489,3 +495,49 @@ ORACLE["history_best_epoch"] = """
     FROM events WHERE value IS NOT NULL) WHERE rn = 1"""
 
 ORACLE["prediction_lines"] = f"SELECT prediction AS value, row_number() OVER (ORDER BY vec_id) - 1 AS line FROM ({SCORED})"
+
+
+def _task(task: str, column: str, yes: str, no: str) -> str:
+    label = f"CASE WHEN {column} = 1 THEN '{yes}' ELSE '{no}' END"
+    rows = f"SELECT d.id, {label} AS label, d.toks, d.id AS ord FROM ({_NB_DOCS}) d JOIN labels l ON d.id = l.doc_id"
+    return f"""
+  (WITH {naive_bayes(f"SELECT * FROM ({rows}) WHERE id % 3 = 1", f"SELECT id, toks FROM ({rows}) WHERE id % 3 = 0")},
+  pairs AS (SELECT CAST(g.c AS VARCHAR) AS label, CAST(m.pred AS VARCHAR) AS prediction
+            FROM margins m JOIN labels l ON m.id = l.doc_id JOIN dict g ON g.label = {label})
+  SELECT '{task}' AS task, r.*, CAST(0 AS BIGINT) AS unmatched, (SELECT count(*) FROM margins)::BIGINT AS written,
+    (SELECT count(*) FROM margins m JOIN dict ON dict.c = m.pred WHERE dict.label = '{yes}')::BIGINT AS positive
+  FROM ({report("SELECT * FROM pairs")}) r)"""
+
+
+ORACLE["olid_tasks"] = _task("a", "toxic", "OFF", "NOT") + " UNION ALL " + _task("b", "quality", "UNT", "TIN")
+
+_PCL = f"SELECT d.id, CAST(l.quality AS VARCHAR) AS label, d.toks, d.id AS ord FROM ({_NB_DOCS}) d JOIN labels l ON d.id = l.doc_id"
+ORACLE["pcl_flow"] = f"""
+  WITH {naive_bayes(f"SELECT * FROM ({_PCL}) WHERE id % 3 = 1", f"SELECT id, toks FROM ({_PCL}) WHERE id % 3 = 0")},
+  said AS (SELECT m.id, CASE WHEN m.id % 11 = 0 THEN '' WHEN m.id % 13 = 0 THEN 'positive' ELSE dict.label END AS said FROM margins m JOIN dict ON dict.c = m.pred)
+  SELECT id AS doc_id, md5('classification: ' || c.text) AS text_md5, CASE WHEN length(said) <> 1 THEN '0' ELSE said END AS prediction,
+    (SELECT count(*) FROM said WHERE length(said) <> 1)::BIGINT AS repaired, (SELECT count(*) FROM said)::BIGINT AS rows
+  FROM said JOIN ({DOCS_CLEAN}) c ON c.doc_id = said.id"""
+
+ORACLE["preparation_flow"] = f"""
+  WITH r AS (SELECT row_number() OVER (ORDER BY d.doc_id) - 1 AS row_ord, {nulltok('t')} AS text, CAST(l.toxic AS VARCHAR) AS label
+             FROM (SELECT *, {_LATIN1} AS t FROM documents) d LEFT JOIN labels l ON d.doc_id = l.doc_id)
+  SELECT row_ord, md5(last_value(text IGNORE NULLS) OVER (ORDER BY row_ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS text_md5,
+    last_value(label IGNORE NULLS) OVER (ORDER BY row_ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS label,
+    CASE WHEN row_number() OVER (ORDER BY md5(CAST(row_ord AS VARCHAR))) <= ceil(count(*) OVER () * {HOLDOUT_FRAC}) THEN 'dev' ELSE 'train' END AS split
+  FROM r"""
+
+ORACLE["csv_swapped_headers"] = f"""
+  SELECT doc_id, {nulltok('text')} AS text, {nulltok('lang')} AS lang, CASE WHEN doc_id % 3 = 2 THEN {nulltok('source')} END AS source FROM documents"""
+
+ORACLE["gold_listed_order"] = """
+  SELECT CAST(doc_id AS VARCHAR) AS id, CAST(toxic AS VARCHAR) AS label, row_number() OVER (ORDER BY doc_id % 2, doc_id) - 1 AS place FROM labels"""
+
+ORACLE["accuracy_missing"] = """
+  SELECT avg(CASE WHEN doc_id % 4 <> 0 AND quality = toxic THEN 1.0 ELSE 0.0 END)::DOUBLE AS accuracy FROM labels WHERE quality IS NOT NULL"""
+
+ORACLE["holdout_repeated_keys"] = f"""
+  WITH k AS (SELECT l_suppkey, count(*) AS n, md5(CAST(l_suppkey AS VARCHAR)) AS h FROM lineitem GROUP BY l_suppkey),
+  b AS (SELECT *, coalesce(sum(n) OVER (ORDER BY h, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+        ceil(sum(n) OVER () * {HOLDOUT_FRAC}) AS share FROM k)
+  SELECT l_suppkey, CAST(greatest(0, least(n, share - before)) AS BIGINT) AS held, n::BIGINT AS n FROM b"""

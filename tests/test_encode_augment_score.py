@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from labeltide.operators import augment, encode, labels, score
+from labeltide.operators import augment, blocks, encode, labels, score
 from labeltide.plans import evaluate
 
 
@@ -49,10 +49,37 @@ def test_classifier_refuses_names_and_takes_numbered_ones(spark):
     assert all(r["name"] == r["label"] for r in out.collect())
 
 
-def test_oversized_model_is_refused(spark):
-    enc = spark.createDataFrame([([2], 0)], "ids array<int>, c int")
-    with pytest.raises(ValueError, match="bound the vocabulary"):
-        score.train_token_scorer(enc, "ids", "c", 1000, 10_000_000)
+def test_weights_as_a_table_score_like_a_matrix(spark):
+    """Against numpy over the whole vocabulary; rows without tokens, unknown ids, labels outside the classes, null lists."""
+    import random
+
+    rnd = random.Random(3)
+    rows = [(i, [rnd.randint(0, 49) for _ in range(rnd.randint(0, 30))], rnd.choice([0, 1, 2, None, 7])) for i in range(1500)]
+    rows += [(2000, None, 1), (2001, [49] * 500, None), (2002, [10**6, -1], None)]
+    df = spark.createDataFrame(rows, "id long, ids array<int>, c int").repartition(3)
+    weights = score.train_token_weights(df, "ids", "c", 3, 50, alpha=0.5)
+    got = {r.id: r for r in score.score_by_weights(blocks.blocked(df), weights, "ids").collect()}
+    counts, prior = np.zeros((50, 3)), np.zeros(3)
+    for _, ids, c in rows:
+        if c in (0, 1, 2):
+            prior[c] += 1
+            for t in ids or []:
+                counts[t, c] += 1
+    w = np.log((counts + 0.5) / (counts.sum(axis=0) + 25))
+    bias, unseen = np.log((prior + 0.5) / (prior.sum() + 1.5)), np.log(0.5 / (counts.sum(axis=0) + 25))
+    assert len(got) == len(rows) and set(got[0].asDict()) == {"id", "c", "logits", "prediction"}
+    for i, ids, _ in rows:
+        want = bias + sum((w[t] if 0 <= t < 50 else unseen for t in ids or []), np.zeros(3))
+        assert np.allclose(got[i].logits, want) and got[i].prediction == str(int(np.argmax(got[i].logits)))
+
+
+def test_no_exchange_carries_a_row_per_token(spark):
+    df = spark.createDataFrame([(i, "a b a c " * 50) for i in range(400)], "id long, text string").repartition(2)
+    out = encode.encode_tokens(df, encode.build_vocabulary(df, "text"), "text")
+    assert all(len(r.input_ids) == 200 for r in out.collect())
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Distinct" in plan or "Aggregate" in plan
+    assert "posexplode" not in plan
 
 
 def test_augment_drop_replace_generate(spark):

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from labeltide.operators import ordering, prepare
+from labeltide.operators import metrics, ordering, prepare
 
 
 def test_forward_fill_matches_pandas_across_buckets(spark):
@@ -133,3 +133,41 @@ def test_text_never_crosses_the_network_in_dedup(spark):
     plan = prepare.first_orders(df, "text", "id")._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and "SortAggregate" not in plan
     assert sorted(r.id for r in prepare.dedup_text(df, "text", "id").collect()) == list(range(10))
+
+
+def test_splits_are_exact_where_keys_repeat(spark):
+    """Few keys, rows that repeat in full, null keys and groups: always ceil(n * frac), the same rows in every layout."""
+    rows = [(k % 4 if k % 9 else None, "g" if k % 3 else None, k // 40) for k in range(500)]
+    df = spark.createDataFrame(rows, "k long, g string, v long")
+    for by in (None, "g"):
+        for frac in (0.0, 0.1, 0.25, 0.5, 1.0):
+            marked = prepare.stratified_split(df.repartition(5), frac, "k", by)
+            held = sorted(str(r) for r in marked.where("split = 'dev'").collect())
+            for group in ([None] if by is None else ["g", None]):
+                mine = [r for r in rows if by is None or r[1] == group]
+                got = [x for x in held if by is None or f"g={group!r}" in x]
+                assert len(got) == math.ceil(len(mine) * frac)
+            again = prepare.stratified_split(df.repartition(3, "v"), frac, "k", by).where("split = 'dev'")
+            assert sorted(str(r) for r in again.collect()) == held and marked.count() == 500
+
+
+def test_ranges_from_a_sketch_of_the_order(spark):
+    """Sparse, negative, decimal and null orders; more ranges than values; a fill carried over empty ranges."""
+    order = [-5.5, 0.0, 1e-9, 3.0, 1e12, 1e12 + 1, 2e15] + [float(10 ** k) for k in range(1, 9)]
+    for ranges in (1, 2, 5, 64):
+        df = spark.createDataFrame([(x, x if i % 4 == 0 else None) for i, x in enumerate(sorted(order))], "o double, v double").repartition(4)
+        filled = {r.o: r.v for r in prepare.forward_fill(df, ["v"], "o", ranges).collect()}
+        want, last = {}, None
+        for i, x in enumerate(sorted(order)):
+            last = x if i % 4 == 0 else last
+            want[x] = last
+        assert filled == want
+        numbered = ordering.dense_row_number(df, "o", ranges=ranges).collect()
+        assert [r.row_number for r in sorted(numbered)] == list(range(1, len(order) + 1))
+    plan = prepare.forward_fill(spark.range(100).selectExpr("id", "id AS v"), ["v"], "id", 4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(__range") <= 2 and "Scan parquet" not in plan
+
+
+def test_missing_predictions_are_wrong(spark):
+    df = spark.createDataFrame([("a", "a"), ("a", None), ("b", "a"), (None, "a")], "label string, prediction string")
+    assert metrics.accuracy(df).first()[0] == pytest.approx(1 / 3)

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -108,6 +108,32 @@ def augment_generate(df: DataFrame, text_col: str, label_col: str, id_col: str,
             .select(*df.columns))
 
 
+def bigram_table(df: DataFrame, text_col: str, top: int = 50) -> DataFrame:
+    """(token, next, n): each token's ``top`` most frequent successors (ties: by the successor)."""
+    toks = tokens(F.col(text_col))
+    rest = F.greatest(F.size(toks) - 1, F.lit(0))
+    pairs = F.arrays_zip(F.slice(toks, F.lit(1), rest), F.slice(toks, F.lit(2), rest))
+    each = df.select(F.explode(pairs).alias("p")).select(F.col("p.0").alias("token"), F.col("p.1").alias("next"))
+    counts = each.groupBy("token", "next").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("token").orderBy(F.desc("n"), "next"))
+    return counts.withColumn("__k", place).where(F.col("__k") <= top).drop("__k")
+
+
+def draw_next(rows: DataFrame, id_col: str, from_col: str, bigrams: DataFrame, out_col: str, seed: int | str) -> DataFrame:
+    """``rows`` (distinct ``id_col``) with ``out_col``: a successor of ``from_col``, drawn by its count.
+
+    Efraimidis-Spirakis: of a token's successors the one with the smallest exponential key
+    -ln(u) / n, where u comes from the MD5 of id, seed and successor; so reruns agree and no
+    state is kept.  A token that nothing follows is repeated.
+    """
+    digits = F.substring(F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed)), "next")), 1, 13)
+    u = (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
+    drawn = (rows.select(id_col, from_col).join(bigrams, F.col(from_col) == F.col("token"))
+             .groupBy(id_col).agg(F.min(F.struct((-F.log(u) / F.col("n")).alias("key"), "next")).alias("__best")))
+    best = drawn.select(F.col(id_col).alias("__id"), F.col("__best.next").alias("__next"))
+    return rows.join(best, F.col(id_col) == F.col("__id"), "left").withColumn(out_col, F.coalesce("__next", from_col)).drop("__id", "__next")
+
+
 # --------------------------------------------------------------------- G4
 def with_augmented(base: DataFrame, extra: Sequence[DataFrame],
                    names: Sequence[str] | None = None) -> DataFrame:

@@ -464,13 +464,15 @@ def q_augment_replace(spark, sf):
 
 @query("augment_generate")
 def q_augment_generate(spark, sf):
+    """Two tokens per text, drawn one after the other from the corpus' own successors of the last token."""
     docs = _docs_clean_shared(spark, sf)
     base = docs.join(
         table(spark, sf, "labels").select("doc_id", _toxic_label().alias("label")), "doc_id")
+    bigrams = stored(augment.bigram_table(docs, "text"), "bigrams")
     toks = X.tokens(F.col("text"))
-    adds = layout.keep_where(
-        docs.select("doc_id", toks.alias("t")), F.size("t") > 0).select(
-        "doc_id", F.element_at("t", 1).alias("tok1"), F.element_at("t", -1).alias("tok2"))
+    last = layout.keep_where(docs.select("doc_id", toks.alias("t")), F.size("t") > 0).select("doc_id", F.element_at("t", -1).alias("last"))
+    first = augment.draw_next(last, "doc_id", "last", bigrams, "tok1", "1:42")
+    adds = stored(augment.draw_next(first, "doc_id", "tok1", bigrams, "tok2", "2:42"), "additions")
     return augment.augment_generate(base, "text", "label", "doc_id", adds,
                                     _lexicon(spark, sf), "HOF")
 

@@ -342,15 +342,24 @@ ORACLE["augment_replace"] = f"""
                                      [coalesce(nl, toks[len(toks)])]), ' ') AS text
   FROM g WHERE nf IS NOT NULL OR nl IS NOT NULL"""
 
+def _drawn(rows: str, token: str, seed: str) -> str:
+    """(doc_id, token, nxt) of ``rows``: the successor with the smallest exponential key."""
+    u = f"(CAST('0x' || substr(md5(CAST(r.doc_id AS VARCHAR) || ':{seed}:' || b.nxt), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0::DOUBLE"
+    return f"""SELECT r.doc_id, r.{token}, coalesce(b.nxt, r.{token}) AS nxt FROM {rows} r LEFT JOIN bg b ON b.token = r.{token}
+  QUALIFY row_number() OVER (PARTITION BY r.doc_id ORDER BY -ln({u}) / b.n, b.nxt) = 1"""
+
+
 ORACLE["augment_generate"] = f"""
   WITH lex AS ({LEXICON}),
-  d AS ({DOC_TOKS})
-  SELECT d.doc_id,
-         array_to_string(list_concat(d.toks, [d.toks[1], d.toks[len(d.toks)]]), ' ') AS text,
-         CASE WHEN d.toks[1] IN (SELECT token FROM lex) OR d.toks[len(d.toks)] IN (SELECT token FROM lex)
-              THEN 'HOF' ELSE {TOXIC} END AS label
-  FROM d JOIN labels l ON d.doc_id = l.doc_id
-  WHERE len(d.toks) > 0"""
+  d AS ({DOC_TOKS}),
+  bg AS (SELECT token, nxt, count(*) AS n FROM (SELECT toks[i] AS token, toks[i + 1] AS nxt FROM (SELECT toks, unnest(range(1, len(toks))) AS i FROM d))
+         GROUP BY token, nxt QUALIFY row_number() OVER (PARTITION BY token ORDER BY count(*) DESC, nxt) <= 50),
+  z AS (SELECT doc_id, toks[len(toks)] AS last FROM d WHERE len(toks) > 0),
+  one AS ({_drawn('z', 'last', '1:42')}),
+  two AS ({_drawn('(SELECT doc_id, nxt AS t FROM one)', 't', '2:42')})
+  SELECT d.doc_id, array_to_string(list_concat(d.toks, [two.t, two.nxt]), ' ') AS text,
+         CASE WHEN two.t IN (SELECT token FROM lex) OR two.nxt IN (SELECT token FROM lex) THEN 'HOF' ELSE {TOXIC} END AS label
+  FROM d JOIN two ON two.doc_id = d.doc_id JOIN labels l ON d.doc_id = l.doc_id"""
 
 ORACLE["with_augmented"] = f"""
   SELECT doc_id, text, 'base' AS source, 0 AS source_rank FROM ({DOCS_CLEAN})

@@ -34,9 +34,14 @@ def write_predictions(scored: DataFrame, path: str, task_col: str = "task",
         w.format(fmt).save(path)
 
 
-def append_metrics(history: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """K3: append-only metric history ``(run, epoch, train_loss, val_loss, f1_*)``."""
-    history.write.mode("append").format(fmt).save(path)
+def append_metrics(history: DataFrame, path: str, fmt: str = "parquet", keys: tuple[str, ...] = ("run", "epoch")) -> None:
+    """K3: append to the metric history ``(run, epoch, train_loss, val_loss, f1_*)``.
+
+    An append is a folder named by a digest of its keys, so a repeated run replaces its own
+    rows instead of adding them twice; other appends stay as they are.
+    """
+    row = history.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*keys).cast("decimal(38,0)")).alias("h")).first()
+    history.write.mode("overwrite").format(fmt).save(f"{path}/append={row['n']}-{int(row['h'] or 0) % (1 << 64):016x}")
 
 
 def write_prediction_lines(scored: DataFrame, path: str, order_col: str = "row_ord",

@@ -140,3 +140,18 @@ def test_prepare_corpus_null_modes(spark):
     assert evaluate.prepare_corpus(df, drop_nulls="none").count() == 3
     got = evaluate.prepare_corpus(df, dedup_text=True, drop_nulls="any").collect()
     assert [(r.row_ord, r.text) for r in got] == [(1, "a b")]
+
+
+def test_bigrams_and_seeded_draws(spark):
+    """Counts, the first successors, draws in proportion to counts, the same again; a token without a successor is repeated."""
+    df = spark.createDataFrame([(1, "a b a b a c"), (2, "a d"), (3, None), (4, ""), (5, "z")], "id long, text string")
+    table = {(r.token, r.next): r.n for r in augment.bigram_table(df, "text").collect()}
+    assert table == {("a", "b"): 2, ("b", "a"): 2, ("a", "c"): 1, ("a", "d"): 1}
+    assert {(r.token, r.next) for r in augment.bigram_table(df, "text", top=2).collect()} == {("a", "b"), ("a", "c"), ("b", "a")}
+    bigrams = spark.createDataFrame([("a", "x", 3), ("a", "y", 1)], "token string, next string, n long")
+    rows = spark.range(4000).selectExpr("id", "IF(id % 4 = 0, 'q', 'a') AS t")
+    got = {r.id: r.o for r in augment.draw_next(rows, "id", "t", bigrams, "o", 5).collect()}
+    assert got == {r.id: r.o for r in augment.draw_next(rows.repartition(7), "id", "t", bigrams, "o", 5).collect()}
+    assert all(got[i] == "q" for i in range(0, 4000, 4))
+    drawn = [got[i] for i in got if i % 4]
+    assert 0.7 < drawn.count("x") / len(drawn) < 0.8

@@ -96,8 +96,10 @@ def test_sinks(spark, tmp):
                                  "run string, epoch int, train_loss double, val_loss double, "
                                  "f1_weighted double, f1_macro double")
     writers.append_metrics(hist, os.path.join(tmp, "hist"))
-    writers.append_metrics(hist, os.path.join(tmp, "hist"))
-    assert spark.read.parquet(os.path.join(tmp, "hist")).count() == 2
+    writers.append_metrics(hist.withColumn("epoch", F.lit(2)), os.path.join(tmp, "hist"))
+    writers.append_metrics(hist.withColumn("val_loss", F.lit(0.3)), os.path.join(tmp, "hist"))  # the first run again
+    back = spark.read.parquet(os.path.join(tmp, "hist"))
+    assert sorted((r.epoch, r.val_loss) for r in back.collect()) == [(1, 0.3), (2, 0.4)]
     tr = df.select("row_ord", "prediction")
     writers.write_splits(tr, tr, os.path.join(tmp, "splits"))
     assert spark.read.parquet(os.path.join(tmp, "splits")).where("split = 'dev'").count() == 3

@@ -13,10 +13,30 @@ def test_entry_contract(spark):
     rows = df.collect()
     assert df.columns == ["label", "n"] and rows
     assert set(E.oracle_sql()) <= set(E.queries())
-    own = {q for q in E.queries() if q != "pipeline" and not q.startswith("op")}
+    own = set(E.QUERIES)
     assert own - set(E.oracle_sql()) == {"train_classifier"}
 
 
+def test_core_queries_without_the_training_data_part(tmp_path):
+    """With both folders and the pipeline left out, and with a library missing that only they use, the core queries are all there."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.abspath(E.__file__))
+    shutil.copytree(os.path.join(root, "labeltide"), tmp_path / "labeltide", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(E.__file__, tmp_path)
+    count = "import __spark_entry__ as E; print(len(E.queries()), len(E.oracle_sql()), sum(q.startswith('op') for q in E.queries()))"
+    bare = subprocess.run([sys.executable, "-c", count], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": ""})
+    assert bare.returncode == 0, bare.stderr
+    n, m, _ = map(int, bare.stdout.split())
+    names = set(E.QUERIES)
+    assert n == len(names) and m == len(names) - 1
+    blocked = "import sys; sys.modules['zstandard'] = None; " + count
+    missing = subprocess.run([sys.executable, "-c", blocked], cwd=root, capture_output=True, text=True)
+    assert missing.returncode == 0 and int(missing.stdout.split()[0]) == len(names) and "zstandard" in missing.stderr
+
+
 def test_file_stream_scoring(spark):
     base = tempfile.mkdtemp(prefix="labeltide-stream-")
     src = os.path.join(base, "in")

@@ -119,7 +119,7 @@ def score_by_weights(rows: DataFrame, weights: TokenWeights, ids_col: str, logit
 # --------------------------------------------------------------------- L9 / L10
 def train_text_classifier(train: DataFrame, text_col: str, label_col: str,
                           num_features: int = 1 << 18, max_iter: int = 50,
-                          reg_param: float = 0.0):
+                          reg_param: float = 0.0, tolerance: float = 1e-6):
     """Tokenizer -> hashing TF -> IDF -> logistic regression, fitted on the cluster.
 
     The hashed term frequencies are stored once as Parquet: the IDF fit, the
@@ -146,11 +146,35 @@ def train_text_classifier(train: DataFrame, text_col: str, label_col: str,
     feats = idf.transform(tf).select("__features", "__label")
     lr = LogisticRegression(featuresCol="__features", labelCol="__label",
                             maxIter=max_iter, regParam=reg_param, family="auto",
+                            tol=tolerance,
                             predictionCol="__pred", probabilityCol="__prob",
                             rawPredictionCol="__raw").fit(feats)
     return PipelineModel(stages=[tokenizer, hashing, idf, lr])
 
 
+def fit_gradient(model, train: DataFrame, text_col: str, label_col: str, reg_param: float) -> DataFrame:
+    """One row: rows n, the largest entry of the loss gradient at the model's coefficients, and that of its intercept.
+
+    The loss is the mean logistic loss of a two-class model plus ``reg_param`` / 2 times the
+    squared coefficients, in units of each feature's standard deviation, as the fit has it.
+    Sums of features times residuals, positive and negative ones apart, come from one
+    aggregate; the result is as long as the coefficients.
+    """
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    rows = model.transform(train.select(text_col, F.col(label_col).cast("double").alias("__y")))
+    rows = rows.select("__features", (F.get(vector_to_array("__prob"), 1) - F.col("__y")).alias("__r"))
+    sums = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("__r").alias("r"), Summarizer.std(F.col("__features")).alias("std"),
+                    Summarizer.sum(F.col("__features"), F.greatest("__r", F.lit(0.0))).alias("up"),
+                    Summarizer.sum(F.col("__features"), F.greatest(-F.col("__r"), F.lit(0.0))).alias("down")).first()
+    std, fitted = sums["std"].toArray(), model.stages[-1].coefficients.toArray()
+    used = std > 0
+    gradient = (sums["up"].toArray() - sums["down"].toArray())[used] / std[used] / sums["n"] + reg_param * (fitted * std)[used]
+    return train.sparkSession.createDataFrame([(sums["n"], float(np.abs(gradient).max(initial=0.0)), abs(sums["r"]) / sums["n"])],
+                                              "n long, gradient double, intercept_gradient double")
+
+
 def train_named_classifier(train: DataFrame, text_col: str, label_col: str, order_col: str, **options):
     """L9 for labels of any kind: (model, dictionary), the labels numbered by L1."""
     from .labels import encode_labels, label_dictionary

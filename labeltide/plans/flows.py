@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import labels, metrics, prepare
+from ..operators import labels, metrics, prepare, score
 from ..session import stored
 from ..sinks import writers
 from ..sources import delimited, registry
-from . import evaluate
+from . import catalog, evaluate
 from .catalog import HOLDOUT_FRAC, _report_columns, _roundtrip_dir, _write_part, query, table
 
 
@@ -90,6 +90,16 @@ def q_preparation_flow(spark, sf):
     return back.select("row_ord", F.md5("text").alias("text_md5"), "label", "split")
 
 
+@query("classifier_certificate")
+def q_classifier_certificate(spark, sf):
+    """L9's fit, certified: the gradient of the regularised loss over all training rows is near zero at its coefficients."""
+    docs, lab = catalog._labelled(spark, sf)
+    train = stored(docs.join(lab, "doc_id").select("text", (F.col("label") == "HOF").cast("int").alias("label")), "certified")
+    model = score.train_text_classifier(train, "text", "label", num_features=1 << 12, max_iter=300, reg_param=0.1, tolerance=1e-12)
+    found = score.fit_gradient(model, train, "text", "label", 0.1)
+    return found.select("n", (F.greatest("gradient", "intercept_gradient") < 1e-4).alias("gradient_small"))
+
+
 # ------------------------------------------------------------- single faults that tables seldom show
 @query("csv_swapped_headers")
 def q_csv_swapped_headers(spark, sf):

@@ -550,3 +550,5 @@ ORACLE["holdout_repeated_keys"] = f"""
   b AS (SELECT *, coalesce(sum(n) OVER (ORDER BY h, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
         ceil(sum(n) OVER () * {HOLDOUT_FRAC}) AS share FROM k)
   SELECT l_suppkey, CAST(greatest(0, least(n, share - before)) AS BIGINT) AS held, n::BIGINT AS n FROM b"""
+
+ORACLE["classifier_certificate"] = "SELECT count(*)::BIGINT AS n, true AS gradient_small FROM documents JOIN labels USING (doc_id)"

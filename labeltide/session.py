@@ -1,4 +1,4 @@
-"""Session helpers: a local session for tests and a cluster-safe lineage cut.
+"""Session helpers: a local session for tests, and tables stored in the shared folder.
 
 On a cluster the session is created by the launcher; nothing here overrides
 its settings.  ``local_session`` exists for tests, benches and the smoke entry.
@@ -62,12 +62,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or named
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame, name: str = "stored") -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back.
 

@@ -55,11 +55,6 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def sort_hash(*cols) -> Column:
-    """A well-spread 64-bit order key; nulls count as a value of their own."""
-    return F.xxhash64(*cols)
-
-
 def open_store(uri: str):
     """(pyarrow file system, path) of a folder that the session names: a URI or a plain path.
 

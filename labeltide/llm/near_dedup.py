@@ -130,29 +130,18 @@ _FIELD_BITS = 27
 def _field(keys: DataFrame) -> np.ndarray:
     """A bit field of 2^27 bits (16 MB), whatever the number of ``keys`` (k1), with two bits set for each.
 
-    Tasks send the field's set bytes only; a field that fills up lets more pass, never less.
+    It reaches the driver as at most 2^21 words; a field that fills up lets more pass, never less.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = np.zeros(1 << (_FIELD_BITS - 3), dtype=np.uint8)
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for bit in _field_bits(batch.column(0).to_numpy()):
-                np.bitwise_or.at(field, bit >> 3, (1 << (bit & 7)).astype(np.uint8))
-        for part in range(0, len(field), 1 << 16):
-            piece = field[part:part + (1 << 16)]
-            if piece.any():
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([piece.tobytes()], pa.binary())], names=["part", "bytes"])
-
-    def merge(group: pa.Table) -> pa.Table:
-        joint = np.bitwise_or.reduce([np.frombuffer(x, dtype=np.uint8) for x in group.column("bytes").to_pylist()])
-        return pa.table({"part": group.column("part").slice(0, 1), "bytes": pa.array([joint.tobytes()], pa.binary())})
+            bits = np.concatenate(_field_bits(batch.column(0).to_numpy()))
+            yield pa.RecordBatch.from_arrays([pa.array((bits >> 6).astype(np.int32)), pa.array((np.uint64(1) << (bits & 63).astype(np.uint64)).view(np.int64))], names=["word", "mask"])
 
-    parts = keys.mapInArrow(run, "part int, bytes binary").withColumn("salt", F.spark_partition_id() % 32)
-    parts = parts.groupBy("part", "salt").applyInArrow(merge, "part int, bytes binary").groupBy("part").applyInArrow(merge, "part int, bytes binary")
-    field = np.zeros(1 << (_FIELD_BITS - 3), dtype=np.uint8)
-    for r in parts.collect():
-        field[r["part"]:r["part"] + (1 << 16)] = np.frombuffer(r["bytes"], dtype=np.uint8)
-    return field
+    words = keys.mapInArrow(places, "word int, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    field = np.zeros(1 << (_FIELD_BITS - 6), dtype=np.int64)
+    field[words.column("word").to_numpy()] = words.column("mask").to_numpy()
+    return field.view(np.uint8)
 
 
 def _field_bits(k1: np.ndarray) -> list[np.ndarray]:
@@ -313,18 +302,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = signed.where("n_shingles > 0").groupBy(*same).agg(first_row).withColumn("node", F.monotonically_increasing_id())
     classes = stage.put(classes, "classes")
     members = signed.select("id", "tie", *same).join(classes.select(*same, "node").hint("merge"), same, "left")
-    members = stage.put(members.select("id", "tie", "n_shingles", "node"), "members")
     named = [F.col("id").eqNullSafe(F.col("rep.id")), F.col("tie") == F.col("rep.tie")]
     heads = signed.join(classes.hint("merge"), same).where(named[0] & named[1])
     heads = heads.dropDuplicates(same).select("node", F.col("n_shingles").alias("n"), "bands", "sig", *_keys("id", "tie"))
     heads = stage.put(heads, "heads")
-    nodes = stage.put(classes.select("node", "rep"), "nodes")
-    stage.drop("signed", "classes")
 
     banded = heads.select("node", F.explode("bands").alias("bucket"))
     leaders = banded.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("top")).where("leader < top")
-    leaders = stage.put(leaders.select("bucket", "leader"), "leaders")
-    shared = stage.put(banded.join(leaders.hint("merge"), "bucket"), "shared")
+    shared = stage.put(banded.join(leaders.select("bucket", "leader"), "bucket"), "shared")
     wanted = heads.select("node", "k1", "k2").join(shared.select("node").distinct().hint("merge"), "node", "left_semi")
     wanted = stage.put(wanted, "wanted")
     field = spark.sparkContext.broadcast(_field(wanted.select("k1")))
@@ -332,17 +317,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = made.dropDuplicates(["k1", "k2"]).join(wanted.hint("merge"), ["k1", "k2"]).select("node", "set")
     sets = stage.put(sets, "sets")
     field.unpersist()
-    first = stage.put(shared.where("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "first")
+    first = shared.where("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     links = stage.put(_passing(first, sets, percent), "links")
     roots = components(stage, links, "round1")
 
     placed = (shared.join(roots.hint("merge"), F.col("node") == F.col("u"), "left")
               .select("bucket", "node", F.coalesce("v", "node").alias("comp")))
-    placed = stage.put(placed, "placed")
     split = (placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members"))
              .where("lo < hi and members > 2").select("bucket"))
-    split = stage.put(split, "split")
-    open_ = placed.join(split.hint("merge"), "bucket", "left_semi").join(heads.select("node", "n", "sig").hint("merge"), "node")
+    open_ = placed.join(split, "bucket", "left_semi").join(heads.select("node", "n", "sig").hint("merge"), "node")
     near = (_in_blocks(stage, open_, "bucket", block, "buckets").repartition("bucket", "low", "high").groupBy("bucket", "low", "high")
             .applyInArrow(_likely(m, percent, slack), "a long, b long"))
     family = components(stage, stage.put(near.distinct(), "near"), "families")
@@ -355,14 +338,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 .applyInArrow(_exact(percent), "a long, b long"))
         links = stage.put(links.union(more.distinct()), "links-2")
         roots = components(stage, links, "round2")
-    rooted = nodes.join(roots.hint("merge"), F.col("node") == F.col("u"), "left").select("node", "rep", F.coalesce("v", "node").alias("root"))
-    rooted = stage.put(rooted, "rooted")
+    rooted = (classes.select("node", "rep").join(roots.hint("merge"), F.col("node") == F.col("u"), "left")
+              .select(F.col("node").alias("of"), "rep", F.coalesce("v", "node").alias("root")))
     least = stage.put(rooted.groupBy("root").agg(F.min("rep").alias("least")), "least")
-    found = stage.put(rooted.join(least.hint("merge"), "root").select("node", "least"), "found")
-    stage.drop("heads", "nodes", "leaders", "shared", "wanted", "sets", "first", "links", "placed", "split", "buckets", "near", "family", "relatives", "kin",
-               "links-2", "rooted", "least")
+    found = rooted.join(least.hint("merge"), "root").select("of", "least")
+    stage.drop("heads", "shared", "wanted", "sets", "links", "buckets", "near", "family", "relatives", "kin", "links-2")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("least.id"))
-    out = members.join(found.withColumnRenamed("node", "of").hint("merge"), F.col("node") == F.col("of"), "left")
+    out = members.join(found.hint("merge"), F.col("node") == F.col("of"), "left")
     stays = F.col("node").isNull() | (F.col("tie") == F.col("least.tie"))
     return out.select(F.col("id").alias(id_col), *([F.col("tie").alias(row_col), stays.alias("stays")] if row_col else []), "n_shingles",
                       component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

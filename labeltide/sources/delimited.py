@@ -44,13 +44,14 @@ def _fields(text: Column, names: Sequence[str], sep: str) -> Column:
 
 
 def _read_records(records: DataFrame, heads: DataFrame, sep: str, header: bool, names: Sequence[str] | None,
-                  order_col: str | None) -> DataFrame:
+                  order_col: str | None, part_col: str | None) -> DataFrame:
     """The fields of ``records``.  Headers differ in few ways, whatever the number of files: each way is a variant."""
-    partition = [c for c in records.columns if c not in ("file", "ord", "text")]
+    partition = [c for c in records.columns if c not in ("file", "part", "ord", "text")]
     order = [F.col("ord").cast("long").alias(order_col)] if order_col else []
+    order += [F.col("part").alias(part_col)] if part_col else []
     if not header:
         places = [f"_{k}" for k in range(len(names))]
-        row = records.select(*partition, "ord", _fields(F.col("text"), places, sep).alias("_row"))
+        row = records.select(*partition, "part", "ord", _fields(F.col("text"), places, sep).alias("_row"))
         return row.select(*[F.col(f"_row._{k}").alias(n) for k, n in enumerate(names)], *[c for c in partition if c not in names], *order)
     variants = heads.groupBy("head").agg(F.min(F.struct("__part", "file")).alias("first")).orderBy("first").collect()
     layouts = [header_names(v["head"], sep) for v in variants]
@@ -66,7 +67,7 @@ def _read_records(records: DataFrame, heads: DataFrame, sep: str, header: bool,
         records = records.join(of, F.col("file") == F.col("_of"))
     else:
         records = records.withColumn("_variant", F.lit(0))
-    row = records.select(*partition, "ord", "_variant", _fields(F.col("text"), wide, sep).alias("_row"))
+    row = records.select(*partition, "part", "ord", "_variant", _fields(F.col("text"), wide, sep).alias("_row"))
 
     def column(name: str) -> Column:
         own = [F.when(F.col("_variant") == k, F.col(f"_row._{x.index(name)}")) for k, x in enumerate(layouts) if name in x]
@@ -82,14 +83,15 @@ def read_delimited(spark: SparkSession, path: str | Sequence[str], sep: str = ",
                    types: dict[str, str] | None = None,
                    order_col: str | None = "row_ord",
                    null_tokens: Sequence[str] | None = NULL_TOKENS,
-                   multiline: bool = True) -> DataFrame:
+                   multiline: bool = True, part_col: str | None = None) -> DataFrame:
     """Read CSV/TSV into string columns, normalise NULL tokens, cast.
 
     ``header=False`` requires ``names`` (assigned by position, S4/S5).  With a
     header, every file is read by its own, files are united by column name
     (in the order of first appearance; NULL where a file lacks a column), and
     ``names`` selects columns, which every header must have.  ``order_col`` is
-    the row's position over all paths as listed, files by name, and lines.
+    the row's position over all paths as listed, files by name, and lines;
+    ``part_col`` is the place of its path in the list.
     ``multiline=False`` is for files whose fields hold no line ends: their lines
     are cut without the scan.  A value that cannot be cast to its type becomes
     NULL; ``count_cast_losses`` counts them.
@@ -98,7 +100,7 @@ def read_delimited(spark: SparkSession, path: str | Sequence[str], sep: str = ",
     if not header and not names:
         raise ValueError("a headerless file needs column names")
     cut = quoted_records(spark, paths, sep, encoding, header) if multiline else line_records(spark, paths, encoding, header)
-    df = _read_records(*cut, sep, header, names, order_col)
+    df = _read_records(*cut, sep, header, names, order_col, part_col)
     if null_tokens is not None:
         df = normalise_nulls(df, tokens=null_tokens)
     if types:

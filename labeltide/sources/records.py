@@ -200,7 +200,7 @@ def _lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 def quoted_records(spark: SparkSession, paths: Sequence[str], sep: str = ",", encoding: str = "UTF-8",
                    drop_first: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(records, heads): file, ord, text and the partition columns of every record; file and first record of every file.
+    """(records, heads): file, part (place of its path), ord, text and the partition columns of every record; file and first record of every file.
 
     ``ord`` runs from 0 over all records, in the order of ``paths``, file names and lines.
     With ``drop_first`` the first record of each file (its header) is neither numbered nor
@@ -233,7 +233,7 @@ def _placed(whole: DataFrame, splits: DataFrame) -> tuple[DataFrame, DataFrame]:
     numbers = F.broadcast(splits.select(F.col("file").alias("__of"), F.col("block").alias("__at"), "skipped", "offset", "extra"))
     placed = whole.join(numbers, (F.col("file") == F.col("__of")) & (F.col("block") == F.col("__at"))).where(F.col("seq") >= F.col("skipped"))
     own = [F.col(f"extra.`{f.name}`").alias(f.name) for f in splits.schema["extra"].dataType.fields if f.name != "__part"]
-    records = placed.select("file", (F.col("offset") + F.col("seq") - F.col("skipped")).alias("ord"), "text", *own)
+    records = placed.select("file", F.col("extra.__part").alias("part"), (F.col("offset") + F.col("seq") - F.col("skipped")).alias("ord"), "text", *own)
     return records, splits.where("holds_first").select("file", "extra.__part", "head")
 
 

@@ -89,17 +89,11 @@ def harmonise(df: DataFrame, spec: DatasetSpec, task: str, source: str | Column,
     )
 
 
-def _read_split(spark: SparkSession, spec: DatasetSpec, path: str, kind: str) -> DataFrame:
+def _read_split(spark: SparkSession, spec: DatasetSpec, paths: list[str], kind: str) -> DataFrame:
+    """The rows of all ``paths``, numbered through, with the place of their path as ``__part``: one scan numbers all files."""
     if kind == "test" and not spec.test_header:
-        df = read_delimited(spark, path, sep=spec.test_sep, header=False,
-                            names=list(spec.test_names))
-    elif kind == "test":
-        df = read_delimited(spark, path, sep=spec.test_sep, encoding=spec.encoding)
-    else:
-        df = read_delimited(spark, path, sep=spec.sep, encoding=spec.encoding)
-    if spec.forward_fill:
-        df = forward_fill(df, [c for c in df.columns if c != "row_ord"], "row_ord")
-    return df
+        return read_delimited(spark, paths, sep=spec.test_sep, header=False, names=list(spec.test_names), part_col="__part")
+    return read_delimited(spark, paths, sep=spec.test_sep if kind == "test" else spec.sep, encoding=spec.encoding, part_col="__part")
 
 
 def _combined(spark: SparkSession, spec: DatasetSpec, kind: str, parts: list[tuple[str, str]]) -> DataFrame:
@@ -108,13 +102,12 @@ def _combined(spark: SparkSession, spec: DatasetSpec, kind: str, parts: list[tup
     The first occurrence stays, in the order of parts and rows; ``row_ord``
     numbers all parts through, so it is a unique key of the result.
     """
-    frames, offset = [], 0
-    for k, (path, _) in enumerate(parts):
-        df = _read_split(spark, spec, path, kind)
-        frames.append(df.withColumn("row_ord", F.col("row_ord") + F.lit(offset)).withColumn("__part", F.lit(k)))
-        if k + 1 < len(parts):
-            offset += df.count()
-    united = union_datasets(frames, rank_col=None)
+    united = _read_split(spark, spec, [path for path, _ in parts], kind)
+    if spec.forward_fill:
+        # Each path is filled by itself: nothing is carried from one corpus file to the next.
+        own = [c for c in united.columns if c not in ("row_ord", "__part")]
+        frames = [forward_fill(united.where(F.col("__part") == k), own, "row_ord") for k in range(len(parts))]
+        united = frames[0] if len(frames) == 1 else union_datasets(frames, rank_col=None)
     rank = F.col("__part").cast("long")
     tagged = united.withColumn("row_ord", F.struct(rank.alias("part"), F.col("row_ord").alias("row"))).drop("__part")
     first = dedup_rows(tagged, "row_ord")

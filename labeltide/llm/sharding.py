@@ -12,7 +12,7 @@ tell where.  The driver sees one row per node, so at most one per shard.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -141,12 +141,25 @@ def shard_rows(docs: DataFrame, shards: int | None = 40, target_bytes: int | Non
     return numbered.select(F.col("_id").alias(id_col), "size", "text_crc32", "digest", "shard", (F.col("offset") + F.col("place") - 1).alias("slot"))
 
 
+def free_name(taken: Sequence[str], name: str) -> str:
+    """``name``, or ``name`` and the first number that makes it none of ``taken`` (whatever the case)."""
+    low = {c.lower() for c in taken}
+    return next(x for x in (name, *(f"{name}_{k}" for k in range(1, len(low) + 2))) if x.lower() not in low)
+
+
 def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Write the documents below ``path``, one folder per shard, and return the shard table."""
+    """Write the documents below ``path``, one folder per shard, and return the shard table.
+
+    All columns are written as they are.  The folders are named by ``shard``, or by
+    ``shard_1`` and so on where the documents have a column of that name.  Null and equal
+    texts, null and repeated ids are placed as in :func:`shard_rows`; an empty table
+    writes no folder.
+    """
     stage = Stage(docs.sparkSession, "shard-table")
     placed = stage.put(shard_rows(docs, id_col=id_col, text_col=text_col, **options), "table")
-    by_text = placed.select("digest", "shard").distinct()
+    shard = free_name(docs.columns, "shard")
+    key = free_name([*docs.columns, shard], "digest")
+    by_text = placed.select(F.col("digest").alias(key), F.col("shard").alias(shard)).distinct()
     digest = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    out = docs.withColumn("_digest", digest).join(by_text.withColumnRenamed("digest", "_digest"), "_digest").drop("_digest")
-    out.write.partitionBy("shard").parquet(path)
+    docs.withColumn(key, digest).join(by_text, key).drop(key).write.partitionBy(shard).parquet(path)
     return placed

@@ -84,10 +84,12 @@ def test_shards_of_messy_rows(spark, tmp_path):
     assert len(got) == docs.count() and {r["text_crc32"] for r in got if r["size"] == 16} == {0}
     assert {r["shard"] for r in sharding.shard_rows(docs, shards=None, target_bytes=20_000).collect()} >= {0, 1, 2}
     assert sharding.shard_rows(empty(spark)).count() == 0
-    plain = docs.select("doc_id", "text", "lang", "source")
-    placed = sharding.write_shards(plain, str(tmp_path / "shards"), shards=4)
-    back = spark.read.parquet(str(tmp_path / "shards"))
-    assert back.count() == plain.count() == placed.count()
+    for k, plain in enumerate((docs.select("doc_id", "text", "lang"), docs.withColumns({"shard": F.lit("mine"), "digest": F.lit("own"), "shard_1": F.lit(1)}))):
+        placed = sharding.write_shards(plain, str(tmp_path / f"shards{k}"), shards=4)
+        back = spark.read.parquet(str(tmp_path / f"shards{k}"))
+        assert back.count() == plain.count() == placed.count()
+        assert back.columns == [*plain.columns, ("shard", "shard_2")[k]]
+        assert sorted(map(str, back.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
     one = spark.createDataFrame([(1, "a"), (2, "a")], "doc_id long, text string")
     assert {r["shard"] for r in sharding.shard_rows(one, shards=40).collect()} == {0}
 

@@ -153,3 +153,34 @@ def test_odds_differ_within_a_source(spark):
         for r in got:
             taken[r["size"]] += r["copies"]
     assert 1.6 < taken[400] / taken[100] < 2.5
+
+
+def test_certified_cutoffs_equal_sql(spark):
+    """Enough good rows for certificates in two strata: rows are rejected beyond the base rules, and SQL says the same of each."""
+    import random
+
+    import duckdb
+
+    from labeltide.llm.oracle import OP8
+
+    rnd, rows, labels = random.Random(2), [], []
+    for i in range(2600):
+        lang = ("en", "de", None)[0 if i < 1200 else 1 if i < 2400 else 2]
+        w = [rnd.choice(["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta"]) + str(rnd.randint(0, 99)) for _ in range(rnd.randint(12, 40))]
+        if i % 4 == 3:  # not labelled good: symbols, repeated lines, repeated words of all degrees
+            w += ["#$%&" * rnd.randint(1, 8)] * rnd.randint(1, 3) + w[:rnd.randint(0, 6)]
+        text = " ".join(w) + "\n" + "\n".join(["line of text " + str(k % rnd.randint(1, 9)) for k in range(rnd.randint(0, 8 if i % 4 == 3 else 1))])
+        rows.append((i, text, lang, "s", len(text)))
+        if i % 4 != 3:
+            labels.append((i, 1, 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = q.quality_rules(docs, lab).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept").collect()
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    con.register("labels", lab.toPandas())
+    assert sorted(map(tuple, got)) == sorted(con.execute(OP8).fetchall())
+    assert sum(not r["kept"] and not r["base_failed"] for r in got) > 100
+    kept = q.accepted(docs.withColumn("kept", F.lit("x")).withColumn("_row", F.lit(1)), lab)
+    assert kept.columns == [*docs.columns, "kept", "_row"]
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in got if r["kept"])

@@ -27,9 +27,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 class Stage:
     """A run's own folder of intermediate tables in the shared checkpoint folder."""
 
+    #: All folders of this process, in the order of their making.
+    made: list[Stage] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        Stage.made.append(self)
+
+    @classmethod
+    def clear(cls, first: int) -> None:
+        """Remove the folders made since there were ``first``: what was read from them must have been written elsewhere."""
+        while len(cls.made) > first:
+            cls.made.pop().drop("")
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
@@ -42,7 +52,7 @@ class Stage:
     def drop(self, *names: str) -> None:
         """Remove tables that nothing reads any more."""
         for name in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.base)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -121,3 +121,15 @@ def test_components_of_chains_and_stars(spark):
     out = components(Stage(spark, "test"), spark.createDataFrame(links, "a long, b long"), "t").collect()
     want = {i: 0 for i in range(1, 41)} | {100 + k: 100 for k in range(1, 30)} | {201: 200}
     assert {r["u"]: r["v"] for r in out} == want
+
+
+def test_folders_of_a_stage_are_removed(spark):
+    kept = Stage(spark, "kept")
+    table = kept.put(spark.range(3), "t")
+    first = len(Stage.made)
+    other = Stage(spark, "other").put(spark.range(5), "t")
+    copy = kept.put(other, "copy")
+    Stage.clear(first)
+    assert len(Stage.made) == first and table.count() == 3 and copy.count() == 5
+    with pytest.raises(Exception, match="(?i)not exist|FileNotFound|not found"):
+        other.count()

@@ -71,7 +71,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     stage, docs = Stage(spark, "pipeline"), table(spark, sf_dir, "documents")
     for k, (_, step) in enumerate(STAGES):
+        first = len(Stage.made)
         docs = stage.put(step(spark, docs, sf_dir), f"stage-{k}")
         if k:
             stage.drop(f"stage-{k - 1}")
+        if k + 1 < len(STAGES):  # the last one's folder holds the token files
+            Stage.clear(first)
     return docs

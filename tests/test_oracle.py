@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as E
 from conftest import SF_SMALL
 
-TABLES = ["events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+TABLES = ["lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 ORACLE = E.oracle_sql()
 
 

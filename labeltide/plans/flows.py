@@ -103,12 +103,12 @@ def q_classifier_certificate(spark, sf):
 # ------------------------------------------------------------- single faults that tables seldom show
 @query("csv_swapped_headers")
 def q_csv_swapped_headers(spark, sf):
-    """S1 of one folder whose files hold the same columns in another order, and one file with a column more."""
+    """S1 of one folder whose files hold the same columns in another order, and some files with a column more."""
     base = _roundtrip_dir(spark, "swapped")
     docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang", "source")
     for k, cols in enumerate((["doc_id", "text", "lang"], ["lang", "doc_id", "text"], ["text", "source", "doc_id", "lang"])):
         part = docs.where(F.col("doc_id").cast("long") % 3 == k).select(*cols)
-        (part.coalesce(1).write.mode("append").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+        (part.write.mode("append").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
          .option("ignoreTrailingWhiteSpace", False).csv(base))
     return delimited.read_csv(spark, base, types={"doc_id": "bigint"}, order_col=None).select("doc_id", "text", "lang", "source")
 

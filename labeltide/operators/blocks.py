@@ -8,7 +8,7 @@ side has to fit anywhere as a whole, and a frequent entry is one row per block.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,13 +30,35 @@ def replace_entries(rows: DataFrame, list_col: str, table: DataFrame, key_col: s
     """``rows`` (from :func:`blocked`) with ``list_col`` and the block number replaced by the column ``out``.
 
     ``make`` gets a block's lists (none is null) and the rows of ``table`` whose
-    ``key_col`` occurs in them, and returns one value per list.
+    ``key_col`` occurs in them, and returns one value per list.  A row of ``table`` may come
+    more than once, where a block lies in two file splits.
     """
-    kept = [f for f in rows.schema.fields if f.name not in (list_col, BLOCK)]
-    names = [f.name for f in kept]
-    entries = rows.select(F.col(BLOCK).alias("__holder"), F.explode(F.array_distinct(list_col)).alias("__entry")).distinct()
+    entry = T.StructType([T.StructField("__holder", T.LongType()), T.StructField("__entry", rows.schema[list_col].dataType.elementType)])
+    entries = rows.select(BLOCK, list_col).mapInArrow(_distinct_entries, entry)
     values = [c for c in table.columns if c != key_col]
     found = entries.join(table, F.col("__entry") == F.col(key_col)).select("__holder", key_col, *values)
+    return with_found(rows, list_col, found, make, out)
+
+
+def _distinct_entries(batches: Iterator["pyarrow.RecordBatch"]) -> Iterator["pyarrow.RecordBatch"]:
+    """(block, entry) of the blocks' distinct entries, block by block."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        block, lists = batch.column(0).to_numpy(), batch.column(1)
+        starts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+        for first, end in zip(starts, starts[1:]):
+            if end > first:
+                own = lists.slice(first, end - first).flatten().unique()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), block[first])), own], names=["__holder", "__entry"])
+
+
+def with_found(rows: DataFrame, list_col: str, found: DataFrame, make: Callable[["pyarrow.ListArray", "pyarrow.Table"], "pyarrow.Array"],
+               out: T.StructField) -> DataFrame:
+    """As :func:`replace_entries`, with each block's rows of the lookup table given: ``found``, by ``__holder``."""
+    kept = [f for f in rows.schema.fields if f.name not in (list_col, BLOCK)]
+    names = [f.name for f in kept]
 
     def run(left, right):
         import pyarrow as pa

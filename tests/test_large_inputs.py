@@ -38,3 +38,16 @@ def test_swapped_headers_are_written_by_all_tasks(spark, tables):
     for r in spark.read.parquet(f"{tables}/documents.parquet").collect():
         assert (rows[r.doc_id].text, rows[r.doc_id].lang) == (r.text, "en")
         assert rows[r.doc_id].source == (r.source if r.doc_id % 3 == 2 else None)
+
+
+def test_weights_are_looked_up_by_entries_found_in_place(spark):
+    data = [(k, [k % 5, k % 5, 7] if k % 3 else None) for k in range(1500)]
+    rows = blocks.blocked(spark.createDataFrame(data, "doc_id int, input_ids array<int>").repartition(3))
+    table = spark.createDataFrame([(k, [float(k), -float(k)]) for k in range(4)], "token_id int, weights array<double>")
+    out = score.score_by_weights(rows, score.TokenWeights(table, [0.25, 0.5], [1.0, 2.0]), "input_ids")
+    assert "Generate" not in _plan(out)
+    known = {k: (k, -k) for k in range(4)}
+    for r in out.collect():
+        ids = data[r.doc_id][1] or []
+        want = [b + sum(known.get(i, (0.25, 0.5))[c] for i in ids) for c, b in enumerate((1.0, 2.0))]
+        assert r.logits == pytest.approx(want) and r.prediction == str(int(want[1] > want[0]))

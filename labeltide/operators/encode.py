@@ -7,18 +7,44 @@ here over a corpus vocabulary.  Id 0 is padding and id 1 the unknown token.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from array import array
+from collections import Counter
+from collections.abc import Iterator, Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pyspark.sql import types as T
 
-from ..functions.text import tokens
-from .blocks import blocked, replace_entries
+from ..session import stored
+from .blocks import BLOCK, with_found
 from .ordering import dense_row_number
 
 PAD_ID = 0
 UNK_ID = 1
 FIRST_TOKEN_ID = 2
+# A block of rows with one dictionary ends at either; so much of the texts a task holds at once.
+BLOCK_ROWS = 2048
+BLOCK_TOKENS = 1 << 20
+
+
+def _bytes(text_col: str) -> Column:
+    return F.col(text_col).cast("string").cast("binary").alias("__text")
+
+
+def _words(text: bytes | None) -> list[str]:
+    """Whitespace tokens, as ``functions.text.tokens`` gives them."""
+    return text.decode("utf-8", "replace").split() if text else []
+
+
+def _count_words(batches: Iterator["pyarrow.RecordBatch"]) -> Iterator["pyarrow.RecordBatch"]:
+    import pyarrow as pa
+
+    for batch in batches:
+        found = Counter()
+        for text in batch.column(0):
+            found.update(_words(text.as_py()))
+        yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["token", "n"])
 
 
 # --------------------------------------------------------------------- E1
@@ -26,13 +52,13 @@ def build_vocabulary(df: DataFrame, text_col: str, size: int | None = None,
                      min_count: int = 1) -> DataFrame:
     """``(token, token_id, count)`` for all tokens, or the ``size`` most frequent.
 
-    Counting is a partial aggregate over exploded tokens.  Ranking: count
+    Tokens are counted by batches of rows, then by token.  Ranking: count
     descending, then token.  With a ``size`` the top is a bounded top-k
     (``TakeOrderedAndProject``); the whole vocabulary is numbered in ranges of
     that order, so neither meets in one task.
     """
-    counts = (df.select(F.explode(tokens(F.col(text_col))).alias("token"))
-              .groupBy("token").agg(F.count(F.lit(1)).alias("count"))
+    counts = (df.select(_bytes(text_col)).mapInArrow(_count_words, "token string, n long")
+              .groupBy("token").agg(F.sum("n").alias("count"))
               .where(F.col("count") >= min_count))
     if size is None:
         ranked = dense_row_number(counts.withColumn("__o", F.struct(-F.col("count"), F.col("token"))), "__o", "__rank")
@@ -45,29 +71,71 @@ def build_vocabulary(df: DataFrame, text_col: str, size: int | None = None,
 
 
 # --------------------------------------------------------------------- E2
+class _Places(dict):
+    """Numbers its keys from 0 in order of first sight."""
+
+    def __missing__(self, key):
+        self[key] = place = len(self)
+        return place
+
+
+def _block_encoder(carried: Sequence[str]):
+    """Rows by blocks: tokens as places in the dictionary of their block, which its first row holds."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            texts, first = batch.column("__text"), 0
+            while first < batch.num_rows:
+                own, places, ends = _Places(), array("i"), [0]
+                for text in texts[first:first + BLOCK_ROWS]:
+                    places.extend(map(own.__getitem__, _words(text.as_py())))
+                    ends.append(len(places))
+                    if len(places) >= BLOCK_TOKENS:
+                        break
+                n = len(ends) - 1
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(places, np.int32)))
+                words = pa.array([list(own)] + [None] * (n - 1), pa.list_(pa.string()))
+                rows = batch.slice(first, n)
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in carried), pa.array(np.full(n, block)), words, lists],
+                                                 names=[*carried, BLOCK, "__words", "__places"])
+                block, first = block + 1, first + n
+    return run
+
+
 def encode_tokens(df: DataFrame, vocab: DataFrame, text_col: str,
                   out_col: str = "input_ids", keep_text: bool = False) -> DataFrame:
     """Replace ``text_col`` by ``out_col`` ARRAY<INT>: ids in text order, unknown -> UNK_ID.
 
     One row out per row in, whatever ids the rows have.  By block dictionaries
-    (``blocks``): what is looked up are the distinct tokens of a block of rows, so
-    no exchange carries a row per token, whatever the size of the vocabulary.
+    (``blocks``): rows are stored as places in the list of their block's distinct tokens,
+    and only these lists are looked up, so no exchange carries a token per occurrence,
+    whatever the size of the vocabulary.
     """
+    import numpy as np
     import pyarrow as pa
-    import pyarrow.compute as pc
 
-    carried = [c for c in df.columns if keep_text or c != text_col]
-    rows = blocked(df.select(*carried, tokens(F.col(text_col)).alias("__toks")), "tokens")
-    table = vocab.select(F.col("token").alias("__tok"), F.col("token_id").alias("__tid"))
+    carried = [f for f in df.schema.fields if keep_text or f.name != text_col]
+    names = [f.name for f in carried]
+    shape = T.StructType([*carried, T.StructField(BLOCK, T.LongType()), T.StructField("__words", T.ArrayType(T.StringType())),
+                          T.StructField("__places", T.ArrayType(T.IntegerType()))])
+    rows = stored(df.select(*names, _bytes(text_col)).mapInArrow(_block_encoder(names), shape), "tokens")
+    words = rows.where(F.col("__words").isNotNull()).select(F.col(BLOCK).alias("__holder"), F.posexplode("__words").alias("__place", "__word"))
+    known = vocab.select(F.col("token").alias("__tok"), F.col("token_id").cast("int").alias("__tid"))
+    found = words.join(known, F.col("__word") == F.col("__tok")).select("__holder", "__place", "__tid")
     unknown = UNK_ID
 
     def ids(lists: pa.ListArray, known: pa.Table) -> pa.Array:
-        place = pc.index_in(lists.flatten(), value_set=known.column("__tok").combine_chunks())
-        found = pc.fill_null(known.column("__tid").combine_chunks().cast(pa.int32()).take(place), unknown)
+        places, at = lists.flatten().to_numpy(), known.column("__place").to_numpy()
+        table = np.full(max(places.max(initial=-1), at.max(initial=-1)) + 1, unknown, np.int32)
+        table[at] = known.column("__tid").to_numpy()
         starts = lists.offsets.to_numpy()
-        return pa.ListArray.from_arrays(pa.array(starts - starts[0], pa.int32()), found)
+        return pa.ListArray.from_arrays(pa.array(starts - starts[0], pa.int32()), pa.array(table[places]))
 
-    return replace_entries(rows, "__toks", table, "__tok", ids, T.StructField(out_col, T.ArrayType(T.IntegerType())))
+    return with_found(rows.drop("__words"), "__places", found, ids, T.StructField(out_col, T.ArrayType(T.IntegerType())))
 
 
 # --------------------------------------------------------------------- E3

@@ -50,17 +50,21 @@ def forward_fill(df: DataFrame, cols: Sequence[str], order_col: str,
 
 
 # --------------------------------------------------------------------- D2
-def dedup_rows(df: DataFrame, order_col: str | None = None) -> DataFrame:
+def dedup_rows(df: DataFrame, order_col: str | None = None, along: Sequence[str] = ()) -> DataFrame:
     """Full-row de-duplication keeping the first occurrence.
 
     The order column itself is not part of the row identity; the kept row gets
-    the smallest order value.  A single aggregate with map-side combine, so a
-    row repeated a billion times costs one entry per map task.
+    the smallest order value.  ``along`` are columns that never fall as the order
+    grows (the place of a file): no part of the identity either, and their smallest
+    value is the kept row's.  A single aggregate with map-side combine, so a
+    row repeated a billion times costs one entry per map task; numbers as orders keep
+    it a hash aggregate, without a sort of whole rows.
     """
     if order_col is None:
         return df.dropDuplicates()
-    keys = [c for c in df.columns if c != order_col]
-    return (df.groupBy(*keys).agg(F.min(order_col).alias(order_col))
+    smallest = [order_col, *along]
+    keys = [c for c in df.columns if c not in smallest]
+    return (df.groupBy(*keys).agg(*[F.min(c).alias(c) for c in smallest])
             .select(*df.columns))
 
 

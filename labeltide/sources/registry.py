@@ -108,12 +108,10 @@ def _combined(spark: SparkSession, spec: DatasetSpec, kind: str, parts: list[tup
         own = [c for c in united.columns if c not in ("row_ord", "__part")]
         frames = [forward_fill(united.where(F.col("__part") == k), own, "row_ord") for k in range(len(parts))]
         united = frames[0] if len(frames) == 1 else union_datasets(frames, rank_col=None)
-    rank = F.col("__part").cast("long")
-    tagged = united.withColumn("row_ord", F.struct(rank.alias("part"), F.col("row_ord").alias("row"))).drop("__part")
-    first = dedup_rows(tagged, "row_ord")
+    # Rows are numbered through all paths in their order, so the first row is of the first path.
+    first = dedup_rows(united, "row_ord", along=["__part"])
     names = F.array(*[F.lit(source) for _, source in parts])
-    return (first.withColumn("source", F.get(names, F.col("row_ord.part").cast("int")))
-            .withColumn("row_ord", F.col("row_ord.row")))
+    return first.withColumn("source", F.get(names, F.col("__part").cast("int"))).drop("__part")
 
 
 def load(spark: SparkSession, dataset: str, paths: dict[str, str | list[str]],

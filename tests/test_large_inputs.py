@@ -51,3 +51,38 @@ def test_weights_are_looked_up_by_entries_found_in_place(spark):
         ids = data[r.doc_id][1] or []
         want = [b + sum(known.get(i, (0.25, 0.5))[c] for i in ids) for c, b in enumerate((1.0, 2.0))]
         assert r.logits == pytest.approx(want) and r.prediction == str(int(want[1] > want[0]))
+
+
+def test_encoding_moves_places_and_reading_sorts_no_rows(spark, tmp_path):
+    texts = ["a  b\x1ca c", None, "", "  \n", "b", "unseen\x85a"]
+    data = [(k % 50, f"s{k % 2}", texts[k % 6] and f"{texts[k % 6]} w{k % 977}") for k in range(5000)]
+    df = spark.createDataFrame(data, "id int, source string, text string").repartition(2)
+    count = Counter(w for _, _, t in data for w in (t or "").split())
+    vocab = {r.token: r for r in encode.build_vocabulary(df, "text").collect()}
+    order = sorted(count, key=lambda w: (-count[w], w))
+    assert {w: (r.token_id, r["count"]) for w, r in vocab.items()} == {w: (k + 2, count[w]) for k, w in enumerate(order)}
+    known = spark.createDataFrame([(w, r.token_id) for w, r in vocab.items() if w != "unseen"], "token string, token_id int")
+    out = encode.encode_tokens(df, known, "text", keep_text=True)
+    assert "__places:array<int>" in _plan(out) and "array_distinct" not in _plan(out)
+    got = Counter((r.id, r.source, r.text, tuple(r.input_ids)) for r in out.collect())
+    assert got == Counter((i, s, t, tuple(1 if w == "unseen" else vocab[w].token_id for w in (t or "").split())) for i, s, t in data)
+
+    for k, rows in enumerate((["1,x,HOF", "2,y,NOT"], ["2,y,NOT", "3,z,HOF"], ["9,q,NOT"])):
+        (tmp_path / f"{k}.csv").write_text("\n".join(["_id,text,task_1", *rows]) + "\n")
+    train, _, _ = registry.load(spark, "hasoc", {"train": [f"{tmp_path}/1.csv", f"{tmp_path}/0.csv"], "dev": f"{tmp_path}/2.csv"}, task="1")
+    assert "SortAggregate" not in _plan(train)
+    assert sorted(tuple(r) for r in train.select("row_ord", "id", "source").collect()) == [
+        (0, "2", "hasoc:train:0"), (1, "3", "hasoc:train:0"), (2, "1", "hasoc:train:1")]
+
+
+def test_first_rows_bring_the_columns_along(spark):
+    df = spark.createDataFrame([("x", 3, 1), ("x", 1, 0), ("y", 2, 0), (None, 5, 1), (None, 4, 1)], "t string, o long, part int")
+    assert sorted(map(tuple, prepare.dedup_rows(df, "o", along=["part"]).collect()), key=str) == [("x", 1, 0), ("y", 2, 0), (None, 4, 1)]
+
+
+def test_guarded_cleaning_equals_the_steps(spark):
+    texts = [None, "", "@", "a@", "me@x.org, you", "at 1.2.3.4. and 999.1.2.3.4", "1.2.3.4", "x1.2.3.4\n", "256.1.1.1.", "٣.1.2.3.4.", "no digits. none@all", "a.b@c 10.0.0.1. http://x@y"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select("t", X.clean_text(F.col("t")).alias("a"), X.clean_text_stepwise(F.col("t")).alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows]
+    assert re.search("@", X._EMAIL_FAST)

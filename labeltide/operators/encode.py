@@ -155,8 +155,7 @@ def pad_and_mask(df: DataFrame, col: str = "input_ids", batch: str | None = None
         raise ValueError("give either a batch column or a length")
     size = F.size(col)
     if batch is not None:
-        longest = df.groupBy(batch).agg(F.max(size).alias("__width"))
-        df = df.join(longest.withColumnRenamed(batch, "__batch"), F.col(batch).eqNullSafe(F.col("__batch"))).drop("__batch")
+        df = df.withColumn("__width", F.max(size).over(Window.partitionBy(batch)))
     else:
         df = df.withColumn("__width", F.lit(length))
     fill = F.greatest(F.col("__width") - size, F.lit(0))

@@ -423,7 +423,7 @@ def q_truncate_tokens(spark, sf):
 def q_pad_and_mask(spark, sf):
     """E4 + E5 over whole texts: every batch padded to its own longest row, with the mask."""
     docs = _docs_clean_shared(spark, sf)
-    enc = encode.encode_tokens(docs, _vocab_of(docs), "text")
+    enc = stored(encode.encode_tokens(docs, _vocab_of(docs), "text"), "encoded")  # numbering its rows reads it three times
     padded = encode.pad_and_mask(encode.assign_batches(enc, DOC_BATCH, "doc_id"), batch="batch")
     mask = F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)
     return padded.select("doc_id", "batch", F.md5(F.array_join(F.col("input_ids").cast("array<string>"), ",")).alias("ids_md5"),

@@ -40,6 +40,23 @@ def test_swapped_headers_are_written_by_all_tasks(spark, tables):
         assert rows[r.doc_id].source == (r.source if r.doc_id % 3 == 2 else None)
 
 
+def test_padding_does_not_encode_again(spark, tables):
+    out = QUERIES["pad_and_mask"](spark, tables)
+    assert "FlatMapCoGroupsInArrow" not in _plan(out)
+    sizes = {r.doc_id: len(r.t) for r in spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", X.tokens(X.clean_text(F.col("text"))).alias("t")).collect()}
+    for r in out.collect():
+        mates = range(r.batch * 16, r.batch * 16 + 16)
+        assert r.doc_id in mates and (r.width, r.n_tokens) == (max(sizes[m] for m in mates), sizes[r.doc_id])
+
+
+def test_widths_come_without_a_join(spark):
+    df = spark.createDataFrame([(0, [5, 6]), (0, [7]), (None, [8]), (None, [])], "batch int, input_ids array<int>")
+    out = encode.pad_and_mask(df, batch="batch")
+    assert "Join" not in _plan(out)
+    assert sorted((r.batch is None, r.input_ids, r.attention_mask) for r in out.collect()) == [
+        (False, [5, 6], [1, 1]), (False, [7, 0], [1, 0]), (True, [0], [0]), (True, [8], [1])]
+
+
 def test_weights_are_looked_up_by_entries_found_in_place(spark):
     data = [(k, [k % 5, k % 5, 7] if k % 3 else None) for k in range(1500)]
     rows = blocks.blocked(spark.createDataFrame(data, "doc_id int, input_ids array<int>").repartition(3))

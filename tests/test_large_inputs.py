@@ -57,6 +57,13 @@ def test_widths_come_without_a_join(spark):
         (False, [5, 6], [1, 1]), (False, [7, 0], [1, 0]), (True, [0], [0]), (True, [8], [1])]
 
 
+def test_tasks_of_olid_count_tokens_without_a_row_for_each(spark, tables):
+    vocab = encode.build_vocabulary(spark.read.parquet(f"{tables}/documents.parquet"), "text", size=5)
+    assert "Generate" not in _plan(vocab)
+    found = {r.task: r for r in QUERIES["olid_tasks"](spark, tables).collect()}
+    assert all((r.n, r.written, r.unmatched) == (80, 80, 0) for r in found.values()) and set(found) == {"a", "b"}
+
+
 def test_weights_are_looked_up_by_entries_found_in_place(spark):
     data = [(k, [k % 5, k % 5, 7] if k % 3 else None) for k in range(1500)]
     rows = blocks.blocked(spark.createDataFrame(data, "doc_id int, input_ids array<int>").repartition(3))

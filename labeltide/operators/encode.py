@@ -123,7 +123,9 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, text_col: str,
     shape = T.StructType([*carried, T.StructField(BLOCK, T.LongType()), T.StructField("__words", T.ArrayType(T.StringType())),
                           T.StructField("__places", T.ArrayType(T.IntegerType()))])
     rows = stored(df.select(*names, _bytes(text_col)).mapInArrow(_block_encoder(names), shape), "tokens")
-    words = rows.where(F.col("__words").isNotNull()).select(F.col(BLOCK).alias("__holder"), F.posexplode("__words").alias("__place", "__word"))
+    placed = F.transform("__words", lambda word, place: F.struct(place.alias("__place"), word.alias("__word")))
+    words = (rows.where(F.col("__words").isNotNull()).select(F.col(BLOCK).alias("__holder"), F.explode(placed).alias("__w"))
+             .select("__holder", "__w.__place", "__w.__word"))
     known = vocab.select(F.col("token").alias("__tok"), F.col("token_id").cast("int").alias("__tid"))
     found = words.join(known, F.col("__word") == F.col("__tok")).select("__holder", "__place", "__tid")
     unknown = UNK_ID

@@ -1,6 +1,6 @@
 """Block dictionaries: values for the entries of a list column, without a row per entry in any exchange.
 
-Rows are stored in blocks of consecutive rows.  A block's distinct entries (found before
+Rows are stored in blocks of consecutive rows (encoded texts in the blocks that encoded them).  A block's distinct entries (found before
 the exchange) are joined with the lookup table and come back to the block as its own
 dictionary; the entries are then replaced in place, a whole block at a time.  Neither
 side has to fit anywhere as a whole, and a frequent entry is one row per block.
@@ -21,7 +21,9 @@ _BITS = 9  # 512 rows to a block
 
 
 def blocked(df: DataFrame, name: str = "blocks") -> DataFrame:
-    """``df`` stored, with the number of each row's block."""
+    """``df`` stored, with the number of each row's block: the one that it brings (``encode_tokens``), or a new one."""
+    if BLOCK in df.columns:
+        return stored(df, name)
     return stored(df.withColumn(BLOCK, F.shiftright(F.monotonically_increasing_id(), _BITS)), name)
 
 
@@ -55,9 +57,9 @@ def _distinct_entries(batches: Iterator["pyarrow.RecordBatch"]) -> Iterator["pya
 
 
 def with_found(rows: DataFrame, list_col: str, found: DataFrame, make: Callable[["pyarrow.ListArray", "pyarrow.Table"], "pyarrow.Array"],
-               out: T.StructField) -> DataFrame:
+               out: T.StructField, keep_block: bool = False) -> DataFrame:
     """As :func:`replace_entries`, with each block's rows of the lookup table given: ``found``, by ``__holder``."""
-    kept = [f for f in rows.schema.fields if f.name not in (list_col, BLOCK)]
+    kept = [f for f in rows.schema.fields if f.name != list_col and (keep_block or f.name != BLOCK)]
     names = [f.name for f in kept]
 
     def run(left, right):

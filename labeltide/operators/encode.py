@@ -7,8 +7,6 @@ here over a corpus vocabulary.  Id 0 is padding and id 1 the unknown token.
 
 from __future__ import annotations
 
-from array import array
-from collections import Counter
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,28 +21,57 @@ from .ordering import dense_row_number
 PAD_ID = 0
 UNK_ID = 1
 FIRST_TOKEN_ID = 2
-# A block of rows with one dictionary ends at either; so much of the texts a task holds at once.
-BLOCK_ROWS = 2048
-BLOCK_TOKENS = 1 << 20
+# A block of rows with one dictionary holds about so many bytes of text, or one longer text; so much of the texts a task holds at once.
+BLOCK_BYTES = 1 << 25
 
 
 def _bytes(text_col: str) -> Column:
     return F.col(text_col).cast("string").cast("binary").alias("__text")
 
 
-def _words(text: bytes | None) -> list[str]:
-    """Whitespace tokens, as ``functions.text.tokens`` gives them."""
-    return text.decode("utf-8", "replace").split() if text else []
+def _blocks_of(texts: "pyarrow.BinaryArray") -> Iterator[tuple[int, int, "pyarrow.StringArray", "numpy.ndarray", "numpy.ndarray"]]:
+    """(first row, rows, distinct tokens, place of each token among them, ends of the rows' tokens) of the blocks of a batch.
+
+    Tokens are those of ``str.split``, as ``functions.text.tokens`` gives them; a null text has none.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    total = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    if not len(total):
+        return
+    parts = max(1, -(-int(total[-1]) // BLOCK_BYTES))
+    cuts = np.searchsorted(total, total[-1] * np.arange(1, parts) // parts)
+    bounds = sorted({0, *cuts.tolist(), len(total)})
+    for first, end in zip(bounds, bounds[1:]):
+        part = texts.slice(first, end - first)
+        try:
+            part = part.cast(pa.string())
+        except pa.ArrowInvalid:  # some text is no valid UTF-8
+            part = pa.array([t and t.decode("utf-8", "replace") for t in part.to_pylist()], pa.string())
+        # Blanks at a text's ends, and a blank text, leave empty tokens.
+        lists = pc.utf8_split_whitespace(pc.fill_null(part, ""))
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy())
+        coded = lists.flatten().dictionary_encode()
+        words, places = coded.dictionary, coded.indices.to_numpy()
+        empty = words.index("").as_py()
+        if empty >= 0:
+            solid = places != empty
+            ends = np.concatenate(([0], np.cumsum(solid)))[ends]
+            places = places[solid]
+            places = places - (places > empty).astype(np.int32)
+            words = pa.concat_arrays([words.slice(0, empty), words.slice(empty + 1)])
+        yield first, end - first, words, places, ends
 
 
 def _count_words(batches: Iterator["pyarrow.RecordBatch"]) -> Iterator["pyarrow.RecordBatch"]:
+    import numpy as np
     import pyarrow as pa
 
     for batch in batches:
-        found = Counter()
-        for text in batch.column(0):
-            found.update(_words(text.as_py()))
-        yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["token", "n"])
+        for _, _, words, places, _ in _blocks_of(batch.column(0)):
+            yield pa.RecordBatch.from_arrays([words, pa.array(np.bincount(places, minlength=len(words)).astype(np.int64))], names=["token", "n"])
 
 
 # --------------------------------------------------------------------- E1
@@ -71,14 +98,6 @@ def build_vocabulary(df: DataFrame, text_col: str, size: int | None = None,
 
 
 # --------------------------------------------------------------------- E2
-class _Places(dict):
-    """Numbers its keys from 0 in order of first sight."""
-
-    def __missing__(self, key):
-        self[key] = place = len(self)
-        return place
-
-
 def _block_encoder(carried: Sequence[str]):
     """Rows by blocks: tokens as places in the dictionary of their block, which its first row holds."""
     import numpy as np
@@ -88,32 +107,26 @@ def _block_encoder(carried: Sequence[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 33
         for batch in batches:
-            texts, first = batch.column("__text"), 0
-            while first < batch.num_rows:
-                own, places, ends = _Places(), array("i"), [0]
-                for text in texts[first:first + BLOCK_ROWS]:
-                    places.extend(map(own.__getitem__, _words(text.as_py())))
-                    ends.append(len(places))
-                    if len(places) >= BLOCK_TOKENS:
-                        break
-                n = len(ends) - 1
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(places, np.int32)))
-                words = pa.array([list(own)] + [None] * (n - 1), pa.list_(pa.string()))
+            for first, n, words, places, ends in _blocks_of(batch.column("__text")):
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(places))
+                own = pa.ListArray.from_arrays(pa.array([0] + [len(words)] * n, pa.int32()), words,
+                                               mask=pa.array(np.arange(n) > 0))
                 rows = batch.slice(first, n)
-                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in carried), pa.array(np.full(n, block)), words, lists],
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in carried), pa.array(np.full(n, block)), own, lists],
                                                  names=[*carried, BLOCK, "__words", "__places"])
-                block, first = block + 1, first + n
+                block += 1
     return run
 
 
 def encode_tokens(df: DataFrame, vocab: DataFrame, text_col: str,
-                  out_col: str = "input_ids", keep_text: bool = False) -> DataFrame:
+                  out_col: str = "input_ids", keep_text: bool = False, keep_block: bool = False) -> DataFrame:
     """Replace ``text_col`` by ``out_col`` ARRAY<INT>: ids in text order, unknown -> UNK_ID.
 
     One row out per row in, whatever ids the rows have.  By block dictionaries
     (``blocks``): rows are stored as places in the list of their block's distinct tokens,
     and only these lists are looked up, so no exchange carries a token per occurrence,
-    whatever the size of the vocabulary.
+    whatever the size of the vocabulary.  ``keep_block`` keeps the number of the rows'
+    block, for ``blocks.blocked``.
     """
     import numpy as np
     import pyarrow as pa
@@ -126,7 +139,8 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, text_col: str,
     placed = F.transform("__words", lambda word, place: F.struct(place.alias("__place"), word.alias("__word")))
     words = (rows.where(F.col("__words").isNotNull()).select(F.col(BLOCK).alias("__holder"), F.explode(placed).alias("__w"))
              .select("__holder", "__w.__place", "__w.__word"))
-    known = vocab.select(F.col("token").alias("__tok"), F.col("token_id").cast("int").alias("__tid"))
+    # A vocabulary's tokens are distinct, so its parts hash without skew and neither side is sorted.
+    known = vocab.select(F.col("token").alias("__tok"), F.col("token_id").cast("int").alias("__tid")).hint("shuffle_hash")
     found = words.join(known, F.col("__word") == F.col("__tok")).select("__holder", "__place", "__tid")
     unknown = UNK_ID
 
@@ -137,7 +151,7 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, text_col: str,
         starts = lists.offsets.to_numpy()
         return pa.ListArray.from_arrays(pa.array(starts - starts[0], pa.int32()), pa.array(table[places]))
 
-    return with_found(rows.drop("__words"), "__places", found, ids, T.StructField(out_col, T.ArrayType(T.IntegerType())))
+    return with_found(rows.drop("__words"), "__places", found, ids, T.StructField(out_col, T.ArrayType(T.IntegerType())), keep_block)
 
 
 # --------------------------------------------------------------------- E3

@@ -687,7 +687,7 @@ def q_score_batches(spark, sf):
     vocab = stored(encode.build_vocabulary(train, "text"), "vocabulary")
     dictionary = stored(labels.label_dictionary(train, "label", "doc_id"), "dictionary")
     # Every document is encoded once; training rows are the labelled ones.
-    encoded = blocks.blocked(encode.encode_tokens(docs, vocab, "text"), "encoded")
+    encoded = blocks.blocked(encode.encode_tokens(docs, vocab, "text", keep_block=True), "encoded")
     train_e = labels.encode_labels(encoded.join(lab, "doc_id"), dictionary, "label", "label_id", as_string=False)
     weights = score.train_token_weights(train_e, "input_ids", "label_id", 2, vocab.count() + encode.FIRST_TOKEN_ID)
     scored = score.score_by_weights(encoded, weights, "input_ids", pred_col="pred_id")

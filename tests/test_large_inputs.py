@@ -4,6 +4,7 @@ import os
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +65,35 @@ def test_tasks_of_olid_count_tokens_without_a_row_for_each(spark, tables):
     assert all((r.n, r.written, r.unmatched) == (80, 80, 0) for r in found.values()) and set(found) == {"a", "b"}
 
 
+def test_blocks_hold_the_tokens_of_str_split(monkeypatch):
+    odd = ["a  b\x1ca c", None, "", "  \n", " lead", "trail\u2003", "x\x85y\xa0z\u3000x", "é\u200bé é", "w " * 40]
+    raw = [t and t.encode() for t in odd] + [b"bad \xff\xed\xa0\x80 utf"]
+    for size in (1 << 25, 64, 1):
+        monkeypatch.setattr(encode, "BLOCK_BYTES", size)
+        for texts in (raw, raw[:-1], raw[:1], raw[1:2], []):
+            found, at = [], 0
+            for first, n, words, places, ends in encode._blocks_of(pa.array(texts, pa.binary())):
+                assert first == at and len(ends) == n and len(set(words.to_pylist())) == len(words)
+                at += n
+                tokens = [words[p].as_py() for p in places]
+                found += [tokens[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+            assert at == len(texts) and found == [t.decode("utf-8", "replace").split() if t else [] for t in texts]
+
+
+def test_scoring_looks_up_by_the_blocks_of_the_encoding(spark):
+    df = spark.createDataFrame([(k, f"a b w{k} w{k % 50}") for k in range(4000)], "id int, text string").repartition(1)
+    vocab = session.stored(encode.build_vocabulary(df, "text"), "vocabulary")
+    out = encode.encode_tokens(df, vocab, "text", keep_block=True)
+    assert "ShuffledHashJoin" in _plan(out)
+    rows = blocks.blocked(out)
+    assert rows.select(blocks.BLOCK).distinct().count() == 1 and rows.count() == 4000
+    table = vocab.select("token_id", F.array(F.col("token_id").cast("double"), F.lit(0.0)).alias("weights"))
+    scored = score.score_by_weights(rows, score.TokenWeights(table, [0.0, 0.0], [0.0, 1.0]), "input_ids")
+    ids = {r.token: r.token_id for r in vocab.collect()}
+    assert {r.id: r.logits for r in scored.collect()} == {
+        k: [float(sum(ids[w] for w in f"a b w{k} w{k % 50}".split())), 1.0] for k in range(4000)}
+
+
 def test_weights_are_looked_up_by_entries_found_in_place(spark):
     data = [(k, [k % 5, k % 5, 7] if k % 3 else None) for k in range(1500)]
     rows = blocks.blocked(spark.createDataFrame(data, "doc_id int, input_ids array<int>").repartition(3))

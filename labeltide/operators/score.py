@@ -15,6 +15,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -77,18 +79,27 @@ def train_token_weights(encoded: DataFrame, ids_col: str, label_col: str, n_clas
     Ids from 0 to ``vocab_size`` - 1 and labels from 0 to ``n_classes`` - 1 count.  The
     weights stay a stored table; only totals per class reach the driver.
     """
-    label = F.col(label_col).cast("int").alias("c")
-    rows = encoded.select(label, ids_col).where(F.col("c").between(0, n_classes - 1))
-    each = rows.select("c", F.explode(ids_col).alias("t")).where(F.col("t") < vocab_size)
-    per_class = [F.count_if(F.col("c") == k).alias(f"n_{k}") for k in range(n_classes)]
+    return train_token_weights_of(encoded, ids_col, {label_col: n_classes}, vocab_size, alpha)
+
+
+def train_token_weights_of(encoded: DataFrame, ids_col: str, n_classes: dict[str, int],
+                           vocab_size: int, alpha: float = 1.0) -> TokenWeights:
+    """:func:`train_token_weights` for several label columns in one pass: the classes of all columns, one column's after the other's."""
+    labels = {c: F.col(c).cast("int").alias(f"c_{k}") for k, c in enumerate(n_classes)}
+    counted = [F.col(f"c_{k}").between(0, n - 1) for k, n in enumerate(n_classes.values())]
+    rows = encoded.select(*labels.values(), ids_col).where(reduce(or_, counted))
+    each = rows.select(*[f"c_{k}" for k in range(len(labels))], F.explode(ids_col).alias("t")).where(F.col("t") < vocab_size)
+    classes = [(k, c) for k, n in enumerate(n_classes.values()) for c in range(n)]
+    per_class = [F.count_if(F.col(f"c_{k}") == c).alias(f"n_{k}_{c}") for k, c in classes]
     counts = stored(each.groupBy("t").agg(*per_class), "token-counts")
-    total = counts.agg(*[F.coalesce(F.sum(f"n_{k}"), F.lit(0)).alias(f"n_{k}") for k in range(n_classes)]).first()
+    names = [f"n_{k}_{c}" for k, c in classes]
+    total = counts.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]).first()
     prior = rows.agg(*per_class).first()
-    sums = [total[k] + alpha * vocab_size for k in range(n_classes)]
-    weights = F.array(*[F.log((F.col(f"n_{k}") + alpha) / F.lit(float(sums[k]))) for k in range(n_classes)])
-    labelled = sum(prior) + alpha * n_classes
-    return TokenWeights(counts.select(F.col("t").cast("int").alias("token_id"), weights.alias("weights")),
-                        [float(np.log(alpha / s)) for s in sums], [float(np.log((p + alpha) / labelled)) for p in prior])
+    sums = [total[n] + alpha * vocab_size for n in names]
+    weights = F.array(*[F.log((F.col(n) + alpha) / F.lit(float(s))) for n, s in zip(names, sums)])
+    labelled = [sum(prior[f"n_{k}_{c}"] for c in range(n)) + alpha * n for k, n in enumerate(n_classes.values())]
+    return TokenWeights(counts.select(F.col("t").cast("int").alias("token_id"), weights.alias("weights")), [float(np.log(alpha / s)) for s in sums],
+                        [float(np.log((prior[n] + alpha) / labelled[k])) for n, (k, _) in zip(names, classes)])
 
 
 def score_by_weights(rows: DataFrame, weights: TokenWeights, ids_col: str, logits_col: str = "logits",

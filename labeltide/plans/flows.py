@@ -41,10 +41,12 @@ def q_olid_tasks(spark, sf):
     dev = _write_part(rows.where(part == 2).orderBy("id"), f"{base}/dev")
     test = _write_part(rows.where(part == 0).select("id", "tweet"), f"{base}/test", sep="\t")
     reports, written = [], f"{base}/predictions"
-    for task in name:
+    # The tasks share the files and the texts: both are read, counted and encoded once, with a label column per task.
+    fit, _, asked = registry.load_tasks(spark, "olid", {"train": train, "dev": dev, "test": test}, tasks=list(name))
+    fitted = evaluate.fit_and_score_tasks(fit, asked.select("id", "text"), [f"label_{task}" for task in name])
+    for task, of_task in zip(name, fitted):
         gold = _plain(rows.where(part == 0).select("id", f"subtask_{task}"), f"{base}/gold-{task}", ",")
-        fit, _, asked = registry.load(spark, "olid", {"train": train, "dev": dev, "test": test}, task=task)
-        scored, report, missing = evaluate.score_and_evaluate(fit, asked.drop("label"), registry.load_gold(spark, gold))
+        scored, report, missing = evaluate.evaluated(*of_task, registry.load_gold(spark, gold), label_col=f"label_{task}")
         writers.write_predictions(scored.select("id", "prediction", F.lit(task).alias("task")), written, mode="overwrite" if not reports else "append")
         reports.append(_report_columns(report).crossJoin(missing.agg(F.count(F.lit(1)).alias("unmatched"))).withColumn("task", F.lit(task)))
     back = delimited.read_csv(spark, written, names=["id", "prediction", "task"], order_col=None)

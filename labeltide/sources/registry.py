@@ -11,6 +11,7 @@ registry only says how each corpus is laid out.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -74,17 +75,26 @@ def spec_for(dataset: str) -> DatasetSpec:
 def harmonise(df: DataFrame, spec: DatasetSpec, task: str, source: str | Column,
               text_col: str | None = None, id_col: str | None = None) -> DataFrame:
     """Select and rename one corpus frame into the harmonised schema."""
+    return _harmonised(df, spec, {task: "label"}, source, text_col, id_col, F.lit(task).alias("task"))
+
+
+def _harmonised(df: DataFrame, spec: DatasetSpec, label_names: dict[str, str], source: str | Column,
+                text_col: str | None, id_col: str | None, *more: Column) -> DataFrame:
+    """One corpus frame with the label of each task under its name in ``label_names``."""
     text_col = text_col or spec.text_col
     id_col = id_col if id_col is not None else spec.id_col
-    label_col = spec.label_cols.get(task)
+
+    def label(task: str) -> Column:
+        label_col = spec.label_cols.get(task)
+        return F.col(label_col).cast("string") if label_col and label_col in df.columns else F.lit(None).cast("string")
+
     return df.select(
         F.col("row_ord").cast("long").alias("row_ord"),
         (F.col(id_col).cast("string") if id_col and id_col in df.columns
          else F.col("row_ord").cast("string")).alias("id"),
         F.col(text_col).cast("string").alias("text"),
-        (F.col(label_col).cast("string") if label_col and label_col in df.columns
-         else F.lit(None).cast("string")).alias("label"),
-        F.lit(task).alias("task"),
+        *[label(task).alias(name) for task, name in label_names.items()],
+        *more,
         (F.lit(source) if isinstance(source, str) else source).alias("source"),
     )
 
@@ -166,6 +176,31 @@ def load(spark: SparkSession, dataset: str, paths: dict[str, str | list[str]],
     return train, dev, test
 
 
+def load_tasks(spark: SparkSession, dataset: str, paths: dict[str, str], tasks: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """:func:`load` for several tasks of one corpus, whose files are read once.
+
+    ``paths``: one each for ``train``, ``dev`` and, optionally, ``test``.  Instead of
+    ``label`` and ``task`` the rows have the label of each task as ``label_<task>``.
+    """
+    spec = spec_for(dataset)
+    unknown = [t for t in tasks if t not in spec.label_cols]
+    if unknown:
+        raise ValueError(f"dataset {dataset!r} has no task {unknown[0]!r}")
+    for key in ("train", "dev"):
+        if key not in paths:
+            raise ValueError(f"missing path for {key}")
+    if paths["train"] == paths["dev"]:
+        raise ValueError("train and dev paths must differ")
+    names = {t: f"label_{t}" for t in tasks}
+
+    def one(kind: str) -> DataFrame:
+        rows = _combined(spark, spec, kind, [(paths[kind], f"{dataset}:{kind}:0")])
+        return _harmonised(rows, spec, names, F.col("source"), None, spec.test_id_col if kind == "test" else None)
+
+    train, dev = one("train"), one("dev")
+    return train, dev, one("test") if paths.get("test") else spark.createDataFrame([], train.schema)
+
+
 def load_gold(spark: SparkSession, path: str, headerless: bool = True, sep: str = ",",
               label_col: str = "label", id_col: str | None = None) -> DataFrame:
     """Gold labels as ``(id STRING, label STRING)``."""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from labeltide import session
 from labeltide.functions import text as X
 from labeltide.operators import blocks, encode, prepare, score
+from labeltide.plans import evaluate
 from labeltide.plans.catalog import QUERIES
 from labeltide.sources import registry
 
@@ -65,6 +66,33 @@ def test_tasks_of_olid_count_tokens_without_a_row_for_each(spark, tables):
     assert all((r.n, r.written, r.unmatched) == (80, 80, 0) for r in found.values()) and set(found) == {"a", "b"}
 
 
+def test_tasks_of_olid_share_files_and_texts(spark, tables):
+    before = len(session._SCRATCH)
+    QUERIES["olid_tasks"](spark, tables)
+    made = Counter(re.sub(r"-[0-9a-f]{32}$", "", os.path.basename(p)) for p in session._SCRATCH[before:])
+    assert made["splits"] == 3 + 2 + 1  # train, dev and test; a gold file per task; the predictions
+    assert made["vocabulary"] == made["encoded"] == made["scored"] == 1
+
+
+@pytest.mark.parametrize("gap", [False, True])
+def test_tasks_fitted_together_are_as_fitted_alone(spark, gap):
+    def text(k):
+        return " ".join(f"w{'abcdefghijk'[k * j % 11]}" for j in range(1, 2 + k % 5)) + (" only" if k % 10 == 3 else "")
+
+    train = spark.createDataFrame([(k, str(k), text(k) if k % 7 else None, "xy"[k % 2], None if gap and k % 10 == 3 else "pqr"[k % 3]) for k in range(60)],
+                                  "row_ord long, id string, text string, label_a string, label_b string")
+    test = spark.createDataFrame([(str(k), text(k) + " never") for k in range(40)] + [("n", None)], "id string, text string")
+    both = evaluate.fit_and_score_tasks(train, test, ["label_a", "label_b"])
+    for col, (scored, dictionary, rows) in zip(("label_a", "label_b"), both):
+        alone, own, alone_rows = evaluate.fit_and_score(train, test, label_col=col)
+        assert sorted(dictionary.collect()) == sorted(own.collect()) and rows.count() == alone_rows.count()
+        want = {r.id: r for r in alone.collect()}
+        got = {r.id: r for r in scored.collect()}
+        assert set(got) == set(want) and len(got) == 41
+        for i, r in got.items():
+            assert r.logits == pytest.approx(want[i].logits, rel=1e-12) and r.pred_id == want[i].pred_id
+
+
 def test_blocks_hold_the_tokens_of_str_split(monkeypatch):
     odd = ["a  b\x1ca c", None, "", "  \n", " lead", "trail\u2003", "x\x85y\xa0z\u3000x", "é\u200bé é", "w " * 40]
     raw = [t and t.encode() for t in odd] + [b"bad \xff\xed\xa0\x80 utf"]

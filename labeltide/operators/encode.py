@@ -99,7 +99,7 @@ def build_vocabulary(df: DataFrame, text_col: str, size: int | None = None,
 
 # --------------------------------------------------------------------- E2
 def _block_encoder(carried: Sequence[str]):
-    """Rows by blocks: tokens as places in the dictionary of their block, which its first row holds."""
+    """Rows by blocks: tokens as places in the dictionary of their block, of which every row holds an equal part."""
     import numpy as np
     import pyarrow as pa
     from pyspark import TaskContext
@@ -109,11 +109,11 @@ def _block_encoder(carried: Sequence[str]):
         for batch in batches:
             for first, n, words, places, ends in _blocks_of(batch.column("__text")):
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(places))
-                own = pa.ListArray.from_arrays(pa.array([0] + [len(words)] * n, pa.int32()), words,
-                                               mask=pa.array(np.arange(n) > 0))
+                cuts = pa.array((np.arange(n + 1) * len(words) // n).astype(np.int32))
+                own = pa.ListArray.from_arrays(cuts, words)
                 rows = batch.slice(first, n)
-                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in carried), pa.array(np.full(n, block)), own, lists],
-                                                 names=[*carried, BLOCK, "__words", "__places"])
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in carried), pa.array(np.full(n, block)), cuts.slice(0, n), own, lists],
+                                                 names=[*carried, BLOCK, "__from", "__words", "__places"])
                 block += 1
     return run
 
@@ -123,8 +123,8 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, text_col: str,
     """Replace ``text_col`` by ``out_col`` ARRAY<INT>: ids in text order, unknown -> UNK_ID.
 
     One row out per row in, whatever ids the rows have.  By block dictionaries
-    (``blocks``): rows are stored as places in the list of their block's distinct tokens,
-    and only these lists are looked up, so no exchange carries a token per occurrence,
+    (``blocks``): rows are stored as places in the list of their block's distinct tokens
+    (dealt over the block's rows), and only these lists are looked up, so no exchange carries a token per occurrence,
     whatever the size of the vocabulary.  ``keep_block`` keeps the number of the rows'
     block, for ``blocks.blocked``.
     """
@@ -133,12 +133,11 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, text_col: str,
 
     carried = [f for f in df.schema.fields if keep_text or f.name != text_col]
     names = [f.name for f in carried]
-    shape = T.StructType([*carried, T.StructField(BLOCK, T.LongType()), T.StructField("__words", T.ArrayType(T.StringType())),
+    shape = T.StructType([*carried, T.StructField(BLOCK, T.LongType()), T.StructField("__from", T.IntegerType()), T.StructField("__words", T.ArrayType(T.StringType())),
                           T.StructField("__places", T.ArrayType(T.IntegerType()))])
     rows = stored(df.select(*names, _bytes(text_col)).mapInArrow(_block_encoder(names), shape), "tokens")
-    placed = F.transform("__words", lambda word, place: F.struct(place.alias("__place"), word.alias("__word")))
-    words = (rows.where(F.col("__words").isNotNull()).select(F.col(BLOCK).alias("__holder"), F.explode(placed).alias("__w"))
-             .select("__holder", "__w.__place", "__w.__word"))
+    placed = F.transform("__words", lambda word, place: F.struct((F.col("__from") + place).alias("__place"), word.alias("__word")))
+    words = rows.select(F.col(BLOCK).alias("__holder"), F.explode(placed).alias("__w")).select("__holder", "__w.__place", "__w.__word")
     # A vocabulary's tokens are distinct, so its parts hash without skew and neither side is sorted.
     known = vocab.select(F.col("token").alias("__tok"), F.col("token_id").cast("int").alias("__tid")).hint("shuffle_hash")
     found = words.join(known, F.col("__word") == F.col("__tok")).select("__holder", "__place", "__tid")
@@ -151,7 +150,7 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, text_col: str,
         starts = lists.offsets.to_numpy()
         return pa.ListArray.from_arrays(pa.array(starts - starts[0], pa.int32()), pa.array(table[places]))
 
-    return with_found(rows.drop("__words"), "__places", found, ids, T.StructField(out_col, T.ArrayType(T.IntegerType())), keep_block)
+    return with_found(rows.drop("__from", "__words"), "__places", found, ids, T.StructField(out_col, T.ArrayType(T.IntegerType())), keep_block)
 
 
 # --------------------------------------------------------------------- E3

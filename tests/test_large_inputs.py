@@ -115,6 +115,8 @@ def test_scoring_looks_up_by_the_blocks_of_the_encoding(spark):
     assert "ShuffledHashJoin" in _plan(out)
     rows = blocks.blocked(out)
     assert rows.select(blocks.BLOCK).distinct().count() == 1 and rows.count() == 4000
+    coded = spark.read.parquet([p for p in session._SCRATCH if "/tokens-" in p][-1])
+    assert coded.agg(F.max(F.size("__words"))).first()[0] == 2  # 4,002 tokens of one block on 4,000 rows
     table = vocab.select("token_id", F.array(F.col("token_id").cast("double"), F.lit(0.0)).alias("weights"))
     scored = score.score_by_weights(rows, score.TokenWeights(table, [0.0, 0.0], [0.0, 1.0]), "input_ids")
     ids = {r.token: r.token_id for r in vocab.collect()}
